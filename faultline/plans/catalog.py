@@ -86,10 +86,80 @@ def q_contract_violations(spark: SparkSession, sf: str) -> DataFrame:
     return contracts.contract_violations(g, medallion.FCT_SALES_CONTRACT)
 
 
+# --- checks ----------------------------------------------------------------------------
+
+from faultline.operators import checks  # noqa: E402
+
+
+def q_null_check(spark: SparkSession, sf: str) -> DataFrame:
+    o = read(spark, sf, "orders")
+    ev = checks.table_evidence(o, [{"template": "null_check", "column": c} for c in o.columns], "tpch", "orders")
+    return ev.select("column_name", F.col("value").cast("bigint").alias("null_count"))
+
+
+def q_table_profile(spark: SparkSession, sf: str) -> DataFrame:
+    li = read(spark, sf, "lineitem")
+    specs = [{"template": "row_count"}]
+    specs += [{"template": "null_check", "column": c} for c in li.columns]
+    specs += [{"template": "freshness", "timestamp_column": "l_shipdate"},
+              {"template": "partition_check", "date_column": "l_returnflag", "date_value": "R"},
+              {"template": "duplicate_total", "column": "l_orderkey"},
+              {"template": "duplicate_check", "column": "l_orderkey"}]
+    ev = checks.table_evidence(li, specs, "tpch", "lineitem")
+    return ev.select("template", "column_name", "value", "row_count")
+
+
+def q_duplicate_check(spark: SparkSession, sf: str) -> DataFrame:
+    return checks.duplicate_check(read(spark, sf, "lineitem"), "l_orderkey")
+
+
+def q_duplicate_total(spark: SparkSession, sf: str) -> DataFrame:
+    return checks.duplicate_total(read(spark, sf, "lineitem"), "l_partkey")
+
+
+def q_row_count(spark: SparkSession, sf: str) -> DataFrame:
+    return checks.row_count(read(spark, sf, "events"))
+
+
+def q_freshness(spark: SparkSession, sf: str) -> DataFrame:
+    return checks.freshness(read(spark, sf, "events"), "ts")
+
+
+def q_partition_check(spark: SparkSession, sf: str) -> DataFrame:
+    o = read(spark, sf, "orders").select(F.to_date("o_orderdate").alias("order_date"))
+    return checks.partition_check(o, "order_date", "1996-01-02")
+
+
+def drifted_customers_input(spark: SparkSession, sf: str) -> DataFrame:
+    """customer keys as bronze text where two market segments arrive in the
+    drifted ``CUST-<n>`` format."""
+    c = read(spark, sf, "customer")
+    key = F.when(c.c_mktsegment.isin("HOUSEHOLD", "MACHINERY"),
+                 F.regexp_replace("c_name", "Customer#", "CUST-")).otherwise(c.c_custkey.cast("string"))
+    return c.select(key.alias("customer_id"), F.col("c_name").alias("customer_name"))
+
+
+def q_invalid_cast_check(spark: SparkSession, sf: str) -> DataFrame:
+    return checks.invalid_cast_check(drifted_customers_input(spark, sf), "customer_id")
+
+
+def q_sample_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return checks.sample_rows(read(spark, sf, "orders"), "o_totalprice > 400000", ["o_orderkey"])
+
+
 REGISTRY = {
     "fct_sales": q_fct_sales,
     "silver_sales": q_silver_sales,
     "silver_customers": q_silver_customers,
     "column_tests": q_column_tests,
     "contract_violations": q_contract_violations,
+    "null_check": q_null_check,
+    "table_profile": q_table_profile,
+    "duplicate_check": q_duplicate_check,
+    "duplicate_total": q_duplicate_total,
+    "row_count": q_row_count,
+    "freshness": q_freshness,
+    "partition_check": q_partition_check,
+    "invalid_cast_check": q_invalid_cast_check,
+    "sample_rows": q_sample_rows,
 }

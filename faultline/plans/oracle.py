@@ -80,3 +80,49 @@ SELECT * FROM (
   SELECT 'not_null_violation', 'order_date', 'not null', 'null', COUNT(*) FILTER (WHERE order_date IS NULL) FROM g
 ) x WHERE x.rows > 0
 """
+
+_ORDERS_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+_LINEITEM_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+                  "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+
+ORACLE["null_check"] = " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, COUNT(*) FILTER (WHERE {c} IS NULL) AS null_count FROM orders"
+    for c in _ORDERS_COLS)
+
+ORACLE["table_profile"] = " UNION ALL ".join(
+    ["SELECT 'row_count' AS template, NULL AS column_name, CAST(COUNT(*) AS VARCHAR) AS value, "
+     "CAST(1 AS BIGINT) AS row_count FROM lineitem"]
+    + [f"SELECT 'null_check', '{c}', CAST(COUNT(*) FILTER (WHERE {c} IS NULL) AS VARCHAR), 1 FROM lineitem"
+       for c in _LINEITEM_COLS]
+    + ["SELECT 'freshness', 'l_shipdate', CAST(MAX(l_shipdate) AS VARCHAR), 1 FROM lineitem",
+       "SELECT 'partition_check', 'l_returnflag', CAST(COUNT(*) FILTER (WHERE l_returnflag = 'R') AS VARCHAR), 1 "
+       "FROM lineitem",
+       "SELECT 'duplicate_total', 'l_orderkey', CAST(COUNT(*) AS VARCHAR), 1 FROM "
+       "(SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING COUNT(*) > 1)",
+       "SELECT 'duplicate_check', 'l_orderkey', NULL, COUNT(*) FROM "
+       "(SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING COUNT(*) > 1 ORDER BY COUNT(*) DESC LIMIT 10)"])
+
+ORACLE["duplicate_check"] = """
+SELECT l_orderkey, COUNT(*) AS cnt FROM lineitem GROUP BY l_orderkey HAVING COUNT(*) > 1
+ORDER BY cnt DESC, l_orderkey NULLS FIRST LIMIT 10
+"""
+
+ORACLE["duplicate_total"] = """
+SELECT COUNT(*) AS duplicate_key_count FROM (
+  SELECT l_partkey FROM lineitem GROUP BY l_partkey HAVING COUNT(*) > 1) sub
+"""
+
+ORACLE["row_count"] = "SELECT COUNT(*) AS total_rows FROM events"
+ORACLE["freshness"] = "SELECT MAX(ts) AS latest_record FROM events"
+ORACLE["partition_check"] = ("SELECT COUNT(*) AS partition_rows FROM orders "
+                             "WHERE CAST(o_orderdate AS DATE) = DATE '1996-01-02'")
+
+ORACLE["invalid_cast_check"] = """
+SELECT customer_id FROM (
+  SELECT CASE WHEN c_mktsegment IN ('HOUSEHOLD', 'MACHINERY') THEN replace(c_name, 'Customer#', 'CUST-')
+              ELSE CAST(c_custkey AS VARCHAR) END AS customer_id FROM customer) t
+WHERE customer_id IS NOT NULL AND NOT regexp_matches(customer_id, '^[0-9]+$')
+ORDER BY customer_id LIMIT 20
+"""
+
+ORACLE["sample_rows"] = "SELECT * FROM orders WHERE o_totalprice > 400000 ORDER BY o_orderkey LIMIT 5"
