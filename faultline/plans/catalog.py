@@ -147,6 +147,100 @@ def q_sample_rows(spark: SparkSession, sf: str) -> DataFrame:
     return checks.sample_rows(read(spark, sf, "orders"), "o_totalprice > 400000", ["o_orderkey"])
 
 
+# --- logs ------------------------------------------------------------------------------
+
+from pyspark.sql import Window  # noqa: E402
+
+from faultline.operators import logs  # noqa: E402
+
+# Message templates for the stand-in task logs (input construction only).
+ERROR_MESSAGES = [
+    'null value in column "customer_id" of relation "gold.fct_sales" violates not-null constraint',
+    'invalid input syntax for type integer: "CUST-%d"',
+    'relation "silver.silver_sales_%d" does not exist',
+    'column "order_dt" of relation "silver_sales" does not exist',
+    "permission denied for table sales",
+    'duplicate key value violates unique constraint "orders_pkey" on insert into gold.fct_sales',
+    "Compilation Error in model silver_customers (models/silver/silver_customers.sql)",
+    "Database Error in model fct_sales (models/gold/fct_sales.sql)",
+    'invalid input syntax for type date: "2026-13-%d"',
+]
+INFO_MESSAGES = {
+    "view": "Reading rows from bronze.sales join bronze.customers",
+    "click": "Slow query on table silver.silver_customers (%d ms)",
+    "signup": "Task started for model silver_sales",
+    "purchase": "Inserting batch into gold.fct_sales",
+}
+
+
+def task_log_lines_input(spark: SparkSession, sf: str) -> DataFrame:
+    """events as task-log lines: one log per user, one line per event in time
+    order, formatted ``[ts] LEVEL - message``."""
+    ev = read(spark, sf, "events")
+    k = F.get_json_object("props", "$.k").cast("int")
+    msg = None
+    for i, m in enumerate(ERROR_MESSAGES):
+        body = F.format_string(m, F.col("user_id")) if "%d" in m else F.lit(m)
+        msg = F.when(k % 9 == i, body) if msg is None else msg.when(k % 9 == i, body)
+    info = None
+    for et, m in INFO_MESSAGES.items():
+        body = F.format_string(m, F.col("value").cast("int")) if "%d" in m else F.lit(m)
+        info = F.when(F.col("event_type") == et, body) if info is None else info.when(F.col("event_type") == et, body)
+    message = F.when(F.col("event_type") == "error", msg).otherwise(info)
+    level = F.when(F.col("event_type") == "error", "ERROR").when(F.col("event_type") == "click", "WARNING") \
+        .otherwise("INFO")
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return ev.select(F.concat(F.lit("run_"), F.col("user_id").cast("string")).alias("log_id"),
+                     (F.row_number().over(w) - 1).alias("line_no"),
+                     F.format_string("[%s] %s - %s", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"),
+                                     level, message).alias("line"))
+
+
+def task_log_texts_input(spark: SparkSession, sf: str) -> DataFrame:
+    lines = task_log_lines_input(spark, sf)
+    return lines.groupBy("log_id").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]),
+                     "\n").alias("log_text"))
+
+
+def q_split_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return logs.split_log_lines(read(spark, sf, "documents"), ["doc_id"], "text")
+
+
+def _log_lines(spark, sf):
+    return logs.split_log_lines(task_log_texts_input(spark, sf), ["log_id"], "log_text")
+
+
+def q_error_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return logs.error_lines(_log_lines(spark, sf))
+
+
+def q_relevant_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return logs.relevant_lines(_log_lines(spark, sf), ["log_id"])
+
+
+def q_truncate_log(spark: SparkSession, sf: str) -> DataFrame:
+    return logs.truncate_log(logs.relevant_lines(_log_lines(spark, sf), ["log_id"]), ["log_id"])
+
+
+def q_signatures(spark: SparkSession, sf: str) -> DataFrame:
+    m = logs.match_signatures(task_log_texts_input(spark, sf), "log_text")
+    return m.select("log_id", F.inline("regex_matches")).select(
+        "log_id", "pattern", "match", F.try_element_at("groups", F.lit(1)).alias("group1"),
+        F.try_element_at("groups", F.lit(2)).alias("group2"))
+
+
+def q_resolve_error(spark: SparkSession, sf: str) -> DataFrame:
+    r = logs.resolve_error(logs.match_signatures(task_log_texts_input(spark, sf), "log_text"))
+    return r.select("log_id", "error_type", "sql_state_code", "error_message")
+
+
+def q_referenced_objects(spark: SparkSession, sf: str) -> DataFrame:
+    r = logs.referenced_objects(task_log_texts_input(spark, sf), "log_text")
+    return r.select("log_id", F.array_join("tables", ",").alias("tables"),
+                    F.array_join("columns", ",").alias("columns"), F.array_join("models", ",").alias("models"))
+
+
 REGISTRY = {
     "fct_sales": q_fct_sales,
     "silver_sales": q_silver_sales,
@@ -162,4 +256,11 @@ REGISTRY = {
     "partition_check": q_partition_check,
     "invalid_cast_check": q_invalid_cast_check,
     "sample_rows": q_sample_rows,
+    "split_lines": q_split_lines,
+    "error_lines": q_error_lines,
+    "relevant_lines": q_relevant_lines,
+    "truncate_log": q_truncate_log,
+    "signatures": q_signatures,
+    "resolve_error": q_resolve_error,
+    "referenced_objects": q_referenced_objects,
 }

@@ -126,3 +126,121 @@ ORDER BY customer_id LIMIT 20
 """
 
 ORACLE["sample_rows"] = "SELECT * FROM orders WHERE o_totalprice > 400000 ORDER BY o_orderkey LIMIT 5"
+
+# --- logs --------------------------------------------------------------------------------
+
+_ERR = [
+    "'null value in column \"customer_id\" of relation \"gold.fct_sales\" violates not-null constraint'",
+    "'invalid input syntax for type integer: \"CUST-' || user_id || '\"'",
+    "'relation \"silver.silver_sales_' || user_id || '\" does not exist'",
+    "'column \"order_dt\" of relation \"silver_sales\" does not exist'",
+    "'permission denied for table sales'",
+    "'duplicate key value violates unique constraint \"orders_pkey\" on insert into gold.fct_sales'",
+    "'Compilation Error in model silver_customers (models/silver/silver_customers.sql)'",
+    "'Database Error in model fct_sales (models/gold/fct_sales.sql)'",
+    "'invalid input syntax for type date: \"2026-13-' || user_id || '\"'",
+]
+_K = "CAST(json_extract_string(props, '$.k') AS INTEGER)"
+_MSG = ("CASE WHEN event_type = 'error' THEN CASE " +
+        " ".join(f"WHEN {_K} % 9 = {i} THEN {m}" for i, m in enumerate(_ERR)) + " END "
+        "WHEN event_type = 'view' THEN 'Reading rows from bronze.sales join bronze.customers' "
+        "WHEN event_type = 'click' THEN 'Slow query on table silver.silver_customers (' || "
+        "CAST(CAST(trunc(value) AS INTEGER) AS VARCHAR) || ' ms)' "
+        "WHEN event_type = 'signup' THEN 'Task started for model silver_sales' "
+        "WHEN event_type = 'purchase' THEN 'Inserting batch into gold.fct_sales' END")
+_LEVEL = "CASE WHEN event_type = 'error' THEN 'ERROR' WHEN event_type = 'click' THEN 'WARNING' ELSE 'INFO' END"
+LOG_LINES = f"""
+SELECT 'run_' || CAST(user_id AS VARCHAR) AS log_id,
+       row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS line_no,
+       '[' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '] ' || {_LEVEL} || ' - ' || {_MSG} AS line
+FROM events
+"""
+LOG_TEXTS = f"""
+SELECT log_id, string_agg(line, chr(10) ORDER BY line_no) AS log_text FROM ({LOG_LINES}) GROUP BY log_id
+"""
+_KW = "(" + " OR ".join(f"contains(line, '{k}')" for k in
+                        ["ERROR", "FATAL", "WARNING", "EXCEPTION", "Traceback"]) + ")"
+_LB = r"\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x{85}\x{2028}\x{2029}]"
+
+ORACLE["split_lines"] = f"""
+SELECT doc_id, generate_subscripts(arr, 1) - 1 AS line_no, unnest(arr) AS line FROM (
+  SELECT doc_id, regexp_split_to_array(regexp_replace(text, '({_LB})$', ''), '{_LB}') AS arr
+  FROM documents WHERE text <> '')
+"""
+
+ORACLE["error_lines"] = f"""
+SELECT log_id, line_no, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS line
+FROM ({LOG_LINES}) WHERE {_KW}
+"""
+
+RELEVANT = f"""
+SELECT log_id, line_no, line FROM (
+  SELECT *, COUNT(*) OVER (PARTITION BY log_id) AS total,
+         MAX(CASE WHEN {_KW} THEN 1 ELSE 0 END) OVER (PARTITION BY log_id ORDER BY line_no
+             ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS near
+  FROM ({LOG_LINES}))
+WHERE total <= 50 OR line_no >= total - 50 OR near = 1
+"""
+ORACLE["relevant_lines"] = RELEVANT
+
+ORACLE["truncate_log"] = f"""
+SELECT log_id, string_agg(piece, chr(10) ORDER BY line_no) AS truncated FROM (
+  SELECT log_id, line_no,
+         CASE WHEN line_no - COALESCE(LAG(line_no) OVER (PARTITION BY log_id ORDER BY line_no), -1) - 1 > 0
+              THEN '... (' || CAST(line_no - COALESCE(LAG(line_no) OVER (PARTITION BY log_id ORDER BY line_no), -1) - 1
+                                   AS VARCHAR) || ' lines omitted) ...' || chr(10) || line
+              ELSE line END AS piece
+  FROM ({RELEVANT}))
+GROUP BY log_id
+"""
+
+_SIGS = [
+    ("not_null_violation", r'null value in column "(\w+)".*not-null constraint', 1, "23502", "not_null_violation"),
+    ("type_cast_failure", r'invalid input syntax for type (\w+): "([^"]+)"', 2, "22P02", "type_cast_failure"),
+    ("relation_not_found", r'relation "([^"]+)" does not exist', 1, "42P01", "relation_not_found"),
+    ("column_not_found", r'column "(\w+)" (?:of relation "(\w+)" )?does not exist', 2, "42703", "column_not_found"),
+    ("permission_denied", r"permission denied for (\w+) (\w+)", 2, "42501", "permission_denied"),
+    ("unique_violation", r"duplicate key value violates unique constraint", 0, "23505", "unique_violation"),
+    ("dbt_compile_error", r"Compilation Error in model (\w+)", 1, None, "dbt_compile_error"),
+    ("dbt_database_error", r"Database Error in model (\w+)", 1, None, "dbt_database_error"),
+    ("invalid_date", r'invalid input syntax for type date: "([^"]+)"', 1, "22007", "type_cast_failure"),
+]
+
+
+def _q(s):
+    return "'" + s.replace("'", "''") + "'"
+
+
+SIG_ROWS = " UNION ALL ".join(
+    f"SELECT log_id, {i} AS ordinal, '{n}' AS pattern, '{et}' AS error_type, "
+    f"{_q(st) if st else 'NULL'} AS sql_state, "
+    f"regexp_extract(log_text, {_q('(?i)' + p)}, 0) AS match, "
+    f"{('nullif(regexp_extract(log_text, ' + _q('(?i)' + p) + ', 1), ' + _q('') + ')') if g >= 1 else 'NULL'} AS group1, "
+    f"{('nullif(regexp_extract(log_text, ' + _q('(?i)' + p) + ', 2), ' + _q('') + ')') if g >= 2 else 'NULL'} AS group2 "
+    f"FROM ({LOG_TEXTS})" for i, (n, p, g, st, et) in enumerate(_SIGS))
+
+ORACLE["signatures"] = f"SELECT log_id, pattern, match, group1, group2 FROM ({SIG_ROWS}) WHERE match <> ''"
+
+ORACLE["resolve_error"] = f"""
+WITH m AS (SELECT * FROM ({SIG_ROWS}) WHERE match <> ''),
+pick AS (
+  SELECT log_id, arg_min(struct_pack(error_type, sql_state, match),
+                         CASE WHEN sql_state IS NOT NULL THEN ordinal ELSE 100 + ordinal END) AS c
+  FROM m GROUP BY log_id)
+SELECT t.log_id, p.c.error_type AS error_type, p.c.sql_state AS sql_state_code, p.c.match AS error_message
+FROM ({LOG_TEXTS}) t LEFT JOIN pick p ON t.log_id = p.log_id
+"""
+
+
+def _distinct_join(expr):
+    return (f"array_to_string(list_filter({expr}, lambda x, i: list_position({expr}, x) = i), ',')")
+
+
+_TBL = r'(?i)(?:relation|table|from|join|into)\s+"?(\w+)"?\."?(\w+)"?'
+ORACLE["referenced_objects"] = f"""
+SELECT log_id,
+       {_distinct_join("list_transform(regexp_extract_all(log_text, " + _q(_TBL) + ", 0), lambda m: regexp_extract(m, " + _q(_TBL) + ", 1) || '.' || regexp_extract(m, " + _q(_TBL) + ", 2))")} AS tables,
+       {_distinct_join("regexp_extract_all(log_text, " + _q('(?i)column "(\\w+)"') + ", 1)")} AS columns,
+       {_distinct_join("regexp_extract_all(log_text, " + _q('(?i)model (\\w+)') + ", 1)")} AS models
+FROM ({LOG_TEXTS})
+"""
