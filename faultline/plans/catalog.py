@@ -241,6 +241,124 @@ def q_referenced_objects(spark: SparkSession, sf: str) -> DataFrame:
                     F.array_join("columns", ",").alias("columns"), F.array_join("models", ",").alias("models"))
 
 
+# --- incidents, investigation, memory ------------------------------------------------------
+
+from faultline.operators import incidents, memory  # noqa: E402
+
+TASK_IDS = ["run_dbt_silver_sales", "run_dbt_silver_customers", "run_dbt_fct_sales", "run_dbt_tests",
+            "ingest_raw_sales", "run_dbt_gold_orders"]
+
+
+def triggers_input(spark: SparkSession, sf: str) -> DataFrame:
+    """error events as failure triggers (pipeline name left out for a third)."""
+    ev = read(spark, sf, "events").where(F.col("event_type") == "error")
+    k = F.get_json_object("props", "$.k").cast("int")
+    task = None
+    for i, t in enumerate(TASK_IDS):
+        task = F.when(k % 6 == i, F.lit(t)) if task is None else task.when(k % 6 == i, F.lit(t))
+    return ev.select(
+        F.when(k % 3 == 0, F.lit(None)).otherwise(F.lit("sales_pipeline")).cast("string").alias("pipeline_name"),
+        F.lit("sales_pipeline").alias("dag_id"), task.alias("task_id"),
+        F.concat(F.lit("run_"), F.col("event_id").cast("string")).alias("run_id"),
+        F.lit(None).cast("string").alias("severity"),
+        F.format_string("event %d failed with value %.2f", F.col("event_id"), F.col("value")).alias("error_message"),
+        F.lit(None).cast("string").alias("question"),
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"),
+        F.lit(None).cast("string").alias("incident_id"))
+
+
+def q_intake(spark: SparkSession, sf: str) -> DataFrame:
+    return incidents.intake(triggers_input(spark, sf)).select(
+        "incident_id", "pipeline_name", "severity", "task_id", "dbt_model", "run_id")
+
+
+def log_signals(spark: SparkSession, sf: str) -> DataFrame:
+    return logs.extract_signals(task_log_texts_input(spark, sf), "log_text")
+
+
+def q_classify(spark: SparkSession, sf: str) -> DataFrame:
+    c = incidents.classify(log_signals(spark, sf))
+    return c.select("log_id", "error_type", "failure_class", "classification_confidence",
+                    F.array_join("investigation_priorities", ",").alias("priorities"))
+
+
+def investigation_targets(spark: SparkSession, sf: str) -> DataFrame:
+    c = incidents.classify(log_signals(spark, sf))
+    t = incidents.resolve_target(c.withColumn("incident_id", F.col("log_id")))
+    t = t.withColumn("upstream_sources", F.lit(None).cast("array<struct<schema:string,table_name:string>>")) \
+        .withColumn("upstream_models", F.lit(None).cast("array<string>"))
+    t = incidents.redirect_target(t)
+    return t.withColumn("date_value", F.lit(None).cast("string")).withColumn("condition", F.lit(None).cast("string"))
+
+
+def q_plan_checks(spark: SparkSession, sf: str) -> DataFrame:
+    p = checks.expand_checks(investigation_targets(spark, sf))
+    return p.select("incident_id", "failure_class", "schema", "table", "column", "ordinal", "template")
+
+
+def pipeline_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """The medallion tables built from driver data, by ``schema.table``."""
+    bs, bc = bronze_sales_input(spark, sf), bronze_customers_input(spark, sf)
+    ss, sc = medallion.silver_sales(bs), medallion.silver_customers(bc)
+    return {"bronze.sales": bs, "bronze.customers": bc, "silver.silver_sales": ss,
+            "silver.silver_customers": sc, "gold.fct_sales": medallion.fct_sales(ss, sc)}
+
+
+def q_run_checks(spark: SparkSession, sf: str) -> DataFrame:
+    p = checks.expand_checks(investigation_targets(spark, sf))
+    ev = checks.run_plan(p, pipeline_tables(spark, sf))
+    return ev.select("incident_id", "schema", "table", "template", "column_name", "value", "row_count", "error")
+
+
+def embeddings_input(spark: SparkSession, sf: str, id_col: str) -> DataFrame:
+    e = read(spark, sf, "embeddings")
+    return e.select(F.col("vec_id").alias(id_col), F.concat(F.lit("class_"), F.col("label").cast("string"))
+                    .alias("failure_class"), "embedding")
+
+
+def q_similar_incidents(spark: SparkSession, sf: str) -> DataFrame:
+    return memory.search_similar(embeddings_input(spark, sf, "query_id"), embeddings_input(spark, sf, "incident_id"))
+
+
+def incident_batch_input(spark: SparkSession, sf: str, first_half: bool) -> DataFrame:
+    """events as incident records keyed by user and event type; the first half
+    of the month is the stored history, the second half a new batch."""
+    ev = read(spark, sf, "events")
+    cut = F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")
+    ev = ev.where(cut if first_half else ~cut)
+    return ev.select(
+        F.concat(F.lit("INC-"), F.col("user_id").cast("string"), F.lit("-"), F.col("event_type")).alias("incident_id"),
+        F.col("ts").alias("created_at"),
+        F.when(F.col("event_type") == "error", "error").otherwise("warning").alias("severity"),
+        F.lit("open").alias("status"), F.lit("events").alias("source"),
+        F.lit("sales_pipeline").alias("pipeline_name"), F.lit("sales_pipeline").alias("dag_id"),
+        F.col("event_type").alias("task_id"),
+        F.concat(F.lit("run_"), F.col("user_id").cast("string")).alias("run_id"),
+        F.lit(None).cast("string").alias("dbt_model"), F.lit("events").alias("target_table"),
+        F.lit("value").alias("target_column"), F.col("event_type").alias("failure_class"),
+        F.concat(F.lit("event "), F.col("event_id").cast("string")).alias("issue_summary"),
+        F.col("props").alias("root_cause"), (F.col("value") / 500.0).alias("confidence"),
+        F.lit(None).cast("string").alias("fix_summary"), F.lit(None).cast("string").alias("prevention_summary"),
+        F.col("props").alias("evidence_json"), F.lit(False).alias("validated"),
+        F.lit(None).cast("array<float>").alias("embedding"), "ts", "event_id")
+
+
+def upserted_store(spark: SparkSession, sf: str) -> DataFrame:
+    empty = spark.createDataFrame([], memory.INCIDENT_SCHEMA)
+    b1 = incident_batch_input(spark, sf, True)
+    b2 = incident_batch_input(spark, sf, False)
+    s1 = memory.upsert(empty, b1, ["ts", "event_id"])
+    return memory.upsert(s1, b2, ["ts", "event_id"])
+
+
+def q_upsert_incidents(spark: SparkSession, sf: str) -> DataFrame:
+    return upserted_store(spark, sf).drop("embedding")
+
+
+def q_recent_incidents(spark: SparkSession, sf: str) -> DataFrame:
+    return memory.recent_incidents(upserted_store(spark, sf))
+
+
 REGISTRY = {
     "fct_sales": q_fct_sales,
     "silver_sales": q_silver_sales,
@@ -263,4 +381,11 @@ REGISTRY = {
     "signatures": q_signatures,
     "resolve_error": q_resolve_error,
     "referenced_objects": q_referenced_objects,
+    "intake": q_intake,
+    "classify": q_classify,
+    "plan_checks": q_plan_checks,
+    "run_checks": q_run_checks,
+    "similar_incidents": q_similar_incidents,
+    "upsert_incidents": q_upsert_incidents,
+    "recent_incidents": q_recent_incidents,
 }

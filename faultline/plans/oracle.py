@@ -244,3 +244,113 @@ SELECT log_id,
        {_distinct_join("regexp_extract_all(log_text, " + _q('(?i)model (\\w+)') + ", 1)")} AS models
 FROM ({LOG_TEXTS})
 """
+
+# --- incidents, investigation, memory ---------------------------------------------------
+
+_TASKS = ["run_dbt_silver_sales", "run_dbt_silver_customers", "run_dbt_fct_sales", "run_dbt_tests",
+          "ingest_raw_sales", "run_dbt_gold_orders"]
+_TASK_CASE = "CASE " + " ".join(f"WHEN {_K} % 6 = {i} THEN '{t}'" for i, t in enumerate(_TASKS)) + " END"
+TRIGGERS = f"""
+SELECT CASE WHEN {_K} % 3 = 0 THEN NULL ELSE 'sales_pipeline' END AS pipeline_name,
+       'sales_pipeline' AS dag_id, {_TASK_CASE} AS task_id, 'run_' || CAST(event_id AS VARCHAR) AS run_id,
+       printf('event %d failed with value %.2f', event_id, value) AS error_message,
+       strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts_text, ts
+FROM events WHERE event_type = 'error'
+"""
+_MODEL = ("CASE task_id WHEN 'run_dbt_silver_sales' THEN 'silver_sales' "
+          "WHEN 'run_dbt_silver_customers' THEN 'silver_customers' WHEN 'run_dbt_fct_sales' THEN 'fct_sales' "
+          "WHEN 'run_dbt_tests' THEN NULL WHEN 'ingest_raw_sales' THEN NULL WHEN 'ingest_raw_customers' THEN NULL "
+          "ELSE CASE WHEN starts_with(task_id, 'run_dbt_') THEN substr(task_id, 9) END END")
+ORACLE["intake"] = f"""
+SELECT 'INC-' || strftime(ts, '%Y%m%d%H%M%S') || '-' ||
+       substr(md5(concat_ws('|', dag_id, task_id, run_id, error_message, '', ts_text)), 1, 6) AS incident_id,
+       COALESCE(pipeline_name, dag_id) AS pipeline_name, 'error' AS severity, task_id,
+       {_MODEL} AS dbt_model, run_id
+FROM ({TRIGGERS})
+"""
+
+_CLASS = ("CASE error_type WHEN 'not_null_violation' THEN 'data_quality' WHEN 'unique_violation' THEN 'data_quality' "
+          "WHEN 'type_cast_failure' THEN 'schema_drift' WHEN 'relation_not_found' THEN 'code_failure' "
+          "WHEN 'column_not_found' THEN 'code_failure' WHEN 'dbt_compile_error' THEN 'code_failure' "
+          "WHEN 'dbt_database_error' THEN 'data_quality' WHEN 'permission_denied' THEN 'access' "
+          "WHEN 'timeout' THEN 'resource' WHEN 'oom' THEN 'resource' ELSE 'unknown' END")
+_PRIO = ("CASE failure_class WHEN 'data_quality' THEN 'null_check,duplicate_check,row_count' "
+         "WHEN 'schema_drift' THEN 'column_presence,invalid_cast_check' "
+         "WHEN 'code_failure' THEN 'code_inspection,lineage_check' WHEN 'access' THEN 'permission_check' "
+         "WHEN 'resource' THEN 'row_count' WHEN 'unknown' THEN 'null_check,row_count,column_presence' "
+         "ELSE '' END")
+CLASSIFIED = f"""
+SELECT log_id, error_type, {_CLASS} AS failure_class FROM ({ORACLE["resolve_error"]})
+"""
+ORACLE["classify"] = f"""
+SELECT log_id, error_type, failure_class, 0.5 AS classification_confidence, {_PRIO} AS priorities
+FROM ({CLASSIFIED})
+"""
+
+_TEMPLATES = {
+    "data_quality": ["null_check", "duplicate_check", "duplicate_total", "row_count", "freshness"],
+    "schema_drift": ["column_presence", "invalid_cast_check"],
+    "code_failure": ["sample_rows", "null_check", "row_count"],
+    "dependency": ["partition_check", "row_count", "freshness"],
+    "silent_correctness": ["row_count", "null_check", "duplicate_check"],
+    "resource": ["row_count"],
+    "access": ["column_presence"],
+}
+_CT = " UNION ALL ".join(f"SELECT '{c}' AS failure_class, {i} AS ordinal, '{t}' AS template"
+                         for c, ts in _TEMPLATES.items() for i, t in enumerate(ts))
+_NEEDS_COLUMN = "('null_check', 'duplicate_check', 'duplicate_total', 'invalid_cast_check')"
+ORACLE["plan_checks"] = f"""
+WITH tgt AS (
+  SELECT c.log_id AS incident_id, c.failure_class,
+         nullif(regexp_extract(t.log_text, {_q(_TBL)}, 1), '') AS schema,
+         nullif(regexp_extract(t.log_text, {_q(_TBL)}, 2), '') AS "table",
+         nullif(regexp_extract(t.log_text, {_q('(?i)column "(\\w+)"')}, 1), '') AS "column"
+  FROM ({CLASSIFIED}) c JOIN ({LOG_TEXTS}) t ON c.log_id = t.log_id),
+ct AS ({_CT}),
+plan AS (
+  SELECT tgt.*, ct.ordinal, ct.template FROM tgt JOIN ct ON tgt.failure_class = ct.failure_class
+  UNION ALL
+  SELECT tgt.*, 0, 'row_count' FROM tgt WHERE failure_class NOT IN (SELECT failure_class FROM ct))
+SELECT incident_id, failure_class, schema, "table", "column", ordinal, template FROM plan
+WHERE template NOT IN ('partition_check', 'sample_rows')
+  AND NOT (template IN {_NEEDS_COLUMN} AND "column" IS NULL)
+"""
+
+ORACLE["similar_incidents"] = """
+WITH e AS (SELECT vec_id, 'class_' || CAST(label AS VARCHAR) AS failure_class,
+                  CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+p AS (SELECT q.vec_id AS query_id, s.vec_id AS incident_id, s.failure_class,
+             list_cosine_similarity(q.v, s.v) AS sim
+      FROM e q JOIN e s ON q.failure_class = s.failure_class AND q.vec_id <> s.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, incident_id) AS rank FROM p)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, incident_id, failure_class, round(sim, 4) AS similarity_score
+FROM r WHERE rank <= 3
+"""
+
+INCIDENT_ROWS = """
+SELECT 'INC-' || CAST(user_id AS VARCHAR) || '-' || event_type AS incident_id, ts AS created_at,
+       CASE WHEN event_type = 'error' THEN 'error' ELSE 'warning' END AS severity, 'open' AS status,
+       'events' AS source, 'sales_pipeline' AS pipeline_name, 'sales_pipeline' AS dag_id, event_type AS task_id,
+       'run_' || CAST(user_id AS VARCHAR) AS run_id, CAST(NULL AS VARCHAR) AS dbt_model, 'events' AS target_table,
+       'value' AS target_column, event_type AS failure_class, 'event ' || CAST(event_id AS VARCHAR) AS issue_summary,
+       props AS root_cause, value / 500.0 AS confidence, CAST(NULL AS VARCHAR) AS fix_summary,
+       CAST(NULL AS VARCHAR) AS prevention_summary, props AS evidence_json, false AS validated, ts, event_id
+FROM events
+"""
+UPSERTED = f"""
+WITH b AS ({INCIDENT_ROWS}),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY ts, event_id) AS rn FROM b)
+      WHERE rn = 1),
+l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY ts DESC, event_id DESC) AS rn
+      FROM b) WHERE rn = 1)
+SELECT f.incident_id, f.created_at, f.severity, f.status, f.source, f.pipeline_name, f.dag_id, f.task_id, f.run_id,
+       l.dbt_model, l.target_table, l.target_column, l.failure_class, l.issue_summary, l.root_cause, l.confidence,
+       l.fix_summary, l.prevention_summary, l.evidence_json, f.validated
+FROM f JOIN l ON f.incident_id = l.incident_id
+"""
+ORACLE["upsert_incidents"] = UPSERTED
+ORACLE["recent_incidents"] = f"""
+SELECT incident_id, created_at, pipeline_name, failure_class, severity, substr(issue_summary, 1, 200) AS summary,
+       confidence, validated
+FROM ({UPSERTED}) ORDER BY created_at DESC, incident_id LIMIT 20
+"""
