@@ -27,6 +27,7 @@ EVIDENCE_SCHEMA = T.StructType([
     T.StructField("row_count", T.LongType()),
     T.StructField("rows", T.ArrayType(T.StringType())),
     T.StructField("error", T.StringType()),
+    T.StructField("spec_key", T.StringType()),
 ])
 
 SCALAR = {"null_check", "row_count", "partition_check", "freshness", "duplicate_total"}
@@ -171,7 +172,7 @@ def table_evidence(df: DataFrame, specs: list[dict], schema: str, table: str,
     for s in specs:
         miss = _missing_columns(df, s)
         if miss:
-            errors.append((s["template"], spec_column(s), f'column "{miss[0]}" does not exist'))
+            errors.append((s["template"], spec_column(s), f'column "{miss[0]}" does not exist', _spec_key(s)))
             continue
         if s["template"] in SCALAR and s["template"] != "duplicate_total":
             scalar.append(s)
@@ -180,11 +181,12 @@ def table_evidence(df: DataFrame, specs: list[dict], schema: str, table: str,
         arr = F.array(*[F.struct(F.lit(s["template"]).alias("template"),
                                  F.lit(spec_column(s)).cast("string").alias("column_name"),
                                  F.col(f"c{i}").alias("value"),
-                                 F.lit(_SCALAR_FIELD[s["template"]]).alias("field"))
+                                 F.lit(_SCALAR_FIELD[s["template"]]).alias("field"),
+                                 F.lit(_spec_key(s)).alias("spec_key"))
                         for i, s in enumerate(scalar)])
         parts.append(agg.select(F.inline(arr)).select(
             "template", "column_name", "value", F.lit(1).cast("bigint").alias("row_count"),
-            F.array(F.to_json(F.create_map(F.col("field"), F.col("value")))).alias("rows")))
+            F.array(F.to_json(F.create_map(F.col("field"), F.col("value")))).alias("rows"), "spec_key"))
     counts_cache: dict[str, DataFrame] = {}
     for s in specs:
         t = s["template"]
@@ -198,7 +200,8 @@ def table_evidence(df: DataFrame, specs: list[dict], schema: str, table: str,
                 parts.append(d.select(F.lit(t).alias("template"), F.lit(col).alias("column_name"),
                                       F.col("duplicate_key_count").cast("string").alias("value"),
                                       F.lit(1).cast("bigint").alias("row_count"),
-                                      F.array(F.to_json(F.struct("duplicate_key_count"))).alias("rows")))
+                                      F.array(F.to_json(F.struct("duplicate_key_count"))).alias("rows"),
+                                      F.lit(_spec_key(s)).alias("spec_key")))
                 continue
             rowset = duplicate_check(df, col, counts=counts)
         elif t == "invalid_cast_check":
@@ -208,34 +211,36 @@ def table_evidence(df: DataFrame, specs: list[dict], schema: str, table: str,
         elif t == "column_presence":
             rowset = column_presence(df)
         else:
-            errors.append((t, col, f"Unknown template: {t}"))
+            errors.append((t, col, f"Unknown template: {t}", _spec_key(s)))
             continue
         packed = rowset.agg(F.count(F.lit(1)).cast("bigint").alias("row_count"),
                             F.collect_list(F.to_json(F.struct(*rowset.columns))).alias("rows"))
         parts.append(packed.select(F.lit(t).alias("template"), F.lit(spec_column(s)).cast("string").alias("column_name"),
-                                   F.lit(None).cast("string").alias("value"), "row_count", "rows"))
+                                   F.lit(None).cast("string").alias("value"), "row_count", "rows",
+                                   F.lit(_spec_key(s)).alias("spec_key")))
     out = None
     for p in parts:
         p = p.withColumn("error", F.lit(None).cast("string"))
         out = p if out is None else out.unionByName(p)
     if errors:
-        e = spark.createDataFrame(errors, "template string, column_name string, error string").select(
+        e = spark.createDataFrame(errors, "template string, column_name string, error string, spec_key string").select(
             "template", "column_name", F.lit(None).cast("string").alias("value"),
-            F.lit(0).cast("bigint").alias("row_count"), F.array().cast("array<string>").alias("rows"), "error")
+            F.lit(0).cast("bigint").alias("row_count"), F.array().cast("array<string>").alias("rows"), "error",
+            "spec_key")
         out = e if out is None else out.unionByName(e)
     if out is None:
         return spark.createDataFrame([], EVIDENCE_SCHEMA)
     return out.select(F.lit(ctx).alias("context"), F.lit(layer).cast("string").alias("layer"),
                       F.lit(schema).alias("schema"), F.lit(table).alias("table"),
-                      "template", "column_name", "value", "row_count", "rows", "error")
+                      "template", "column_name", "value", "row_count", "rows", "error", "spec_key")
 
 
 def anomaly(ev: DataFrame) -> Column:
     """Whether an evidence row shows a problem (drives the origin layer)."""
     t, v, n = F.col("template"), F.col("value"), F.col("row_count")
     return (F.when(F.col("error").isNotNull(), True)
-            .when(t.isin("null_check", "duplicate_total"), F.try_cast(v, "bigint") > 0)
-            .when(t.isin("row_count", "partition_check"), F.try_cast(v, "bigint") == 0)
+            .when(t.isin("null_check", "duplicate_total"), v.try_cast("bigint") > 0)
+            .when(t.isin("row_count", "partition_check"), v.try_cast("bigint") == 0)
             .when(t == "freshness", v.isNull())
             .when(t.isin("duplicate_check", "invalid_cast_check", "sample_rows"), n > 0)
             .otherwise(False))
@@ -308,15 +313,16 @@ def run_plan(plan: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
         else:
             e = spark.createDataFrame(
                 [(name, None, schema, table, s["template"], spec_column(s), None, 0, [],
-                  f'relation "{name}" does not exist') for s in ss], EVIDENCE_SCHEMA)
-        # spec key per row to join back
-        e = e.withColumn("_k", F.concat_ws("|", "template", F.coalesce("column_name", F.lit(""))))
+                  f'relation "{name}" does not exist', _spec_key(s)) for s in ss], EVIDENCE_SCHEMA)
         ev = e if ev is None else ev.unionByName(e)
     if ev is None:
         return spark.createDataFrame([], EVIDENCE_SCHEMA).withColumn("incident_id", F.lit(None).cast("string"))
+    extra = F.when(F.col("template") == "partition_check", F.col("date_value")) \
+        .when(F.col("template") == "sample_rows", F.col("condition"))
     want = plan.select("incident_id", "schema", "table", "template",
-                       F.concat_ws("|", "template", F.coalesce(spec_column_expr(), F.lit(""))).alias("_k")).distinct()
-    return want.join(ev.drop("template"), ["schema", "table", "_k"], "inner").drop("_k")
+                       F.concat_ws("|", "template", F.coalesce(spec_column_expr(), F.lit("")),
+                                   F.coalesce(extra, F.lit(""))).alias("spec_key")).distinct()
+    return want.join(ev.drop("template"), ["schema", "table", "spec_key"], "inner").drop("spec_key")
 
 
 # --- layered checks (J9, A12, C11) ---------------------------------------------------
@@ -387,7 +393,8 @@ def upstream_checks(upstream: list[dict], tables: dict[str, DataFrame], column:
         name = f"{schema}.{table}"
         if name not in tables:
             e = spark.createDataFrame([(f"upstream:{name}", None, schema, table, s["template"], spec_column(s),
-                                        None, 0, [], f'relation "{name}" does not exist') for s in specs],
+                                        None, 0, [], f'relation "{name}" does not exist', _spec_key(s))
+                                       for s in specs],
                                       EVIDENCE_SCHEMA)
         else:
             e = table_evidence(tables[name], specs, schema, table, context=f"upstream:{name}")

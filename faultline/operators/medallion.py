@@ -10,7 +10,7 @@ from faultline.functions.text import pg_initcap
 
 # Broadcast the customer dimension only below this many rows (checked with a
 # bounded count that stops reading at limit+1 rows); above it, let AQE decide.
-DIMENSION_BROADCAST_ROWS = 2_000_000
+DIMENSION_BROADCAST_ROWS = 500_000
 
 
 def silver_sales(bronze: DataFrame) -> DataFrame:
@@ -65,11 +65,11 @@ def safe_cast(df: DataFrame, spec: dict[str, str]) -> tuple[DataFrame, DataFrame
     input is not a cast failure.
     """
     failed = F.array_compact(F.array(*[
-        F.when(F.col(c).isNotNull() & F.try_cast(F.col(c), t).isNull(), F.lit(c))
+        F.when(F.col(c).isNotNull() & F.col(c).try_cast(t).isNull(), F.lit(c))
         for c, t in spec.items()]))
     tagged = df.withColumn("_failed", failed)
     ok = tagged.where(F.size("_failed") == 0).select(
-        *[F.try_cast(F.col(c), spec[c]).alias(c) if c in spec else F.col(c) for c in df.columns])
+        *[F.col(c).try_cast(spec[c]).alias(c) if c in spec else F.col(c) for c in df.columns])
     rejects = tagged.where(F.size("_failed") > 0).withColumnRenamed("_failed", "failed_columns")
     return ok, rejects
 

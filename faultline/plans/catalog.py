@@ -359,6 +359,202 @@ def q_recent_incidents(spark: SparkSession, sf: str) -> DataFrame:
     return memory.recent_incidents(upserted_store(spark, sf))
 
 
+# --- layered questions ----------------------------------------------------------------------
+
+from faultline.operators import drift, evaluate, reports  # noqa: E402
+from faultline.plans import rules  # noqa: E402
+
+
+def order_layers(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """orders through the three layers: text bronze, typed silver, gold fact."""
+    o = read(spark, sf, "orders")
+    bronze = o.select(F.col("o_orderkey").cast("string").alias("order_id"),
+                      F.col("o_custkey").cast("string").alias("customer_id"),
+                      F.date_format("o_orderdate", "yyyy-MM-dd").alias("order_date"),
+                      F.col("o_totalprice").cast(T.DecimalType(18, 2)).cast("string").alias("total_amount"))
+    silver = bronze.where(F.col("order_date").isNotNull()).select(
+        F.col("order_id").cast("bigint").alias("order_id"), F.col("customer_id").cast("bigint").alias("customer_id"),
+        F.col("order_date").cast("date").alias("order_date"),
+        F.col("total_amount").cast(T.DecimalType(18, 2)).alias("total_amount"))
+    gold = medallion.fct_sales(silver, customer_dim_input(spark, sf))
+    return {"bronze.orders": bronze, "silver.silver_orders": silver, "gold.fct_orders": gold}
+
+
+def missing_day_questions(spark: SparkSession, sf: str) -> DataFrame:
+    """A 'missing data' question for every calendar day without orders."""
+    gaps = drift.missing_partitions(read(spark, sf, "orders"), "o_orderdate")
+    lt = F.array(*[F.struct(F.lit(s).alias("schema"), F.lit(t).alias("table"), F.lit(None).cast("string").alias("layer"))
+                   for s, t in (("bronze", "orders"), ("silver", "silver_orders"), ("gold", "fct_orders"))])
+    q = gaps.select(F.concat(F.lit("Q-"), F.col("day").cast("string")).alias("incident_id"),
+                    F.lit("missing_data").alias("investigation_type"),
+                    F.col("day").cast("string").alias("date_value"))
+    q = incidents.question_priorities(q)
+    return q.select("incident_id", F.col("priorities").alias("check_priorities"), lt.alias("layer_tables"),
+                    F.lit("customer_id").alias("column"), F.lit("order_date").alias("date_column"), "date_value",
+                    F.lit("order_date").alias("timestamp_column"))
+
+
+def q_layer_checks(spark: SparkSession, sf: str) -> DataFrame:
+    ev = checks.layer_checks(missing_day_questions(spark, sf), order_layers(spark, sf))
+    return ev.select("incident_id", "context", "template", "column_name", "value")
+
+
+def q_origin_layer(spark: SparkSession, sf: str) -> DataFrame:
+    ev = checks.layer_checks(missing_day_questions(spark, sf), order_layers(spark, sf))
+    return checks.origin_layer(ev)
+
+
+def q_upstream_checks(spark: SparkSession, sf: str) -> DataFrame:
+    tables = {"bronze.orders": read(spark, sf, "orders"), "bronze.customer": read(spark, sf, "customer")}
+    ev = checks.upstream_checks([{"schema": "bronze", "table_name": "orders"},
+                                 {"schema": "bronze", "table_name": "customer"}], tables, "o_custkey")
+    return ev.select("context", "template", "column_name", "value", "error")
+
+
+# --- reports and evaluation ------------------------------------------------------------------
+
+LANG_SCENARIO = {"en": "null_join_key", "fr": "schema_drift", "de": "missing_partition", "es": "missing_partition"}
+LANG_CLASS = {"en": "data_quality", "fr": "schema_drift", "de": "silent_correctness", "es": "dependency"}
+
+
+def document_reports_input(spark: SparkSession, sf: str) -> DataFrame:
+    """documents as finished reports: the text is the root cause and the fix,
+    lines are the evidence chain; scenario and class follow the language."""
+    d = read(spark, sf, "documents")
+    scen = F.create_map(*[F.lit(x) for kv in LANG_SCENARIO.items() for x in kv])
+    cls = F.create_map(*[F.lit(x) for kv in LANG_CLASS.items() for x in kv])
+    return d.select("doc_id", scen[F.col("lang")].alias("scenario"), cls[F.col("lang")].alias("failure_class"),
+                    F.col("text").alias("root_cause"), F.array(F.col("source")).alias("evidence_chain"),
+                    F.struct(F.col("text").alias("immediate"), F.lit("").alias("preventive"),
+                             F.col("lang").alias("monitoring")).alias("fix"),
+                    F.array(F.col("source"), F.col("lang")).alias("prevention"))
+
+
+def q_score_reports(spark: SparkSession, sf: str) -> DataFrame:
+    s = evaluate.score_reports(document_reports_input(spark, sf), evaluate.expected_df(spark))
+    return s.select("doc_id", "scenario", *evaluate.CRITERIA, "total")
+
+
+def q_scorecard(spark: SparkSession, sf: str) -> DataFrame:
+    s = evaluate.score_reports(document_reports_input(spark, sf), evaluate.expected_df(spark))
+    return evaluate.scorecard(s, ["scenario"])
+
+
+def q_reports(spark: SparkSession, sf: str) -> DataFrame:
+    """Investigation reports for the task logs: signals -> class -> target ->
+    report fields (R1-R3) with capped confidence (C12, C13)."""
+    t = investigation_targets(spark, sf)
+    ev = checks.run_plan(checks.expand_checks(t), pipeline_tables(spark, sf)) \
+        .groupBy("incident_id").agg(F.count(F.lit(1)).alias("checks"), F.count_if(F.col("error").isNull()).alias("ok"))
+    r = t.join(ev, "incident_id", "left").withColumn("dbt_model", F.try_element_at("models", F.lit(1))) \
+        .withColumn("question", F.lit(None).cast("string"))
+    conf = incidents.cap_confidence(F.col("classification_confidence") + F.lit(0.4), F.lit(True),
+                                    F.coalesce(F.col("ok"), F.lit(0)) > 0)
+    r = reports.build_report(r.withColumn("confidence", conf).withColumn("severity", F.lit("error")))
+    return r.select("incident_id", F.col("report.failure_class").alias("failure_class"),
+                    F.col("report.what_failed").alias("what_failed"),
+                    F.col("report.how_it_failed").alias("how_it_failed"),
+                    F.col("report.where_failed.table").alias("table"),
+                    F.col("report.where_failed.column").alias("column"),
+                    F.round(F.col("report.confidence"), 4).alias("confidence"),
+                    incidents.confidence_band(F.col("report.confidence")).alias("band"))
+
+
+def responses_input(spark: SparkSession, sf: str) -> DataFrame:
+    """conversation turns as stored model responses: assistant turns arrive as
+    fenced JSON objects, system turns as prose around an object, user turns as
+    plain text (which must not parse)."""
+    c = read(spark, sf, "conversations")
+    obj = F.to_json(F.struct("conv_id", "turn", "role", F.length("text").alias("n_chars")))
+    text = F.when(F.col("role") == "assistant", F.concat(F.lit("```json\n"), obj, F.lit("\n```"))) \
+        .when(F.col("role") == "system", F.concat(F.lit("Result follows: "), obj, F.lit(" -- end"))) \
+        .otherwise(F.col("text"))
+    return c.select("conv_id", "turn", text.alias("response"))
+
+
+def q_parse_responses(spark: SparkSession, sf: str) -> DataFrame:
+    p = reports.parse_responses(responses_input(spark, sf), "response",
+                                "conv_id long, turn long, role string, n_chars int")
+    return p.select("conv_id", "turn", "parse_ok", F.col("parsed.role").alias("parsed_role"),
+                    F.col("parsed.n_chars").alias("parsed_chars"))
+
+
+def context_pieces_input(spark: SparkSession, sf: str) -> DataFrame:
+    """document lines as context pieces of one prompt per document, tokens =
+    whitespace words."""
+    from faultline.functions.text import word_count
+    lines = logs.split_log_lines(read(spark, sf, "documents"), ["doc_id"], "text")
+    return lines.select("doc_id", F.col("line_no").cast("int").alias("ordinal"),
+                        F.concat(F.lit("line_"), F.col("line_no").cast("string")).alias("label"),
+                        F.col("line").alias("text"), word_count(F.col("line")).alias("tokens"))
+
+
+def q_pack_context(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.pack_context(context_pieces_input(spark, sf), ["doc_id"],
+                                rules.NODE_BUDGETS["signal_extraction"])
+
+
+def usage_input(spark: SparkSession, sf: str) -> DataFrame:
+    """conversations as model usage: the n-th assistant turn is the n-th stage
+    of an investigation; its input is the preceding user turn."""
+    from faultline.functions.text import word_count
+    c = read(spark, sf, "conversations")
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    c = c.withColumn("prev_user", F.last(F.when(F.col("role") == "user", F.col("text")), ignorenulls=True)
+                     .over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    a = c.where(F.col("role") == "assistant").withColumn(
+        "stage_no", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")))
+    nodes = F.array(*[F.lit(n) for n in rules.NODE_BUDGETS])
+    return a.select("conv_id", F.try_element_at(nodes, F.col("stage_no")).alias("node"),
+                    word_count(F.col("prev_user")).alias("input_tokens"),
+                    word_count(F.col("text")).alias("output_tokens"))
+
+
+def q_usage_cost(spark: SparkSession, sf: str) -> DataFrame:
+    u = reports.usage_cost(usage_input(spark, sf), ["conv_id"])
+    return u.withColumn("cost_usd", F.round("cost_usd", 9))
+
+
+# --- described controls ----------------------------------------------------------------------
+
+
+def q_format_drift(spark: SparkSession, sf: str) -> DataFrame:
+    ev = read(spark, sf, "events")
+    cut = F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")
+    return drift.format_drift(ev.where(cut), ev.where(~cut), ["event_type"], "props")
+
+
+def q_rolling_deviation(spark: SparkSession, sf: str) -> DataFrame:
+    return drift.rolling_deviation(read(spark, sf, "events"), ["event_type"], "ts")
+
+
+def q_missing_partitions(spark: SparkSession, sf: str) -> DataFrame:
+    e = drift.missing_partitions(read(spark, sf, "events"), "ts").withColumn("table", F.lit("events"))
+    o = drift.missing_partitions(read(spark, sf, "orders"), "o_orderdate").withColumn("table", F.lit("orders"))
+    return e.unionByName(o)
+
+
+def q_orphans(spark: SparkSession, sf: str) -> DataFrame:
+    li, o = read(spark, sf, "lineitem"), read(spark, sf, "orders")
+    parts = [drift.orphans(li, "l_orderkey", o, "o_orderkey", "lineitem.l_orderkey->orders"),
+             drift.orphans(li, "l_partkey", read(spark, sf, "part"), "p_partkey", "lineitem.l_partkey->part"),
+             drift.orphans(li, "l_suppkey", read(spark, sf, "supplier"), "s_suppkey", "lineitem.l_suppkey->supplier"),
+             drift.orphans(o, "o_custkey", read(spark, sf, "customer"), "c_custkey", "orders.o_custkey->customer"),
+             drift.orphans(read(spark, sf, "labels"), "doc_id", read(spark, sf, "documents"), "doc_id",
+                           "labels.doc_id->documents")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def q_grain(spark: SparkSession, sf: str) -> DataFrame:
+    g1 = drift.grain_violations(read(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"], "lineitem")
+    g2 = drift.grain_violations(read(spark, sf, "lineitem"), ["l_orderkey"], "lineitem")
+    g3 = drift.grain_violations(read(spark, sf, "conversations"), ["conv_id", "turn"], "conversations")
+    return g1.unionByName(g2).unionByName(g3)
+
+
 REGISTRY = {
     "fct_sales": q_fct_sales,
     "silver_sales": q_silver_sales,
@@ -388,4 +584,18 @@ REGISTRY = {
     "similar_incidents": q_similar_incidents,
     "upsert_incidents": q_upsert_incidents,
     "recent_incidents": q_recent_incidents,
+    "layer_checks": q_layer_checks,
+    "origin_layer": q_origin_layer,
+    "upstream_checks": q_upstream_checks,
+    "score_reports": q_score_reports,
+    "scorecard": q_scorecard,
+    "reports": q_reports,
+    "parse_responses": q_parse_responses,
+    "pack_context": q_pack_context,
+    "usage_cost": q_usage_cost,
+    "format_drift": q_format_drift,
+    "rolling_deviation": q_rolling_deviation,
+    "missing_partitions": q_missing_partitions,
+    "orphans": q_orphans,
+    "grain": q_grain,
 }

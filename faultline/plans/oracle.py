@@ -354,3 +354,195 @@ SELECT incident_id, created_at, pipeline_name, failure_class, severity, substr(i
        confidence, validated
 FROM ({UPSERTED}) ORDER BY created_at DESC, incident_id LIMIT 20
 """
+
+# --- layered questions -------------------------------------------------------------------
+
+ORDER_GAPS = """
+SELECT d FROM (
+  SELECT CAST(unnest(generate_series((SELECT min(CAST(o_orderdate AS DATE)) FROM orders),
+                                     (SELECT max(CAST(o_orderdate AS DATE)) FROM orders),
+                                     INTERVAL 1 DAY)) AS DATE) AS d)
+WHERE d NOT IN (SELECT DISTINCT CAST(o_orderdate AS DATE) FROM orders)
+"""
+LAYER_EVIDENCE = f"""
+WITH gaps AS ({ORDER_GAPS}),
+bronze AS (SELECT strftime(o_orderdate, '%Y-%m-%d') AS order_date FROM orders),
+silver AS (SELECT CAST(o_orderdate AS DATE) AS order_date FROM orders),
+gold AS (SELECT CAST(o.o_orderdate AS DATE) AS order_date FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey
+         GROUP BY o.o_custkey, c.c_name, c.c_mktsegment, CAST(o.o_orderdate AS DATE)),
+stats AS (
+  SELECT 'bronze' AS layer, 1 AS ord, 'bronze:bronze.orders' AS context, COUNT(*) AS n,
+         MAX(order_date) AS fresh FROM bronze
+  UNION ALL SELECT 'silver', 2, 'silver:silver.silver_orders', COUNT(*), CAST(MAX(order_date) AS VARCHAR) FROM silver
+  UNION ALL SELECT 'gold', 3, 'gold:gold.fct_orders', COUNT(*), CAST(MAX(order_date) AS VARCHAR) FROM gold),
+part AS (
+  SELECT g.d, 'bronze' AS layer, (SELECT COUNT(*) FROM bronze b WHERE b.order_date = CAST(g.d AS VARCHAR)) AS n
+  FROM gaps g
+  UNION ALL SELECT g.d, 'silver', (SELECT COUNT(*) FROM silver s WHERE s.order_date = g.d) FROM gaps g
+  UNION ALL SELECT g.d, 'gold', (SELECT COUNT(*) FROM gold x WHERE x.order_date = g.d) FROM gaps g)
+SELECT 'Q-' || CAST(p.d AS VARCHAR) AS incident_id, s.layer, s.ord, s.context, 'partition_check' AS template,
+       'order_date' AS column_name, CAST(p.n AS VARCHAR) AS value
+FROM part p JOIN stats s ON p.layer = s.layer
+UNION ALL
+SELECT 'Q-' || CAST(g.d AS VARCHAR), s.layer, s.ord, s.context, 'row_count', NULL, CAST(s.n AS VARCHAR)
+FROM gaps g, stats s
+UNION ALL
+SELECT 'Q-' || CAST(g.d AS VARCHAR), s.layer, s.ord, s.context, 'freshness', 'order_date', s.fresh
+FROM gaps g, stats s
+"""
+ORACLE["layer_checks"] = f"SELECT incident_id, context, template, column_name, value FROM ({LAYER_EVIDENCE})"
+ORACLE["origin_layer"] = f"""
+WITH e AS (SELECT *, (template IN ('row_count', 'partition_check') AND value = '0')
+                     OR (template = 'freshness' AND value IS NULL) AS bad FROM ({LAYER_EVIDENCE}))
+SELECT incident_id, arg_min(layer, ord) FILTER (WHERE bad) AS origin_layer,
+       COUNT(*) FILTER (WHERE bad) AS failing_checks, COUNT(*) AS checks,
+       CASE arg_min(layer, ord) FILTER (WHERE bad) WHEN 'bronze' THEN 'ingestion'
+            WHEN 'silver' THEN 'transformation' WHEN 'gold' THEN 'aggregation/join' END AS origin_stage
+FROM e GROUP BY incident_id
+"""
+
+ORACLE["upstream_checks"] = """
+SELECT 'upstream:bronze.orders' AS context, 'row_count' AS template, NULL AS column_name,
+       CAST(COUNT(*) AS VARCHAR) AS value, NULL AS error FROM orders
+UNION ALL SELECT 'upstream:bronze.orders', 'null_check', 'o_custkey',
+       CAST(COUNT(*) FILTER (WHERE o_custkey IS NULL) AS VARCHAR), NULL FROM orders
+UNION ALL SELECT 'upstream:bronze.customer', 'row_count', NULL, CAST(COUNT(*) AS VARCHAR), NULL FROM customer
+UNION ALL SELECT 'upstream:bronze.customer', 'null_check', 'o_custkey', NULL, 'column "o_custkey" does not exist'
+"""
+
+# --- reports and evaluation ----------------------------------------------------------------
+
+from faultline.operators.evaluate import SCENARIOS as _SC  # noqa: E402
+
+
+def _list(xs):
+    return "[" + ", ".join(_q(x) for x in xs) + "]"
+
+
+_EXPECTED = " UNION ALL ".join(
+    f"SELECT '{n}' AS scenario, '{e['failure_class']}' AS expected_class, {_list(e['expected_tables'])} AS et, "
+    f"'{e['expected_column']}' AS ec, {_list(e['root_cause_keywords'])} AS rk, {_list(e['fix_should_mention'])} AS fk, "
+    f"{_list(e['prevention_should_mention'])} AS pk" for n, e in _SC.items())
+
+
+def _hits(text, lst):
+    return f"len(list_filter({lst}, lambda k: contains({text}, lower(k))))"
+
+
+SCORES = f"""
+WITH r AS (
+  SELECT doc_id, CASE lang WHEN 'en' THEN 'null_join_key' WHEN 'fr' THEN 'schema_drift'
+                           WHEN 'de' THEN 'missing_partition' WHEN 'es' THEN 'missing_partition' END AS scenario,
+         CASE lang WHEN 'en' THEN 'data_quality' WHEN 'fr' THEN 'schema_drift' WHEN 'de' THEN 'silent_correctness'
+                   WHEN 'es' THEN 'dependency' END AS failure_class,
+         lower(text) AS rc, lower(source) AS ev, lower(concat_ws(' ', text, '', lang)) AS fx,
+         lower(source || ' ' || lang) AS pv
+  FROM documents),
+x AS (SELECT r.*, e.*, concat_ws(' ', rc, ev, fx, pv) AS alltext, concat_ws(' ', fx, pv) AS pvt
+      FROM r JOIN ({_EXPECTED}) e ON r.scenario = e.scenario),
+s AS (
+  SELECT doc_id, x.scenario,
+    CASE WHEN failure_class = expected_class THEN 1.0
+         WHEN expected_class = 'silent_correctness' AND failure_class IN ('data_quality', 'dependency') THEN 0.5
+         ELSE 0.0 END AS classification,
+    CASE WHEN {_hits('alltext', 'et')} > 0 THEN 1.0 ELSE 0.0 END AS table_identified,
+    CASE WHEN contains(alltext, lower(ec)) THEN 1.0 ELSE 0.0 END AS column_identified,
+    CASE WHEN {_hits('rc', 'rk')} / len(rk) >= 0.4 THEN 1.0 WHEN {_hits('rc', 'rk')} / len(rk) >= 0.2 THEN 0.5
+         ELSE 0.0 END AS root_cause,
+    CASE WHEN {_hits('fx', 'fk')} >= 2 THEN 1.0 WHEN {_hits('fx', 'fk')} >= 1 THEN 0.5 ELSE 0.0 END AS fix_actionable,
+    CASE WHEN {_hits('pvt', 'pk')} >= 2 THEN 1.0 WHEN {_hits('pvt', 'pk')} >= 1 THEN 0.5 ELSE 0.0 END AS prevention
+  FROM x)
+SELECT *, classification + table_identified + column_identified + root_cause + fix_actionable + prevention AS total
+FROM s
+"""
+ORACLE["score_reports"] = SCORES
+ORACLE["scorecard"] = f"""
+SELECT scenario, COUNT(*) AS reports, AVG(total) AS overall,
+       CASE WHEN AVG(total) >= 5.0 THEN 'EXCELLENT' WHEN AVG(total) >= 4.0 THEN 'GOOD'
+            WHEN AVG(total) >= 3.0 THEN 'FAIR' ELSE 'NEEDS WORK' END AS verdict
+FROM ({SCORES}) GROUP BY scenario
+"""
+
+ORACLE["parse_responses"] = """
+SELECT conv_id, turn, role IN ('assistant', 'system') AS parse_ok,
+       CASE WHEN role IN ('assistant', 'system') THEN role END AS parsed_role,
+       CASE WHEN role IN ('assistant', 'system') THEN CAST(length(text) AS INTEGER) END AS parsed_chars
+FROM conversations
+"""
+
+_WORDS = "COALESCE(len(regexp_extract_all({x}, '[^ \\t\\n\\r\\f]+')), 0)"
+ORACLE["usage_cost"] = f"""
+WITH c AS (
+  SELECT *, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (
+              PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_user
+  FROM conversations),
+a AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS stage_no FROM c WHERE role = 'assistant'),
+u AS (SELECT conv_id, ['signal_extraction', 'classification', 'code_inspection', 'root_cause_reasoning',
+                       'fix_generation'][stage_no] AS node,
+             {_WORDS.format(x='prev_user')} AS input_tokens, {_WORDS.format(x='text')} AS output_tokens FROM a)
+SELECT conv_id, COUNT(*) AS calls, CAST(SUM(input_tokens) AS BIGINT) AS input_tokens,
+       CAST(SUM(output_tokens) AS BIGINT) AS output_tokens,
+       round(SUM(CASE WHEN node IN ('signal_extraction', 'classification')
+                      THEN input_tokens * 0.15 / 1000000 + output_tokens * 0.60 / 1000000
+                      ELSE input_tokens * 2.50 / 1000000 + output_tokens * 10.00 / 1000000 END), 9) AS cost_usd
+FROM u GROUP BY conv_id
+"""
+
+# --- described controls ----------------------------------------------------------------------
+
+_PAT = "regexp_replace(regexp_replace(props, '[0-9]', '9', 'g'), '[A-Za-z]', 'A', 'g')"
+ORACLE["format_drift"] = f"""
+WITH b AS (SELECT event_type, {_PAT} AS pattern, COUNT(*) AS n FROM events
+           WHERE ts < TIMESTAMP '2024-01-16' GROUP BY 1, 2),
+c AS (SELECT event_type, {_PAT} AS pattern, COUNT(*) AS n FROM events
+      WHERE ts >= TIMESTAMP '2024-01-16' GROUP BY 1, 2)
+SELECT COALESCE(b.event_type, c.event_type) AS event_type, COALESCE(b.pattern, c.pattern) AS pattern,
+       COALESCE(b.n, 0) AS baseline_rows, COALESCE(c.n, 0) AS current_rows,
+       b.n IS NULL AND c.n IS NOT NULL AS new_pattern
+FROM b FULL OUTER JOIN c ON b.event_type = c.event_type AND b.pattern = c.pattern
+"""
+
+ORACLE["rolling_deviation"] = """
+WITH d AS (SELECT event_type, CAST(ts AS DATE) AS day, COUNT(*) AS rows FROM events GROUP BY 1, 2),
+m AS (SELECT *, AVG(rows) OVER (PARTITION BY event_type ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)
+                AS trailing_mean FROM d)
+SELECT event_type, day, rows, trailing_mean, (rows - trailing_mean) / trailing_mean AS deviation,
+       COALESCE(abs((rows - trailing_mean) / trailing_mean) > 0.5, false) AS flagged
+FROM m
+"""
+
+
+def _gaps(table, col):
+    return f"""
+SELECT d AS day, '{table}' AS "table" FROM (
+  SELECT CAST(unnest(generate_series((SELECT min(CAST({col} AS DATE)) FROM {table}),
+                                     (SELECT max(CAST({col} AS DATE)) FROM {table}), INTERVAL 1 DAY)) AS DATE) AS d)
+WHERE d NOT IN (SELECT DISTINCT CAST({col} AS DATE) FROM {table} WHERE {col} IS NOT NULL)"""
+
+
+ORACLE["missing_partitions"] = _gaps("events", "ts") + " UNION ALL " + _gaps("orders", "o_orderdate")
+
+
+def _orphans(fact, fk, dim, pk, rel):
+    return (f"SELECT '{rel}' AS relation, COUNT(*) AS orphan_rows FROM {fact} f "
+            f"WHERE f.{fk} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {dim} d WHERE d.{pk} = f.{fk})")
+
+
+ORACLE["orphans"] = " UNION ALL ".join([
+    _orphans("lineitem", "l_orderkey", "orders", "o_orderkey", "lineitem.l_orderkey->orders"),
+    _orphans("lineitem", "l_partkey", "part", "p_partkey", "lineitem.l_partkey->part"),
+    _orphans("lineitem", "l_suppkey", "supplier", "s_suppkey", "lineitem.l_suppkey->supplier"),
+    _orphans("orders", "o_custkey", "customer", "c_custkey", "orders.o_custkey->customer"),
+    _orphans("labels", "doc_id", "documents", "doc_id", "labels.doc_id->documents")])
+
+
+def _grain(table, cols):
+    g = ", ".join(cols)
+    return (f"SELECT '{table}' AS \"table\", '{','.join(cols)}' AS grain, COUNT(*) AS violations, "
+            f"CAST(COALESCE(SUM(n), 0) AS BIGINT) AS rows_in_violation "
+            f"FROM (SELECT {g}, COUNT(*) AS n FROM {table} GROUP BY {g} HAVING COUNT(*) > 1)")
+
+
+ORACLE["grain"] = " UNION ALL ".join([_grain("lineitem", ["l_orderkey", "l_linenumber"]),
+                                      _grain("lineitem", ["l_orderkey"]),
+                                      _grain("conversations", ["conv_id", "turn"])])
