@@ -51,9 +51,10 @@ def contains_any(text: Column, needles: list[str]) -> Column:
     return cond
 
 
-def keyword_hits(text: Column, keywords: Column) -> Column:
-    """How many keywords (array<string>) occur in text, case-insensitively."""
-    low = F.lower(text)
+def keyword_hits(text: Column, keywords: Column, lowered: bool = False) -> Column:
+    """How many keywords (array<string>) occur in text, case-insensitively.
+    Pass ``lowered=True`` when ``text`` is already lower-case."""
+    low = text if lowered else F.lower(text)
     return F.coalesce(F.size(F.filter(keywords, lambda k: low.contains(F.lower(k))))
                       .cast("bigint"), F.lit(0).cast("bigint"))
 

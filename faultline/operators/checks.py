@@ -298,6 +298,10 @@ def run_plan(plan: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     for k in keys:
         if k not in plan.columns:
             plan = plan.withColumn(k, F.lit(None).cast("string"))
+    # The plan is read twice (distinct specs, then the join back); keep it so
+    # the upstream work (log parsing, classification) runs once. One row per
+    # incident and template, so it is small next to the tables checked.
+    plan = plan.persist()
     specs = plan.select(*keys).distinct().limit(MAX_SPECS + 1).collect()
     if len(specs) > MAX_SPECS:
         raise ValueError("check plan has more distinct specs than MAX_SPECS")
@@ -306,14 +310,18 @@ def run_plan(plan: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
         by_table.setdefault((r["schema"], r["table"]), []).append(r.asDict())
     spark = plan.sparkSession
     ev = None
+    missing = []
     for (schema, table), ss in by_table.items():
         name = f"{schema}.{table}"
-        if name in tables:
-            e = table_evidence(tables[name], ss, schema, table)
-        else:
-            e = spark.createDataFrame(
-                [(name, None, schema, table, s["template"], spec_column(s), None, 0, [],
-                  f'relation "{name}" does not exist', _spec_key(s)) for s in ss], EVIDENCE_SCHEMA)
+        if name not in tables:
+            missing += [(name, None, schema, table, s["template"], spec_column(s), None, 0, [],
+                         f'relation "{name}" does not exist', _spec_key(s)) for s in ss]
+            continue
+        e = table_evidence(tables[name], ss, schema, table)
+        ev = e if ev is None else ev.unionByName(e)
+    if missing:
+        # All unknown relations become error rows of one small local table.
+        e = spark.createDataFrame(missing, EVIDENCE_SCHEMA)
         ev = e if ev is None else ev.unionByName(e)
     if ev is None:
         return spark.createDataFrame([], EVIDENCE_SCHEMA).withColumn("incident_id", F.lit(None).cast("string"))

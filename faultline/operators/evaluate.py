@@ -65,24 +65,28 @@ def score_reports(reports: DataFrame, expected: DataFrame, on: str = "scenario")
                              F.coalesce(F.col("fix.preventive"), F.lit("")),
                              F.coalesce(F.col("fix.monitoring"), F.lit(""))))
     pv = F.lower(F.array_join(F.coalesce("prevention", F.array().cast("array<string>")), " "))
-    all_text = F.concat_ws(" ", rc, ev, fx, pv)
-    j = j.withColumn("_all", all_text).withColumn("_rc", rc).withColumn("_fx", fx) \
-        .withColumn("_pv", F.concat_ws(" ", fx, pv))
+    # Lower-case every text once, count each keyword list once.
+    j = j.withColumn("_rc", rc).withColumn("_fx", fx).withColumn("_pv0", pv).withColumn("_ev", ev)
+    j = j.withColumn("_all", F.concat_ws(" ", "_rc", "_ev", "_fx", "_pv0")) \
+        .withColumn("_pv", F.concat_ws(" ", "_fx", "_pv0"))
+    j = j.withColumn("_tbl_hits", keyword_hits(F.col("_all"), F.col("expected_tables"), lowered=True)) \
+        .withColumn("_rc_hits", keyword_hits(F.col("_rc"), F.col("root_cause_keywords"), lowered=True)) \
+        .withColumn("_fx_hits", keyword_hits(F.col("_fx"), F.col("fix_should_mention"), lowered=True)) \
+        .withColumn("_pv_hits", keyword_hits(F.col("_pv"), F.col("prevention_should_mention"), lowered=True))
     partial = None
     for exp_cls, actual in rules.PARTIAL_CLASS_CREDIT.items():
         c = (F.col("expected_class") == exp_cls) & F.col("failure_class").isin(actual)
         partial = c if partial is None else (partial | c)
     cls = F.when(F.col("failure_class") == F.col("expected_class"), 1.0).when(partial, 0.5).otherwise(0.0)
-    tbl = F.when(keyword_hits(F.col("_all"), F.col("expected_tables")) > 0, 1.0).otherwise(0.0)
+    tbl = F.when(F.col("_tbl_hits") > 0, 1.0).otherwise(0.0)
     col = F.when(F.coalesce(F.col("expected_column"), F.lit("")) == "", 1.0) \
         .when(F.col("_all").contains(F.lower(F.col("expected_column"))), 1.0).otherwise(0.0)
     n_rc = F.size(F.coalesce("root_cause_keywords", F.array().cast("array<string>")))
-    ratio = keyword_hits(F.col("_rc"), F.col("root_cause_keywords")) / F.greatest(n_rc, F.lit(1))
+    ratio = F.col("_rc_hits") / F.greatest(n_rc, F.lit(1))
     root = F.when(n_rc == 0, 1.0).when(ratio >= rules.ROOT_CAUSE_FULL, 1.0) \
         .when(ratio >= rules.ROOT_CAUSE_HALF, 0.5).otherwise(0.0)
-    fix = _hits_score(keyword_hits(F.col("_fx"), F.col("fix_should_mention")),
-                      F.size(F.coalesce("fix_should_mention", F.array().cast("array<string>"))))
-    prev = _hits_score(keyword_hits(F.col("_pv"), F.col("prevention_should_mention")),
+    fix = _hits_score(F.col("_fx_hits"), F.size(F.coalesce("fix_should_mention", F.array().cast("array<string>"))))
+    prev = _hits_score(F.col("_pv_hits"),
                        F.size(F.coalesce("prevention_should_mention", F.array().cast("array<string>"))))
     out = j.withColumn("classification", cls).withColumn("table_identified", tbl) \
         .withColumn("column_identified", col).withColumn("root_cause", root) \
