@@ -63,4 +63,31 @@ select doc_id, cast(size as bigint) as size, source_size, target,
 from c
 """
 
-ORACLE = {"op1_url_filter": OP1, "op4_warc": OP4, "op10_mixing": OP10}
+OP8 = rf"""
+with d as (select doc_id, coalesce(regexp_extract_all(text, '{WORDS}'), []) as w from documents),
+pos as (select doc_id, w, unnest(range(1, len(w) - 18)) as s from d where len(w) >= 20),
+win as (select doc_id, s, array_to_string(w[s:s + 19], ' ') as k from pos),
+again as (select doc_id, s from (select doc_id, s, row_number() over (partition by k order by doc_id, s) as rn from win) where rn > 1),
+gone as (select distinct doc_id, p from (select doc_id, unnest(range(s, s + 20)) as p from again)),
+word as (select doc_id, unnest(range(1, len(w) + 1)) as p, unnest(w) as word from d),
+kept as (select doc_id, count(g.p) as n_removed, string_agg(word, ' ' order by p) filter (g.p is null) as kept
+         from word left join gone g using (doc_id, p) group by doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_removed, 0) as bigint) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from d left join kept using (doc_id)
+"""
+
+OP9 = rf"""
+with recursive d as (select doc_id, coalesce(regexp_extract_all(translate(text, {AZ}), '{WORDS}'), []) as w from documents),
+sh as (select distinct doc_id, s from (
+  select doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                             when len(w) > 0 then ['<' || len(w) || '> ' || array_to_string(w, ' ')] else [] end) as s from d)),
+n as (select doc_id, count(*) as n from sh group by 1),
+pairs as (select a.doc_id as a, b.doc_id as b, count(*) as shared from sh a join sh b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+links as (select a, b from pairs join n x on x.doc_id = a join n y on y.doc_id = b where 100 * shared >= 80 * (x.n + y.n - shared)),
+both_ways as (select a, b from links union select b, a from links),
+reach(doc_id, other) as (select doc_id, doc_id from documents union select reach.doc_id, b from reach join both_ways on other = a)
+select d.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, c.component_id
+from d left join n using (doc_id) join (select doc_id, min(other) as component_id from reach group by 1) c using (doc_id)
+"""
+
+ORACLE = {"op1_url_filter": OP1, "op4_warc": OP4, "op8_substring_dedup": OP8, "op9_jaccard_join": OP9, "op10_mixing": OP10}
