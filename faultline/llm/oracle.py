@@ -63,6 +63,24 @@ select doc_id, cast(size as bigint) as size, source_size, target,
 from c
 """
 
+ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+OP3 = rf"""
+with b as (select item_id, coalesce(regexp_extract_all(translate(text, {AZ}), '{ALNUM}'), []) as w from benchmark),
+win as (select distinct item_id, least(len(w), 10) as size, unnest(list_transform(range(1, len(w) - least(len(w), 10) + 2), lambda i: array_to_string(w[i:i + least(len(w), 10) - 1], ' '))) as k
+        from b where len(w) > 0),
+d as (select doc_id, coalesce(regexp_extract_all(translate(text, {AZ}), '{ALNUM}'), []) as w from documents),
+runs as (select doc_id, size, s, array_to_string(w[s:s + size - 1], ' ') as k
+         from (select doc_id, w, size, unnest(range(1, len(w) - size + 2)) as s from d, (select distinct size from win) where len(w) >= size)),
+found as (select distinct doc_id, size, s, k from runs where k in (select k from win)),
+hit as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(s, s + size)) as p from found) group by doc_id),
+held as (select doc_id, count(*) as n_items, sha256(string_agg(item, ',' order by item)) as items_sha256
+         from (select distinct doc_id, cast(item_id as varchar) as item from found join win using (k)) group by doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
+       coalesce(items_sha256, sha256('')) as items_sha256, n_hit is not null as contaminated
+from d left join hit using (doc_id) left join held using (doc_id)
+"""
+
 OP8 = rf"""
 with d as (select doc_id, coalesce(regexp_extract_all(text, '{WORDS}'), []) as w from documents),
 pos as (select doc_id, w, unnest(range(1, len(w) - 18)) as s from d where len(w) >= 20),
@@ -90,4 +108,4 @@ select d.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, c.component_id
 from d left join n using (doc_id) join (select doc_id, min(other) as component_id from reach group by 1) c using (doc_id)
 """
 
-ORACLE = {"op1_url_filter": OP1, "op4_warc": OP4, "op8_substring_dedup": OP8, "op9_jaccard_join": OP9, "op10_mixing": OP10}
+ORACLE = {"op1_url_filter": OP1, "op3_decontamination": OP3, "op4_warc": OP4, "op8_substring_dedup": OP8, "op9_jaccard_join": OP9, "op10_mixing": OP10}
