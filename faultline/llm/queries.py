@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import decontaminate, jaccard_join, mixing, quality, substring_dedup, toxicity, url_filter, warc
+from faultline.llm import decontaminate, fingerprints, jaccard_join, mixing, quality, substring_dedup, toxicity, url_filter, warc
 from faultline.llm.storage import table
 
 # Fixed rules of the contract: (host, path, verdict).
@@ -27,6 +27,12 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "listed")
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fingerprints.compared(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_chars", "edited_sha256", fingerprints.digest(F.col("fingerprint")).alias("fingerprint"),
+                      fingerprints.digest(F.col("edited_fingerprint")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), keep_text=False)
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
@@ -61,4 +67,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.with_copies(docs).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op3_decontamination, op4_warc, op5_quality, op6_toxicity, op8_substring_dedup, op9_jaccard_join, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_fingerprints, op3_decontamination, op4_warc, op5_quality, op6_toxicity, op8_substring_dedup, op9_jaccard_join, op10_mixing)}
