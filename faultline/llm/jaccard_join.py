@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from faultline.llm import tokens
 from faultline.llm.bitmaps import bitmap_of, may_hold
 from faultline.llm.components import components
+from faultline.llm.packing import pack, unpack
 from faultline.llm.storage import written
 
 SHINGLE = 5
@@ -161,20 +162,6 @@ MEMBER = "sig long, node long, head long"
 MEMBER_ARROW = pa.schema([("sig", pa.int64()), ("node", pa.int64()), ("head", pa.int64())])
 
 
-def _pack(values: np.ndarray) -> bytes:
-    """Bytes of an array, its high bytes together, compressed."""
-    if not len(values):
-        return bytes(8)
-    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T
-    return len(values).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
-
-
-def _unpack(blob: bytes, kind) -> np.ndarray:
-    n, wide = int.from_bytes(blob[:8], "little"), np.dtype(kind).itemsize
-    raw = pa.decompress(blob[8:], decompressed_size=n * wide, codec="zstd", asbytes=True) if n else b""
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(wide, n).T).view(kind).reshape(n)
-
-
 def heads_of(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct (sig, node), and the least node of each row's group."""
     order = np.lexsort((node, sig))
@@ -204,11 +191,11 @@ def _signer(frequent, buckets: int):
             s = sig[i:j][lead]
             local, place = np.unique(places[i:j][lead], return_inverse=True)
             rows[0].append(b)
-            rows[1].append(_pack(np.diff(s, prepend=np.uint64(0))))
-            rows[2].append(_pack(names[local]))
-            rows[3].append(_pack(place.astype(np.uint32)))
+            rows[1].append(pack(np.diff(s, prepend=np.uint64(0))))
+            rows[2].append(pack(names[local]))
+            rows[3].append(pack(place.astype(np.uint32)))
             rest = ~lead
-            rows[4].append(_pack(np.concatenate([sig[i:j][rest], node[i:j][rest], head[i:j][rest]])))
+            rows[4].append(pack(np.concatenate([sig[i:j][rest], node[i:j][rest], head[i:j][rest]])))
             if len(rows[0]) == 64:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, BLOCK_ARROW)], schema=BLOCK_ARROW)
                 rows = [[], [], [], [], []]
@@ -241,9 +228,9 @@ def _meet(table: pa.Table) -> pa.Table:
     """One bucket's postings -> the members of each signature that several sets share."""
     sigs, nodes, links = [], [], []
     for s, names, places, link in zip(*(table.column(c).to_pylist() for c in ("sigs", "names", "places", "links"))):
-        sigs.append(np.cumsum(_unpack(s, np.uint64)))
-        nodes.append(_unpack(names, np.uint64)[_unpack(places, np.uint32)])
-        links.append(_unpack(link, np.uint64).reshape(3, -1))
+        sigs.append(np.cumsum(unpack(s, np.uint64)))
+        nodes.append(unpack(names, np.uint64)[unpack(places, np.uint32)])
+        links.append(unpack(link, np.uint64).reshape(3, -1))
     sig, node, head = heads_of(np.concatenate(sigs), np.concatenate(nodes))
     rest = node != head
     out = np.concatenate([np.stack([sig[rest], node[rest], head[rest]]), *links], axis=1).view(np.int64)

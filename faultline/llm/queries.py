@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import decontaminate, fingerprints, jaccard_join, mixing, quality, substring_dedup, toxicity, url_filter, warc
+from faultline.llm import decontaminate, fingerprints, jaccard_join, lattice_lm, mixing, quality, substring_dedup, toxicity, url_filter, warc
 from faultline.llm.storage import table
 
 # Fixed rules of the contract: (host, path, verdict).
@@ -52,6 +52,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.scored(table(spark, sf_dir, "documents"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -67,4 +71,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.with_copies(docs).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_fingerprints, op3_decontamination, op4_warc, op5_quality, op6_toxicity, op8_substring_dedup, op9_jaccard_join, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_fingerprints, op3_decontamination, op4_warc, op5_quality, op6_toxicity, op7_lattice_lm, op8_substring_dedup, op9_jaccard_join, op10_mixing)}
