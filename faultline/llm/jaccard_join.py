@@ -48,7 +48,7 @@ CUTS = 4
 #: A shingle is frequent if more than 1 / RARE of all shingles are copies of it: at most RARE shingles.
 RARE = 200_000
 SKETCH_BITS = 1024
-POSTINGS = 2_000_000
+POSTINGS = 1_000_000
 
 KEYS = "kind int, doc_id long, n long, key long"
 KEYS_ARROW = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.int64())])
@@ -86,8 +86,8 @@ def sets_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _keys_and_frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document (kind 0), and counts of shingles that are frequent among some 8 MB of text (kind 1)."""
-    for part in tokens.gathered(batches, "text"):
+    """A row for each document (kind 0), and counts of shingles that are frequent among some 4 MB of text (kind 1)."""
+    for part in tokens.gathered(batches, "text", 4 << 20):
         flat, first = sets_of(part)
         n = np.diff(first)
         keys = set_keys(flat, first)
@@ -277,34 +277,47 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets link; sizes are compared before sets are sent."""
-    sizes = sets.select("key", "n")
-    pairs = (pairs.join(sizes.select(F.col("key").alias("a"), F.col("n").alias("n_a")), "a")
-             .join(sizes.select(F.col("key").alias("b"), F.col("n").alias("n_b")), "b")
-             .where((DEN * F.least("n_a", "n_b") >= NUM * F.greatest("n_a", "n_b"))).select("a", "b"))
+def _may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n_a, n_b = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
+        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(len(n_a), -1) for c in ("sketch_a", "sketch_b"))
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(near_enough(x, y, n_a, n_b)))
+
+
+def near_enough(x: np.ndarray, y: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """Which sketches don't rule a link out: linked sets differ in at most (1 - g) / (1 + g) of their sizes' sum."""
+    apart = np.bitwise_count(x ^ y).sum(axis=1).astype(np.int64)
+    return (DEN * np.minimum(n_a, n_b) >= NUM * np.maximum(n_a, n_b)) & ((DEN + NUM) * apart <= (DEN - NUM) * (n_a + n_b))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, sketched: bool = False) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets link; sizes and sketches are compared before sets are sent."""
+    if not sketched:
+        small = sets.select("key", "n", "sketch")
+        for side in ("a", "b"):
+            pairs = pairs.join(small.select(F.col("key").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}")), side)
+        pairs = pairs.mapInArrow(_may_link, "a long, b long")
     with_a = pairs.join(sets.select(F.col("key").alias("a"), F.col("items").alias("items_a")), "a")
     return with_a.join(sets.select(F.col("key").alias("b"), F.col("items").alias("items_b")), "b").mapInArrow(_verify, "a long, b long")
 
 
 def _open_pairs(table: pa.Table) -> pa.Table:
-    """Pairs of nodes of one signature's bucket that are in different components and may link."""
-    sig, node, comp = (table.column(c).to_numpy().view(np.uint64) for c in ("sig", "node", "comp"))
+    """Pairs of nodes of one signature's bucket that are in different components and may link; pairs with a node's head have been compared."""
+    sig, node, head, comp = (table.column(c).to_numpy() for c in ("sig", "node", "head", "comp"))
     n = table.column("n").to_numpy()
     sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(sig), -1)
     order = np.argsort(sig, kind="stable")
     edges = np.flatnonzero(np.concatenate([[True], sig[order][1:] != sig[order][:-1], [True]]))
-    found = [np.empty((2, 0), np.uint64)]
+    found = [np.empty((2, 0), np.int64)]
     for i, j in zip(edges[:-1], edges[1:]):
         own = order[i:j]
         for x in range(len(own) - 1):
             p, rest = own[x], own[x + 1:]
-            rest = rest[(comp[rest] != comp[p]) & (DEN * np.minimum(n[rest], n[p]) >= NUM * np.maximum(n[rest], n[p]))]
+            rest = rest[(comp[rest] != comp[p]) & (head[rest] != node[p]) & (node[rest] != head[p])]
+            rest = rest[near_enough(sketch[rest], sketch[p], n[rest], n[p])]
             if len(rest):
-                apart = np.bitwise_count(sketch[rest] ^ sketch[p]).sum(axis=1)
-                rest = rest[(DEN + NUM) * apart.astype(np.int64) <= (DEN - NUM) * (n[rest] + n[p])]
-                found.append(np.stack([np.minimum(node[rest].view(np.int64), node[p].view(np.int64)), np.maximum(node[rest].view(np.int64), node[p].view(np.int64))]).view(np.uint64))
-    pairs = np.unique(np.concatenate(found, axis=1), axis=1).view(np.int64)
+                found.append(np.stack([np.minimum(node[rest], node[p]), np.maximum(node[rest], node[p])]))
+    pairs = np.unique(np.concatenate(found, axis=1), axis=1)
     return pa.table({"a": pairs[0], "b": pairs[1]})
 
 
@@ -334,13 +347,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     roots = components(links)
     marked = _with_root(_with_root(members, roots, "node", "comp"), roots, "head", "head_comp")
     marked = written(marked, "marked-signatures")
-    open_sigs = marked.where("comp <> head_comp").select("sig").distinct()
+    # a signature of one pair has been decided; one of more members is open if they aren't all connected
+    open_sigs = (marked.groupBy("sig").agg(F.max((F.col("comp") != F.col("head_comp")).cast("int")).alias("apart"), F.min("node").alias("x"), F.max("node").alias("y"))
+                 .where("apart = 1 and x <> y").select("sig"))
     left = marked.join(open_sigs, "sig", "left_semi")
-    left = left.select("sig", "node", "comp").union(left.select("sig", "head", "head_comp")).distinct()
+    left = left.select("sig", "node", "head", "comp").union(left.select("sig", "head", "head", "head_comp")).distinct()
     left = left.join(sets.select(F.col("key").alias("node"), "n", "sketch"), "node").withColumn("bucket", F.pmod("sig", F.lit(buckets)))
     more = written(left.groupBy("bucket").applyInArrow(_open_pairs, "a long, b long").distinct()
                    .join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "open-pairs")
-    extra = written(verified(more, sets), "open-links")
+    extra = written(verified(more, sets, sketched=True), "open-links")
     if extra.isEmpty():
         final = roots
     else:
