@@ -6,7 +6,7 @@ hash in it; consecutive windows that share one travel as one packed string
 hashes are sorted and equal ones compared word by word. Every window but the
 first (smallest doc_id, then earliest start) covers words to remove.
 
-Copies inside some 8 MB of text are found before the shuffle, which carries a
+Copies inside some 3 MB of text are found before the shuffle, which carries a
 window once for each such piece, so a passage that a third of the documents
 share does not pile up in its bucket. A bitmap of the documents with a
 repeated window (bounded size) decides which texts meet their intervals in a
@@ -36,6 +36,7 @@ from faultline.llm.storage import written
 
 WINDOW = 20
 MINIMISER = 3
+PIECE = 3 << 20
 NO_ID = np.iinfo(np.int64).min
 
 PACKED = "bucket int, texts binary, heads binary, doc long, row long, start int, stop int"
@@ -75,10 +76,10 @@ def joined_words(words: tokens.Words) -> tuple[bytes, np.ndarray, np.ndarray]:
     lengths = words.ends - words.starts
     starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]]) if len(lengths) else np.empty(0, np.int64)
     out = np.full(int(lengths.sum() + len(lengths)), 0x20, np.uint8)
-    inside = np.zeros(len(words.data) + 1, np.int32)
-    np.add.at(inside, words.starts, 1)
-    np.add.at(inside, words.ends, -1)
-    mask = np.cumsum(inside[:-1]) > 0
+    inside = np.zeros(len(words.data) + 1, np.int8)
+    inside[words.starts] += 1
+    inside[words.ends] -= 1
+    mask = np.cumsum(inside[:-1], dtype=np.int8).view(bool)
     target = np.ones(len(out), bool)
     target[starts + lengths] = False
     out[target] = words.data[mask]
@@ -142,7 +143,7 @@ def _bytes_equal(text: bytes, begin: np.ndarray, end: np.ndarray):
 
 def _packer(buckets: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in tokens.gathered(batches, "text"):
+        for part in tokens.gathered(batches, "text", PIECE):
             words = tokens.hashed_words(part.column("text"))
             at = window_starts(words.first)
             if not len(at):
