@@ -1,5 +1,62 @@
-"""placeholder"""
-STAGES=[]
-ORACLE_SQL=None
-def run(spark, sf_dir):
-    raise NotImplementedError
+"""A corpus pipeline of five stages over the documents table.
+
+Each stage reads what its predecessor kept and returns the documents' columns
+(the last adds its copies' number); ``run`` writes every stage's rows as
+Parquet into the cluster's shared folder and reads them back for the next.
+Texts that a stage has no reason to change pass through unchanged.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from faultline.llm import decontaminate, jaccard_join, mixing, substring_dedup, toxicity
+from faultline.llm.storage import table, written
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose deobfuscated text scores below 0.5."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, docs.columns).where("score < 0.5").drop("score")
+
+
+def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of least id of each group of near copies; documents without words are all kept, and so are rows without an id."""
+    groups = jaccard_join.near_duplicates(docs.select("doc_id", "text"))
+    later = groups.where("n_shingles > 0 and doc_id > component_id").select("doc_id").distinct()
+    return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
+
+
+def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the words of repeated windows; one that has no word left goes, one without repeats keeps its text."""
+    out = substring_dedup.remove_repeats(docs)
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    out = out.where("n_removed = 0 or n_removed < n_words").withColumn("text", text)
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of a benchmark item."""
+    out = decontaminate.judge(docs, table(spark, sf_dir, "benchmark"))
+    return out.where("not contaminated").select(*docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: a row for each copy of a document."""
+    return mixing.mix(docs)
+
+
+STAGES = [("toxicity", without_toxic), ("near copies", one_of_near_copies), ("repeated passages", without_repeated_passages),
+          ("benchmark", without_benchmark), ("mixing", mixed)]
+
+#: The first stage is a fitted model, which SQL cannot express.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = written(stage(spark, docs, sf_dir), f"stage-{k}")
+    return docs
