@@ -246,7 +246,7 @@ def parity_sketch(items: np.ndarray) -> bytes:
     return np.packbits(np.bincount((items >> np.uint64(20)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS) & 1).tobytes()
 
 
-def _set_writer(wanted):
+def _set_writer(wanted, with_items: bool):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = wanted.value
         for part in tokens.gathered(batches, "text", 2 << 20):
@@ -258,11 +258,23 @@ def _set_writer(wanted):
             flat, first = sets_of(part)
             keys = set_keys(flat, first).view(np.int64)
             own = [flat[first[t]: first[t + 1]] for t in range(part.num_rows)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.diff(first).astype(np.int64)), pa.array([x.tobytes() for x in own], pa.binary()),
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.diff(first).astype(np.int64)), pa.array([x.tobytes() if with_items else None for x in own], pa.binary()),
                                               pa.array([parity_sketch(x) for x in own], pa.binary())], schema=SET_ARROW)
     return write
 
 
+def sets_of_nodes(texts: DataFrame, keys: DataFrame, nodes: DataFrame, with_items: bool, name: str) -> DataFrame:
+    """A row (key, n, items, sketch) for each of the nodes, from one document of each; items are null unless asked for."""
+    chosen = written(keys.join(nodes, "key").groupBy("key").agg(F.min("doc_id").alias("doc_id")), f"{name}-documents")
+    wanted = texts.sparkSession.sparkContext.broadcast(bitmap_of(chosen, "doc_id"))
+    found = texts.mapInArrow(_set_writer(wanted, with_items), SET)
+    return written(found.join(chosen.select("key"), "key", "left_semi").dropDuplicates(["key"]), name)
+
+
+def ends_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+
+
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
     both = np.concatenate([a, b])
     both.sort()
@@ -290,13 +302,16 @@ def near_enough(x: np.ndarray, y: np.ndarray, n_a: np.ndarray, n_b: np.ndarray)
     return (DEN * np.minimum(n_a, n_b) >= NUM * np.maximum(n_a, n_b)) & ((DEN + NUM) * apart <= (DEN - NUM) * (n_a + n_b))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, sketched: bool = False) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets link; sizes and sketches are compared before sets are sent."""
-    if not sketched:
-        small = sets.select("key", "n", "sketch")
-        for side in ("a", "b"):
-            pairs = pairs.join(small.select(F.col("key").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}")), side)
-        pairs = pairs.mapInArrow(_may_link, "a long, b long")
+def not_ruled_out(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sizes and sketches allow a link."""
+    small = sketches.select("key", "n", "sketch")
+    for side in ("a", "b"):
+        pairs = pairs.join(small.select(F.col("key").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}")), side)
+    return pairs.mapInArrow(_may_link, "a long, b long")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets link."""
     with_a = pairs.join(sets.select(F.col("key").alias("a"), F.col("items").alias("items_a")), "a")
     return with_a.join(sets.select(F.col("key").alias("b"), F.col("items").alias("items_b")), "b").mapInArrow(_verify, "a long, b long")
 
@@ -324,7 +339,7 @@ def _open_pairs(table: pa.Table) -> pa.Table:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, key (the set's hash), component_id of every document."""
     spark = docs.sparkSession
-    buckets = 4 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     rows = written(texts.mapInArrow(_keys_and_frequent, KEYS), "set-keys")
@@ -335,15 +350,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = written(blocks.groupBy("bucket").applyInArrow(_meet, MEMBER), "shared-signatures")
     pairs = written(members.select(F.col("node").alias("a"), F.col("head").alias("b")).distinct(), "candidates")
 
-    # a document for each set that is a candidate, and those documents' sets
-    nodes = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    chosen = written(keys.join(nodes, "key").groupBy("key").agg(F.min("doc_id").alias("doc_id")), "candidate-documents")
-    wanted = spark.sparkContext.broadcast(bitmap_of(chosen, "doc_id"))
-    found = texts.mapInArrow(_set_writer(wanted), SET)
-    found = found.join(chosen.select("key"), "key", "left_semi").dropDuplicates(["key"])
-    sets = written(found, "sets")
-
-    links = written(verified(pairs, sets), "links")
+    # sketches of all candidates, whole sets only of those that the sketches leave
+    sketches = sets_of_nodes(texts, keys, ends_of(pairs), False, "sketches")
+    close = written(not_ruled_out(pairs, sketches), "close-pairs")
+    links = written(verified(close, sets_of_nodes(texts, keys, ends_of(close), True, "sets")), "links")
     roots = components(links)
     marked = _with_root(_with_root(members, roots, "node", "comp"), roots, "head", "head_comp")
     marked = written(marked, "marked-signatures")
@@ -352,13 +362,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                  .where("apart = 1 and x <> y").select("sig"))
     left = marked.join(open_sigs, "sig", "left_semi")
     left = left.select("sig", "node", "head", "comp").union(left.select("sig", "head", "head", "head_comp")).distinct()
-    left = left.join(sets.select(F.col("key").alias("node"), "n", "sketch"), "node").withColumn("bucket", F.pmod("sig", F.lit(buckets)))
+    left = left.join(sketches.select(F.col("key").alias("node"), "n", "sketch"), "node").withColumn("bucket", F.pmod("sig", F.lit(buckets)))
     more = written(left.groupBy("bucket").applyInArrow(_open_pairs, "a long, b long").distinct()
                    .join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "open-pairs")
-    extra = written(verified(more, sets, sketched=True), "open-links")
-    if extra.isEmpty():
-        final = roots
-    else:
+    final = roots
+    if not more.isEmpty():
+        extra = written(verified(more, sets_of_nodes(texts, keys, ends_of(more), True, "open-sets")), "open-links")
         final = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(extra))
 
     rooted = _with_root(keys, final, "key", "root")
