@@ -145,7 +145,7 @@ def hashed_words(column: pa.Array, lower: bool = False, breaks: np.ndarray = SPA
     return words
 
 
-def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Row ranges of a batch with about ``most_bytes`` of text each (one row at least)."""
     lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), np.int64)
     at = 0
@@ -156,20 +156,19 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 8 << 20) -> Ite
         at = to
 
 
-def gathered(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """The rows dealt anew into batches of about ``most_bytes`` of text."""
+def gathered(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows dealt anew into batches of at most ``most_bytes`` of text (one row at least)."""
     kept, size = [], 0
     for batch in batches:
         for part in slices(batch, column, most_bytes):
-            kept.append(part)
-            size += pc.sum(pc.binary_length(part.column(column))).as_py() or 0
-            if size >= most_bytes:
+            own = pc.sum(pc.binary_length(part.column(column))).as_py() or 0
+            if kept and size + own > most_bytes:
                 yield pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
                 kept, size = [], 0
-    if kept:
-        table = pa.Table.from_batches(kept).combine_chunks()
-        if table.num_rows:
-            yield table.to_batches()[0]
+            kept.append(part)
+            size += own
+    if sum(part.num_rows for part in kept):
+        yield pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
 
 
 def set_hashes(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
