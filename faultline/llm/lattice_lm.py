@@ -13,7 +13,7 @@ one for the rest, and a text's probability is the sum over these parts: the
 text's own value of the column is not looked at.
 
 Beside it stands a word model with additive smoothing. All counts are exact
-over all training documents: a piece of some 8 MB of text sends each of its
+over all training documents: a piece of some 4 MB of text sends each of its
 distinct words once, with its counts there, to the word's bucket, and gets the
 word's totals back; so a word that a third of all tokens are costs no more
 than any other.
@@ -44,6 +44,7 @@ SPACE = "▁".encode()
 PRIOR = 1_000.0
 FIXED = 1 << 10
 MOST_WORDS = 30_000
+SLOT_BITS = 20
 
 
 def vocabulary(path: str = VOCABULARY) -> tuple[list[bytes], np.ndarray]:
@@ -81,26 +82,30 @@ class Lattice:
         for i, piece in enumerate(pieces):
             hashes[i] = sum(values[b] * pow(self.odd, k, 1 << 64) for k, b in enumerate(piece)) % (1 << 64)
         self.hashes = hashes
-        # tables by ever other bits of the hash, until each piece has a slot
-        self.tables, left = [], np.arange(len(pieces))
-        while len(left):
-            multiplier = np.uint64((0x9E3779B97F4A7C15 * (2 * len(self.tables) + 1)) % (1 << 64) | 1)
-            bits = 20 if not self.tables else 14
-            table = np.full(1 << bits, -1, np.int32)
-            slot = (hashes[left] * multiplier >> np.uint64(64 - bits)).astype(np.int64)
-            table[slot] = left
-            self.tables.append((multiplier, np.uint64(64 - bits), table))
-            left = left[table[slot] != left]
+        # a slot by the hash's high bits, and from each piece the next one of its slot
+        slot = self._slot(hashes)
+        self.table, self.after = np.full(1 << SLOT_BITS, -1, np.int32), np.full(len(pieces) + 1, -1, np.int32)
+        for i, k in enumerate(slot.tolist()):
+            self.after[i], self.table[k] = self.table[k], i
+
+    @staticmethod
+    def _slot(h: np.ndarray) -> np.ndarray:
+        return (h * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOT_BITS)).view(np.int64)
 
     def pieces_of(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index into h, piece) of the hashes that are pieces."""
+        piece = self.table[self._slot(h)]
+        at = np.flatnonzero(piece >= 0)
+        piece = piece[at]
         rows, found = [], []
-        for multiplier, shift, table in self.tables:
-            piece = table[(h * multiplier >> shift).astype(np.int64)]
-            at = np.flatnonzero((self.hashes[piece] == h) & (piece >= 0))
-            rows.append(at)
-            found.append(piece[at])
-        return np.concatenate(rows), np.concatenate(found)
+        while len(at):
+            hit = self.hashes[piece] == h[at]
+            rows.append(at[hit])
+            found.append(piece[hit])
+            piece = self.after[piece]
+            more = piece >= 0
+            at, piece = at[more], piece[more]
+        return np.concatenate(rows or [at]), np.concatenate(found or [piece])
 
     def arcs(self, letters: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
         """(from, to, words, pieces) of words of one length, a row each; by their ends."""
@@ -111,6 +116,8 @@ class Lattice:
         out = []
         for end in range(1, size + 1):
             for begin in range(max(0, end - self.longest), end):
+                if 0 < begin < len(SPACE) and end > begin + 1:
+                    continue  # inside the space mark only single bytes are pieces
                 rows, piece = self.pieces_of((sums[end] - sums[begin]) * inverse[begin])
                 if len(rows):
                     out.append((begin, end, rows, piece))
@@ -176,16 +183,38 @@ class Lattice:
         return total
 
 
+class Known:
+    """Words met in a task, sorted by hash, with a value each; forgotten when there are more than ``most``."""
+
+    def __init__(self, most: int = 1_000_000):
+        self.most = most
+        self.hashes, self.values = np.empty(0, np.uint64), np.empty(0)
+
+    def places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, whether it holds the hash) for each of the hashes."""
+        at = np.searchsorted(self.hashes, hashes)
+        at[at == len(self.hashes)] = 0
+        return at, self.hashes[at] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
+
+    def add(self, hashes: np.ndarray, values: np.ndarray) -> None:
+        if len(self.hashes) + len(hashes) > self.most:
+            self.hashes, self.values = np.empty(0, np.uint64), np.empty(0)
+        at = np.searchsorted(self.hashes, hashes)
+        self.hashes, self.values = np.insert(self.hashes, at, hashes), np.insert(self.values, at, values)
+
+
 def _expectation(sent):
-    """Rows (piece, n): expected uses of each piece in the distinct words of training texts, in 1 / FIXED."""
+    """Rows (piece, n): expected uses of each piece in the distinct words of a task's training texts, in 1 / FIXED."""
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(*sent.value)
-        total = np.zeros(len(lattice.logs))
+        total, known = np.zeros(len(lattice.logs)), Known()
         for part in tokens.gathered(batches, "text"):
             words = tokens.hashed_words(part.column("text"), lower=True)
             # word arcs hold how often words are; the pieces learn from each distinct word once
-            _, chosen = np.unique(words.hashes, return_index=True)
-            lattice.log_probabilities(words, chosen, np.ones(len(chosen)), total)
+            hashes, chosen = np.unique(words.hashes, return_index=True)
+            new = ~known.places(hashes)[1]
+            lattice.log_probabilities(words, chosen[new], np.ones(int(new.sum())), total)
+            known.add(hashes[new], np.zeros(int(new.sum())))
         used = np.rint(total * FIXED).astype(np.int64)
         held = np.flatnonzero(used)
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(used[held])], names=["piece", "n"])
@@ -212,16 +241,20 @@ NO_ID = np.iinfo(np.int64).min
 
 
 def _blocks(sent, buckets: int, parts: int):
-    """For each piece of some 8 MB of text: its documents (bucket -1), and its distinct words by bucket."""
+    """For each piece of some 4 MB of text: its documents (bucket -1), and its distinct words by bucket."""
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(*sent.value)
+        lattice, known = Lattice(*sent.value), Known()
         for rows in tokens.gathered(batches, "text"):
             words = tokens.hashed_words(rows.column("text"), lower=True)
             n = np.diff(words.first)
             held = rows.column("held").to_numpy(zero_copy_only=False)
             part = rows.column("part").to_numpy()
             hashes, chosen, place = np.unique(words.hashes, return_index=True, return_inverse=True)
-            logs = lattice.log_probabilities(words, chosen)
+            at, have = known.places(hashes)
+            logs = np.empty(len(hashes))
+            logs[have] = known.values[at[have]]
+            logs[~have] = lattice.log_probabilities(words, chosen[~have])
+            known.add(hashes[~have], logs[~have])
             text = words.text_of
             counts = np.bincount(place * parts + part[text], ~held[text], len(hashes) * parts).astype(np.int64).reshape(-1, parts)
             keys, uses = np.unique(text * max(1, len(hashes)) + place, return_counts=True)
@@ -297,7 +330,7 @@ def _scored(words: np.ndarray, once: np.ndarray, ends: np.ndarray, distinct: int
     return merge
 
 
-def scored(docs: DataFrame, path: str = VOCABULARY, folds: int = 10, rounds: int = 2, column: str = "lang", parts: int = 8) -> DataFrame:
+def scored(docs: DataFrame, path: str = VOCABULARY, folds: int = 10, rounds: int = 1, column: str = "lang", parts: int = 8) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs``."""
     buckets = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     value = F.col(column).cast("string") if column in docs.columns else F.lit(None).cast("string")
