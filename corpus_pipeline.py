@@ -18,7 +18,7 @@ from faultline.llm.storage import table, written
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose deobfuscated text scores below 0.5."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, docs.columns).where("score < 0.5").drop("score")
+    return toxicity.score(docs, model, docs.columns, "_toxicity").where("_toxicity < 0.5").drop("_toxicity")
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

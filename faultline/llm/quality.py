@@ -155,7 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int
 def _scorer(sent):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in tokens.slices(batch, "text"):
+            for part in tokens.slices(batch, "text", 2 << 20):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sent.value.scores(part.column("text")), pa.float64())], names=["doc_id", "score"])
     return score
 

@@ -59,7 +59,7 @@ EDGES = re.compile(r"^([!|(+$@])\1+|([!|(+$@])\2+$|!$")
 def trigram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(CLASSES ** 3, np.int64)
     for batch in batches:
-        for part in tokens.slices(batch, "text"):
+        for part in tokens.slices(batch, "text", 1 << 20):
             data, offsets = tokens.text_bytes(part.column("text"))
             if not len(data):
                 continue
@@ -302,22 +302,22 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
     return Model(characters.astype(np.float32), ratio, weight)
 
 
-def _scorer(sent, columns: list[str]):
+def _scorer(sent, columns: list[str], name: str):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         decoder = Decoder(model.characters)
         for batch in batches:
-            for part in tokens.slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(model.scores(part.column("text"), decoder), pa.float64())], names=[*columns, "score"])
+            for part in tokens.slices(batch, "text", 2 << 20):
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(model.scores(part.column("text"), decoder), pa.float64())], names=[*columns, name])
     return score
 
 
-def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of every row of ``docs``, and its score."""
+def score(docs: DataFrame, model: Model, keep: list[str], name: str = "score") -> DataFrame:
+    """The columns ``keep`` of every row of ``docs``, and its score as ``name`` (which isn't one of them)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*dict.fromkeys([*keep, "text"]))
-    schema = docs.select(*keep).schema.add("score", "double")
-    return rows.mapInArrow(_scorer(sent, keep), schema)
+    schema = docs.select(*keep).schema.add(name, "double")
+    return rows.mapInArrow(_scorer(sent, keep, name), schema)
 
 
 def judged(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, folds: int = 5, max_train: int = 20_000) -> DataFrame:
