@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# A JSON object with at most one level of nested objects (first match).
+# A JSON object with at most one level of nested objects (first match). The
+# quantifiers are possessive: the matcher neither backtracks nor recurses.
 _WS = " \t\n\r\u000b\u000c"
-BALANCED_OBJECT = "\\{[^{}]*(?:\\{[^{}]*\\}[^{}]*)*\\}"
+BALANCED_OBJECT = "\\{[^{}]*+(?:\\{[^{}]*+\\}[^{}]*+)*+\\}"
 
 
 def strip_fences(text: Column) -> Column:

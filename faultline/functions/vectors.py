@@ -6,11 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")),
-                       F.lit(0.0).cast("double"), lambda acc, v: acc + v)
-
-
 def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0).cast("double"),
                               lambda acc, x: acc + x.cast("double") * x.cast("double")))
@@ -21,7 +16,3 @@ def normalize(a: Column) -> Column:
     n = norm(a)
     return F.when(a.isNull() | (n == 0), F.lit(None)) \
         .otherwise(F.transform(a, lambda x: x.cast("double") / n))
-
-
-def cosine_similarity(a: Column, b: Column) -> Column:
-    return dot(a, b) / (norm(a) * norm(b))

@@ -4,8 +4,10 @@ Design: the reference runs one SQL statement per check. Here every scalar
 check on one table (null counts, row count, partition rows, freshness) is
 fused into a single aggregation pass, and the grouped checks on one key
 (duplicate top-k and duplicate total) share one grouped DataFrame. A check
-plan is a DataFrame of specs; only its *distinct specs* (bounded by tables x
-templates x columns, not by data) reach the driver to build the jobs.
+plan is a DataFrame of specs. Relations, columns and date values that don't
+exist become error rows in DataFrames; only distinct checks of registered
+tables and their own columns reach the driver to build the jobs, and the dates
+that partition checks ask for never do.
 """
 
 from __future__ import annotations
@@ -30,8 +32,7 @@ EVIDENCE_SCHEMA = T.StructType([
     T.StructField("spec_key", T.StringType()),
 ])
 
-SCALAR = {"null_check", "row_count", "partition_check", "freshness", "duplicate_total"}
-MAX_SPECS = 100_000
+SCALAR = {"null_check", "row_count", "freshness", "duplicate_total"}
 
 
 # --- single checks as DataFrames (A2-A8, P6, Q6) ------------------------------------
@@ -112,8 +113,6 @@ def _scalar_expr(spec: dict) -> Column:
         return F.count_if(F.col(spec["column"]).isNull()).cast("string")
     if t == "row_count":
         return F.count(F.lit(1)).cast("string")
-    if t == "partition_check":
-        return F.count_if(F.col(spec["date_column"]) == F.lit(spec["date_value"])).cast("string")
     if t == "freshness":
         return F.max(spec["timestamp_column"]).cast("string")
     raise ValueError(t)
@@ -151,14 +150,39 @@ def _missing_columns(df: DataFrame, spec: dict) -> list[str]:
     return [c for c in need if c and c not in cols]
 
 
+def partition_evidence(df: DataFrame, date_column: str, wanted: DataFrame) -> DataFrame:
+    """Partition rows of every wanted date (column date_value, text) in one pass.
+
+    One grouped count of the date column joined with the wanted dates, so any
+    number of dates costs one scan and one aggregate; an absent date has 0
+    rows, a value that is no date of the column's type gives an error row.
+    """
+    kind = df.schema[date_column].dataType
+    counts = df.groupBy(F.col(date_column).alias("_day")).agg(F.count(F.lit(1)).alias("_n"))
+    w = wanted.select("date_value").distinct().withColumn("_want", F.col("date_value").try_cast(kind))
+    j = w.join(counts, F.col("_want") == F.col("_day"), "left")
+    bad = F.col("_want").isNull()
+    value = F.when(~bad, F.coalesce("_n", F.lit(0)).cast("string"))
+    return j.select(
+        F.lit("partition_check").alias("template"), F.lit(date_column).alias("column_name"), value.alias("value"),
+        F.when(bad, 0).otherwise(1).cast("bigint").alias("row_count"),
+        F.when(bad, F.array().cast("array<string>")).otherwise(
+            F.array(F.to_json(F.create_map(F.lit(_SCALAR_FIELD["partition_check"]), value)))).alias("rows"),
+        F.when(bad, F.concat(F.lit('invalid value "'), "date_value", F.lit(f'" for column "{date_column}"'))).alias("error"),
+        F.concat(F.lit(f"partition_check|{date_column}|"), "date_value").alias("spec_key"))
+
+
 def table_evidence(df: DataFrame, specs: list[dict], schema: str, table: str,
-                   context: str | None = None, layer: str | None = None) -> DataFrame:
+                   context: str | None = None, layer: str | None = None,
+                   dates: dict[str, DataFrame] | None = None) -> DataFrame:
     """Evidence rows for all ``specs`` on one table.
 
     One aggregation pass for every scalar check; one grouped count per key
-    column shared by duplicate_check and duplicate_total; bounded row sets
-    (top-k, first 20, 5 samples) for the others. A column the table does not
-    have gives an error row instead of a failed job.
+    column shared by duplicate_check and duplicate_total, and one per date
+    column for its partition checks; bounded row sets (top-k, first 20, 5
+    samples) for the others. A column the table does not have gives an error
+    row instead of a failed job. ``dates`` maps a date column to the wanted
+    dates (column date_value), beside those given in ``specs``.
     """
     spark = df.sparkSession
     ctx = context or f"{schema}.{table}"
@@ -176,6 +200,14 @@ def table_evidence(df: DataFrame, specs: list[dict], schema: str, table: str,
             continue
         if s["template"] in SCALAR and s["template"] != "duplicate_total":
             scalar.append(s)
+    asked: dict[str, list] = {}
+    for s in specs:
+        if s["template"] == "partition_check" and not _missing_columns(df, s):
+            asked.setdefault(s["date_column"], []).append((s["date_value"],))
+    wanted = dict(dates or {})
+    for c, values in asked.items():
+        own = spark.createDataFrame(values, "date_value string")
+        wanted[c] = own if c not in wanted else wanted[c].select("date_value").union(own)
     if scalar:
         agg = df.agg(*[_scalar_expr(s).alias(f"c{i}") for i, s in enumerate(scalar)])
         arr = F.array(*[F.struct(F.lit(s["template"]).alias("template"),
@@ -218,9 +250,10 @@ def table_evidence(df: DataFrame, specs: list[dict], schema: str, table: str,
         parts.append(packed.select(F.lit(t).alias("template"), F.lit(spec_column(s)).cast("string").alias("column_name"),
                                    F.lit(None).cast("string").alias("value"), "row_count", "rows",
                                    F.lit(_spec_key(s)).alias("spec_key")))
+    parts = [p.withColumn("error", F.lit(None).cast("string")) for p in parts]
+    parts += [partition_evidence(df, c, w) for c, w in wanted.items()]
     out = None
     for p in parts:
-        p = p.withColumn("error", F.lit(None).cast("string"))
         out = p if out is None else out.unionByName(p)
     if errors:
         e = spark.createDataFrame(errors, "template string, column_name string, error string, spec_key string").select(
@@ -290,47 +323,51 @@ def run_plan(plan: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     """Execute a check plan against named tables and join the evidence back
     to every incident that asked for it.
 
-    Only the distinct specs are collected (bounded by tables x templates x
-    columns); the checks themselves run as Spark jobs, one fused pass per table.
+    The plan's relations and columns come from data (log text, questions), so
+    they are resolved in DataFrames against the list of registered columns:
+    what does not exist gives error rows. The driver receives the distinct
+    (table, template, columns, condition) of checks on registered columns, a
+    number bounded by the registered columns (and the settings' conditions);
+    wanted dates stay in a DataFrame.
     """
     keys = ["schema", "table", "template", "column", "date_column", "date_value",
             "timestamp_column", "condition"]
     for k in keys:
         if k not in plan.columns:
             plan = plan.withColumn(k, F.lit(None).cast("string"))
-    # The plan is read twice (distinct specs, then the join back); keep it so
-    # the upstream work (log parsing, classification) runs once. One row per
-    # incident and template, so it is small next to the tables checked.
-    plan = plan.persist()
-    specs = plan.select(*keys).distinct().limit(MAX_SPECS + 1).collect()
-    if len(specs) > MAX_SPECS:
-        raise ValueError("check plan has more distinct specs than MAX_SPECS")
-    by_table: dict[tuple, list[dict]] = {}
-    for r in specs:
-        by_table.setdefault((r["schema"], r["table"]), []).append(r.asDict())
     spark = plan.sparkSession
-    ev = None
-    missing = []
-    for (schema, table), ss in by_table.items():
-        name = f"{schema}.{table}"
-        if name not in tables:
-            missing += [(name, None, schema, table, s["template"], spec_column(s), None, 0, [],
-                         f'relation "{name}" does not exist', _spec_key(s)) for s in ss]
-            continue
-        e = table_evidence(tables[name], ss, schema, table)
-        ev = e if ev is None else ev.unionByName(e)
-    if missing:
-        # All unknown relations become error rows of one small local table.
-        e = spark.createDataFrame(missing, EVIDENCE_SCHEMA)
-        ev = e if ev is None else ev.unionByName(e)
-    if ev is None:
-        return spark.createDataFrame([], EVIDENCE_SCHEMA).withColumn("incident_id", F.lit(None).cast("string"))
     extra = F.when(F.col("template") == "partition_check", F.col("date_value")) \
         .when(F.col("template") == "sample_rows", F.col("condition"))
-    want = plan.select("incident_id", "schema", "table", "template",
-                       F.concat_ws("|", "template", F.coalesce(spec_column_expr(), F.lit("")),
-                                   F.coalesce(extra, F.lit(""))).alias("spec_key")).distinct()
-    return want.join(ev.drop("template"), ["schema", "table", "spec_key"], "inner").drop("spec_key")
+    plan = plan.withColumn("_about", spec_column_expr()).withColumn("spec_key", F.concat_ws(
+        "|", "template", F.coalesce("_about", F.lit("")), F.coalesce(extra, F.lit(""))))
+    specs = plan.select(*keys, "_about", "spec_key").distinct()
+    registered = spark.createDataFrame([(n.partition(".")[0], n.partition(".")[2], list(df.columns)) for n, df in tables.items()],
+                                       "schema string, table string, _columns array<string>")
+    resolved = specs.join(F.broadcast(registered), ["schema", "table"], "left")
+    relation = F.concat(F.lit('relation "'), F.coalesce("schema", F.lit("")), F.lit("."), F.coalesce("table", F.lit("")), F.lit('" does not exist'))
+    error = F.when(F.col("_columns").isNull(), relation) \
+        .when(F.col("_about").isNotNull() & ~F.array_contains("_columns", F.col("_about")),
+              F.concat(F.lit('column "'), "_about", F.lit('" does not exist')))
+    resolved = resolved.withColumn("error", error)
+    ev = resolved.where("error is not null").select(
+        F.concat_ws(".", "schema", "table").alias("context"), F.lit(None).cast("string").alias("layer"), "schema", "table", "template",
+        F.col("_about").alias("column_name"), F.lit(None).cast("string").alias("value"), F.lit(0).cast("bigint").alias("row_count"),
+        F.array().cast("array<string>").alias("rows"), "error", "spec_key").dropDuplicates(["schema", "table", "spec_key"])
+    good = resolved.where("error is null")
+    asked = good.select(*[k for k in keys if k != "date_value"]).distinct().collect()  # registered columns only
+    by_table: dict[tuple, list[dict]] = {}
+    for r in asked:
+        by_table.setdefault((r["schema"], r["table"]), []).append(r.asDict())
+    for (schema, table), ss in by_table.items():
+        days = {s["date_column"] for s in ss if s["template"] == "partition_check"}
+        wanted = {c: good.where((F.col("schema") == schema) & (F.col("table") == table) & (F.col("template") == "partition_check")
+                                & (F.col("date_column") == c)).select("date_value") for c in sorted(days)}
+        e = table_evidence(tables[f"{schema}.{table}"], [s for s in ss if s["template"] != "partition_check"], schema, table, dates=wanted)
+        ev = ev.unionByName(e)
+    want = plan.select("incident_id", "schema", "table", F.col("spec_key")).distinct()
+    e = ev.select(*[F.col(c).alias(f"_{c}") if c in ("schema", "table", "spec_key") else F.col(c) for c in ev.columns])
+    same = F.col("schema").eqNullSafe(F.col("_schema")) & F.col("table").eqNullSafe(F.col("_table")) & (F.col("spec_key") == F.col("_spec_key"))
+    return want.join(e, same, "inner").select("incident_id", "schema", "table", *[c for c in ev.columns if c not in ("schema", "table", "spec_key")])
 
 
 # --- layered checks (J9, A12, C11) ---------------------------------------------------
@@ -382,32 +419,42 @@ def origin_layer(evidence: DataFrame) -> DataFrame:
         .withColumn("origin_stage", stage)
 
 
-# --- upstream checks (A11) and roll-up (A16, C14) -----------------------------------
+# --- upstream checks (A11), evidence table (E12, U1) and roll-up (A16, C14) ------------
 
 
-def upstream_checks(upstream: list[dict], tables: dict[str, DataFrame], column: str | None) -> DataFrame:
-    """row_count on every upstream table; null_check too when a column is known.
-    Context ``upstream:schema.table``. One fused pass per table."""
-    spark = next(iter(tables.values())).sparkSession if tables else None
-    out = None
-    for u in upstream:
-        schema = u.get("schema") or rules.DEFAULT_SCHEMA
-        table = u.get("table_name") or u.get("table")
-        if not table:
-            continue
-        specs = [{"template": "row_count"}]
-        if column:
-            specs.append({"template": "null_check", "column": column})
-        name = f"{schema}.{table}"
-        if name not in tables:
-            e = spark.createDataFrame([(f"upstream:{name}", None, schema, table, s["template"], spec_column(s),
-                                        None, 0, [], f'relation "{name}" does not exist', _spec_key(s))
-                                       for s in specs],
-                                      EVIDENCE_SCHEMA)
-        else:
-            e = table_evidence(tables[name], specs, schema, table, context=f"upstream:{name}")
-        out = e if out is None else out.unionByName(e)
-    return out
+def upstream_plan(incidents: DataFrame, lineage: DataFrame) -> DataFrame:
+    """The checks of every incident's upstream tables, from lineage.
+
+    incidents: incident_id, model, column; lineage: model, upstream_sources,
+    upstream_models (``lineage.lineage``). Sources keep their schema (default
+    bronze), ``silver_`` models are in schema silver and others in public.
+    row_count on each, null_check too when a column is known.
+    """
+    up = incidents.select("incident_id", "model", "column").join(lineage.select("model", "upstream_sources", "upstream_models"), "model")
+    schema = lambda m: F.when(m.startswith("silver_"), F.lit("silver")).otherwise(F.lit(rules.DEFAULT_SCHEMA))
+    tables = F.concat(
+        F.transform("upstream_sources", lambda s: F.struct(F.coalesce(s["schema"], F.lit(rules.DEFAULT_SOURCE_SCHEMA)).alias("schema"), s["table_name"].alias("table"))),
+        F.transform("upstream_models", lambda m: F.struct(schema(m).alias("schema"), m.alias("table"))))
+    t = up.select("incident_id", "column", F.explode(tables).alias("t")).where("t.table is not null and t.table <> ''")
+    templates = F.when(F.coalesce("column", F.lit("")) != "", F.array(F.lit("row_count"), F.lit("null_check"))).otherwise(F.array(F.lit("row_count")))
+    return t.select("incident_id", F.col("t.schema").alias("schema"), F.col("t.table").alias("table"), "column", F.explode(templates).alias("template")).distinct()
+
+
+def upstream_checks(incidents: DataFrame, lineage: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """Evidence of ``upstream_plan``, context ``upstream:schema.table``."""
+    return run_plan(upstream_plan(incidents, lineage), tables) \
+        .withColumn("context", F.concat(F.lit("upstream:"), "schema", F.lit("."), "table"))
+
+
+def all_evidence(direct: DataFrame, upstream: DataFrame) -> DataFrame:
+    """Direct and upstream evidence of all incidents in one table."""
+    return direct.unionByName(upstream, allowMissingColumns=True)
+
+
+def append_evidence(evidence: DataFrame, path: str) -> None:
+    """Add evidence rows to the evidence table (one row per check), with
+    the time of writing. An append commits as a whole or not at all."""
+    evidence.withColumn("recorded_at", F.localtimestamp()).write.mode("append").parquet(path)
 
 
 def evidence_digest(evidence: DataFrame) -> DataFrame:
@@ -420,4 +467,13 @@ def evidence_digest(evidence: DataFrame) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("template", "column_name", line.alias("line")))).alias("items"))
     return per_ctx.select("incident_id", "context",
                           F.array_join(F.transform("items", lambda x: x["line"]), "\n").alias("digest"),
-                          (F.size("items") > 0).alias("db_evidence_available"))
+                          F.lit(True).alias("db_evidence_available"))
+
+
+def evidence_available(incidents: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Every incident with its number of evidence rows that are no
+    errors, and whether there is one; an incident without evidence has 0."""
+    n = evidence.groupBy("incident_id").agg(F.count_if(F.col("error").isNull()).alias("_n"))
+    return incidents.select("incident_id").distinct().join(n, "incident_id", "left").select(
+        "incident_id", F.coalesce("_n", F.lit(0)).cast("bigint").alias("database_evidence_count"),
+        (F.coalesce("_n", F.lit(0)) > 0).alias("db_evidence_available"))

@@ -29,15 +29,26 @@ def format_drift(baseline: DataFrame, current: DataFrame, keys: list[str], colum
 def rolling_deviation(df: DataFrame, keys: list[str], ts: str, window_days: int = 7,
                       threshold: float = 0.5) -> DataFrame:
     """Daily row counts against the mean of the previous ``window_days``
-    daily counts of the same key. The window runs over the daily aggregate
-    (one row per key and day), never over raw rows."""
-    daily = df.groupBy(*keys, F.to_date(F.col(ts)).alias("day")).agg(F.count(F.lit(1)).alias("rows"))
+    days of the same key. Every key has a row for each day between the table's
+    first and last one, with 0 rows where it has none, so an empty day is
+    compared like any other. A mean of 0 gives no deviation; rows after such
+    days are flagged. The window runs over the daily aggregate, never over raw
+    rows."""
+    daily = df.where(F.col(ts).isNotNull()).groupBy(*keys, F.to_date(F.col(ts)).alias("day")).agg(F.count(F.lit(1)).alias("rows"))
+    span = daily.agg(F.min("day").alias("lo"), F.max("day").alias("hi")).where("lo IS NOT NULL")
+    days = span.select(F.explode(F.sequence("lo", "hi")).alias("day"))
+    every = daily.select(*keys).distinct().join(F.broadcast(days.agg(F.collect_list("day").alias("_days")))) \
+        .select(*keys, F.explode("_days").alias("day"))
+    same = F.col("e.day") == F.col("d.day")
+    for k in keys:
+        same = same & F.col(f"e.{k}").eqNullSafe(F.col(f"d.{k}"))
+    filled = every.alias("e").join(daily.alias("d"), same, "left") \
+        .select(*[F.col(f"e.{k}").alias(k) for k in keys], F.col("e.day").alias("day"), F.coalesce("d.rows", F.lit(0)).cast("bigint").alias("rows"))
     w = Window.partitionBy(*keys).orderBy("day").rowsBetween(-window_days, -1)
-    out = daily.withColumn("trailing_mean", F.avg("rows").over(w))
-    dev = (F.col("rows") - F.col("trailing_mean")) / F.col("trailing_mean")
-    return out.withColumn("deviation", dev) \
-        .withColumn("flagged", F.coalesce(F.abs(dev) > threshold, F.lit(False))) \
-        .withColumn("rows", F.col("rows").cast("bigint"))
+    out = filled.withColumn("trailing_mean", F.avg("rows").over(w))
+    dev = F.when(F.col("trailing_mean") > 0, (F.col("rows") - F.col("trailing_mean")) / F.col("trailing_mean"))
+    flagged = F.when(F.col("trailing_mean") == 0, F.col("rows") > 0).otherwise(F.coalesce(F.abs(dev) > threshold, F.lit(False)))
+    return out.withColumn("deviation", dev).withColumn("flagged", flagged)
 
 
 def missing_partitions(df: DataFrame, ts: str, start=None, end=None) -> DataFrame:
@@ -57,11 +68,11 @@ def missing_partitions(df: DataFrame, ts: str, start=None, end=None) -> DataFram
 
 
 def orphans(fact: DataFrame, fk: str, dim: DataFrame, pk: str, relation: str) -> DataFrame:
-    """Fact rows whose non-null key has no dimension row (left anti join;
-    AQE picks broadcast when the dimension is small and splits skewed keys)."""
-    d = dim.select(F.col(pk).alias(fk)).distinct()
-    bad = fact.where(F.col(fk).isNotNull()).select(fk).join(d, fk, "left_anti")
-    return bad.agg(F.count(F.lit(1)).cast("bigint").alias("orphan_rows")) \
+    """Fact rows whose non-null key has no dimension row. Rows are counted
+    per key first (a hot key is one row of the anti join)."""
+    keys = fact.where(F.col(fk).isNotNull()).groupBy(fk).agg(F.count(F.lit(1)).alias("_n"))
+    bad = keys.join(dim.select(F.col(pk).alias(fk)), fk, "left_anti")
+    return bad.agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("orphan_rows")) \
         .select(F.lit(relation).alias("relation"), "orphan_rows")
 
 

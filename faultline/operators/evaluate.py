@@ -58,7 +58,7 @@ def score_reports(reports: DataFrame, expected: DataFrame, on: str = "scenario")
     reports: on, failure_class, root_cause, evidence_chain array<string>,
              fix struct<immediate,preventive,monitoring>, prevention array<string>
     """
-    j = reports.join(F.broadcast(expected), on, "inner")
+    j = reports.join(expected, on, "inner")
     rc = F.lower(F.coalesce(F.col("root_cause"), F.lit("")))
     ev = F.lower(F.array_join(F.coalesce("evidence_chain", F.array().cast("array<string>")), " "))
     fx = F.lower(F.concat_ws(" ", F.coalesce(F.col("fix.immediate"), F.lit("")),

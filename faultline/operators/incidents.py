@@ -21,14 +21,14 @@ def resolve_model(df: DataFrame, task_col: str = "task_id") -> DataFrame:
 
 
 def intake(triggers: DataFrame) -> DataFrame:
-    """Keep a given incident id or derive ``INC-<yyyyMMddHHmmss>-<6 hex>``
-    from the trigger time and a hash of the payload (re-runs give the same
-    id); pipeline name falls back to the dag id, then ``unknown``; severity
+    """Keep a given incident id or derive ``INC-<yyyyMMddHHmmss>-<16 hex>``
+    from the trigger time and a hash of the payload (``INC-<16 hex>`` without a
+    time), so a replay gives the same id and distinct payloads distinct ones; pipeline name falls back to the dag id, then ``unknown``; severity
     defaults to ``error``; the model comes from J6."""
     payload = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in
                                  ("dag_id", "task_id", "run_id", "error_message", "question", "timestamp")])
-    ts = F.coalesce(F.try_to_timestamp(F.col("timestamp")), F.current_timestamp())
-    new_id = F.concat(F.lit("INC-"), F.date_format(ts, "yyyyMMddHHmmss"), F.lit("-"), F.substring(F.md5(payload), 1, 6))
+    ts = F.date_format(F.try_to_timestamp(F.col("timestamp")), "yyyyMMddHHmmss")
+    new_id = F.concat_ws("-", F.lit("INC"), ts, F.substring(F.md5(payload), 1, 16))
     out = triggers.withColumn("incident_id", F.coalesce(empty_to_null(F.col("incident_id")), new_id)) \
         .withColumn("pipeline_name", F.coalesce(empty_to_null(F.col("pipeline_name")), F.col("dag_id"),
                                                 F.lit("unknown"))) \

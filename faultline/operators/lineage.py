@@ -15,10 +15,15 @@ ARROW = " → "
 
 def edges(nodes: DataFrame) -> DataFrame:
     """(parent, child, parent_kind) with child = model unique_id."""
-    e = nodes.select(F.col("unique_id").alias("child"), F.explode("depends_on").alias("parent"))
+    e = nodes.select(F.col("unique_id").alias("child"), F.posexplode("depends_on").alias("position", "parent"))
     return e.withColumn("parent_kind", F.substring_index("parent", ".", 1))
 
 
+def _in_order(value):
+    """The values of a group in declaration order, whatever order a shuffle leaves."""
+    return F.transform(F.sort_array(F.collect_list(F.struct(F.col("position"), value.alias("value")))), lambda x: x["value"])
+
+
 def _short(c):
     return F.element_at(F.split(c, "[.]"), -1)
 
@@ -26,22 +31,21 @@ def _short(c):
 def upstream_models(e: DataFrame) -> DataFrame:
     """Model parents of each model, by name, in declaration order."""
     m = e.where(F.col("parent").startswith("model."))
-    return m.groupBy("child").agg(F.collect_list(_short(F.col("parent"))).alias("upstream_models"))
+    return m.groupBy("child").agg(_in_order(_short(F.col("parent"))).alias("upstream_models"))
 
 
 def upstream_sources(e: DataFrame, sources: DataFrame) -> DataFrame:
     """Source parents joined to their source entries."""
     s = e.where(F.col("parent").startswith("source.")).join(
         sources.withColumnRenamed("unique_id", "parent"), "parent", "inner")
-    return s.groupBy("child").agg(F.collect_list(F.struct("source_name", "table_name", "schema"))
-                                  .alias("upstream_sources"))
+    return s.groupBy("child").agg(_in_order(F.struct("source_name", "table_name", "schema")).alias("upstream_sources"))
 
 
 def downstream_models(e: DataFrame) -> DataFrame:
     """Model children of each node (the reversed edges)."""
     d = e.select(F.col("parent").alias("unique_id"), F.col("child"))
     return d.where(F.col("child").startswith("model.")).groupBy("unique_id") \
-        .agg(F.collect_list(_short(F.col("child"))).alias("downstream_models"))
+        .agg(F.sort_array(F.collect_list(_short(F.col("child")))).alias("downstream_models"))
 
 
 def lineage(nodes: DataFrame, sources: DataFrame) -> DataFrame:
@@ -76,12 +80,12 @@ def upstream_details(nodes: DataFrame) -> DataFrame:
     their own source tables."""
     e = edges(nodes)
     own_src = e.where(F.col("parent").startswith("source.")).groupBy("child") \
-        .agg(F.collect_list(_short(F.col("parent"))).alias("depends_on_sources"))
+        .agg(_in_order(_short(F.col("parent"))).alias("depends_on_sources"))
     det = nodes.select(F.col("unique_id").alias("parent"), F.col("name").alias("up_model"),
                        F.col("schema").alias("up_schema"), F.col("description").alias("up_description")) \
         .join(own_src.withColumnRenamed("child", "parent"), "parent", "left")
     j = e.where(F.col("parent").startswith("model.")).join(det, "parent", "inner")
-    return j.groupBy(F.col("child").alias("unique_id")).agg(F.collect_list(F.struct(
+    return j.groupBy(F.col("child").alias("unique_id")).agg(_in_order(F.struct(
         F.col("up_model").alias("model"), F.col("up_schema").alias("schema"),
         F.col("up_description").alias("description"),
         F.coalesce("depends_on_sources", F.array().cast("array<string>")).alias("depends_on_sources")))

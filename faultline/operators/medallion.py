@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from faultline.functions.text import pg_initcap
 
-# Broadcast the customer dimension only below this many rows (checked with a
-# bounded count that stops reading at limit+1 rows); above it, let AQE decide.
-DIMENSION_BROADCAST_ROWS = 500_000
-
 
 def silver_sales(bronze: DataFrame) -> DataFrame:
     """Typed sales (P1, P2, P4). ANSI casts: a non-numeric id fails the job,
@@ -46,18 +42,6 @@ def silver_customers(bronze: DataFrame) -> DataFrame:
         .select("customer_id", "r.customer_name", "r.email", "r.region")
 
 
-def silver_customers_window(bronze: DataFrame) -> DataFrame:
-    """Same result as ``silver_customers`` through ``row_number`` (kept for
-    plan comparison)."""
-    cleaned = bronze.where(F.col("customer_id").isNotNull()).select(
-        F.col("customer_id").cast("int").alias("customer_id"),
-        pg_initcap(F.trim(F.col("customer_name"))).alias("customer_name"),
-        F.lower(F.trim(F.col("email"))).alias("email"),
-        F.upper(F.trim(F.col("region"))).alias("region"))
-    w = Window.partitionBy("customer_id").orderBy("customer_name", "email", "region")
-    return cleaned.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
-
-
 def safe_cast(df: DataFrame, spec: dict[str, str]) -> tuple[DataFrame, DataFrame]:
     """P5: split rows into those whose columns all cast, and rejects.
 
@@ -74,26 +58,20 @@ def safe_cast(df: DataFrame, spec: dict[str, str]) -> tuple[DataFrame, DataFrame
     return ok, rejects
 
 
-def _bounded_rows(df: DataFrame, limit: int) -> int:
-    """Row count capped at limit+1 (reads at most limit+1 rows)."""
-    return df.limit(limit + 1).count()
-
-
-def fct_sales(sales: DataFrame, customers: DataFrame,
-              broadcast_limit: int = DIMENSION_BROADCAST_ROWS) -> DataFrame:
+def fct_sales(sales: DataFrame, customers: DataFrame) -> DataFrame:
     """Gold fact (A1, J1): LEFT join sales x customers, count and sum per
     customer, name, region and day. Null keys survive the left join.
 
-    The dimension is broadcast only after a bounded count proves it small;
-    otherwise the plan is a shuffle join chosen by AQE at runtime.
+    Sales are summed per customer and day before the join: the map side
+    combines a hot key (null customers in particular) before any shuffle, and
+    the join sees one row per key and day. The sums after it merge customers
+    that the dimension holds more than once under one name. Spark decides by
+    size whether the dimension is broadcast.
     """
-    dim = customers.select("customer_id", "customer_name", "region")
-    if _bounded_rows(dim, broadcast_limit) <= broadcast_limit:
-        dim = F.broadcast(dim)
-    j = sales.select("customer_id", "order_date", "total_amount").join(dim, "customer_id", "left")
+    daily = sales.groupBy("customer_id", "order_date").agg(F.count(F.lit(1)).alias("_n"), F.sum("total_amount").alias("_sum"))
+    j = daily.join(customers.select("customer_id", "customer_name", "region"), "customer_id", "left")
     return j.groupBy("customer_id", "customer_name", "region", "order_date").agg(
-        F.count(F.lit(1)).alias("order_count"),
-        F.sum("total_amount").alias("daily_revenue"))
+        F.sum("_n").alias("order_count"), F.sum("_sum").alias("daily_revenue"))
 
 
 # fct_sales contract (fixed values): column, type, NOT NULL

@@ -4,8 +4,8 @@ Scale notes
 - Upsert (M1) is one aggregation keyed by incident_id over store + batch rows:
   map-side partial aggregation merges a hot id before the shuffle, and there
   is no join to skew.
-- Search (M2) is exact. Queries and stored vectors are cut into blocks of at
-  most ``block_rows`` per class; each (query block, store block) pair is one
+- Search (M2) is exact. Queries and stored vectors are cut into blocks of
+  ``block_rows`` on average per class; each (query block, store block) pair is one
   ``cogroup`` task that scores a dense block with numpy and keeps k rows per
   query. No pair rows are materialised, and no task holds more than two
   blocks, however large a class is. A final top-k per query (planned with a
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from faultline.functions.text import empty_to_null
 from faultline.functions.vectors import normalize
 from faultline.plans import rules
 
@@ -173,82 +174,74 @@ def normalize_vectors(df: DataFrame, col: str = "embedding", out: str = "unit")
     return df.withColumn(out, normalize(F.col(col))).where(F.col(out).isNotNull())
 
 
-def _blocks(df: DataFrame, part: str, block_rows: int) -> DataFrame:
-    """Block number per row within its partition key, and block count per key.
-
-    Rows are spread by a hash of their id (no ordering, no single-task
-    window); the per-key count is a partial aggregation."""
-    counts = df.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))
-    nb = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(block_rows))).cast("int")
-    counts = counts.withColumn("_nb", nb).drop("_n")
-    return df.join(counts, part, "inner") \
-        .withColumn("_blk", F.pmod(F.xxhash64(F.col("_id")), F.col("_nb")).cast("int"))
+def _sizes(df: DataFrame, name: str) -> DataFrame:
+    return df.groupBy("_part").agg(F.count(F.lit(1)).alias(name))
 
 
 def search_similar(queries: DataFrame, store: DataFrame, k: int = rules.SIMILAR_TOP_K,
                    by_class: bool = True, exclude_self: bool = True, block_rows: int = 4096) -> DataFrame:
     """M2: exact cosine top-k per query among stored vectors, optionally only
-    within the query's class (``unknown`` is a real class; null disables the
-    filter for that query). Similarity = 1 - cosine distance, rounded to 4.
-
-    queries: query_id (long), failure_class, embedding
-    store:   incident_id (long), failure_class, embedding
-    returns: query_id, rank, incident_id, failure_class, similarity_score
+    within the query's class (``unknown`` is a real class; a null or empty
+    class disables the filter for that query). Ties go to the smallest id.
+    Similarity = 1 - cosine distance, rounded to 4.
+
+    queries: query_id, failure_class, embedding
+    store:   incident_id, failure_class, embedding, and where it has them
+             issue_summary, root_cause, fix_summary, confidence
+    returns: query_id, rank, incident_id, failure_class, similarity_score, and
+             of the latter columns those the store has (summary, root_cause,
+             fix_applied, confidence), joined to the winners only
+
+    Ids may be of any type. Rows are spread over blocks of ``block_rows`` on
+    average by a hash of their id; exact search costs queries x stored vectors
+    of a class, and both sides are copied to the other's blocks.
     """
-    q = normalize_vectors(queries).select(F.col("query_id").alias("_id"), "failure_class", "unit")
+    q = normalize_vectors(queries).select(F.col("query_id").alias("_id"), empty_to_null(F.col("failure_class")).alias("failure_class"), "unit")
     s = normalize_vectors(store).select(F.col("incident_id").alias("_id"), "failure_class", "unit")
-    if by_class:
-        q = q.withColumn("_part", F.coalesce(F.col("failure_class"), F.lit("\u0000all")))
-        s_cls = s.withColumn("_part", F.col("failure_class"))
-        s_all = s.withColumn("_part", F.lit("\u0000all"))
-        # Queries without a class search the whole store: the store is exposed
-        # under the "all" partition only when such queries exist.
-        has_all = q.where(F.col("failure_class").isNull()).limit(1).count() > 0
-        s = s_cls.unionByName(s_all) if has_all else s_cls
-    else:
-        q = q.withColumn("_part", F.lit("\u0000all"))
-        s = s.withColumn("_part", F.lit("\u0000all"))
-    qb = _blocks(q, "_part", block_rows)
-    sb = _blocks(s, "_part", block_rows)
-    # Fan each row out to the blocks of the other side (block ids, not rows).
-    q_nb = sb.groupBy("_part").agg(F.max("_nb").alias("_other"))
-    s_nb = qb.groupBy("_part").agg(F.max("_nb").alias("_other"))
-    qx = qb.join(q_nb, "_part", "inner").select(
-        "_part", F.col("_blk").alias("_qb"), F.explode(F.sequence(F.lit(0), F.col("_other") - 1)).alias("_sb"),
-        "_id", "unit")
-    sx = sb.join(s_nb, "_part", "inner").select(
-        "_part", F.col("_blk").alias("_sb"), F.explode(F.sequence(F.lit(0), F.col("_other") - 1)).alias("_qb"),
-        "_id", "failure_class", "unit")
-
-    out_schema = "query_id long, incident_id long, failure_class string, similarity double"
+    every = F.lit("\u0000all")
+    own = F.coalesce(F.col("failure_class"), every) if by_class else every
+    q = q.withColumn("_part", own)
+    # stored rows are in the partition of their class and in that of all; the
+    # join with the queries' partitions keeps those that are asked for
+    s = s.withColumn("_part", F.explode(F.array_distinct(F.array(own, every))))
+    sizes = _sizes(q, "_nq").join(_sizes(s, "_ns"), "_part")
+    blocks = sizes.select("_part", *[F.greatest(F.lit(1), F.ceil(F.col(n) / F.lit(block_rows))).cast("int").alias(b) for n, b in (("_nq", "_bq"), ("_ns", "_bs"))])
+
+    def block(n):
+        return F.pmod(F.xxhash64(F.col("_id")), F.col(n)).cast("int")
+
+    def others(n):
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    qx = q.join(blocks, "_part").select("_part", block("_bq").alias("_qb"), others("_bs").alias("_sb"), "_id", "unit")
+    sx = s.join(blocks, "_part").select("_part", block("_bs").alias("_sb"), others("_bq").alias("_qb"), "_id", "unit")
+    out_schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType),
+                               T.StructField("incident_id", store.schema["incident_id"].dataType), T.StructField("similarity", T.DoubleType())])
 
     def score(qdf: pd.DataFrame, sdf: pd.DataFrame) -> pd.DataFrame:
         if qdf.empty or sdf.empty:
-            return pd.DataFrame({"query_id": pd.Series([], dtype="int64"),
-                                 "incident_id": pd.Series([], dtype="int64"),
-                                 "failure_class": pd.Series([], dtype="object"),
-                                 "similarity": pd.Series([], dtype="float64")})
-        qm = np.vstack(qdf["unit"].to_numpy()).astype(np.float64)
-        sm = np.vstack(sdf["unit"].to_numpy()).astype(np.float64)
-        sim = qm @ sm.T
-        qids = qdf["_id"].to_numpy()
-        sids = sdf["_id"].to_numpy()
+            return pd.DataFrame({"query_id": [], "incident_id": [], "similarity": np.empty(0)})
+        sdf = sdf.sort_values("_id", kind="stable")  # of equal similarities the smallest id comes first
+        sim = np.round(np.vstack(qdf["unit"].to_numpy()) @ np.vstack(sdf["unit"].to_numpy()).T, 12)
+        qids, sids = qdf["_id"].to_numpy(), sdf["_id"].to_numpy()
         if exclude_self:
             sim[qids[:, None] == sids[None, :]] = -np.inf
         kk = min(k, sim.shape[1])
-        idx = np.argpartition(-sim, kk - 1, axis=1)[:, :kk]
-        rows = np.repeat(np.arange(sim.shape[0]), kk)
-        cols = idx.reshape(-1)
+        # every column that reaches the k-th value, ties included, then the first k of them in order
+        least = -np.partition(-sim, kk - 1, axis=1)[:, kk - 1]
+        rows, cols = np.nonzero((sim >= least[:, None]) & np.isfinite(sim))
         vals = sim[rows, cols]
-        ok = np.isfinite(vals)
-        return pd.DataFrame({"query_id": qids[rows][ok].astype("int64"),
-                             "incident_id": sids[cols][ok].astype("int64"),
-                             "failure_class": sdf["failure_class"].to_numpy()[cols][ok],
-                             "similarity": vals[ok]})
+        order = np.lexsort((cols, -vals, rows))
+        rows, cols, vals = rows[order], cols[order], vals[order]
+        keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < kk
+        return pd.DataFrame({"query_id": qids[rows[keep]], "incident_id": sids[cols[keep]], "similarity": vals[keep]})
 
     cand = qx.groupBy("_part", "_qb", "_sb").cogroup(sx.groupBy("_part", "_qb", "_sb")) \
         .applyInPandas(score, out_schema)
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.asc("incident_id"))
     top = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return top.select("query_id", "rank", "incident_id", "failure_class",
-                      F.round(F.col("similarity"), 4).alias("similarity_score"))
+    named = {"issue_summary": "summary", "root_cause": "root_cause", "fix_summary": "fix_applied", "confidence": "confidence"}
+    more = [F.col(c).alias(n) for c, n in named.items() if c in store.columns]
+    about = store.where(F.col("embedding").isNotNull()).select("incident_id", "failure_class", *more)
+    return top.join(about, "incident_id").select("query_id", "rank", "incident_id", "failure_class", F.round("similarity", 4).alias("similarity_score"),
+                                                 *[n for c, n in named.items() if c in store.columns])

@@ -69,7 +69,8 @@ def to_incident(df: DataFrame) -> DataFrame:
         r["alternative_causes_considered"].alias("alternative_causes"),
         F.coalesce(F.col("database_evidence_count"), F.lit(0)).alias("database_evidence_count")
         if "database_evidence_count" in df.columns else F.lit(0).alias("database_evidence_count"),
-        F.lit(0).alias("code_findings_count"),
+        F.coalesce(F.col("code_findings_count"), F.lit(0)).alias("code_findings_count")
+        if "code_findings_count" in df.columns else F.lit(0).alias("code_findings_count"),
         F.coalesce(F.col("similar_incidents_count"), F.lit(0)).alias("similar_incidents_count")
         if "similar_incidents_count" in df.columns else F.lit(0).alias("similar_incidents_count")))
     return df.select(
@@ -97,41 +98,41 @@ def parse_responses(df: DataFrame, text: str, schema: T.StructType | str) -> Dat
         .withColumn("parse_ok", F.col("_json").isNotNull()).drop("_json")
 
 
-def pack_context(pieces: DataFrame, keys: list[str], budget: Column | int = rules.DEFAULT_BUDGET) -> DataFrame:
+def pack_context(pieces: DataFrame, keys: list[str], budget: int = rules.DEFAULT_BUDGET) -> DataFrame:
     """Fit ordered context pieces into a token budget.
 
     pieces: keys + ordinal, label, text, tokens (token counts are an input).
     In order: an empty text stays empty; a piece that fits is kept whole; else
     if more than 50 tokens remain it is cut to remaining-10 tokens and the
-    remainder drops to 10; else it is emptied. One fold per context over its
-    own pieces (a context is a prompt-sized list, grouped once).
+    remainder drops to 10; else it is emptied. One pass over the token counts
+    of each context (a prompt-sized list); texts are joined back and cut in
+    the JVM.
     """
-    b = budget if isinstance(budget, Column) else F.lit(budget)
-    g = pieces.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct("ordinal", "label", "text", "tokens"))).alias("_p"))
-    g = g.withColumn("_b", b.cast("bigint"))
-    init = F.struct(F.col("_b").alias("rem"),
-                    F.array().cast("array<struct<ordinal:int,label:string,keep:bigint>>").alias("out"))
-
-    def step(acc, x):
-        rem = acc["rem"]
-        t = x["tokens"].cast("bigint")
-        empty = F.coalesce(x["text"], F.lit("")) == ""
-        keep = F.when(empty, F.lit(-1)).when(t <= rem, t) \
-            .when(rem > rules.PACK_MIN_REMAINING, rem - rules.PACK_HEADROOM).otherwise(F.lit(0))
-        new_rem = F.when(empty, rem).when(t <= rem, rem - t) \
-            .when(rem > rules.PACK_MIN_REMAINING, F.lit(rules.PACK_HEADROOM)).otherwise(rem)
-        item = F.struct(x["ordinal"].cast("int").alias("ordinal"), x["label"].alias("label"),
-                        keep.cast("bigint").alias("keep"))
-        return F.struct(new_rem.cast("bigint").alias("rem"), F.concat(acc["out"], F.array(item)).alias("out"))
-
-    folded = g.select(*keys, "_p", F.aggregate("_p", init, step)["out"].alias("_o"))
-    z = folded.select(*keys, F.inline(F.arrays_zip(F.col("_p").alias("p"), F.col("_o").alias("o"))))
-    whole = F.col("o.keep") >= F.col("p.tokens")
-    out_text = F.when(F.col("o.keep") <= 0, F.lit("")).when(whole, F.col("p.text")) \
-        .otherwise(first_words(F.col("p.text"), F.col("o.keep")))
-    return z.select(*keys, F.col("p.ordinal").alias("ordinal"), F.col("p.label").alias("label"),
-                    F.greatest(F.col("o.keep"), F.lit(0)).alias("kept_tokens"), out_text.alias("packed_text"))
+    schema = T.StructType([*[pieces.schema[k] for k in keys], T.StructField("ordinal", T.IntegerType()), T.StructField("_keep", T.LongType())])
+    counts = pieces.select(*keys, F.col("ordinal").cast("int").alias("ordinal"), F.col("tokens").cast("long").alias("tokens"),
+                           (F.coalesce("text", F.lit("")) == "").alias("empty"))
+
+    def fold(pdf):
+        pdf = pdf.sort_values("ordinal", kind="stable")
+        left, keep = budget, []
+        for n, empty in zip(pdf["tokens"], pdf["empty"]):
+            if empty:
+                keep.append(0)
+            elif n <= left:
+                keep.append(n)
+                left -= n
+            elif left > rules.PACK_MIN_REMAINING:
+                keep.append(left - rules.PACK_HEADROOM)
+                left = rules.PACK_HEADROOM
+            else:
+                keep.append(0)
+        return pdf.assign(_keep=keep)[[*keys, "ordinal", "_keep"]]
+
+    kept = counts.groupBy(*keys).applyInPandas(fold, schema)
+    j = pieces.withColumn("ordinal", F.col("ordinal").cast("int")).join(kept, [*keys, "ordinal"])
+    text = F.when(F.col("_keep") <= 0, F.lit("")).when(F.col("_keep") >= F.col("tokens"), F.col("text")) \
+        .otherwise(first_words(F.col("text"), F.col("_keep")))
+    return j.select(*keys, "ordinal", "label", F.col("_keep").alias("kept_tokens"), text.alias("packed_text"))
 
 
 def usage_cost(usage: DataFrame, keys: list[str]) -> DataFrame:
@@ -146,3 +147,30 @@ def usage_cost(usage: DataFrame, keys: list[str]) -> DataFrame:
         F.sum("input_tokens").cast("bigint").alias("input_tokens"),
         F.sum("output_tokens").cast("bigint").alias("output_tokens"),
         F.sum("cost").alias("cost_usd"))
+
+
+def stored_reports(store: DataFrame) -> DataFrame:
+    """Stored incidents as report rows, the whole table at once. Fix and
+    prevention texts are the stored JSON; an absent text is empty."""
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    return store.select(
+        "incident_id", F.coalesce("severity", F.lit("error")).alias("severity"),
+        F.coalesce("failure_class", F.lit("unknown")).alias("failure_class"), text("issue_summary").alias("what_failed"),
+        F.struct(text("dag_id").alias("dag_id"), text("task_id").alias("task_id"), text("dbt_model").alias("model"),
+                 text("target_table").alias("table"), text("target_column").alias("column")).alias("where_failed"),
+        text("root_cause").alias("root_cause"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
+        F.from_json("fix_summary", "immediate string, preventive string, monitoring string").alias("fix"),
+        F.coalesce(F.from_json("prevention_summary", "array<string>"), F.array().cast("array<string>")).alias("prevention"),
+        F.coalesce("validated", F.lit(False)).alias("validated"))
+
+
+def latest_manual_runs(instances: DataFrame) -> DataFrame:
+    """The latest manual run of each pipeline (dag), with its number of
+    task instances and of those whose log attempt is 0. An aggregation per
+    run, then the newest run per dag."""
+    manual = instances.where(F.col("run_type") == "manual")
+    runs = manual.groupBy("dag_id", "run_id").agg(
+        F.max("start_date").alias("started"), F.count(F.lit(1)).alias("tasks"),
+        F.count_if(F.coalesce("try_number", F.lit(0)) == 0).alias("zero_attempts"))
+    newest = runs.groupBy("dag_id").agg(F.max(F.struct("started", "run_id", "tasks", "zero_attempts")).alias("r"))
+    return newest.select("dag_id", "r.run_id", "r.started", F.col("r.tasks").cast("bigint").alias("tasks"), F.col("r.zero_attempts").cast("bigint").alias("zero_attempts"))

@@ -308,9 +308,15 @@ def pipeline_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
             "silver.silver_customers": sc, "gold.fct_sales": gold}
 
 
+def class_plan(spark: SparkSession, sf: str) -> DataFrame:
+    """C8 then J8: incidents whose strategy is ``class`` get their class's checks; those without a target get none."""
+    t = investigation_targets(spark, sf).withColumn("check_priorities", F.array().cast("array<string>")) \
+        .withColumn("layer_tables", F.array().cast("array<string>"))
+    return checks.expand_checks(checks.plan_checks(t).where("strategy = 'class'"))
+
+
 def q_run_checks(spark: SparkSession, sf: str) -> DataFrame:
-    p = checks.expand_checks(investigation_targets(spark, sf))
-    ev = checks.run_plan(p, pipeline_tables(spark, sf))
+    ev = checks.run_plan(class_plan(spark, sf), pipeline_tables(spark, sf))
     return ev.select("incident_id", "schema", "table", "template", "column_name", "value", "row_count", "error")
 
 
@@ -365,7 +371,7 @@ def q_recent_incidents(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- layered questions ----------------------------------------------------------------------
 
-from faultline.operators import drift, evaluate, reports  # noqa: E402
+from faultline.operators import drift, evaluate, lineage, reports  # noqa: E402
 from faultline.plans import rules  # noqa: E402
 
 
@@ -408,11 +414,48 @@ def q_origin_layer(spark: SparkSession, sf: str) -> DataFrame:
     return checks.origin_layer(ev)
 
 
+def part_nodes_input(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Model artifacts from the tables' foreign keys: an order is a model that
+    depends on its customer's model, then on the parts of its lines (sources,
+    in line order); a customer depends on its nation (a source). Every
+    seventh part has no schema of its own."""
+    o, li, c = (read(spark, sf, t) for t in ("orders", "lineitem", "customer"))
+    parts = li.groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))),
+                                                     lambda x: F.concat(F.lit("source.tpch.part_"), x["l_partkey"].cast("string"))).alias("p"))
+    customer = F.array(F.concat(F.lit("model.tpch.silver_customer_"), F.col("o_custkey").cast("string")))
+    orders = o.join(parts, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(
+        F.concat(F.lit("model.tpch.order_"), F.col("o_orderkey").cast("string")).alias("unique_id"),
+        F.concat(F.lit("order_"), F.col("o_orderkey").cast("string")).alias("name"), F.lit("gold").alias("schema"),
+        F.col("o_orderpriority").alias("description"), F.concat(customer, F.coalesce("p", F.array().cast("array<string>"))).alias("depends_on"))
+    customers = c.select(
+        F.concat(F.lit("model.tpch.silver_customer_"), F.col("c_custkey").cast("string")).alias("unique_id"),
+        F.concat(F.lit("silver_customer_"), F.col("c_custkey").cast("string")).alias("name"), F.lit("silver").alias("schema"),
+        F.col("c_mktsegment").alias("description"),
+        F.array(F.concat(F.lit("source.tpch.nation_"), F.col("c_nationkey").cast("string"))).alias("depends_on"))
+    p, n = read(spark, sf, "part"), read(spark, sf, "nation")
+    key = F.col("p_partkey").cast("string")
+    sources = p.select(F.concat(F.lit("source.tpch.part_"), key).alias("unique_id"), F.lit("part").alias("source_name"), F.concat(F.lit("part_"), key).alias("table_name"),
+                       F.when(F.col("p_partkey") % 7 != 0, F.lit("raw")).alias("schema")) \
+        .unionByName(n.select(F.concat(F.lit("source.tpch.nation_"), F.col("n_nationkey").cast("string")).alias("unique_id"), F.lit("nation").alias("source_name"),
+                              F.concat(F.lit("nation_"), F.col("n_nationkey").cast("string")).alias("table_name"), F.lit("bronze").alias("schema")))
+    return orders.unionByName(customers), sources
+
+
+def part_tables_input(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """A few of the upstream tables of the artifacts above: the lines of parts 1 and 2, the customers of nation 3."""
+    li, c = read(spark, sf, "lineitem"), read(spark, sf, "customer")
+    out = {f"raw.part_{k}": li.where(F.col("l_partkey") == k) for k in (1, 2)}
+    return out | {"bronze.nation_3": c.where("c_nationkey = 3")}
+
+
 def q_upstream_checks(spark: SparkSession, sf: str) -> DataFrame:
-    tables = {"bronze.orders": read(spark, sf, "orders"), "bronze.customer": read(spark, sf, "customer")}
-    ev = checks.upstream_checks([{"schema": "bronze", "table_name": "orders"},
-                                 {"schema": "bronze", "table_name": "customer"}], tables, "o_custkey")
-    return ev.select("context", "template", "column_name", "value", "error")
+    """A11 over the lineage of orders and customers: incidents are the urgent orders and one in five customers."""
+    nodes, sources = part_nodes_input(spark, sf)
+    lin = lineage.lineage(nodes, sources)
+    bad = nodes.where("description in ('1-URGENT', 'BUILDING')").select(
+        F.col("unique_id").alias("incident_id"), F.col("name").alias("model"), F.when(F.col("schema") == "gold", F.lit("l_quantity")).alias("column"))
+    ev = checks.upstream_checks(bad, lin, part_tables_input(spark, sf))
+    return ev.select("incident_id", "context", "template", "column_name", "value", "error")
 
 
 # --- reports and evaluation ------------------------------------------------------------------
@@ -444,22 +487,30 @@ def q_scorecard(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.scorecard(s, ["scenario"])
 
 
+def log_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """Stand-in for an investigator's own view of each log: how sure it is
+    (half, and more the more of the lines are errors) and whether logs count
+    as available (ten lines or more)."""
+    lines = task_log_lines_input(spark, sf).groupBy("log_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("line").contains("] ERROR - ")).alias("errors"))
+    return lines.select(F.col("log_id").alias("incident_id"), F.round(F.lit(0.5) + F.col("errors") / F.col("n"), 4).alias("stated"),
+                        (F.col("n") >= 10).alias("logs_available"))
+
+
 def q_reports(spark: SparkSession, sf: str) -> DataFrame:
     """Investigation reports for the task logs: signals -> class -> target ->
-    report fields (R1-R3) with capped confidence (C12, C13)."""
+    report fields (R1-R3) with capped confidence (C12, C13, C14)."""
     t = investigation_targets(spark, sf)
-    ev = checks.run_plan(checks.expand_checks(t), pipeline_tables(spark, sf)) \
-        .groupBy("incident_id").agg(F.count(F.lit(1)).alias("checks"), F.count_if(F.col("error").isNull()).alias("ok"))
-    r = t.join(ev, "incident_id", "left").withColumn("dbt_model", F.try_element_at("models", F.lit(1))) \
-        .withColumn("question", F.lit(None).cast("string"))
-    conf = incidents.cap_confidence(F.col("classification_confidence") + F.lit(0.4), F.lit(True),
-                                    F.coalesce(F.col("ok"), F.lit(0)) > 0)
+    ev = checks.run_plan(class_plan(spark, sf), pipeline_tables(spark, sf))
+    r = t.join(checks.evidence_available(t, ev), "incident_id").join(log_facts(spark, sf), "incident_id") \
+        .withColumn("dbt_model", F.try_element_at("models", F.lit(1))).withColumn("question", F.lit(None).cast("string"))
+    conf = incidents.cap_confidence(F.col("stated"), F.col("logs_available"), F.col("db_evidence_available"))
     r = reports.build_report(r.withColumn("confidence", conf).withColumn("severity", F.lit("error")))
     return r.select("incident_id", F.col("report.failure_class").alias("failure_class"),
                     F.col("report.what_failed").alias("what_failed"),
                     F.col("report.how_it_failed").alias("how_it_failed"),
                     F.col("report.where_failed.table").alias("table"),
-                    F.col("report.where_failed.column").alias("column"),
+                    F.col("report.where_failed.column").alias("column"), "database_evidence_count",
                     F.round(F.col("report.confidence"), 4).alias("confidence"),
                     incidents.confidence_band(F.col("report.confidence")).alias("band"))
 
@@ -499,19 +550,19 @@ def q_pack_context(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def usage_input(spark: SparkSession, sf: str) -> DataFrame:
-    """conversations as model usage: the n-th assistant turn is the n-th stage
-    of an investigation; its input is the preceding user turn."""
+    """conversations as model usage: the n-th assistant turn ends the n-th call
+    of an investigation; the call's input are all turns before it and after
+    the last one. Turns after the last assistant turn are a call without an
+    answer, so every turn of every conversation counts."""
     from faultline.functions.text import word_count
     c = read(spark, sf, "conversations")
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    c = c.withColumn("prev_user", F.last(F.when(F.col("role") == "user", F.col("text")), ignorenulls=True)
-                     .over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    a = c.where(F.col("role") == "assistant").withColumn(
-        "stage_no", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")))
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    answer = F.col("role") == "assistant"
+    c = c.withColumn("call", F.count_if(answer).over(w)).withColumn("words", word_count(F.col("text")))
     nodes = F.array(*[F.lit(n) for n in rules.NODE_BUDGETS])
-    return a.select("conv_id", F.try_element_at(nodes, F.col("stage_no")).alias("node"),
-                    word_count(F.col("prev_user")).alias("input_tokens"),
-                    word_count(F.col("text")).alias("output_tokens"))
+    return c.groupBy("conv_id", "call").agg(F.coalesce(F.sum(F.when(~answer, F.col("words"))), F.lit(0)).alias("input_tokens"),
+                                            F.coalesce(F.sum(F.when(answer, F.col("words"))), F.lit(0)).alias("output_tokens")) \
+        .withColumn("node", F.get(nodes, F.col("call").cast("int")))
 
 
 def q_usage_cost(spark: SparkSession, sf: str) -> DataFrame:
@@ -559,6 +610,30 @@ def q_grain(spark: SparkSession, sf: str) -> DataFrame:
     return g1.unionByName(g2).unionByName(g3)
 
 
+# --- lineage ---------------------------------------------------------------------------------
+
+
+def q_lineage(spark: SparkSession, sf: str) -> DataFrame:
+    """A lineage record and its dependency chain for every order and customer."""
+    lin = lineage.dependency_chain(lineage.lineage(*part_nodes_input(spark, sf)))
+    sources = F.array_join(F.transform("upstream_sources", lambda s: F.concat(F.coalesce(s["schema"], F.lit("-")), F.lit("."), s["table_name"])), ",")
+    return lin.select("model", "schema", "description", F.array_join("upstream_models", ",").alias("upstream_models"), sources.alias("upstream_sources"),
+                      F.array_join("downstream_models", ",").alias("downstream_models"), "dependency_chain")
+
+
+def q_upstream_details(spark: SparkSession, sf: str) -> DataFrame:
+    """Every order's upstream customer model with its schema, description and sources."""
+    d = lineage.upstream_details(part_nodes_input(spark, sf)[0]).select("unique_id", F.explode("upstream_details").alias("d"))
+    return d.select("unique_id", F.col("d.model").alias("up_model"), F.col("d.schema").alias("up_schema"), F.col("d.description").alias("up_description"),
+                    F.array_join("d.depends_on_sources", ",").alias("up_sources"))
+
+
+def q_metadata_targets(spark: SparkSession, sf: str) -> DataFrame:
+    """The tables to inspect for every order and customer."""
+    nodes, sources = part_nodes_input(spark, sf)
+    return lineage.metadata_targets(lineage.lineage(nodes, sources), nodes)
+
+
 REGISTRY = {
     "fct_sales": q_fct_sales,
     "silver_sales": q_silver_sales,
@@ -602,4 +677,7 @@ REGISTRY = {
     "missing_partitions": q_missing_partitions,
     "orphans": q_orphans,
     "grain": q_grain,
+    "lineage": q_lineage,
+    "upstream_details": q_upstream_details,
+    "metadata_targets": q_metadata_targets,
 }

@@ -263,7 +263,7 @@ _MODEL = ("CASE task_id WHEN 'run_dbt_silver_sales' THEN 'silver_sales' "
           "ELSE CASE WHEN starts_with(task_id, 'run_dbt_') THEN substr(task_id, 9) END END")
 ORACLE["intake"] = f"""
 SELECT 'INC-' || strftime(ts, '%Y%m%d%H%M%S') || '-' ||
-       substr(md5(concat_ws('|', dag_id, task_id, run_id, error_message, '', ts_text)), 1, 6) AS incident_id,
+       substr(md5(concat_ws('|', dag_id, task_id, run_id, error_message, '', ts_text)), 1, 16) AS incident_id,
        COALESCE(pipeline_name, dag_id) AS pipeline_name, 'error' AS severity, task_id,
        {_MODEL} AS dbt_model, run_id
 FROM ({TRIGGERS})
@@ -473,13 +473,13 @@ FROM conversations
 _WORDS = "COALESCE(len(regexp_extract_all({x}, '[^ \\t\\n\\r\\f]+')), 0)"
 ORACLE["usage_cost"] = f"""
 WITH c AS (
-  SELECT *, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (
-              PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_user
+  SELECT *, count(*) FILTER (role = 'assistant') OVER (
+              PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS call
   FROM conversations),
-a AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS stage_no FROM c WHERE role = 'assistant'),
-u AS (SELECT conv_id, ['signal_extraction', 'classification', 'code_inspection', 'root_cause_reasoning',
-                       'fix_generation'][stage_no] AS node,
-             {_WORDS.format(x='prev_user')} AS input_tokens, {_WORDS.format(x='text')} AS output_tokens FROM a)
+u AS (SELECT conv_id, call,
+             ['signal_extraction', 'classification', 'code_inspection', 'root_cause_reasoning', 'fix_generation'][call + 1] AS node,
+             coalesce(sum({_WORDS.format(x='text')}) FILTER (role IS DISTINCT FROM 'assistant'), 0) AS input_tokens,
+             coalesce(sum({_WORDS.format(x='text')}) FILTER (role = 'assistant'), 0) AS output_tokens FROM c GROUP BY conv_id, call)
 SELECT conv_id, COUNT(*) AS calls, CAST(SUM(input_tokens) AS BIGINT) AS input_tokens,
        CAST(SUM(output_tokens) AS BIGINT) AS output_tokens,
        round(SUM(CASE WHEN node IN ('signal_extraction', 'classification')
@@ -503,11 +503,16 @@ FROM b FULL OUTER JOIN c ON b.event_type = c.event_type AND b.pattern = c.patter
 """
 
 ORACLE["rolling_deviation"] = """
-WITH d AS (SELECT event_type, CAST(ts AS DATE) AS day, COUNT(*) AS rows FROM events GROUP BY 1, 2),
+WITH n AS (SELECT event_type, CAST(ts AS DATE) AS day, COUNT(*) AS rows FROM events WHERE ts IS NOT NULL GROUP BY 1, 2),
+cal AS (SELECT k.event_type, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS day
+        FROM (SELECT DISTINCT event_type FROM n) k, (SELECT min(day) AS lo, max(day) AS hi FROM n)),
+d AS (SELECT cal.event_type, cal.day, COALESCE(rows, 0) AS rows FROM cal LEFT JOIN n USING (event_type, day)),
 m AS (SELECT *, AVG(rows) OVER (PARTITION BY event_type ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)
                 AS trailing_mean FROM d)
-SELECT event_type, day, rows, trailing_mean, (rows - trailing_mean) / trailing_mean AS deviation,
-       COALESCE(abs((rows - trailing_mean) / trailing_mean) > 0.5, false) AS flagged
+SELECT event_type, day, rows, trailing_mean,
+       CASE WHEN trailing_mean > 0 THEN (rows - trailing_mean) / trailing_mean END AS deviation,
+       CASE WHEN trailing_mean = 0 THEN rows > 0
+            ELSE COALESCE(abs((rows - trailing_mean) / trailing_mean) > 0.5, false) END AS flagged
 FROM m
 """
 
@@ -546,3 +551,137 @@ def _grain(table, cols):
 ORACLE["grain"] = " UNION ALL ".join([_grain("lineitem", ["l_orderkey", "l_linenumber"]),
                                       _grain("lineitem", ["l_orderkey"]),
                                       _grain("conversations", ["conv_id", "turn"])])
+
+# --- evidence, reports, context ----------------------------------------------------------------
+
+_BRONZE_SALES = """SELECT CAST(l_orderkey * 8 + l_linenumber AS VARCHAR) AS order_id, CAST(l_suppkey AS VARCHAR) AS customer_id,
+  strftime(l_shipdate, '%Y-%m-%d') AS order_date, 'part-' || CAST(l_partkey AS VARCHAR) AS product,
+  CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS quantity, CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR) AS unit_price FROM lineitem"""
+_BRONZE_CUSTOMERS = """SELECT CAST(c_custkey AS VARCHAR) AS customer_id, ' ' || lower(c_name) || ' ' AS customer_name,
+  c_name || '@Example.COM' AS email, ' ' || lower(c_mktsegment) AS region FROM customer"""
+_FCT = f"""SELECT s.customer_id, c.customer_name, c.region, s.order_date, COUNT(*) AS order_count, SUM(s.total_amount) AS daily_revenue
+  FROM ({SILVER_SALES}) s LEFT JOIN ({SILVER_CUSTOMERS}) c USING (customer_id) GROUP BY 1, 2, 3, 4"""
+# registered table -> statement, columns
+_TABLES = {
+    ("bronze", "sales"): (_BRONZE_SALES, ["order_id", "customer_id", "order_date", "product", "quantity", "unit_price"]),
+    ("bronze", "customers"): (_BRONZE_CUSTOMERS, ["customer_id", "customer_name", "email", "region"]),
+    ("silver", "silver_sales"): (SILVER_SALES, ["order_id", "customer_id", "order_date", "product", "quantity", "unit_price", "total_amount"]),
+    ("silver", "silver_customers"): (SILVER_CUSTOMERS, ["customer_id", "customer_name", "email", "region"]),
+    ("gold", "fct_sales"): (_FCT, ["customer_id", "customer_name", "region", "order_date", "order_count", "daily_revenue"]),
+}
+
+
+def _table_evidence(schema, table, sql, columns):
+    """template, column, value and row count of every check that the table can have."""
+    row = lambda template, column, value, n, rest: (
+        f"SELECT '{schema}' AS schema, '{table}' AS \"table\", '{template}' AS template, {column} AS about, {value} AS value, {n} AS row_count {rest}")
+    t = f"FROM (SELECT * FROM {schema}_{table})"
+    out = [row("row_count", "NULL", "CAST(COUNT(*) AS VARCHAR)", "1", t), row("column_presence", "NULL", "NULL", str(len(columns)), "")]
+    for c in columns:
+        dup = f"FROM (SELECT COUNT(*) AS cnt FROM {schema}_{table} GROUP BY {c}) WHERE cnt > 1"
+        out += [row("null_check", f"'{c}'", f"CAST(COUNT(*) FILTER ({c} IS NULL) AS VARCHAR)", "1", t),
+                row("duplicate_total", f"'{c}'", "CAST(COUNT(*) AS VARCHAR)", "1", dup),
+                row("duplicate_check", f"'{c}'", "NULL", "least(10, COUNT(*))", dup),
+                row("invalid_cast_check", f"'{c}'", "NULL", f"least(20, COUNT(*) FILTER (NOT regexp_matches(CAST({c} AS VARCHAR), '^[0-9]+$')))", t)]
+    if "order_date" in columns:
+        out.append(row("freshness", "'order_date'", "CAST(MAX(order_date) AS VARCHAR)", "1", t))
+    return out
+
+
+_WITH_TABLES = ", ".join(f"{s}_{t} AS MATERIALIZED ({sql})" for (s, t), (sql, _) in _TABLES.items())
+_EVIDENCE = " UNION ALL ".join(e for (s, t), (sql, cols) in _TABLES.items() for e in _table_evidence(s, t, sql, cols))
+_KNOWN = ", ".join(f"('{s}', '{t}')" for s, t in _TABLES)
+ORACLE["run_checks"] = f"""
+WITH {_WITH_TABLES}, ev AS ({_EVIDENCE}),
+p AS (SELECT DISTINCT incident_id, schema, "table", template,
+             CASE template WHEN 'freshness' THEN 'order_date' WHEN 'row_count' THEN NULL WHEN 'column_presence' THEN NULL ELSE "column" END AS about
+      FROM ({ORACLE["plan_checks"]}) WHERE "table" IS NOT NULL)
+SELECT p.incident_id, p.schema, p."table", p.template, p.about AS column_name, ev.value, CAST(coalesce(ev.row_count, 0) AS BIGINT) AS row_count,
+       CASE WHEN (p.schema, p."table") NOT IN ({_KNOWN}) THEN 'relation "' || p.schema || '.' || p."table" || '" does not exist'
+            WHEN ev.template IS NULL THEN 'column "' || p.about || '" does not exist' END AS error
+FROM p LEFT JOIN ev ON p.schema = ev.schema AND p."table" = ev."table" AND p.template = ev.template AND p.about IS NOT DISTINCT FROM ev.about
+"""
+
+ORACLE["reports"] = f"""
+WITH r AS ({ORACLE["resolve_error"]}), txt AS ({LOG_TEXTS}),
+facts AS (SELECT log_id, round(0.5 + COUNT(*) FILTER (contains(line, '] ERROR - ')) / COUNT(*), 4) AS stated, COUNT(*) >= 10 AS logs_available FROM ({LOG_LINES}) GROUP BY log_id),
+ev AS (SELECT incident_id, COUNT(*) FILTER (error IS NULL) AS n FROM ({ORACLE["run_checks"]}) GROUP BY 1),
+j AS (SELECT r.log_id, r.error_type, r.error_message, {_CLASS} AS failure_class, coalesce(ev.n, 0) AS n, stated, logs_available,
+             nullif(regexp_extract(log_text, {_q('(?i)model (\\w+)')}, 1), '') AS model,
+             nullif(regexp_extract(log_text, {_q(_TBL)}, 2), '') AS "table",
+             nullif(regexp_extract(log_text, {_q('(?i)column "(\\w+)"')}, 1), '') AS "column"
+      FROM r JOIN txt USING (log_id) JOIN facts USING (log_id) LEFT JOIN ev ON ev.incident_id = r.log_id),
+c AS (SELECT *, least(stated, CASE WHEN logs_available THEN 1.0 ELSE 0.7 END, CASE WHEN n > 0 THEN 1.0 ELSE 0.5 END) AS confidence FROM j)
+SELECT log_id AS incident_id, failure_class,
+       coalesce(nullif(concat_ws(' ', model || ' model failed', CASE WHEN error_type <> '' AND error_type <> 'unknown' THEN 'with ' || error_type END,
+                                 CASE WHEN error_message <> '' THEN '— ' || substr(error_message, 1, 200) END), ''), 'Pipeline failure detected') AS what_failed,
+       coalesce(nullif(error_message, ''), 'Failure mechanism not determined') AS how_it_failed,
+       coalesce("table", '') AS "table", coalesce("column", '') AS "column", CAST(n AS BIGINT) AS database_evidence_count, CAST(round(confidence, 4) AS DOUBLE) AS confidence,
+       CASE WHEN confidence >= 0.8 THEN 'high' WHEN confidence >= 0.5 THEN 'medium' ELSE 'low' END AS band
+FROM c
+"""
+
+ORACLE["pack_context"] = f"""
+WITH RECURSIVE p AS MATERIALIZED (
+  SELECT doc_id, CAST(line_no AS INTEGER) AS ordinal, line, {_WORDS.format(x='line')} AS tokens FROM ({ORACLE["split_lines"]})),
+f AS (
+  SELECT doc_id, CAST(-1 AS INTEGER) AS ordinal, CAST(800 AS BIGINT) AS rest, CAST(0 AS BIGINT) AS keep FROM (SELECT DISTINCT doc_id FROM p)
+  UNION ALL
+  SELECT p.doc_id, p.ordinal,
+         CAST(CASE WHEN line = '' THEN rest WHEN tokens <= rest THEN rest - tokens WHEN rest > 50 THEN 10 ELSE rest END AS BIGINT),
+         CAST(CASE WHEN line = '' THEN 0 WHEN tokens <= rest THEN tokens WHEN rest > 50 THEN rest - 10 ELSE 0 END AS BIGINT)
+  FROM f JOIN p ON p.doc_id = f.doc_id AND p.ordinal = f.ordinal + 1)
+SELECT p.doc_id, p.ordinal, 'line_' || CAST(p.ordinal AS VARCHAR) AS label, keep AS kept_tokens,
+       CASE WHEN keep <= 0 THEN '' WHEN keep >= tokens THEN line
+            ELSE array_to_string(regexp_extract_all(line, '[^ \\t\\n\\r\\f]+')[1:keep], ' ') END AS packed_text
+FROM p JOIN f ON p.doc_id = f.doc_id AND p.ordinal = f.ordinal
+"""
+
+# --- lineage ---------------------------------------------------------------------------------
+
+NODES = """
+SELECT 'model.tpch.order_' || o_orderkey AS unique_id, 'order_' || o_orderkey AS model, 'gold' AS schema, o_orderpriority AS description,
+       ['silver_customer_' || o_custkey] AS upstream_models,
+       coalesce((SELECT list('part_' || l_partkey ORDER BY l_linenumber, l_partkey) FROM lineitem WHERE l_orderkey = o_orderkey), []) AS sources
+FROM orders
+UNION ALL
+SELECT 'model.tpch.silver_customer_' || c_custkey, 'silver_customer_' || c_custkey, 'silver', c_mktsegment, [], ['nation_' || c_nationkey] FROM customer
+"""
+_PART_SCHEMA = "CASE WHEN starts_with(s, 'nation_') THEN 'bronze' WHEN CAST(substr(s, 6) AS INTEGER) % 7 <> 0 THEN 'raw' END"
+LINEAGE = f"""
+SELECT n.*, list_transform(sources, lambda s: struct_pack(schema := {_PART_SCHEMA}, "table" := s)) AS upstream_sources,
+       CASE WHEN n.schema = 'silver' THEN coalesce((SELECT list('order_' || o_orderkey ORDER BY 'order_' || o_orderkey) FROM orders
+                                                   WHERE 'silver_customer_' || o_custkey = n.model), []) ELSE [] END AS downstream_models
+FROM ({NODES}) n
+"""
+ORACLE["lineage"] = f"""
+SELECT model, schema, description, array_to_string(upstream_models, ',') AS upstream_models,
+       array_to_string(list_transform(upstream_sources, lambda s: coalesce(s.schema, '-') || '.' || s."table"), ',') AS upstream_sources,
+       array_to_string(downstream_models, ',') AS downstream_models,
+       concat_ws(' → ', nullif(array_to_string(list_transform(upstream_sources, lambda s: coalesce(s.schema, 'bronze') || '.' || s."table"), ' + '), ''),
+                 nullif(array_to_string(upstream_models, ' + '), ''), model, nullif(array_to_string(downstream_models, ' + '), '')) AS dependency_chain
+FROM ({LINEAGE})
+"""
+ORACLE["upstream_details"] = f"""
+SELECT n.unique_id, d.model AS up_model, d.schema AS up_schema, d.description AS up_description, array_to_string(d.sources, ',') AS up_sources
+FROM ({NODES}) n JOIN ({NODES}) d ON d.model = n.upstream_models[1]
+"""
+ORACLE["metadata_targets"] = f"""
+SELECT DISTINCT model, s.schema, s."table" FROM (SELECT model, unnest(upstream_sources) AS s FROM ({LINEAGE}))
+UNION SELECT model, 'silver', unnest(upstream_models) FROM ({NODES})
+"""
+ORACLE["upstream_checks"] = f"""
+WITH bad AS (SELECT * FROM ({LINEAGE}) WHERE description IN ('1-URGENT', 'BUILDING')),
+up AS (SELECT DISTINCT unique_id, schema, coalesce(t.schema, 'bronze') AS s, t."table" AS t FROM (
+         SELECT unique_id, schema, unnest(upstream_sources || list_transform(upstream_models, lambda m: struct_pack(schema := 'silver', "table" := m))) AS t FROM bad)),
+known AS (
+  SELECT 'raw' AS s, 'part_' || k AS t, COUNT(l_partkey) AS n, COUNT(l_partkey) - COUNT(l_quantity) AS nulls, true AS has_column
+  FROM (SELECT unnest([1, 2]) AS k) LEFT JOIN lineitem ON l_partkey = k GROUP BY k
+  UNION ALL SELECT 'bronze', 'nation_3', COUNT(*), NULL, false FROM customer WHERE c_nationkey = 3),
+asked AS (SELECT *, 'row_count' AS template, NULL AS column_name FROM up
+          UNION ALL SELECT *, 'null_check', 'l_quantity' FROM up WHERE schema = 'gold')
+SELECT unique_id AS incident_id, 'upstream:' || a.s || '.' || a.t AS context, template, column_name,
+       CASE WHEN template = 'row_count' THEN CAST(n AS VARCHAR) ELSE CAST(nulls AS VARCHAR) END AS value,
+       CASE WHEN k.t IS NULL THEN 'relation "' || a.s || '.' || a.t || '" does not exist' END AS error
+FROM asked a LEFT JOIN known k ON a.s = k.s AND a.t = k.t
+"""

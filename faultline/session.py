@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -42,29 +41,22 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def apply_session_conf(spark: SparkSession) -> None:
     """Apply the runtime-settable defaults to an existing session."""
     for k, v in DEFAULT_CONF.items():
-        if k in ("spark.ui.enabled",):
-            continue
-        try:
+        if spark.conf.isModifiable(k):
             spark.conf.set(k, v)
-        except Exception:  # static conf on a running session
-            pass
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's shared checkpoint folder.
+    """The cluster's shared checkpoint folder, as ``spark.checkpoint.dir`` names it.
 
-    The cluster names it in ``spark.checkpoint.dir``; only when it is unset
-    (local tests) do we create a scratch folder.
+    Only a local master without one gets a scratch folder; a cluster session
+    without one is an error, since executors could not read each other's files.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="faultline-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(d)
     return d
-
-
-def shared_path(spark: SparkSession, *parts: str) -> str:
-    """A path under the shared checkpoint folder (for written intermediate tables)."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base.rstrip("/"), *parts)

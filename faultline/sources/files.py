@@ -8,13 +8,12 @@ job never leaves a half-written table under the name readers use.
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faultline.functions.text import split_lines
+from faultline.sources import store
 
 # --- declared bronze / memory schemas (fixed values) -------------------------
 
@@ -77,6 +76,7 @@ _NODE = T.StructType([
     T.StructField("description", T.StringType()),
     T.StructField("path", T.StringType()),
     T.StructField("original_file_path", T.StringType()),
+    T.StructField("config", T.MapType(T.StringType(), T.StringType())),
 ])
 _SOURCE = T.StructType([
     T.StructField("source_name", T.StringType()),
@@ -100,11 +100,10 @@ TASK_LOG = T.StructType([
     T.StructField("run_id", T.StringType()),
     T.StructField("task_id", T.StringType()),
     T.StructField("try_number", T.IntegerType()),
-    T.StructField("content", T.ArrayType(T.StructType([
-        T.StructField("timestamp", T.StringType()),
-        T.StructField("level", T.StringType()),
-        T.StructField("event", T.StringType())]))),
+    # a list of entries (objects or plain strings) or one string: raw JSON text
+    T.StructField("content", T.StringType()),
 ])
+LOG_ENTRY = "timestamp string, level string, event string"
 TASK_INSTANCE = T.StructType([
     T.StructField("dag_id", T.StringType()),
     T.StructField("run_id", T.StringType()),
@@ -148,27 +147,30 @@ def check_csv_header(spark: SparkSession, path: str, schema: T.StructType) -> di
 
 def write_versioned(df: DataFrame, base: str, observation: Observation | None = None,
                     partition_by: list[str] | None = None) -> str:
-    """Full refresh as a new version folder plus a pointer file.
+    """Full refresh as a new version folder plus a pointer row.
 
-    Plain overwrite is not atomic; readers follow ``_CURRENT`` which is only
-    rewritten after the data is committed.
+    Plain overwrite is not atomic; readers follow the newest pointer, which is
+    appended only after the data is committed.
     """
-    version = uuid.uuid4().hex[:12]
-    target = os.path.join(base, f"v={version}")
+    spark = df.sparkSession
+    seq = store.next_seq(spark, base)
+    target = store.fresh_folder(base, seq)
     if observation is not None:
         df = df.observe(observation, F.count(F.lit(1)).alias("rows_loaded"))
     w = df.write.mode("errorifexists")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(target)
-    spark = df.sparkSession
-    spark.createDataFrame([(target,)], "path string").coalesce(1) \
-        .write.mode("overwrite").text(os.path.join(base, "_CURRENT"))
+    store.commit(spark, base, {0: target}, seq)
     return target
 
 
 def current_version(spark: SparkSession, base: str) -> str:
-    return spark.read.text(os.path.join(base, "_CURRENT")).first()[0]
+    """The newest complete version's folder; raises when there is none."""
+    paths = store.current(spark, base)
+    if not paths:
+        raise FileNotFoundError(f"no version of {base}")
+    return paths[0]
 
 
 def load_bronze(spark: SparkSession, csv_path: str, schema: T.StructType, base: str) -> tuple[str, int]:
@@ -183,7 +185,8 @@ def load_bronze(spark: SparkSession, csv_path: str, schema: T.StructType, base:
 
 
 def table(spark: SparkSession, root: str, layer: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(root, layer, name))
+    """The newest version of a named table."""
+    return spark.read.parquet(current_version(spark, os.path.join(root, layer, name)))
 
 
 # --- S6 / S7: model artifacts --------------------------------------------------
@@ -205,7 +208,8 @@ def read_nodes(spark: SparkSession, manifest_path: str) -> DataFrame:
         F.col("n.columns").alias("columns"),
         F.coalesce(F.col("n.description"), F.lit("")).alias("description"),
         F.coalesce(F.col("n.path"), F.lit("")).alias("path"),
-        F.coalesce(F.col("n.original_file_path"), F.lit("")).alias("original_file_path")))
+        F.coalesce(F.col("n.original_file_path"), F.lit("")).alias("original_file_path"),
+        F.coalesce(F.col("n.config"), F.create_map().cast("map<string,string>")).alias("config")))
 
 
 def read_sources(spark: SparkSession, manifest_path: str) -> DataFrame:
@@ -230,6 +234,22 @@ def read_run_results(spark: SparkSession, path: str) -> DataFrame:
 # --- S8 / S9 / S10: task logs and task instances -------------------------------
 
 
+def _entries(logs: DataFrame):
+    """The content as an array of (timestamp, level, event); a plain string,
+    as the whole content or as an entry, is an event alone."""
+    c = F.col("content")
+    if not isinstance(logs.schema["content"].dataType, T.StringType):
+        return c
+    items = F.when(F.trim(c).startswith("["), F.from_json(c, "array<string>")).otherwise(F.array(c))
+
+    def entry(x):
+        parsed = F.when(F.trim(x).startswith("{"), F.from_json(x, LOG_ENTRY))
+        plain = F.struct(F.lit(None).cast("string").alias("timestamp"), F.lit(None).cast("string").alias("level"), x.alias("event"))
+        return F.coalesce(parsed, plain)
+
+    return F.when(c.isNotNull(), F.transform(items, entry))
+
+
 def task_log_lines(logs: DataFrame) -> DataFrame:
     """Structured entries -> numbered text lines.
 
@@ -237,7 +257,7 @@ def task_log_lines(logs: DataFrame) -> DataFrame:
     non-empty; otherwise the entry is dropped. Level defaults to info.
     """
     e = logs.select("dag_id", "run_id", "task_id", "try_number",
-                    F.posexplode("content").alias("entry_no", "e"))
+                    F.posexplode(_entries(logs)).alias("entry_no", "e"))
     ts = F.col("e.timestamp")
     ev = F.coalesce(F.col("e.event"), F.lit(""))
     line = (F.when(F.coalesce(ts, F.lit("")) != "",
@@ -259,7 +279,7 @@ def task_log_texts(logs: DataFrame) -> DataFrame:
                                            F.coalesce(x["event"], F.lit("")))) \
         .when(F.coalesce(x["event"], F.lit("")) != "", x["event"])
     return logs.select("dag_id", "run_id", "task_id", "try_number",
-                       F.array_join(F.transform(F.col("content"), fmt), "\n").alias("log_text"))
+                       F.array_join(F.transform(_entries(logs), fmt), "\n").alias("log_text"))
 
 
 def read_task_logs(spark: SparkSession, path: str) -> DataFrame:
@@ -339,8 +359,3 @@ def profile_datasets(tables: dict[str, DataFrame]) -> DataFrame:
                          dcol.alias("date_column"), "min_value", "max_value")
         out = row if out is None else out.unionByName(row)
     return out
-
-
-def split_text_lines(df: DataFrame, key: str, text: str) -> DataFrame:
-    """L0: (key, line_no, line) from a text column, 0-based line numbers."""
-    return df.select(key, F.posexplode(split_lines(F.col(text))).alias("line_no", "line"))

@@ -1,18 +1,18 @@
 """Failure triggers as a stream -> intake -> classification -> upsert.
 
-Each micro-batch is upserted into a versioned Parquet store; the key-based
-upsert makes a replayed batch harmless, so exactly-once output follows from
-the checkpointed source offsets without a watermark.
+Each micro-batch is upserted into a versioned Parquet store. A replayed batch
+starts from the versions before it and replaces its own earlier result, so
+exactly-once output follows from the checkpointed source offsets without a
+watermark.
 """
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.operators import incidents, logs, memory
+from faultline.sources import store
 from faultline.sources.files import TRIGGER
 
 
@@ -36,27 +36,25 @@ def triggers_to_incidents(triggers: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("fix_summary"), F.lit(None).cast("string").alias("prevention_summary"),
         F.to_json(F.struct("error_type", "sql_state_code")).alias("evidence_json"),
         F.lit(False).alias("validated"), F.lit(None).cast("array<float>").alias("embedding"),
-        F.col("incident_id").alias("_order"))
+        # duplicates of an id apply by trigger time, then by a hash of the payload
+        F.struct(F.try_to_timestamp("timestamp").alias("at"), F.xxhash64("run_id", "task_id", "error_message", "question").alias("hash")).alias("_order"))
 
 
 def start_upsert_stream(spark: SparkSession, trigger_path: str, store_path: str, checkpoint: str,
                         available_now: bool = True):
-    """Run the trigger stream; each batch writes a new store version
-    (``store_path/v=<batch>``) and moves ``_CURRENT`` to it."""
+    """Run the trigger stream; each batch is merged into the store as version
+    ``batch id + 1``. Only the key buckets that a batch touches are rewritten."""
     def upsert_batch(batch: DataFrame, batch_id: int) -> None:
         rows = triggers_to_incidents(batch)
-        cur = os.path.join(store_path, "_CURRENT")
-        try:
-            prev = spark.read.text(cur).first()[0]
-            store = spark.read.schema(memory.INCIDENT_SCHEMA).parquet(prev)
-        except Exception:  # first batch: empty store
-            store = spark.createDataFrame([], memory.INCIDENT_SCHEMA)
-        out = memory.upsert(store, rows, ["_order"])
-        target = os.path.join(store_path, f"v={batch_id:012d}")
-        out.write.mode("overwrite").parquet(target)
-        spark.createDataFrame([(target,)], "path string").coalesce(1).write.mode("overwrite").text(cur)
+        store.merge(store_path, rows, "incident_id", memory.INCIDENT_SCHEMA, batch_id + 1,
+                    lambda old, new: memory.upsert(old, new, ["_order"]))
 
     w = trigger_stream(spark, trigger_path).writeStream.foreachBatch(upsert_batch) \
         .option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()
+
+
+def read_store(spark: SparkSession, store_path: str) -> DataFrame:
+    """The incidents of the newest version."""
+    return store.read(spark, store_path, memory.INCIDENT_SCHEMA)
