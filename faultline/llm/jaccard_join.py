@@ -18,7 +18,7 @@ than ``slack`` of them, so no link is lost.
 Sets that share a signature are first compared with the least of them (a star,
 not all pairs; the least is found per task before the shuffle). Only groups
 whose members are not yet connected are opened: their members in different
-components are compared by a parity sketch, a bound on how far the sets
+components are compared by parity sketches, a bound on how far the sets
 differ, and then exactly. Equal sets are one node throughout.
 
 Defined cases: no words or null text give an empty set, linked with nothing; a
@@ -237,13 +237,27 @@ def _meet(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(c) for c in out], schema=MEMBER_ARROW)
 
 
-SET = "key long, n long, items binary, sketch binary"
-SET_ARROW = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("items", pa.binary()), ("sketch", pa.binary())])
+SET = "key long, n long, items binary, sketch binary, wide binary"
+SET_ARROW = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("items", pa.binary()), ("sketch", pa.binary()), ("wide", pa.binary())])
 
 
-def parity_sketch(items: np.ndarray) -> bytes:
+def parity_sketch(items: np.ndarray, bits: int = SKETCH_BITS) -> bytes:
     """Each element flips one bit: two sketches differ in no more bits than the sets in elements."""
-    return np.packbits(np.bincount((items >> np.uint64(20)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS) & 1).tobytes()
+    return np.packbits(np.bincount((items >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1).tobytes()
+
+
+def wide_sketch(items: np.ndarray) -> bytes:
+    """A parity sketch of four bits an element or more, a power of two."""
+    return parity_sketch(items, max(SKETCH_BITS, 1 << (4 * len(items) - 1).bit_length()))
+
+
+def sketch_distance(x: bytes, y: bytes) -> int:
+    """Differing bits of two sketches; the longer one is folded to the length of the other."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    while len(a) != len(b):
+        a, b = (a, b) if len(a) > len(b) else (b, a)
+        a = a[:len(a) // 2] ^ a[len(a) // 2:]
+    return int(np.bitwise_count(a ^ b).sum())
 
 
 def _set_writer(wanted, with_items: bool):
@@ -258,13 +272,15 @@ def _set_writer(wanted, with_items: bool):
             flat, first = sets_of(part)
             keys = set_keys(flat, first).view(np.int64)
             own = [flat[first[t]: first[t + 1]] for t in range(part.num_rows)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.diff(first).astype(np.int64)), pa.array([x.tobytes() if with_items else None for x in own], pa.binary()),
-                                              pa.array([parity_sketch(x) for x in own], pa.binary())], schema=SET_ARROW)
+            columns = [[pack(np.diff(x, prepend=np.uint64(0))) for x in own], None, None] if with_items else \
+                [None, [parity_sketch(x) for x in own], [wide_sketch(x) for x in own]]
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.diff(first).astype(np.int64)),
+                                              *(pa.nulls(len(own), pa.binary()) if c is None else pa.array(c, pa.binary()) for c in columns)], schema=SET_ARROW)
     return write
 
 
 def sets_of_nodes(texts: DataFrame, keys: DataFrame, nodes: DataFrame, with_items: bool, name: str) -> DataFrame:
-    """A row (key, n, items, sketch) for each of the nodes, from one document of each; items are null unless asked for."""
+    """A row (key, n, and its items or its sketches) for each of the nodes, from one document of each."""
     chosen = written(keys.join(nodes, "key").groupBy("key").agg(F.min("doc_id").alias("doc_id")), f"{name}-documents")
     wanted = texts.sparkSession.sparkContext.broadcast(bitmap_of(chosen, "doc_id"))
     found = texts.mapInArrow(_set_writer(wanted, with_items), SET)
@@ -285,7 +301,7 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b = batch.column("items_a").to_pylist(), batch.column("items_b").to_pylist()
-        ok = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b)]
+        ok = [linked(np.cumsum(unpack(x, np.uint64)), np.cumsum(unpack(y, np.uint64))) for x, y in zip(a, b)]
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
@@ -302,12 +318,22 @@ def near_enough(x: np.ndarray, y: np.ndarray, n_a: np.ndarray, n_b: np.ndarray)
     return (DEN * np.minimum(n_a, n_b) >= NUM * np.maximum(n_a, n_b)) & ((DEN + NUM) * apart <= (DEN - NUM) * (n_a + n_b))
 
 
+def _may_link_wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        apart = [sketch_distance(x, y) for x, y in zip(batch.column("wide_a").to_pylist(), batch.column("wide_b").to_pylist())]
+        total = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(
+            pa.array((DEN + NUM) * np.array(apart, np.int64) <= (DEN - NUM) * total))
+
+
 def not_ruled_out(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sizes and sketches allow a link."""
-    small = sketches.select("key", "n", "sketch")
-    for side in ("a", "b"):
-        pairs = pairs.join(small.select(F.col("key").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}")), side)
-    return pairs.mapInArrow(_may_link, "a long, b long")
+    """The pairs (a, b) whose sizes, small sketches and then wide ones allow a link."""
+    for sketch, check in (("sketch", _may_link), ("wide", _may_link_wide)):
+        small = sketches.select("key", "n", sketch)
+        for side in ("a", "b"):
+            pairs = pairs.join(small.select(F.col("key").alias(side), F.col("n").alias(f"n_{side}"), F.col(sketch).alias(f"{sketch}_{side}")), side)
+        pairs = pairs.mapInArrow(check, "a long, b long")
+    return pairs
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -358,15 +384,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     marked = _with_root(_with_root(members, roots, "node", "comp"), roots, "head", "head_comp")
     marked = written(marked, "marked-signatures")
     # a signature of one pair has been decided; one of more members is open if they aren't all connected
-    open_sigs = (marked.groupBy("sig").agg(F.max((F.col("comp") != F.col("head_comp")).cast("int")).alias("apart"), F.min("node").alias("x"), F.max("node").alias("y"))
-                 .where("apart = 1 and x <> y").select("sig"))
-    left = marked.join(open_sigs, "sig", "left_semi")
-    left = left.select("sig", "node", "head", "comp").union(left.select("sig", "head", "head", "head_comp")).distinct()
-    left = left.join(sketches.select(F.col("key").alias("node"), "n", "sketch"), "node").withColumn("bucket", F.pmod("sig", F.lit(buckets)))
+    # signatures of one head go to a few buckets together, as their members form the same pairs
+    open_sigs = (marked.groupBy("sig").agg(F.max((F.col("comp") != F.col("head_comp")).cast("int")).alias("apart"), F.min("node").alias("x"), F.max("node").alias("y"),
+                                           F.pmod(F.xxhash64(F.min("head"), F.pmod("sig", F.lit(4))), F.lit(buckets)).alias("bucket"))
+                 .where("apart = 1 and x <> y").select("sig", "bucket"))
+    left = marked.join(open_sigs, "sig")
+    left = left.select("bucket", "sig", "node", "head", "comp").union(left.select("bucket", "sig", "head", "head", "head_comp")).distinct()
+    left = left.join(sketches.select(F.col("key").alias("node"), "n", "sketch"), "node")
     more = written(left.groupBy("bucket").applyInArrow(_open_pairs, "a long, b long").distinct()
                    .join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "open-pairs")
     final = roots
     if not more.isEmpty():
+        more = written(not_ruled_out(more, sketches), "open-close-pairs")
         extra = written(verified(more, sets_of_nodes(texts, keys, ends_of(more), True, "open-sets")), "open-links")
         final = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(extra))
 
