@@ -37,6 +37,7 @@ from faultline.llm.storage import written
 WINDOW = 20
 MINIMISER = 3
 PIECE = 3 << 20
+LEVEL = 6
 NO_ID = np.iinfo(np.int64).min
 
 PACKED = "bucket int, texts binary, heads binary, doc long, row long, start int, stop int"
@@ -143,6 +144,7 @@ def _bytes_equal(text: bytes, begin: np.ndarray, end: np.ndarray):
 
 def _packer(buckets: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zstd = pa.Codec("zstd", compression_level=LEVEL)
         for part in tokens.gathered(batches, "text", PIECE):
             words = tokens.hashed_words(part.column("text"))
             at = window_starts(words.first)
@@ -184,8 +186,8 @@ def _packer(buckets: int):
                     packed = b"\n".join([text[x:y] for x, y in zip(b0[i:j], e0[i:j])])
                     h = heads[by[i:j]]
                     about = np.concatenate([doc[h], row[h], start[h].astype(np.int64)]).tobytes()
-                    for column, value in zip(out, (b, len(packed).to_bytes(8, "little") + pa.compress(packed, codec="zstd", asbytes=True),
-                                                   pa.compress(about, codec="zstd", asbytes=True), None, None, j - i, None)):
+                    for column, value in zip(out, (b, len(packed).to_bytes(8, "little") + zstd.compress(packed, asbytes=True),
+                                                   zstd.compress(about, asbytes=True), None, None, j - i, None)):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, PACKED_ARROW)], schema=PACKED_ARROW)
     return pack
@@ -232,36 +234,51 @@ def _count(table: pa.Table) -> pa.Table:
     return pa.concat_tables([found, known.select(["row", "start", "stop"])])
 
 
+def _removed(part: pa.RecordBatch, columns: list[str]) -> pa.RecordBatch:
+    """The columns, n_words, n_removed and kept_text; ``_spans`` holds (start, stop) pairs or null."""
+    words = tokens.split_words(part.column("text"))
+    n = np.diff(words.first)
+    gone = np.zeros(len(words.starts) + 1, np.int64)
+    if "_spans" in part.schema.names:
+        for t, own in enumerate(part.column("_spans").to_pylist()):
+            for span in own or ():
+                gone[words.first[t] + span["start"]] += 1
+                gone[words.first[t] + span["stop"]] -= 1
+    gone = np.cumsum(gone)[:-1] > 0
+    counts = np.concatenate([[0], np.cumsum(gone)])
+    removed = counts[words.first[1:]] - counts[words.first[:-1]]
+    text, begin, end = joined_words(words)
+    kept = []
+    for t in range(part.num_rows):
+        a, b = words.first[t], words.first[t + 1]
+        if a == b:
+            kept.append("")
+            continue
+        i, j = runs(~gone[a:b])
+        kept.append(b" ".join([text[begin[a + x]: end[a + y - 1]] for x, y in zip(i.tolist(), j.tolist())]).decode())
+    return pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(n.astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array(kept, pa.string())],
+                                      names=[*columns, "n_words", "n_removed", "kept_text"])
+
+
 def _remover(columns: list[str]):
-    """Adds n_words, n_removed and kept_text; ``_spans`` holds (start, stop) pairs or is null."""
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in tokens.slices(batch, "text"):
-                words = tokens.split_words(part.column("text"))
-                n = np.diff(words.first)
-                gone = np.zeros(len(words.starts) + 1, np.int64)
-                spans = part.column("_spans").to_pylist() if "_spans" in part.schema.names else [None] * part.num_rows
-                for t, own in enumerate(spans):
-                    for span in own or ():
-                        gone[words.first[t] + span["start"]] += 1
-                        gone[words.first[t] + span["stop"]] -= 1
-                gone = np.cumsum(gone)[:-1] > 0
-                counts = np.concatenate([[0], np.cumsum(gone)])
-                removed = counts[words.first[1:]] - counts[words.first[:-1]]
-                text, begin, end = joined_words(words)
-                kept = []
-                for t in range(part.num_rows):
-                    a, b = words.first[t], words.first[t + 1]
-                    if a == b:
-                        kept.append("")
-                        continue
-                    i, j = runs(~gone[a:b])
-                    kept.append(b" ".join([text[begin[a + x]: end[a + y - 1]] for x, y in zip(i.tolist(), j.tolist())]).decode())
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(n.astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array(kept, pa.string())],
-                                                 names=[*columns, "n_words", "n_removed", "kept_text"])
+            for part in tokens.slices(batch, "text", 2 << 20):
+                yield _removed(part, columns)
     return remove
 
 
+def _of_bitmap(columns: list[str], sent, hit: bool):
+    """Rows that may have a repeated window as they are, or all others finished at once."""
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in tokens.slices(batch, "text", 2 << 20):
+                part = part.filter(pa.array(may_hold(sent.value, part.column("_row").to_numpy()) == hit))
+                if part.num_rows:
+                    yield part if hit else _removed(part, columns)
+    return choose
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(row, start, stop): spans of words covered by repeated windows; ``docs`` has doc_id, text and _row."""
     buckets = 4 * max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -276,14 +293,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     spans = written(repeated_spans(rows), "repeated-spans")
     bitmap = docs.sparkSession.sparkContext.broadcast(bitmap_of(spans.select("row").distinct(), "row"))
 
-    @F.pandas_udf("boolean")
-    def may_repeat(keys):
-        import pandas as pd
-        return pd.Series(may_hold(bitmap.value, keys.to_numpy()))
-
-    marked = rows.withColumn("_hit", may_repeat("_row"))
     own = spans.groupBy(F.col("row").alias("_span_row")).agg(F.collect_list(F.struct("start", "stop")).alias("_spans"))  # at most a text's windows
-    hits = marked.where("_hit").join(own, F.col("_row") == F.col("_span_row"), "left").select(*columns, "_spans")
-    rest = marked.where("not _hit").select(*columns)
-    schema = T.StructType([*rest.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
-    return hits.mapInArrow(_remover(columns), schema).unionByName(rest.mapInArrow(_remover(columns), schema))
+    hits = rows.mapInArrow(_of_bitmap(columns, bitmap, True), rows.schema)
+    hits = hits.join(own, F.col("_row") == F.col("_span_row"), "left").select(*columns, "_spans")
+    schema = T.StructType([*[rows.schema[c] for c in columns], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
+    return hits.mapInArrow(_remover(columns), schema).unionByName(rows.mapInArrow(_of_bitmap(columns, bitmap, False), schema))
