@@ -228,16 +228,33 @@ def _lookup(folder: str):
     return read
 
 
+def _placer(spans: list[tuple[str, str, str]]):
+    """Keys -> (file, key) for each index file whose key range holds the key, by binary search of the ranges."""
+    firsts = [first for first, _, _ in spans]
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            files, keys = [], []
+            for key in batch.column("key").to_pylist():
+                i = bisect.bisect_right(firsts, key) - 1
+                while i >= 0 and spans[i][1] >= key:  # more than one file only for a key at their border
+                    files.append(spans[i][2])
+                    keys.append(key)
+                    i -= 1
+            yield pa.RecordBatch.from_arrays([pa.array(files, pa.string()), pa.array(keys, pa.string())], names=["file", "key"])
+    return place
+
+
 def look_up(keys: DataFrame, shards: DataFrame, folder: str) -> DataFrame:
     """The records of each key of ``keys`` (column key, each once).
 
     The index files' key ranges are the upper level: a row per file, at most
-    as many as sort partitions, joined by range (broadcast, bounded by that
-    number). A key that a third of the captures share may span files.
+    as many as sort partitions, sent to the tasks as a sorted list. A key that
+    a third of the captures share may span files.
     """
-    spans = shards.select("file", "first_key", "last_key")
+    spans = sorted((r["first_key"], r["last_key"], r["file"]) for r in shards.select("first_key", "last_key", "file").collect())
     n = max(1, int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    placed = keys.select("key").join(F.broadcast(spans), (F.col("key") >= F.col("first_key")) & (F.col("key") <= F.col("last_key"))).select("file", "key")
+    placed = keys.select("key").mapInArrow(_placer(spans), "file string, key string")
     return placed.repartition(n, "file").sortWithinPartitions("file", "key").mapInArrow(_lookup(folder), RECORD)
 
 
