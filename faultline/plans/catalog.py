@@ -19,23 +19,27 @@ from faultline.plans.tables import read
 
 
 def bronze_sales_input(spark: SparkSession, sf: str) -> DataFrame:
-    """lineitem as all-text bronze sales rows."""
+    """lineitem as all-text bronze sales rows; every seventh line of an order
+    comes without a date, every part whose key ends in 50 without a customer."""
     li = read(spark, sf, "lineitem")
     return li.select(
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("string").alias("order_id"),
-        F.col("l_suppkey").cast("string").alias("customer_id"),
-        F.date_format("l_shipdate", "yyyy-MM-dd").alias("order_date"),
+        F.when(F.col("l_partkey") % 100 != 50, F.col("l_suppkey").cast("string")).alias("customer_id"),
+        F.when(F.col("l_linenumber") != 7, F.date_format("l_shipdate", "yyyy-MM-dd")).alias("order_date"),
         F.concat(F.lit("part-"), F.col("l_partkey").cast("string")).alias("product"),
         F.col("l_quantity").cast("int").cast("string").alias("quantity"),
         F.col("l_extendedprice").cast(T.DecimalType(18, 2)).cast("string").alias("unit_price"))
 
 
 def bronze_customers_input(spark: SparkSession, sf: str) -> DataFrame:
-    """customer as all-text bronze customer rows (padded, mixed case)."""
+    """customer as all-text bronze customer rows (padded, mixed case); every
+    fifth customer arrives a second time under another name."""
     c = read(spark, sf, "customer")
+    name = F.explode(F.when(F.col("c_custkey") % 5 == 0, F.array(F.lower("c_name"), F.concat(F.lit("a "), F.lower("c_name")))).otherwise(F.array(F.lower("c_name"))))
+    c = c.select("*", name.alias("_name"))
     return c.select(
         F.col("c_custkey").cast("string").alias("customer_id"),
-        F.concat(F.lit(" "), F.lower("c_name"), F.lit(" ")).alias("customer_name"),
+        F.concat(F.lit(" "), F.col("_name"), F.lit(" ")).alias("customer_name"),
         F.concat(F.col("c_name"), F.lit("@Example.COM")).alias("email"),
         F.concat(F.lit(" "), F.lower("c_mktsegment")).alias("region"))
 
@@ -187,8 +191,9 @@ def task_log_lines_input(spark: SparkSession, sf: str) -> DataFrame:
         body = F.format_string(m, F.col("value").cast("int")) if "%d" in m else F.lit(m)
         info = F.when(F.col("event_type") == et, body) if info is None else info.when(F.col("event_type") == et, body)
     message = F.when(F.col("event_type") == "error", msg).otherwise(info)
-    level = F.when(F.col("event_type") == "error", "ERROR").when(F.col("event_type") == "click", "WARNING") \
-        .otherwise("INFO")
+    # few lines are loud: most failures are first reported by an INFO line
+    level = F.when((F.col("event_type") == "error") & (F.col("value") > 100), "ERROR") \
+        .when((F.col("event_type") == "click") & (F.col("value") > 150), "WARNING").otherwise("INFO")
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     return ev.select(F.concat(F.lit("run_"), F.col("user_id").cast("string")).alias("log_id"),
                      (F.row_number().over(w) - 1).alias("line_no"),
@@ -376,23 +381,25 @@ from faultline.plans import rules  # noqa: E402
 
 
 def order_layers(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    """orders through the three layers: text bronze, typed silver, gold fact."""
+    """orders through the three layers: text bronze, typed silver, gold fact.
+    Silver loses every 13th of a month, gold every 27th."""
     o = read(spark, sf, "orders")
     bronze = o.select(F.col("o_orderkey").cast("string").alias("order_id"),
                       F.col("o_custkey").cast("string").alias("customer_id"),
                       F.date_format("o_orderdate", "yyyy-MM-dd").alias("order_date"),
                       F.col("o_totalprice").cast(T.DecimalType(18, 2)).cast("string").alias("total_amount"))
-    silver = bronze.where(F.col("order_date").isNotNull()).select(
+    silver = bronze.where(F.col("order_date").isNotNull() & ~F.col("order_date").endswith("-13")).select(
         F.col("order_id").cast("bigint").alias("order_id"), F.col("customer_id").cast("bigint").alias("customer_id"),
         F.col("order_date").cast("date").alias("order_date"),
         F.col("total_amount").cast(T.DecimalType(18, 2)).alias("total_amount"))
-    gold = medallion.fct_sales(silver, customer_dim_input(spark, sf))
+    gold = medallion.fct_sales(silver.where(F.dayofmonth("order_date") != 27), customer_dim_input(spark, sf))
     return {"bronze.orders": bronze, "silver.silver_orders": silver, "gold.fct_orders": gold}
 
 
 def missing_day_questions(spark: SparkSession, sf: str) -> DataFrame:
-    """A 'missing data' question for every calendar day without orders."""
-    gaps = drift.missing_partitions(read(spark, sf, "orders"), "o_orderdate")
+    """A 'missing data' question for every calendar day between the first and the last order."""
+    span = read(spark, sf, "orders").agg(F.min(F.to_date("o_orderdate")).alias("lo"), F.max(F.to_date("o_orderdate")).alias("hi"))
+    gaps = span.select(F.explode(F.sequence("lo", "hi")).alias("day"))
     lt = F.array(*[F.struct(F.lit(s).alias("schema"), F.lit(t).alias("table"), F.lit(None).cast("string").alias("layer"))
                    for s, t in (("bronze", "orders"), ("silver", "silver_orders"), ("gold", "fct_orders"))])
     q = gaps.select(F.concat(F.lit("Q-"), F.col("day").cast("string")).alias("incident_id"),
@@ -596,7 +603,9 @@ def q_orphans(spark: SparkSession, sf: str) -> DataFrame:
              drift.orphans(li, "l_suppkey", read(spark, sf, "supplier"), "s_suppkey", "lineitem.l_suppkey->supplier"),
              drift.orphans(o, "o_custkey", read(spark, sf, "customer"), "c_custkey", "orders.o_custkey->customer"),
              drift.orphans(read(spark, sf, "labels"), "doc_id", read(spark, sf, "documents"), "doc_id",
-                           "labels.doc_id->documents")]
+                           "labels.doc_id->documents"),
+             drift.orphans(o, "o_custkey", read(spark, sf, "customer").where("c_acctbal > 0"), "c_custkey", "orders.o_custkey->customer in credit"),
+             drift.orphans(read(spark, sf, "documents"), "doc_id", read(spark, sf, "labels"), "doc_id", "documents.doc_id->labels")]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -7,22 +7,22 @@ _PG_INITCAP = ("array_to_string(list_transform(regexp_extract_all(lower({x}), "
 
 SILVER_SALES = """
 SELECT CAST(l_orderkey * 8 + l_linenumber AS INTEGER) AS order_id,
-       CAST(l_suppkey AS INTEGER) AS customer_id,
+       CASE WHEN l_partkey % 100 <> 50 THEN CAST(l_suppkey AS INTEGER) END AS customer_id,
        CAST(l_shipdate AS DATE) AS order_date,
        'part-' || CAST(l_partkey AS VARCHAR) AS product,
        CAST(l_quantity AS INTEGER) AS quantity,
        CAST(l_extendedprice AS DECIMAL(18,2)) AS unit_price,
        CAST(l_quantity AS INTEGER) * CAST(l_extendedprice AS DECIMAL(18,2)) AS total_amount
-FROM lineitem
+FROM lineitem WHERE l_linenumber <> 7
 """
 
 SILVER_CUSTOMERS = f"""
 SELECT DISTINCT ON (CAST(c_custkey AS INTEGER))
        CAST(c_custkey AS INTEGER) AS customer_id,
-       {_PG_INITCAP.format(x="trim(' ' || lower(c_name) || ' ')")} AS customer_name,
+       {_PG_INITCAP.format(x="trim(' ' || arrived || ' ')")} AS customer_name,
        lower(trim(c_name || '@Example.COM')) AS email,
        upper(trim(' ' || lower(c_mktsegment))) AS region
-FROM customer
+FROM (SELECT c_custkey, c_mktsegment, c_name, unnest(CASE WHEN c_custkey % 5 = 0 THEN [lower(c_name), 'a ' || lower(c_name)] ELSE [lower(c_name)] END) AS arrived FROM customer)
 ORDER BY 1, 2, 3, 4
 """
 
@@ -148,7 +148,7 @@ _MSG = ("CASE WHEN event_type = 'error' THEN CASE " +
         "CAST(CAST(trunc(value) AS INTEGER) AS VARCHAR) || ' ms)' "
         "WHEN event_type = 'signup' THEN 'Task started for model silver_sales' "
         "WHEN event_type = 'purchase' THEN 'Inserting batch into gold.fct_sales' END")
-_LEVEL = "CASE WHEN event_type = 'error' THEN 'ERROR' WHEN event_type = 'click' THEN 'WARNING' ELSE 'INFO' END"
+_LEVEL = "CASE WHEN event_type = 'error' AND value > 100 THEN 'ERROR' WHEN event_type = 'click' AND value > 150 THEN 'WARNING' ELSE 'INFO' END"
 LOG_LINES = f"""
 SELECT 'run_' || CAST(user_id AS VARCHAR) AS log_id,
        row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS line_no,
@@ -364,32 +364,24 @@ SELECT d FROM (
                                      INTERVAL 1 DAY)) AS DATE) AS d)
 WHERE d NOT IN (SELECT DISTINCT CAST(o_orderdate AS DATE) FROM orders)
 """
-LAYER_EVIDENCE = f"""
-WITH gaps AS ({ORDER_GAPS}),
-bronze AS (SELECT strftime(o_orderdate, '%Y-%m-%d') AS order_date FROM orders),
-silver AS (SELECT CAST(o_orderdate AS DATE) AS order_date FROM orders),
-gold AS (SELECT CAST(o.o_orderdate AS DATE) AS order_date FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey
-         GROUP BY o.o_custkey, c.c_name, c.c_mktsegment, CAST(o.o_orderdate AS DATE)),
-stats AS (
-  SELECT 'bronze' AS layer, 1 AS ord, 'bronze:bronze.orders' AS context, COUNT(*) AS n,
-         MAX(order_date) AS fresh FROM bronze
-  UNION ALL SELECT 'silver', 2, 'silver:silver.silver_orders', COUNT(*), CAST(MAX(order_date) AS VARCHAR) FROM silver
-  UNION ALL SELECT 'gold', 3, 'gold:gold.fct_orders', COUNT(*), CAST(MAX(order_date) AS VARCHAR) FROM gold),
-part AS (
-  SELECT g.d, 'bronze' AS layer, (SELECT COUNT(*) FROM bronze b WHERE b.order_date = CAST(g.d AS VARCHAR)) AS n
-  FROM gaps g
-  UNION ALL SELECT g.d, 'silver', (SELECT COUNT(*) FROM silver s WHERE s.order_date = g.d) FROM gaps g
-  UNION ALL SELECT g.d, 'gold', (SELECT COUNT(*) FROM gold x WHERE x.order_date = g.d) FROM gaps g)
-SELECT 'Q-' || CAST(p.d AS VARCHAR) AS incident_id, s.layer, s.ord, s.context, 'partition_check' AS template,
-       'order_date' AS column_name, CAST(p.n AS VARCHAR) AS value
-FROM part p JOIN stats s ON p.layer = s.layer
-UNION ALL
-SELECT 'Q-' || CAST(g.d AS VARCHAR), s.layer, s.ord, s.context, 'row_count', NULL, CAST(s.n AS VARCHAR)
-FROM gaps g, stats s
-UNION ALL
-SELECT 'Q-' || CAST(g.d AS VARCHAR), s.layer, s.ord, s.context, 'freshness', 'order_date', s.fresh
-FROM gaps g, stats s
-"""
+_LAYERS = {"bronze": "bronze:bronze.orders", "silver": "silver:silver.silver_orders", "gold": "gold:gold.fct_orders"}
+_LAYER_ROWS = {
+    "bronze": "SELECT CAST(o_orderdate AS DATE) AS d FROM orders",
+    "silver": "SELECT CAST(o_orderdate AS DATE) AS d FROM orders WHERE day(CAST(o_orderdate AS DATE)) <> 13",
+    "gold": "SELECT DISTINCT o_custkey, CAST(o_orderdate AS DATE) AS d FROM orders WHERE day(CAST(o_orderdate AS DATE)) NOT IN (13, 27)",
+}
+_LAYER_PARTS = []
+for _i, _l in enumerate(_LAYERS):
+    _rows, _ctx = f"({_LAYER_ROWS[_l]})", _LAYERS[_l]
+    _LAYER_PARTS += [
+        f"SELECT incident_id, '{_l}' AS layer, {_i} AS ord, '{_ctx}' AS context, 'row_count' AS template, NULL AS column_name, CAST((SELECT COUNT(*) FROM {_rows}) AS VARCHAR) AS value FROM days",
+        f"SELECT incident_id, '{_l}', {_i}, '{_ctx}', 'freshness', 'order_date', (SELECT CAST(MAX(d) AS VARCHAR) FROM {_rows}) FROM days",
+        f"SELECT incident_id, '{_l}', {_i}, '{_ctx}', 'partition_check', 'order_date', CAST(coalesce(n, 0) AS VARCHAR) FROM days LEFT JOIN "
+        f"(SELECT d, COUNT(*) AS n FROM {_rows} GROUP BY d) c ON c.d = days.d"]
+LAYER_EVIDENCE = """
+WITH days AS (SELECT 'Q-' || CAST(CAST(d AS DATE) AS VARCHAR) AS incident_id, CAST(d AS DATE) AS d FROM (
+  SELECT unnest(generate_series((SELECT MIN(CAST(o_orderdate AS DATE)) FROM orders), (SELECT MAX(CAST(o_orderdate AS DATE)) FROM orders), INTERVAL 1 DAY)) AS d))
+""" + " UNION ALL ".join(_LAYER_PARTS)
 ORACLE["layer_checks"] = f"SELECT incident_id, context, template, column_name, value FROM ({LAYER_EVIDENCE})"
 ORACLE["origin_layer"] = f"""
 WITH e AS (SELECT *, (template IN ('row_count', 'partition_check') AND value = '0')
@@ -401,15 +393,6 @@ SELECT incident_id, arg_min(layer, ord) FILTER (WHERE bad) AS origin_layer,
 FROM e GROUP BY incident_id
 """
 
-ORACLE["upstream_checks"] = """
-SELECT 'upstream:bronze.orders' AS context, 'row_count' AS template, NULL AS column_name,
-       CAST(COUNT(*) AS VARCHAR) AS value, NULL AS error FROM orders
-UNION ALL SELECT 'upstream:bronze.orders', 'null_check', 'o_custkey',
-       CAST(COUNT(*) FILTER (WHERE o_custkey IS NULL) AS VARCHAR), NULL FROM orders
-UNION ALL SELECT 'upstream:bronze.customer', 'row_count', NULL, CAST(COUNT(*) AS VARCHAR), NULL FROM customer
-UNION ALL SELECT 'upstream:bronze.customer', 'null_check', 'o_custkey', NULL, 'column "o_custkey" does not exist'
-"""
-
 # --- reports and evaluation ----------------------------------------------------------------
 
 from faultline.operators.evaluate import SCENARIOS as _SC  # noqa: E402
@@ -538,7 +521,9 @@ ORACLE["orphans"] = " UNION ALL ".join([
     _orphans("lineitem", "l_partkey", "part", "p_partkey", "lineitem.l_partkey->part"),
     _orphans("lineitem", "l_suppkey", "supplier", "s_suppkey", "lineitem.l_suppkey->supplier"),
     _orphans("orders", "o_custkey", "customer", "c_custkey", "orders.o_custkey->customer"),
-    _orphans("labels", "doc_id", "documents", "doc_id", "labels.doc_id->documents")])
+    _orphans("labels", "doc_id", "documents", "doc_id", "labels.doc_id->documents"),
+    _orphans("orders", "o_custkey", "(SELECT * FROM customer WHERE c_acctbal > 0)", "c_custkey", "orders.o_custkey->customer in credit"),
+    _orphans("documents", "doc_id", "labels", "doc_id", "documents.doc_id->labels")])
 
 
 def _grain(table, cols):
@@ -554,11 +539,12 @@ ORACLE["grain"] = " UNION ALL ".join([_grain("lineitem", ["l_orderkey", "l_linen
 
 # --- evidence, reports, context ----------------------------------------------------------------
 
-_BRONZE_SALES = """SELECT CAST(l_orderkey * 8 + l_linenumber AS VARCHAR) AS order_id, CAST(l_suppkey AS VARCHAR) AS customer_id,
-  strftime(l_shipdate, '%Y-%m-%d') AS order_date, 'part-' || CAST(l_partkey AS VARCHAR) AS product,
+_BRONZE_SALES = """SELECT CAST(l_orderkey * 8 + l_linenumber AS VARCHAR) AS order_id, CASE WHEN l_partkey % 100 <> 50 THEN CAST(l_suppkey AS VARCHAR) END AS customer_id,
+  CASE WHEN l_linenumber <> 7 THEN strftime(l_shipdate, '%Y-%m-%d') END AS order_date, 'part-' || CAST(l_partkey AS VARCHAR) AS product,
   CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS quantity, CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR) AS unit_price FROM lineitem"""
-_BRONZE_CUSTOMERS = """SELECT CAST(c_custkey AS VARCHAR) AS customer_id, ' ' || lower(c_name) || ' ' AS customer_name,
-  c_name || '@Example.COM' AS email, ' ' || lower(c_mktsegment) AS region FROM customer"""
+_BRONZE_CUSTOMERS = """SELECT CAST(c_custkey AS VARCHAR) AS customer_id, ' ' || arrived || ' ' AS customer_name,
+  c_name || '@Example.COM' AS email, ' ' || lower(c_mktsegment) AS region
+  FROM (SELECT *, unnest(CASE WHEN c_custkey % 5 = 0 THEN [lower(c_name), 'a ' || lower(c_name)] ELSE [lower(c_name)] END) AS arrived FROM customer)"""
 _FCT = f"""SELECT s.customer_id, c.customer_name, c.region, s.order_date, COUNT(*) AS order_count, SUM(s.total_amount) AS daily_revenue
   FROM ({SILVER_SALES}) s LEFT JOIN ({SILVER_CUSTOMERS}) c USING (customer_id) GROUP BY 1, 2, 3, 4"""
 # registered table -> statement, columns
