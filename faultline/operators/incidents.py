@@ -62,8 +62,8 @@ def resolve_target(df: DataFrame) -> DataFrame:
     table = F.when(first_tbl.isNotNull(), F.when(has_dot, F.expr("substr(tables[0], instr(tables[0], '.') + 1)"))
                    .otherwise(first_tbl))
     if src is not None:
-        schema = F.coalesce(schema, F.coalesce(src["schema"], F.lit(rules.DEFAULT_SOURCE_SCHEMA)))
-        table = F.coalesce(table, F.coalesce(src["table_name"], F.lit("")))
+        schema = F.coalesce(schema, F.when(src.isNotNull(), F.coalesce(src["schema"], F.lit(rules.DEFAULT_SOURCE_SCHEMA))))
+        table = F.coalesce(table, F.when(src.isNotNull(), F.coalesce(src["table_name"], F.lit(""))))
     return df.withColumn("schema", schema).withColumn("table", table) \
         .withColumn("column", F.try_element_at(F.col("columns"), F.lit(1))) \
         .withColumn("date_column", F.lit(rules.DEFAULT_DATE_COLUMN)) \

@@ -643,6 +643,152 @@ def q_metadata_targets(spark: SparkSession, sf: str) -> DataFrame:
     return lineage.metadata_targets(lineage.lineage(nodes, sources), nodes)
 
 
+# --- incident memory: maintenance, texts, search over a built store ------------------------------
+
+
+def raw_incidents_input(spark: SparkSession, sf: str) -> DataFrame:
+    """events as raw incident records under the alternative keys; some fields are absent."""
+    ev = read(spark, sf, "events")
+    k = F.col("event_id") % 4
+    return ev.select(
+        F.concat(F.when(k == 0, F.lit("SEED-")).otherwise(F.lit("INC-")), F.col("event_id").cast("string")).alias("incident_id"),
+        F.col("ts").alias("created_at"), F.when(k == 1, "warning").alias("severity"), F.when(k == 2, "open").alias("status"),
+        F.col("event_type").alias("failure_class"), F.col("event_type").alias("task_id"),
+        F.when(k != 3, F.concat(F.lit("event "), F.col("event_id").cast("string"))).alias("summary"), F.col("props").alias("issue_summary"),
+        F.when(F.col("user_id") % 2 == 0, F.col("props")).alias("root_cause"), F.when(k == 0, F.lit("restarted")).alias("fix_applied"),
+        F.lit("patched").alias("fix_summary"), F.when(k == 1, F.col("value") / 500.0).alias("confidence"),
+        F.array("event_type").alias("tags"), F.when(k == 2, False).alias("validated"))
+
+
+def q_normalized_incidents(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored columns and defaults of raw records, and the text to embed."""
+    n = memory.normalize_incidents(raw_incidents_input(spark, sf))
+    return n.select("incident_id", "created_at", "severity", "status", "source", "failure_class", "issue_summary", "root_cause", "confidence", "fix_summary",
+                    "evidence_json", "validated", memory.embedding_text(F.col("issue_summary"), F.col("root_cause")).alias("embedding_text"))
+
+
+def q_maintained_store(spark: SparkSession, sf: str) -> DataFrame:
+    """Seeds kept, vectors set for one in three of them, one in five marked."""
+    store = memory.clean_incidents(memory.normalize_incidents(raw_incidents_input(spark, sf)))
+    number = F.substring_index("incident_id", "-", -1).cast("long")
+    vectors = store.where(number % 3 == 0).select("incident_id", F.array(number.cast("float"), F.lit(1.0)).alias("embedding"))
+    out = memory.mark_validated(memory.set_embeddings(store, vectors), store.where(number % 5 == 0).select("incident_id"), False)
+    return out.select("incident_id", "validated", F.get("embedding", F.lit(0)).cast("double").alias("first_value"))
+
+
+def vector_incidents_input(spark: SparkSession, sf: str) -> DataFrame:
+    """embeddings as incidents with text ids; a vector is shared by four neighbours, so similarities tie."""
+    e = read(spark, sf, "embeddings")
+    shared = e.select(F.col("vec_id").alias("_id"), F.col("embedding").alias("_vector"))
+    j = e.withColumn("_id", F.col("vec_id") - F.col("vec_id") % 4).join(shared, "_id")
+    empty = {f.name: F.lit(None).cast(f.dataType) for f in memory.INCIDENT_SCHEMA.fields}
+    own = {"incident_id": F.concat(F.lit("INC-"), F.col("vec_id").cast("string")), "created_at": F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"),
+           "failure_class": F.concat(F.lit("class_"), F.col("label").cast("string")), "issue_summary": F.concat(F.lit("vector "), F.col("vec_id").cast("string")),
+           "root_cause": F.concat(F.lit("label "), F.col("label").cast("string")), "fix_summary": F.when(F.col("label") % 2 == 0, "restart"),
+           "confidence": F.col("label") / 10.0, "embedding": F.col("_vector").cast("array<float>")}
+    return j.select(*[(own.get(c) if c in own else x).alias(c) for c, x in empty.items()])
+
+
+def q_similar_from_store(spark: SparkSession, sf: str) -> DataFrame:
+    """M1 then M2: search the store that upsert builds; a tenth of the queries have no class, a tenth an empty one."""
+    store = memory.upsert(spark.createDataFrame([], memory.INCIDENT_SCHEMA), vector_incidents_input(spark, sf))
+    e = read(spark, sf, "embeddings")
+    cls = F.when(F.col("vec_id") % 10 == 1, F.lit("")).when(F.col("vec_id") % 10 != 0, F.concat(F.lit("class_"), F.col("label").cast("string")))
+    queries = e.select(F.concat(F.lit("INC-"), F.col("vec_id").cast("string")).alias("query_id"), cls.alias("failure_class"), "embedding")
+    return memory.search_similar(queries, store)
+
+
+def q_stored_reports(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored incidents as report rows."""
+    r = reports.stored_reports(upserted_store(spark, sf))
+    return r.select("incident_id", "severity", "failure_class", "what_failed", F.col("where_failed.task_id").alias("task_id"), F.col("where_failed.table").alias("table"),
+                    "root_cause", "confidence", F.size("prevention").alias("preventions"), "validated")
+
+
+def q_search_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """M4: the search text of every log's signals."""
+    s = incidents.classify(log_signals(spark, sf))
+    return s.select("log_id", memory.search_text(F.lit(None).cast("string"), F.when(F.length("log_id") % 2 == 0, F.col("error_message")), F.col("error_type"),
+                                                 F.try_element_at("models", F.lit(1)), F.col("columns"), F.col("tables"), F.col("failure_class")).alias("search_text"))
+
+
+# --- targets, confidence, runs -------------------------------------------------------------------
+
+
+def target_signals_input(spark: SparkSession, sf: str) -> DataFrame:
+    """events as log signals: the referenced table may be a temporary one or
+    absent, the lineage of the model may have a source, a model or neither."""
+    ev = read(spark, sf, "events")
+    k = F.get_json_object("props", "$.k").cast("int")
+    table = F.concat(F.when(k % 3 == 0, F.lit("gold.")).when(k % 3 == 1, F.lit("")).otherwise(F.lit("silver.")), "event_type", F.when(k % 2 == 0, F.lit("__dbt_tmp")).otherwise(F.lit("")))
+    source = F.struct(F.when(k % 4 == 0, F.lit("raw")).cast("string").alias("schema"), F.concat(F.lit("src_"), "event_type").alias("table_name"))
+    model = F.concat(F.when(k % 8 < 4, F.lit("silver_")).otherwise(F.lit("stg_")), "event_type")
+    no = F.array().cast("array<string>")
+    return ev.select("event_id", F.when(k % 5 != 0, F.array(table)).otherwise(no).alias("tables"),
+                     F.when(k % 7 < 4, F.array(F.lit("value"), F.lit("user_id"))).otherwise(no).alias("columns"),
+                     F.when(k % 6 < 2, F.array(source)).otherwise(F.array().cast("array<struct<schema:string,table_name:string>>")).alias("upstream_sources"),
+                     F.when(k % 6 < 4, F.array(model)).otherwise(no).alias("upstream_models"))
+
+
+def q_resolve_target(spark: SparkSession, sf: str) -> DataFrame:
+    """The target of every signal row, moved off temporary tables, and its layer."""
+    t = incidents.redirect_target(incidents.resolve_target(target_signals_input(spark, sf)))
+    return t.select("event_id", "schema", "table", "column", rules.infer_layer(F.col("schema")).alias("layer"))
+
+
+def q_confidence_cap(spark: SparkSession, sf: str) -> DataFrame:
+    """Capped confidence and its band for every event."""
+    ev = read(spark, sf, "events")
+    c = incidents.cap_confidence(F.least(F.col("value") / 100.0, F.lit(1.0)), F.col("user_id") % 3 != 0, F.col("event_id") % 4 != 0)
+    return ev.select("event_id", c.alias("confidence"), incidents.confidence_band(c).alias("band"))
+
+
+def q_manual_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as task instances of runs, one per user and day; every third run is manual."""
+    ev = read(spark, sf, "events")
+    runs = ev.select(F.col("event_type").alias("dag_id"), F.concat_ws("_", F.lit("run"), F.col("user_id").cast("string"), F.date_format("ts", "yyyyMMdd")).alias("run_id"),
+                     F.when(F.col("user_id") % 3 == 0, "manual").otherwise("scheduled").alias("run_type"),
+                     F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("start_date"), (F.col("event_id") % 3).cast("int").alias("try_number"))
+    return reports.latest_manual_runs(runs)
+
+
+# --- layers and reports --------------------------------------------------------------------------
+
+
+def q_safe_cast(spark: SparkSession, sf: str) -> DataFrame:
+    """P5: drifted customer keys, cast or rejected."""
+    ok, rejects = medallion.safe_cast(drifted_customers_input(spark, sf), {"customer_id": "int"})
+    return ok.select(F.col("customer_id").cast("string").alias("customer_id"), "customer_name", F.lit("").alias("failed")) \
+        .unionByName(rejects.select("customer_id", "customer_name", F.array_join("failed_columns", ",").alias("failed")))
+
+
+def q_null_rates(spark: SparkSession, sf: str) -> DataFrame:
+    """Null rates of the bronze sales."""
+    return contracts.null_rate_gate(bronze_sales_input(spark, sf), ["order_id", "customer_id", "order_date", "quantity"])
+
+
+def q_dataset_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """The columns and date range of the driver's tables."""
+    from faultline.sources.files import profile_datasets
+    tables = {f"driver.{t}": read(spark, sf, t) for t in ("orders", "events", "customer")}
+    tables["bronze.sales"] = bronze_sales_input(spark, sf)
+    p = profile_datasets(tables)
+    return p.select("schema", "table", F.array_join("columns", ",").alias("columns"), "date_column", F.substring("min_value", 1, 10).alias("min_day"), F.substring("max_value", 1, 10).alias("max_day"))
+
+
+def q_score_status(spark: SparkSession, sf: str) -> DataFrame:
+    """V2: the status of each criterion of each report."""
+    s = evaluate.score_reports(document_reports_input(spark, sf), evaluate.expected_df(spark))
+    return evaluate.score_status(s, ["doc_id"])
+
+
+def q_report_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """V4: validity of the stored incidents' reports."""
+    store = upserted_store(spark, sf)
+    r = reports.build_report(store.withColumn("evidence_chain", F.when(F.length("evidence_json") > 9, F.array("evidence_json"))).withColumn("confidence", F.col("confidence") * 2))
+    return evaluate.report_checks(r)
+
+
 REGISTRY = {
     "fct_sales": q_fct_sales,
     "silver_sales": q_silver_sales,
@@ -689,4 +835,17 @@ REGISTRY = {
     "lineage": q_lineage,
     "upstream_details": q_upstream_details,
     "metadata_targets": q_metadata_targets,
+    "normalized_incidents": q_normalized_incidents,
+    "maintained_store": q_maintained_store,
+    "similar_from_store": q_similar_from_store,
+    "stored_reports": q_stored_reports,
+    "search_texts": q_search_texts,
+    "resolve_target": q_resolve_target,
+    "confidence_cap": q_confidence_cap,
+    "manual_runs": q_manual_runs,
+    "safe_cast": q_safe_cast,
+    "null_rates": q_null_rates,
+    "dataset_profile": q_dataset_profile,
+    "score_status": q_score_status,
+    "report_checks": q_report_checks,
 }

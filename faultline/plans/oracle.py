@@ -671,3 +671,92 @@ SELECT unique_id AS incident_id, 'upstream:' || a.s || '.' || a.t AS context, te
        CASE WHEN k.t IS NULL THEN 'relation "' || a.s || '.' || a.t || '" does not exist' END AS error
 FROM asked a LEFT JOIN known k ON a.s = k.s AND a.t = k.t
 """
+
+# --- incident memory, targets, runs, layers --------------------------------------------------------
+
+ORACLE["normalized_incidents"] = """
+SELECT CASE WHEN event_id % 4 = 0 THEN 'SEED-' ELSE 'INC-' END || event_id AS incident_id, ts AS created_at,
+       CASE WHEN event_id % 4 = 1 THEN 'warning' ELSE 'error' END AS severity, CASE WHEN event_id % 4 = 2 THEN 'open' ELSE 'resolved' END AS status,
+       'seed' AS source, event_type AS failure_class, CASE WHEN event_id % 4 <> 3 THEN 'event ' || event_id ELSE props END AS issue_summary,
+       CASE WHEN user_id % 2 = 0 THEN props END AS root_cause, CASE WHEN event_id % 4 = 1 THEN value / 500.0 ELSE 1.0 END AS confidence,
+       CASE WHEN event_id % 4 = 0 THEN 'restarted' ELSE 'patched' END AS fix_summary,
+       '{"evidence_summary":"","tags":["' || event_type || '"]}' AS evidence_json, event_id % 4 <> 2 AS validated,
+       CASE WHEN event_id % 4 <> 3 THEN 'event ' || event_id ELSE props END || chr(10) || chr(10) || 'Root cause: ' || CASE WHEN user_id % 2 = 0 THEN props ELSE '' END AS embedding_text
+FROM events
+"""
+ORACLE["maintained_store"] = """
+SELECT 'SEED-' || event_id AS incident_id, event_id % 5 <> 0 AS validated,
+       CASE WHEN event_id % 3 = 0 THEN CAST(CAST(event_id AS FLOAT) AS DOUBLE) END AS first_value
+FROM events WHERE event_id % 4 = 0
+"""
+ORACLE["similar_from_store"] = """
+WITH q AS (SELECT vec_id, 'INC-' || vec_id AS query_id, CASE WHEN vec_id % 10 > 1 THEN 'class_' || label END AS cls, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+s AS (SELECT 'INC-' || a.vec_id AS incident_id, 'class_' || a.label AS failure_class, 'vector ' || a.vec_id AS summary, 'label ' || a.label AS root_cause,
+             CASE WHEN a.label % 2 = 0 THEN 'restart' END AS fix_applied, a.label / 10.0 AS confidence, CAST(b.embedding AS DOUBLE[]) AS v
+      FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id - a.vec_id % 4),
+p AS (SELECT q.query_id, s.*, round(list_cosine_similarity(q.v, s.v), 12) AS sim FROM q JOIN s ON (q.cls IS NULL OR q.cls = s.failure_class) AND q.query_id <> s.incident_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, incident_id) AS rank FROM p)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, incident_id, failure_class, round(sim, 4) AS similarity_score, summary, root_cause, fix_applied, confidence
+FROM r WHERE rank <= 3
+"""
+ORACLE["stored_reports"] = f"""
+SELECT incident_id, severity, failure_class, issue_summary AS what_failed, task_id, target_table AS "table", root_cause, confidence,
+       0 AS preventions, validated
+FROM ({UPSERTED})
+"""
+ORACLE["search_texts"] = f"""
+WITH t AS (SELECT r.log_id, error_type, error_message, {_CLASS} AS failure_class, o.tables, o.columns, split_part(o.models, ',', 1) AS model
+           FROM ({ORACLE["resolve_error"]}) r JOIN ({ORACLE["referenced_objects"]}) o USING (log_id))
+SELECT log_id, coalesce(nullif(concat_ws(' ', CASE WHEN length(log_id) % 2 = 0 THEN nullif(error_message, '') END, CASE WHEN error_type <> 'unknown' THEN nullif(error_type, '') END,
+                                         'model: ' || nullif(model, ''), nullif(replace(columns, ',', ' '), ''), nullif(replace(tables, ',', ' '), '')), ''),
+                        failure_class || ' failure in pipeline') AS search_text
+FROM t
+"""
+_SIGNAL_K = f"({_K})"
+ORACLE["resolve_target"] = f"""
+WITH e AS (SELECT event_id, event_type, {_SIGNAL_K} AS k FROM events),
+x AS (SELECT *, CASE WHEN k % 5 <> 0 THEN CASE k % 3 WHEN 0 THEN 'gold' WHEN 1 THEN 'public' ELSE 'silver' END END AS s0,
+             CASE WHEN k % 5 <> 0 THEN event_type || CASE WHEN k % 2 = 0 THEN '__dbt_tmp' ELSE '' END END AS t0,
+             k % 6 < 2 AS has_source, CASE WHEN k % 4 = 0 THEN 'raw' ELSE 'bronze' END AS src_schema, 'src_' || event_type AS src_table,
+             CASE WHEN k % 6 < 4 THEN CASE WHEN k % 8 < 4 THEN 'silver_' ELSE 'stg_' END || event_type END AS model FROM e),
+y AS (SELECT *, coalesce(s0, CASE WHEN has_source THEN src_schema END) AS s1, coalesce(t0, CASE WHEN has_source THEN src_table END) AS t1 FROM x),
+z AS (SELECT *, ends_with(coalesce(t1, ''), '__dbt_tmp') AS tmp FROM y),
+w AS (SELECT event_id, k, CASE WHEN NOT tmp THEN s1 WHEN has_source THEN src_schema WHEN starts_with(model, 'silver_') THEN 'silver' ELSE s1 END AS schema,
+             CASE WHEN NOT tmp THEN t1 WHEN has_source THEN src_table WHEN model IS NOT NULL THEN model ELSE t1 END AS "table" FROM z)
+SELECT event_id, schema, "table", CASE WHEN k % 7 < 4 THEN 'value' END AS "column",
+       CASE schema WHEN 'raw' THEN 'bronze' ELSE schema END AS layer FROM w
+"""
+ORACLE["confidence_cap"] = """
+WITH c AS (SELECT event_id, least(least(value / 100.0, 1.0), CASE WHEN user_id % 3 <> 0 THEN 1.0 ELSE 0.7 END, CASE WHEN event_id % 4 <> 0 THEN 1.0 ELSE 0.5 END) AS confidence FROM events)
+SELECT event_id, CAST(confidence AS DOUBLE) AS confidence, CASE WHEN confidence >= 0.8 THEN 'high' WHEN confidence >= 0.5 THEN 'medium' ELSE 'low' END AS band FROM c
+"""
+ORACLE["manual_runs"] = """
+WITH r AS (SELECT event_type AS dag_id, 'run_' || user_id || '_' || strftime(ts, '%Y%m%d') AS run_id, max(strftime(ts, '%Y-%m-%d %H:%M:%S')) AS started,
+                  COUNT(*) AS tasks, COUNT(*) FILTER (event_id % 3 = 0) AS zero_attempts FROM events WHERE user_id % 3 = 0 GROUP BY 1, 2)
+SELECT dag_id, run_id, started, tasks, zero_attempts FROM (SELECT *, row_number() OVER (PARTITION BY dag_id ORDER BY started DESC, run_id DESC) AS rn FROM r) WHERE rn = 1
+"""
+ORACLE["safe_cast"] = """
+SELECT CASE WHEN c_mktsegment IN ('HOUSEHOLD', 'MACHINERY') THEN replace(c_name, 'Customer#', 'CUST-') ELSE CAST(c_custkey AS VARCHAR) END AS customer_id,
+       c_name AS customer_name, CASE WHEN c_mktsegment IN ('HOUSEHOLD', 'MACHINERY') THEN 'customer_id' ELSE '' END AS failed FROM customer
+"""
+_RATES = [("order_id", "0"), ("customer_id", "COUNT(*) FILTER (l_partkey % 100 = 50)"), ("order_date", "COUNT(*) FILTER (l_linenumber = 7)"), ("quantity", "COUNT(*) FILTER (l_quantity IS NULL)")]
+ORACLE["null_rates"] = " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, CAST({n} AS BIGINT) AS nulls, COUNT(*) AS total_rows, CAST({n} AS DOUBLE) / COUNT(*) AS null_rate, CAST({n} AS DOUBLE) / COUNT(*) > 0.01 AS breach FROM lineitem" for c, n in _RATES)
+ORACLE["dataset_profile"] = """
+SELECT 'driver' AS schema, 'orders' AS "table", 'o_orderkey,o_custkey,o_orderstatus,o_totalprice,o_orderdate,o_orderpriority' AS columns, 'o_orderdate' AS date_column,
+       strftime(MIN(o_orderdate), '%Y-%m-%d') AS min_day, strftime(MAX(o_orderdate), '%Y-%m-%d') AS max_day FROM orders
+UNION ALL SELECT 'driver', 'events', 'event_id,ts,user_id,event_type,value,props', NULL, NULL, NULL
+UNION ALL SELECT 'driver', 'customer', 'c_custkey,c_name,c_nationkey,c_acctbal,c_mktsegment', NULL, NULL, NULL
+UNION ALL SELECT 'bronze', 'sales', 'order_id,customer_id,order_date,product,quantity,unit_price', 'order_date',
+       strftime(MIN(l_shipdate) FILTER (l_linenumber <> 7), '%Y-%m-%d'), strftime(MAX(l_shipdate) FILTER (l_linenumber <> 7), '%Y-%m-%d') FROM lineitem
+"""
+ORACLE["score_status"] = f"""
+SELECT doc_id, criterion, score, CASE WHEN score >= 1.0 THEN 'PASS' WHEN score >= 0.5 THEN 'PARTIAL' ELSE 'FAIL' END AS status
+FROM (UNPIVOT (SELECT doc_id, classification, table_identified, column_identified, root_cause, fix_actionable, prevention FROM ({ORACLE["score_reports"]}))
+      ON classification, table_identified, column_identified, root_cause, fix_actionable, prevention INTO NAME criterion VALUE score)
+"""
+ORACLE["report_checks"] = f"""
+SELECT incident_id, failure_class <> 'unknown' AS has_class, length(coalesce(root_cause, '')) > 0 AS has_root_cause, confidence * 2 BETWEEN 0.0 AND 1.0 AS confidence_in_range,
+       length(evidence_json) > 9 AS has_evidence_chain, false AS has_fix
+FROM ({UPSERTED})
+"""
