@@ -46,9 +46,12 @@ def _group_count(pattern: str) -> int:
 # --- L0 / L3 ----------------------------------------------------------------------------
 
 
-def split_log_lines(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """L0: (keys, line_no, line), 0-based, splitlines() semantics."""
-    return df.select(*keys, F.posexplode(split_lines(F.col(text))).alias("line_no", "line"))
+def split_log_lines(df: DataFrame, keys: list[str], text: str, with_total: bool = False) -> DataFrame:
+    """L0: (keys, line_no, line), 0-based, splitlines() semantics; with
+    ``n_lines``, the log's number of lines, if asked for."""
+    lines = df.select(*keys, split_lines(F.col(text)).alias("_lines"))
+    total = [F.size("_lines").alias("n_lines")] if with_total else []
+    return lines.select(*keys, *total, F.posexplode("_lines").alias("line_no", "line"))
 
 
 def is_keyword_line(line: Column) -> Column:
@@ -70,16 +73,19 @@ def relevant_lines(lines: DataFrame, keys: list[str], tail: int = rules.LOG_TAIL
     its last ``tail`` lines plus ``context`` lines around every keyword line
     (overlaps merge, since kept lines form a set).
 
-    Work per log is spread by line: the total is a partial aggregation, the
-    context window is a fan-out of 2*context+1 line numbers per keyword line,
-    joined back on (log, line).
+    The log's length is the column ``n_lines`` where the split gives it, else
+    it is counted and joined on the log. The context window is a fan-out of
+    2*context+1 line numbers per keyword line, joined back on (log, line).
     """
-    totals = lines.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))
+    if "n_lines" in lines.columns:
+        counted = lines.withColumnRenamed("n_lines", "_total")
+    else:
+        counted = lines.join(lines.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total")), keys, "inner")
     near = lines.where(is_keyword_line(F.col("line"))).select(
         *keys, F.explode(F.sequence(F.greatest(F.col("line_no") - context, F.lit(0)),
                                     F.col("line_no") + context)).alias("line_no")) \
         .distinct().withColumn("_near", F.lit(True))
-    j = lines.join(totals, keys, "inner").join(near, keys + ["line_no"], "left")
+    j = counted.join(near, keys + ["line_no"], "left")
     keep = (F.col("_total") <= tail) | (F.col("line_no") >= F.col("_total") - tail) | F.col("_near").isNotNull()
     return j.where(keep).select(*keys, "line_no", "line")
 
@@ -93,8 +99,8 @@ def truncate_log(kept: DataFrame, keys: list[str]) -> DataFrame:
     of omitted lines. Deviation: the reference also emits a marker before
     line 0 and counts the first gap one too high; we mark only real gaps.
 
-    The result is one text per log (the feature); it groups only kept lines,
-    which the truncation already bounded.
+    The result is one text per log (the feature), gathered from the log's kept
+    lines: as many as its tail and the surroundings of its keyword lines.
     """
     g = kept.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("_l"))
 

@@ -213,11 +213,11 @@ def q_split_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _log_lines(spark, sf):
-    return logs.split_log_lines(task_log_texts_input(spark, sf), ["log_id"], "log_text")
+    return logs.split_log_lines(task_log_texts_input(spark, sf), ["log_id"], "log_text", with_total=True)
 
 
 def q_error_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return logs.error_lines(_log_lines(spark, sf))
+    return logs.error_lines(_log_lines(spark, sf)).drop("n_lines")
 
 
 def q_relevant_lines(spark: SparkSession, sf: str) -> DataFrame:
