@@ -49,6 +49,7 @@ CUTS = 4
 RARE = 200_000
 SKETCH_BITS = 1024
 POSTINGS = 1_000_000
+BLOCK_NODES = 2048
 
 KEYS = "kind int, doc_id long, n long, key long"
 KEYS_ARROW = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.int64())])
@@ -343,17 +344,22 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _open_pairs(table: pa.Table) -> pa.Table:
-    """Pairs of nodes of one signature's bucket that are in different components and may link; pairs with a node's head have been compared."""
-    sig, node, head, comp = (table.column(c).to_numpy() for c in ("sig", "node", "head", "comp"))
+    """Pairs of nodes of a signature's two blocks that are in different components and may link; pairs with a node's head have been compared."""
+    sig, low, high, own, node, head, comp = (table.column(c).to_numpy() for c in ("sig", "low", "high", "own", "node", "head", "comp"))
     n = table.column("n").to_numpy()
     sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(sig), -1)
-    order = np.argsort(sig, kind="stable")
-    edges = np.flatnonzero(np.concatenate([[True], sig[order][1:] != sig[order][:-1], [True]]))
+    order = np.lexsort((high, low, sig))
+    new = np.ones(len(order) + 1, bool)
+    new[1:-1] = np.any([c[order][1:] != c[order][:-1] for c in (sig, low, high)], axis=0)
+    edges = np.flatnonzero(new)
     found = [np.empty((2, 0), np.int64)]
     for i, j in zip(edges[:-1], edges[1:]):
-        own = order[i:j]
-        for x in range(len(own) - 1):
-            p, rest = own[x], own[x + 1:]
+        group = order[i:j]
+        one = low[group[0]] == high[group[0]]
+        left = group[own[group] == low[group[0]]]
+        right = group[own[group] == high[group[0]]]
+        for x, p in enumerate(left):
+            rest = right[x + 1:] if one else right
             rest = rest[(comp[rest] != comp[p]) & (head[rest] != node[p]) & (node[rest] != head[p])]
             rest = rest[near_enough(sketch[rest], sketch[p], n[rest], n[p])]
             if len(rest):
@@ -362,6 +368,30 @@ def _open_pairs(table: pa.Table) -> pa.Table:
     return pa.table({"a": pairs[0], "b": pairs[1]})
 
 
+def open_pairs(marked: DataFrame, sketches: DataFrame, buckets: int, block: int = BLOCK_NODES) -> DataFrame:
+    """Pairs (a, b) of nodes that share a signature, aren't connected and may link.
+
+    ``marked``: sig, node, head and their components. A signature of one pair
+    has been decided; one of more members is open if they aren't all
+    connected. Its members are split into blocks of ``block`` nodes on
+    average, and each two blocks are compared in a group of their own, so no
+    group grows with the number of sets that share a signature. Signatures of
+    one head go to a few buckets together, as their members form the same pairs.
+    """
+    size = F.count(F.lit(1)) + 1
+    open_sigs = (marked.groupBy("sig").agg(F.max((F.col("comp") != F.col("head_comp")).cast("int")).alias("apart"), F.min("node").alias("x"), F.max("node").alias("y"),
+                                           F.ceil(size / F.lit(block)).cast("int").alias("blocks"), F.min("head").alias("first"))
+                 .where("apart = 1 and x <> y").select("sig", "blocks", "first"))
+    left = marked.join(open_sigs, "sig")
+    left = left.select("sig", "blocks", "first", "node", "head", "comp").union(left.select("sig", "blocks", "first", "head", "head", "head_comp")).distinct()
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    left = left.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    left = left.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
+    left = left.withColumn("bucket", F.pmod(F.xxhash64("first", F.pmod("sig", F.lit(4)), "low", "high"), F.lit(buckets)))
+    left = left.select("bucket", "sig", "low", "high", "own", "node", "head", "comp").join(sketches.select(F.col("key").alias("node"), "n", "sketch"), "node")
+    return left.groupBy("bucket").applyInArrow(_open_pairs, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, key (the set's hash), component_id of every document."""
     spark = docs.sparkSession
@@ -384,15 +414,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     marked = _with_root(_with_root(members, roots, "node", "comp"), roots, "head", "head_comp")
     marked = written(marked, "marked-signatures")
     # a signature of one pair has been decided; one of more members is open if they aren't all connected
-    # signatures of one head go to a few buckets together, as their members form the same pairs
-    open_sigs = (marked.groupBy("sig").agg(F.max((F.col("comp") != F.col("head_comp")).cast("int")).alias("apart"), F.min("node").alias("x"), F.max("node").alias("y"),
-                                           F.pmod(F.xxhash64(F.min("head"), F.pmod("sig", F.lit(4))), F.lit(buckets)).alias("bucket"))
-                 .where("apart = 1 and x <> y").select("sig", "bucket"))
-    left = marked.join(open_sigs, "sig")
-    left = left.select("bucket", "sig", "node", "head", "comp").union(left.select("bucket", "sig", "head", "head", "head_comp")).distinct()
-    left = left.join(sketches.select(F.col("key").alias("node"), "n", "sketch"), "node")
-    more = written(left.groupBy("bucket").applyInArrow(_open_pairs, "a long, b long").distinct()
-                   .join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "open-pairs")
+    compared = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = written(open_pairs(marked, sketches, buckets).join(compared, ["a", "b"], "left_anti"), "open-pairs")
     final = roots
     if not more.isEmpty():
         more = written(not_ruled_out(more, sketches), "open-close-pairs")

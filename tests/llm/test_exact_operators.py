@@ -237,6 +237,23 @@ def test_jaccard_join(spark):
     assert jaccard_join.near_duplicates(docs_frame(spark, rows).limit(0)).count() == 0
 
 
+def test_open_groups_in_blocks(spark):
+    draw = np.random.default_rng(5)
+    base = draw.integers(0, 1 << 63, 60, dtype=np.uint64)
+    sets = {}
+    for i in range(40):  # five families of near sets, all of which share one signature
+        own = np.concatenate([base[:20], draw.integers(0, 1 << 63, 40, dtype=np.uint64)]) if i % 8 == 0 else sets[i - i % 8].copy()
+        own[40 + i % 8] = i
+        sets[i] = np.unique(own)
+    rows = [(7, i, 0, i, 0) for i in range(1, 40)]
+    marked = spark.createDataFrame(rows, "sig long, node long, head long, comp long, head_comp long")
+    sketches = spark.createDataFrame([(i, len(s), bytearray(jaccard_join.parity_sketch(s))) for i, s in sets.items()], "key long, n long, sketch binary")
+    found = [{(r.a, r.b) for r in jaccard_join.open_pairs(marked, sketches, 3, block).collect()} for block in (1000, 9, 2)]
+    assert found[0] == found[1] == found[2]
+    links = {(a, b) for a in sets for b in sets if 0 < a < b and jaccard_join.linked(sets[a], sets[b])}
+    assert links and links <= found[0] and not any(0 in p for p in found[0])
+
+
 @pytest.mark.parametrize("frequent_share", [0.0, 0.5, 1.0])
 def test_linked_sets_share_a_signature(frequent_share):
     draw = np.random.default_rng(11)
