@@ -789,6 +789,44 @@ def q_report_checks(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.report_checks(r)
 
 
+# --- signals read by a model, parsed questions, digests ------------------------------------------
+
+
+def q_merged_signals(spark: SparkSession, sf: str) -> DataFrame:
+    """Regex signals merged with stand-in model signals, which two of three logs have."""
+    s = log_signals(spark, sf)
+    n = F.length("log_id") % 3
+    none = F.lit(None).cast("array<string>")
+    s = s.select("*", F.when(n == 0, "timeout").when(n == 1, "").alias("llm_error_type"), F.when(n == 0, "57014").alias("llm_sql_state"),
+                 F.when(n != 2, F.array(F.lit("bronze.extra"), F.coalesce(F.try_element_at("tables", F.lit(1)), F.lit("x.y")))).otherwise(none).alias("llm_tables"),
+                 none.alias("llm_columns"), F.when(n == 1, F.array(F.lit("stg_orders"))).otherwise(none).alias("llm_models"))
+    m = logs.merge_signals(s)
+    return m.select("log_id", "error_type", "sql_state_code", *[F.array_join(c, ",").alias(c) for c in ("tables", "columns", "models")])
+
+
+def q_question_targets(spark: SparkSession, sf: str) -> DataFrame:
+    """User turns as parsed questions; every fourth names no table, every third no date."""
+    c = read(spark, sf, "conversations").where("role = 'user'")
+    k = F.col("conv_id") % 4
+    kinds = F.array(*[F.lit(x) for x in rules.QUESTION_PRIORITIES])
+    table = F.struct(F.when(k != 1, F.concat(F.lit("layer_"), k.cast("string"))).cast("string").alias("schema"), F.concat(F.lit("t"), F.col("turn").cast("string")).alias("table"),
+                     F.lit(None).cast("string").alias("layer"))
+    date = F.struct(F.when(F.col("turn") % 2 == 0, "day").otherwise("").alias("column"), F.when(F.col("conv_id") % 3 != 0, F.concat(F.lit("2024-01-0"), (F.col("turn") % 9 + 1).cast("string"))).alias("value"))
+    q = c.select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("incident_id"),
+                 F.get(kinds, ((F.col("conv_id") + F.col("turn")) % 7).cast("int")).alias("investigation_type"),
+                 F.when(k != 0, F.array(table)).otherwise(F.array().cast("array<struct<schema:string,table:string,layer:string>>")).alias("t"), date.alias("d"))
+    q = incidents.question_priorities(q)
+    parsed = F.struct(F.col("t").alias("tables_to_check"), F.col("d").alias("date_filter"), F.array(F.lit("amount")).alias("columns_of_interest"), F.col("priorities").alias("check_priorities"))
+    t = checks.plan_checks(incidents.resolve_question_target(q.withColumn("parsed", parsed)))
+    return t.select("incident_id", "schema", "table", "column", "date_column", "date_value", F.array_join("check_priorities", ",").alias("priorities"), "strategy", "run_upstream")
+
+
+def q_evidence_digest(spark: SparkSession, sf: str) -> DataFrame:
+    """The digest lines of every incident's scalar checks, by table."""
+    p = class_plan(spark, sf).where(F.col("template").isin("row_count", "null_check", "duplicate_total"))
+    return checks.evidence_digest(checks.run_plan(p, pipeline_tables(spark, sf))).select("incident_id", "context", "digest")
+
+
 REGISTRY = {
     "fct_sales": q_fct_sales,
     "silver_sales": q_silver_sales,
@@ -848,4 +886,7 @@ REGISTRY = {
     "dataset_profile": q_dataset_profile,
     "score_status": q_score_status,
     "report_checks": q_report_checks,
+    "merged_signals": q_merged_signals,
+    "question_targets": q_question_targets,
+    "evidence_digest": q_evidence_digest,
 }

@@ -760,3 +760,32 @@ SELECT incident_id, failure_class <> 'unknown' AS has_class, length(coalesce(roo
        length(evidence_json) > 9 AS has_evidence_chain, false AS has_fix
 FROM ({UPSERTED})
 """
+_MERGED_TABLES = "(CASE WHEN n <> 2 THEN ['bronze.extra', coalesce(tables[1], 'x.y')] || tables ELSE tables END)"
+ORACLE["merged_signals"] = f"""
+WITH s AS (SELECT r.log_id, length(r.log_id) % 3 AS n, error_type, sql_state_code, string_split(nullif(o.tables, ''), ',') AS t0, o.columns, string_split(nullif(o.models, ''), ',') AS m0
+           FROM ({ORACLE["resolve_error"]}) r JOIN ({ORACLE["referenced_objects"]}) o USING (log_id)),
+x AS (SELECT *, coalesce(t0, []) AS tables, coalesce(m0, []) AS models FROM s)
+SELECT log_id, CASE WHEN n = 0 THEN 'timeout' ELSE error_type END AS error_type, CASE WHEN n = 0 THEN '57014' ELSE sql_state_code END AS sql_state_code,
+       {_distinct_join(_MERGED_TABLES)} AS tables, columns, {_distinct_join("(CASE WHEN n = 1 THEN ['stg_orders'] || models ELSE models END)")} AS models
+FROM x
+"""
+ORACLE["question_targets"] = """
+WITH q AS (SELECT conv_id || '-' || turn AS incident_id, conv_id % 4 AS k, conv_id, turn,
+                  ['missing_data', 'wrong_values', 'unexpected_duplicates', 'metric_anomaly', 'stale_data', 'row_count_mismatch'][(conv_id + turn) % 7 + 1] AS kind
+           FROM conversations WHERE role = 'user'),
+p AS (SELECT *, CASE kind WHEN 'missing_data' THEN 'partition_check,row_count,freshness' WHEN 'wrong_values' THEN 'null_check,duplicate_check,row_count,invalid_cast_check'
+                          WHEN 'unexpected_duplicates' THEN 'duplicate_check,row_count' WHEN 'metric_anomaly' THEN 'row_count,duplicate_check,null_check'
+                          WHEN 'stale_data' THEN 'freshness,row_count' WHEN 'row_count_mismatch' THEN 'row_count,duplicate_check,partition_check' ELSE '' END AS priorities FROM q)
+SELECT incident_id, CASE WHEN k = 0 THEN NULL WHEN k = 1 THEN 'bronze' ELSE 'layer_' || k END AS schema, CASE WHEN k <> 0 THEN 't' || turn END AS "table", 'amount' AS "column",
+       CASE WHEN turn % 2 = 0 THEN 'day' ELSE 'order_date' END AS date_column, CASE WHEN conv_id % 3 <> 0 THEN '2024-01-0' || (turn % 9 + 1) END AS date_value, priorities,
+       CASE WHEN priorities <> '' AND k <> 0 THEN 'layered' WHEN k <> 0 THEN 'class' ELSE 'none' END AS strategy, NOT (priorities <> '' AND k <> 0) AS run_upstream
+FROM p
+"""
+ORACLE["evidence_digest"] = f"""
+WITH e AS (SELECT *, '[' || template || '] ' || CASE WHEN error IS NOT NULL THEN 'ERROR: ' || error
+                     ELSE '{{"' || CASE template WHEN 'row_count' THEN 'total_rows' WHEN 'null_check' THEN 'null_count' ELSE 'duplicate_key_count' END || '":'
+                          || CASE WHEN template = 'duplicate_total' THEN value ELSE '"' || value || '"' END || '}}' END AS line
+           FROM ({ORACLE["run_checks"]}) WHERE template IN ('row_count', 'null_check', 'duplicate_total'))
+SELECT incident_id, schema || '.' || "table" AS context, string_agg(line, chr(10) ORDER BY template, column_name NULLS FIRST, line) AS digest
+FROM e GROUP BY 1, 2
+"""
