@@ -261,7 +261,7 @@ def look_up(keys: DataFrame, shards: DataFrame, folder: str) -> DataFrame:
 def archive_round_trip(pages: DataFrame, min_payload: int = 100) -> DataFrame:
     """Write every page, then read every capture back through the index."""
     folder = fresh_path(pages.sparkSession, "warc")
-    if "://" not in folder:
+    if ":" not in folder.split("/", 1)[0]:  # a plain path
         folder = f"file://{folder}"
     captures, shards = write_archive(pages, folder, min_payload)
     return look_up(captures.select("key").distinct(), shards, folder)
