@@ -9,6 +9,9 @@ are removed by the exact join that follows. Only possible hits are shuffled.
 
 Rules (host, path prefix, verdict) come first: the longest rule that fits wins.
 
+Columns of the input named like the added ones are replaced; names that begin
+with an underscore are the operator's own.
+
 Defined cases: a null URL or one without ``://`` has empty host and path, has
 no canonical form and is never listed; repeated rows are judged alike; an
 empty list allows what no rule blocks.
@@ -74,9 +77,9 @@ def build_filter(keys: DataFrame, key: str, n_blocks: int = 1 << 15) -> DataFram
 def with_possible(df: DataFrame, key: str, blocks: DataFrame, n_blocks: int = 1 << 15) -> DataFrame:
     """Adds ``possible``: false only when the key is certainly not listed."""
     probe = df.withColumn("_block", _block(F.col(key), n_blocks)).withColumn("_bits", _bits(F.col(key)))
-    words = F.array(*[F.col(f"w{w}") for w in range(BLOCK_LONGS)])
+    words = F.array(*[F.col(f"_w{w}") for w in range(BLOCK_LONGS)])
     hit = F.forall("_bits", lambda b: F.get(words, F.shiftright(b, 6)).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), b.bitwiseAND(63))) != 0)
-    named = blocks.withColumnRenamed("block", "_filter_block")
+    named = blocks.select(F.col("block").alias("_filter_block"), *[F.col(f"w{w}").alias(f"_w{w}") for w in range(BLOCK_LONGS)])
     joined = probe.join(F.broadcast(named), F.col("_block") == F.col("_filter_block"), "left")
     return joined.withColumn("possible", F.col(key).isNotNull() & F.col("_filter_block").isNotNull() & F.coalesce(hit, F.lit(False))).select(*df.columns, "possible")
 

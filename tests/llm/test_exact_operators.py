@@ -70,7 +70,7 @@ RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("org", "/fr/"
 def test_url_filter(spark):
     urls = ["http://A.Example.NET/en/1?x", "http://example.net/de/", "https://www.bad.com/p?utm_source=a&z=1#top", "http://bad.com/p?z=1", "bad.com/p", None, "",
             "http://bad.com:80/p?z=1", "http://bad.com", "x://notorg/fr/a", "x://a.org/fr/", "x://org/fr", "http://h?q=/a", "http://h#://x/en/"]
-    pages = spark.createDataFrame([(i, u, "x", True) for i, u in enumerate(urls + urls[:2])], "page_id long, url string, host string, possible boolean")
+    pages = spark.createDataFrame([(i, u, "x", True, 1, 2) for i, u in enumerate(urls + urls[:2])], "page_id long, url string, host string, possible boolean, w0 long, block int")
     listed = spark.createDataFrame([("http://bad.com/p?z=1",), (None,), ("nothing",)], "url string")
     for blocks in (1, 1 << 15):  # with one block nearly every probe passes, the exact join decides
         rows = {r.page_id: r for r in url_filter.judge(pages, listed, RULES, blocks).collect()}
