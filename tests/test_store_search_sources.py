@@ -98,3 +98,51 @@ def test_a_cluster_without_a_shared_folder_is_an_error():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.ensure_checkpoint_dir(Session())
+
+
+def _json(path, value):
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with open(path, "w") as f:
+        json.dump(value, f)
+    return path
+
+
+def test_run_results_and_statuses(spark, tmpdir_path):
+    path = _json(os.path.join(tmpdir_path, "run_results.json"), {"results": [
+        {"unique_id": "model.p.fct_sales", "status": "error", "execution_time": 1.5, "message": "boom", "failures": None},
+        {"unique_id": "test.p.not_null", "status": "fail", "failures": 3}]})
+    got = {r.model: (r.status, r.message, r.failures) for r in files.read_run_results(spark, path).collect()}
+    assert got == {"fct_sales": ("error", "boom", None), "not_null": ("fail", "", 3)}
+    path = os.path.join(tmpdir_path, "instances.json")
+    with open(path, "w") as f:
+        for dag, run, task, state, n in [("d", "r", "a", "success", 1), ("d", "r", "b", "failed", None), ("d", "r2", "a", "failed", 2)]:
+            f.write(json.dumps({"dag_id": dag, "run_id": run, "task_id": task, "state": state, "try_number": n}) + "\n")
+    instances = files.read_task_instances(spark, path)
+    assert {tuple(r) for r in files.task_statuses(instances, "d", "r").collect()} == {("a", "success", 1), ("b", "failed", None)}
+    texts = spark.createDataFrame([("d", "r", "a", 1, ""), ("d", "r", "a", 0, "from try 0"), ("d", "r", "b", 0, "zero"), ("d", "r2", "a", 2, "second"), ("d", "r2", "a", 0, "first")],
+                                  "dag_id string, run_id string, task_id string, try_number int, log_text string")
+    picked = {(r.run_id, r.task_id): r.log_text for r in files.pick_log(texts, instances).collect()}
+    assert picked == {("r", "a"): "from try 0", ("r", "b"): "zero", ("r2", "a"): "second"}
+
+
+def test_seeds_scenarios_triggers_and_reports(spark, tmpdir_path):
+    seeds = _json(os.path.join(tmpdir_path, "seed.json"), [{"incident_id": "SEED-001", "failure_class": "data_quality", "summary": "nulls", "tags": ["a", "b"], "evidence_summary": "e"},
+                                                           {"incident_id": "SEED-002"}])
+    rows = {r.incident_id: r for r in memory.normalize_incidents(files.read_seed_incidents(spark, seeds)).collect()}
+    assert rows["SEED-001"].issue_summary == "nulls" and json.loads(rows["SEED-001"].evidence_json) == {"evidence_summary": "e", "tags": ["a", "b"]}
+    assert (rows["SEED-002"].severity, rows["SEED-002"].status, rows["SEED-002"].confidence, rows["SEED-002"].validated) == ("error", "resolved", 1.0, True)
+    assert memory.get_incident(memory.normalize_incidents(files.read_seed_incidents(spark, seeds)), "SEED-002").count() == 1
+    for n, kind in ((1, "null_key"), (2, "drift")):
+        _json(os.path.join(tmpdir_path, "scenarios", f"tc00{n}_{kind}.json"), {"scenario_id": f"TC-00{n}", "trigger": {"dag_id": "d"}, "expected": {"failure_class": kind, "expected_tables": ["t"]}})
+    pattern = os.path.join(tmpdir_path, "scenarios", "*.json")
+    assert {r.scenario_id: r.expected.failure_class for r in files.read_scenarios(spark, pattern).collect()} == {"TC-001": "null_key", "TC-002": "drift"}
+    assert [r.file for r in files.read_scenarios(spark, pattern, "drift").collect()] == ["tc002_drift.json"]
+    trigger = _json(os.path.join(tmpdir_path, "triggers", "a.json"), {"dag_id": "d", "task_id": "run_dbt_fct_sales", "timestamp": "2026-03-05 10:00:00"})
+    one = incidents.intake(files.read_triggers(spark, trigger)).first()
+    assert one.incident_id.startswith("INC-20260305100000-") and one.dbt_model == "fct_sales" and one.pipeline_name == "d"
+    out = os.path.join(tmpdir_path, "reports")
+    report = reports.build_report(spark.createDataFrame([("i1", "data_quality", 0.9)], "incident_id string, failure_class string, confidence double"))
+    for _ in range(2):
+        files.write_reports(report.select("report.*"), out)
+    back = spark.read.json(out).collect()
+    assert len(back) == 1 and back[0].incident_id == "i1" and back[0].what_failed == "Pipeline failure detected"
