@@ -7,10 +7,10 @@ all segmentations. The vocabulary's scores are the first weights; ``rounds``
 expectation steps over all training documents then bring them to the corpus
 (the pieces stay as they are, and the vocabulary's weights remain as a prior).
 A word seen in training has one more path, an arc of its own, with the word's
-frequency; the share of words seen once is what the pieces' paths get. Word
-arcs are kept for each of the ``parts`` largest values of a column (lang) and
-one for the rest, and a text's probability is the sum over these parts: the
-text's own value of the column is not looked at.
+frequency; the share of words seen once is what the pieces' paths get. Weights
+and word arcs are kept for each of the ``parts`` largest values of a column
+(lang) and one for the rest, and a text's probability is the sum over these
+parts: the text's own value of the column is not looked at.
 
 Beside it stands a word model with additive smoothing. All counts are exact
 over all training documents: a piece of some 4 MB of text sends each of its
@@ -75,6 +75,7 @@ class Lattice:
     """Forward and backward sums over the segmentations of many words at once."""
 
     def __init__(self, pieces: list[bytes], logs: np.ndarray):
+        """``logs``: a row of the pieces' log weights for each part."""
         self.logs, self.longest = logs, max(map(len, pieces))
         self.values, self.odd = tokens._base(0)
         values = [int(v) for v in self.values]
@@ -123,20 +124,22 @@ class Lattice:
                     out.append((begin, end, rows, piece))
         return out
 
-    def forward(self, arcs, n: int, size: int) -> np.ndarray:
+    def forward(self, arcs, n: int, size: int, part: int) -> np.ndarray:
+        logs = self.logs[part]
         total = np.full((size + 1, n), -np.inf)
         total[0] = 0.0
         for begin, end, rows, piece in arcs:
-            total[end, rows] = np.logaddexp(total[end, rows], total[begin, rows] + self.logs[piece])
+            total[end, rows] = np.logaddexp(total[end, rows], total[begin, rows] + logs[piece])
         return total
 
-    def expected(self, arcs, forward: np.ndarray, counts: np.ndarray, out: np.ndarray) -> None:
+    def expected(self, arcs, forward: np.ndarray, counts: np.ndarray, out: np.ndarray, part: int) -> None:
         """Adds to ``out`` how often each piece is used, weighted by the words' counts."""
+        logs = self.logs[part]
         size = len(forward) - 1
         back = np.full_like(forward, -np.inf)
         back[size] = 0.0
         for begin, end, rows, piece in reversed(arcs):
-            through = self.logs[piece] + back[end, rows]
+            through = logs[piece] + back[end, rows]
             back[begin, rows] = np.logaddexp(back[begin, rows], through)
             out += np.bincount(piece, np.exp(forward[begin, rows] + through - forward[size, rows]) * counts[rows], len(out))
 
@@ -155,40 +158,35 @@ class Lattice:
                 letters[:, len(SPACE):] = words.data[words.starts[chosen[rows]][:, None] + np.arange(size)]
                 yield rows, letters
 
-    def log_probabilities(self, words: tokens.Words, chosen: np.ndarray, counts: np.ndarray | None = None, out: np.ndarray | None = None) -> np.ndarray:
-        """The chosen words' log probabilities; with ``counts``, the expected pieces are added to ``out``."""
-        result = np.empty(len(chosen))
+    def pieces_of_long(self, letters: np.ndarray) -> Iterator[np.ndarray]:
+        """Words as they are, or a very long one in runs of ``LONG_WORD`` bytes whose lattices meet at their ends."""
+        for i in range(0, letters.shape[1], tokens.LONG_WORD):
+            yield letters[:, i:i + tokens.LONG_WORD]
+
+    def log_probabilities(self, words: tokens.Words, chosen: np.ndarray) -> np.ndarray:
+        """The chosen words' log probabilities, a row for each part."""
+        result = np.zeros((len(self.logs), len(chosen)))
         for rows, letters in self.batches(words, chosen):
-            if letters.shape[1] > tokens.LONG_WORD:
-                for r, line in zip(rows, letters):
-                    result[r] = self._long(line, None if counts is None else counts[r], out)
-                continue
-            arcs = self.arcs(letters)
-            forward = self.forward(arcs, *letters.shape)
-            result[rows] = forward[-1]
-            if counts is not None:
-                self.expected(arcs, forward, counts[rows], out)
+            for run in self.pieces_of_long(letters):
+                arcs = self.arcs(run)
+                for part in range(len(self.logs)):
+                    result[part, rows] += self.forward(arcs, *run.shape, part)[-1]
         return result
 
-    def _long(self, line: np.ndarray, count, out) -> float:
-        """One very long word, in pieces of ``LONG_WORD`` bytes whose lattices meet at their ends."""
-        total = 0.0
-        for i in range(0, len(line), tokens.LONG_WORD):
-            letters = line[i:i + tokens.LONG_WORD][None]
-            arcs = self.arcs(letters)
-            forward = self.forward(arcs, *letters.shape)
-            total += float(forward[-1, 0])
-            if count is not None:
-                self.expected(arcs, forward, np.array([count]), out)
-        return total
+    def count(self, words: tokens.Words, chosen: np.ndarray, counts: np.ndarray, out: np.ndarray, part: int) -> None:
+        """Adds to ``out`` the expected uses of the pieces in the chosen words of one part."""
+        for rows, letters in self.batches(words, chosen):
+            for run in self.pieces_of_long(letters):
+                arcs = self.arcs(run)
+                self.expected(arcs, self.forward(arcs, *run.shape, part), counts[rows], out, part)
 
 
 class Known:
-    """Words met in a task, sorted by hash, with a value each; forgotten when there are more than ``most``."""
+    """Words met in a task, sorted by hash, with values each; forgotten when there are more than ``most``."""
 
-    def __init__(self, most: int = 1_000_000):
-        self.most = most
-        self.hashes, self.values = np.empty(0, np.uint64), np.empty(0)
+    def __init__(self, wide: int = 0, most: int = 500_000):
+        self.most, self.wide = most, wide
+        self.hashes, self.values = np.empty(0, np.uint64), np.empty((0, wide), np.float32)
 
     def places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place, whether it holds the hash) for each of the hashes."""
@@ -198,41 +196,47 @@ class Known:
 
     def add(self, hashes: np.ndarray, values: np.ndarray) -> None:
         if len(self.hashes) + len(hashes) > self.most:
-            self.hashes, self.values = np.empty(0, np.uint64), np.empty(0)
+            self.hashes, self.values = np.empty(0, np.uint64), np.empty((0, self.wide), np.float32)
         at = np.searchsorted(self.hashes, hashes)
-        self.hashes, self.values = np.insert(self.hashes, at, hashes), np.insert(self.values, at, values)
+        self.hashes, self.values = np.insert(self.hashes, at, hashes), np.insert(self.values, at, values, axis=0)
 
 
 def _expectation(sent):
-    """Rows (piece, n): expected uses of each piece in the distinct words of a task's training texts, in 1 / FIXED."""
+    """Rows (part, piece, n): expected uses of each piece in the distinct words of a task's training texts, in 1 / FIXED."""
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(*sent.value)
-        total, known = np.zeros(len(lattice.logs)), Known()
-        for part in tokens.gathered(batches, "text"):
-            words = tokens.hashed_words(part.column("text"), lower=True)
+        total, known = np.zeros_like(lattice.logs), [Known() for _ in lattice.logs]
+        for rows in tokens.gathered(batches, "text"):
+            words = tokens.hashed_words(rows.column("text"), lower=True)
+            part_of = rows.column("part").to_numpy()[words.text_of]
             # word arcs hold how often words are; the pieces learn from each distinct word once
-            hashes, chosen = np.unique(words.hashes, return_index=True)
-            new = ~known.places(hashes)[1]
-            lattice.log_probabilities(words, chosen[new], np.ones(int(new.sum())), total)
-            known.add(hashes[new], np.zeros(int(new.sum())))
+            for part in np.unique(part_of).tolist():
+                own = np.flatnonzero(part_of == part)
+                hashes, first = np.unique(words.hashes[own], return_index=True)
+                new = ~known[part].places(hashes)[1]
+                lattice.count(words, own[first[new]], np.ones(int(new.sum())), total[part], part)
+                known[part].add(hashes[new], np.empty((int(new.sum()), 0), np.float32))
         used = np.rint(total * FIXED).astype(np.int64)
-        held = np.flatnonzero(used)
-        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(used[held])], names=["piece", "n"])
+        part, piece = np.nonzero(used)
+        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(piece), pa.array(used[part, piece])], names=["part", "piece", "n"])
     return step
 
 
-def fitted(docs: DataFrame, pieces: list[bytes], logs: np.ndarray, rounds: int = 2) -> np.ndarray:
-    """Log weights after ``rounds`` expectation steps over the texts of ``docs``."""
+def fitted(docs: DataFrame, pieces: list[bytes], logs: np.ndarray, parts: int, rounds: int = 1) -> np.ndarray:
+    """Log weights, a row for each part, after ``rounds`` expectation steps over ``docs`` (text, part).
+
+    A part's prior are the weights of all parts together, theirs the vocabulary's.
+    """
     prior = np.exp(logs)
+    weights = np.tile(logs, (parts, 1))
     for _ in range(rounds):
-        sent = docs.sparkSession.sparkContext.broadcast((pieces, logs))
-        rows = docs.select("text").mapInArrow(_expectation(sent), "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n")).toArrow()  # a row for each piece
-        uses = np.zeros(len(pieces))
-        uses[rows["piece"].to_numpy()] = rows["n"].to_numpy() / FIXED
-        if not uses.any():
-            return logs
-        logs = np.log((uses + PRIOR * prior) / (uses.sum() + PRIOR))
-    return logs
+        sent = docs.sparkSession.sparkContext.broadcast((pieces, weights))
+        rows = docs.select("text", "part").mapInArrow(_expectation(sent), "part long, piece long, n long").groupBy("part", "piece").agg(F.sum("n").alias("n")).toArrow()  # a row for each part and piece
+        uses = np.zeros((parts, len(pieces)))
+        uses[rows["part"].to_numpy(), rows["piece"].to_numpy()] = rows["n"].to_numpy() / FIXED
+        pooled = (uses.sum(0) + PRIOR * prior) / (uses.sum() + PRIOR)
+        weights = np.log((uses + PRIOR * pooled) / (uses.sum(1, keepdims=True) + PRIOR))
+    return weights
 
 
 BLOCK = "chunk string, bucket int, words binary, counts binary, ids binary, held binary, first binary, logs binary, places binary, uses binary"
@@ -243,7 +247,7 @@ NO_ID = np.iinfo(np.int64).min
 def _blocks(sent, buckets: int, parts: int):
     """For each piece of some 4 MB of text: its documents (bucket -1), and its distinct words by bucket."""
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, known = Lattice(*sent.value), Known()
+        lattice, known = Lattice(*sent.value), Known(parts)
         for rows in tokens.gathered(batches, "text"):
             words = tokens.hashed_words(rows.column("text"), lower=True)
             n = np.diff(words.first)
@@ -251,16 +255,16 @@ def _blocks(sent, buckets: int, parts: int):
             part = rows.column("part").to_numpy()
             hashes, chosen, place = np.unique(words.hashes, return_index=True, return_inverse=True)
             at, have = known.places(hashes)
-            logs = np.empty(len(hashes))
+            logs = np.empty((len(hashes), parts), np.float32)
             logs[have] = known.values[at[have]]
-            logs[~have] = lattice.log_probabilities(words, chosen[~have])
+            logs[~have] = lattice.log_probabilities(words, chosen[~have]).T
             known.add(hashes[~have], logs[~have])
             text = words.text_of
             counts = np.bincount(place * parts + part[text], ~held[text], len(hashes) * parts).astype(np.int64).reshape(-1, parts)
             keys, uses = np.unique(text * max(1, len(hashes)) + place, return_counts=True)
             chunk = uuid.uuid4().hex
             ids = rows.column("doc_id").cast(pa.int64()).fill_null(NO_ID).to_numpy()
-            out = [[chunk, -1, None, None, pack(ids), pack(held.astype(np.uint8)), pack(n), pack(logs.astype(np.float32)), pack(np.diff(keys, prepend=0)), pack(uses.astype(np.uint32))]]
+            out = [[chunk, -1, None, None, pack(ids), pack(held.astype(np.uint8)), pack(n), pack(logs.T.ravel()), pack(np.diff(keys, prepend=0)), pack(uses.astype(np.uint32))]]
             bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
             edges = np.searchsorted(bucket, np.arange(buckets + 1))
             for b in np.flatnonzero(np.diff(edges)).tolist():
@@ -311,7 +315,7 @@ def _scored(words: np.ndarray, once: np.ndarray, ends: np.ndarray, distinct: int
         rows = sorted(table.to_pylist(), key=lambda r: r["bucket"])
         head, rest = rows[0], rows[1:]
         total = np.concatenate([unpack(r["counts"], np.int64).reshape(parts, -1) for r in rest] or [np.empty((parts, 0), np.int64)], axis=1)
-        n, logs = unpack(head["first"], np.int64), unpack(head["logs"], np.float32).astype(np.float64)
+        n, logs = unpack(head["first"], np.int64), unpack(head["logs"], np.float32).astype(np.float64).reshape(parts, -1)
         keys, uses = np.cumsum(unpack(head["places"], np.int64)), unpack(head["uses"], np.uint32).astype(np.int64)
         text, place = np.divmod(keys, max(1, total.shape[1]))
         c = total.sum(0)[place]
@@ -321,7 +325,7 @@ def _scored(words: np.ndarray, once: np.ndarray, ends: np.ndarray, distinct: int
         for k in range(parts):
             if ends[k] or not all_ends:
                 with np.errstate(divide="ignore"):
-                    own = np.logaddexp(np.log(total[k] / max(1, words[k])) + np.log1p(-escape[k]), logs + np.log(escape[k])) + np.log1p(-end[k])
+                    own = np.logaddexp(np.log(total[k] / max(1, words[k])) + np.log1p(-escape[k]), logs[k] + np.log(escape[k])) + np.log1p(-end[k])
                 share = np.log((ends[k] + 1) / (all_ends + parts))
                 whole = np.logaddexp(whole, np.bincount(text, uses * own[place], len(n)) + np.log(end[k]) + share)
         ids = unpack(head["ids"], np.int64)
@@ -342,7 +346,7 @@ def scored(docs: DataFrame, path: str = VOCABULARY, folds: int = 10, rounds: int
     rows = rows.withColumn("part", part.cast("int")).drop("value")
     parts = len(common) + 1
     pieces, logs = vocabulary(path)
-    logs = fitted(rows.where("not held"), pieces, logs, rounds)
+    logs = fitted(rows.where("not held"), pieces, logs, parts, rounds)
     sent = docs.sparkSession.sparkContext.broadcast((pieces, logs))
     blocks = written(rows.mapInArrow(_blocks(sent, buckets, parts), BLOCK), "lm-blocks")
     totals = written(blocks.where("bucket >= 0").select("chunk", "bucket", "words", "counts").groupBy("bucket").applyInArrow(_totals(parts), TOTAL), "lm-totals")

@@ -160,7 +160,7 @@ def test_lattice_sums_all_segmentations():
     pieces = [lattice_lm.SPACE + b"a", lattice_lm.SPACE, b"a", b"b", b"ab", b"ba", b"abb", lattice_lm.SPACE + b"ab", *(bytes([b]) for b in lattice_lm.SPACE)]
     draw = np.random.default_rng(1)
     p = draw.dirichlet(np.ones(len(pieces)))
-    lattice = lattice_lm.Lattice(pieces, np.log(p))
+    lattice = lattice_lm.Lattice(pieces, np.log(np.stack([p[::-1], p])))
 
     def every(rest):
         if not rest:
@@ -174,7 +174,8 @@ def test_lattice_sums_all_segmentations():
     words = tokens.hashed_words(pa.array(texts))
     chosen = np.arange(len(words.starts))
     uses = np.zeros(len(pieces))
-    logs = lattice.log_probabilities(words, chosen, np.full(len(chosen), 2.0), uses)
+    logs = lattice.log_probabilities(words, chosen)[1]
+    lattice.count(words, chosen, np.full(len(chosen), 2.0), uses, 1)
     expected = np.zeros(len(pieces))
     for i, word in enumerate(w for t in texts for w in words_of(t)):
         paths = list(every(lattice_lm.SPACE + word.encode()))
