@@ -11,6 +11,9 @@ from faultline.functions.text import first_words
 from faultline.plans import rules
 
 
+# The sentences of R1 and R2 are fixed texts: reports must read as the reference's do.
+
+
 def _nonempty(c: Column) -> Column:
     return F.coalesce(c, F.lit("")) != ""
 

@@ -194,6 +194,7 @@ SELECT log_id, string_agg(piece, chr(10) ORDER BY line_no) AS truncated FROM (
 GROUP BY log_id
 """
 
+# fixed values: they must equal the reference's rules
 _SIGS = [
     ("not_null_violation", r'null value in column "(\w+)".*not-null constraint', 1, "23502", "not_null_violation"),
     ("type_cast_failure", r'invalid input syntax for type (\w+): "([^"]+)"', 2, "22P02", "type_cast_failure"),
@@ -236,6 +237,7 @@ def _distinct_join(expr):
     return (f"array_to_string(list_filter({expr}, lambda x, i: list_position({expr}, x) = i), ',')")
 
 
+# fixed values: they must equal the reference's rules
 _TBL = r'(?i)(?:relation|table|from|join|into)\s+"?(\w+)"?\."?(\w+)"?'
 ORACLE["referenced_objects"] = f"""
 SELECT log_id,
@@ -247,6 +249,7 @@ FROM ({LOG_TEXTS})
 
 # --- incidents, investigation, memory ---------------------------------------------------
 
+# fixed values: they must equal the reference's rules
 _TASKS = ["run_dbt_silver_sales", "run_dbt_silver_customers", "run_dbt_fct_sales", "run_dbt_tests",
           "ingest_raw_sales", "run_dbt_gold_orders"]
 _TASK_CASE = "CASE " + " ".join(f"WHEN {_K} % 6 = {i} THEN '{t}'" for i, t in enumerate(_TASKS)) + " END"
@@ -269,6 +272,7 @@ SELECT 'INC-' || strftime(ts, '%Y%m%d%H%M%S') || '-' ||
 FROM ({TRIGGERS})
 """
 
+# fixed values: they must equal the reference's rules
 _CLASS = ("CASE error_type WHEN 'not_null_violation' THEN 'data_quality' WHEN 'unique_violation' THEN 'data_quality' "
           "WHEN 'type_cast_failure' THEN 'schema_drift' WHEN 'relation_not_found' THEN 'code_failure' "
           "WHEN 'column_not_found' THEN 'code_failure' WHEN 'dbt_compile_error' THEN 'code_failure' "
@@ -287,6 +291,7 @@ SELECT log_id, error_type, failure_class, 0.5 AS classification_confidence, {_PR
 FROM ({CLASSIFIED})
 """
 
+# fixed values: they must equal the reference's rules
 _TEMPLATES = {
     "data_quality": ["null_check", "duplicate_check", "duplicate_total", "row_count", "freshness"],
     "schema_drift": ["column_presence", "invalid_cast_check"],
