@@ -8,19 +8,33 @@ Texts that a stage has no reason to change pass through unchanged.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.llm import decontaminate, jaccard_join, mixing, substring_dedup, toxicity
 from faultline.llm.storage import table, written
+from faultline.session import apply_session_conf
+
+
+def _stage(function):
+    """The stage under the library's session defaults."""
+    @wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        apply_session_conf(spark)
+        return function(spark, docs, sf_dir)
+    return run_stage
 
 
+@_stage
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose deobfuscated text scores below 0.5."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model, docs.columns, "_toxicity").where("_toxicity < 0.5").drop("_toxicity")
 
 
+@_stage
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least id of each group of near copies; documents without words are all kept, and so are rows without an id."""
     groups = jaccard_join.near_duplicates(docs.select("doc_id", "text"))
@@ -28,6 +42,7 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
 
 
+@_stage
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the words of repeated windows; one that has no word left goes, one without repeats keeps its text."""
     out = substring_dedup.remove_repeats(docs)
@@ -36,12 +51,14 @@ def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
+@_stage
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
     out = decontaminate.judge(docs, table(spark, sf_dir, "benchmark"))
     return out.where("not contaminated").select(*docs.columns)
 
 
+@_stage
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: a row for each copy of a document."""
     return mixing.mix(docs)
