@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -115,23 +116,27 @@ def pack_context(pieces: DataFrame, keys: list[str], budget: int = rules.DEFAULT
     counts = pieces.select(*keys, F.col("ordinal").cast("int").alias("ordinal"), F.col("tokens").cast("long").alias("tokens"),
                            (F.coalesce("text", F.lit("")) == "").alias("empty"))
 
-    def fold(pdf):
-        pdf = pdf.sort_values("ordinal", kind="stable")
-        left, keep = budget, []
-        for n, empty in zip(pdf["tokens"], pdf["empty"]):
-            if empty:
-                keep.append(0)
-            elif n <= left:
-                keep.append(n)
-                left -= n
-            elif left > rules.PACK_MIN_REMAINING:
-                keep.append(left - rules.PACK_HEADROOM)
-                left = rules.PACK_HEADROOM
-            else:
-                keep.append(0)
-        return pdf.assign(_keep=keep)[[*keys, "ordinal", "_keep"]]
-
-    kept = counts.groupBy(*keys).applyInPandas(fold, schema)
+    def fold(batches):
+        context, left = None, budget
+        for batch in batches:
+            keep = []
+            for *key, n, empty in zip(*(batch.column(c).to_pylist() for c in [*keys, "tokens", "empty"])):
+                if key != context:
+                    context, left = key, budget
+                if empty:
+                    keep.append(0)
+                elif n <= left:
+                    keep.append(n)
+                    left -= n
+                elif left > rules.PACK_MIN_REMAINING:
+                    keep.append(left - rules.PACK_HEADROOM)
+                    left = rules.PACK_HEADROOM
+                else:
+                    keep.append(0)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), batch.column("ordinal"), pa.array(keep, pa.int64())], names=[*keys, "ordinal", "_keep"])
+
+    # a context's pieces come one after another in their order, in one task; the fold keeps a number
+    kept = counts.repartition(*keys).sortWithinPartitions(*keys, "ordinal").mapInArrow(fold, schema)
     j = pieces.withColumn("ordinal", F.col("ordinal").cast("int")).join(kept, [*keys, "ordinal"])
     text = F.when(F.col("_keep") <= 0, F.lit("")).when(F.col("_keep") >= F.col("tokens"), F.col("text")) \
         .otherwise(first_words(F.col("text"), F.col("_keep")))
