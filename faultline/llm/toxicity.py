@@ -50,7 +50,8 @@ TOP = 3
 LEET_SET = re.escape("".join(LEET))
 #: A word with a symbol between, before or after letters; or a letter three times; or single characters set apart.
 WORDLIKE = rf"[A-Za-z\x80-\U0010FFFF{LEET_SET}]"
-MIXED = re.compile(rf"(?<![^\s.,;:'\"?*_#&%-]){WORDLIKE}{{3,}}(?![^\s.,;:'\"?*_#&%-])")
+#: Only words with something other than ASCII letters or with a letter three times.
+MIXED = re.compile(rf"(?<![^\s.,;:'\"?*_#&%-])(?=[A-Za-z]*?(?:[\x80-\U0010FFFF{LEET_SET}]|([A-Za-z])\1\1)){WORDLIKE}{{3,}}(?![^\s.,;:'\"?*_#&%-])")
 TRIPLE = re.compile(r"([A-Za-z])\1\1")
 SPACED = re.compile(rf"(?<![\w@$]){WORDLIKE}(?:[ ._*-]{WORDLIKE}){{2,}}(?![\w@$])")
 EDGES = re.compile(r"^([!|(+$@])\1+|([!|(+$@])\2+$|!$")
@@ -139,20 +140,27 @@ class Decoder:
         return "".join(reversed(parts))
 
 
+def core_of(word: str) -> tuple[int, int] | None:
+    """Where in a word what the search reads begins and ends; None for a word that stays as it is."""
+    if word.isalpha() and not TRIPLE.search(word):
+        return None
+    lead = EDGES.match(word)
+    begin = lead.end() if lead and lead.end() < len(word) else 0
+    core = word[begin:]
+    while (t := EDGES.search(core)) and t.end() == len(core) and t.start() > 0:
+        core = core[:t.start()]
+    letters = sum(c.isalpha() for c in core)
+    if letters < 2 or (letters == len(core) and not TRIPLE.search(core)):
+        return None
+    return begin, begin + len(core)
+
+
 def restored(text: str, decoder: Decoder) -> str:
     """The text with obfuscated spans as the search reads them."""
     def single(m: re.Match) -> str:
         word = m[0]
-        lead = EDGES.match(word)
-        head = lead[0] if lead and lead.start() == 0 and lead.end() < len(word) else ""
-        core = word[len(head):]
-        tail = ""
-        while (t := EDGES.search(core)) and t.end() == len(core) and t.start() > 0:
-            tail, core = core[t.start():] + tail, core[:t.start()]
-        letters = sum(c.isalpha() for c in core)
-        if letters < 2 or (letters == len(core) and not TRIPLE.search(core)):
-            return word
-        return head + decoder.restore(core) + tail
+        at = core_of(word)
+        return word[:at[0]] + decoder.restore(word[at[0]:at[1]]) + word[at[1]:] if at else word
 
     text = SPACED.sub(lambda m: decoder.restore(m[0]), text)
     return MIXED.sub(single, text)
@@ -161,32 +169,48 @@ def restored(text: str, decoder: Decoder) -> str:
 IS_LETTER = CLASS_OF > 0
 IS_LEET = np.zeros(256, bool)
 IS_LEET[[ord(c) for c in LEET]] = True
+#: ASCII characters after which no character is set apart.
+IS_JOINED = np.zeros(256, bool)
+IS_JOINED[[b for b in range(128) if chr(b).isalnum() or chr(b) in "_@$"]] = True
 IS_GAP = np.zeros(256, bool)
 IS_GAP[np.frombuffer(b" ._*-", np.uint8)] = True
 
 
 def may_be_obfuscated(column: pa.Array) -> np.ndarray:
-    """Texts with a symbol before a letter, a letter three times, or three characters set apart: all others have one path only."""
+    """Texts that hold a span which ``restored`` sends to the search: a word that is no plain one, or three characters set apart.
+
+    Words are told apart by the rule of ``restored`` itself, each distinct one once; what stands beside a word is not looked at.
+    """
     data, offsets = tokens.text_bytes(column)
     n = len(offsets) - 1
     if len(data) < 3:
         return np.zeros(n, bool)
     letter, leet = IS_LETTER[data], IS_LEET[data]
     low = tokens.LOWER[data]
-    sign = np.zeros(len(data), bool)
-    sign[:-1] |= leet[:-1] & letter[1:]  # a symbol that ends a word is punctuation
-    sign[2:] |= (low[2:] == low[1:-1]) & (low[1:-1] == low[:-2]) & letter[2:] & (data[2:] < 128)
+    # words without a symbol beside a letter, a letter three times or a character beyond ASCII are plain
+    sign = data >= 128
+    sign[:-1] |= leet[:-1] & letter[1:]
+    sign[1:] |= leet[1:] & letter[:-1]
+    sign[2:] |= (low[2:] == low[1:-1]) & (low[1:-1] == low[:-2]) & letter[2:]
+    words = tokens.split_words(column, False, ~(IS_LETTER | IS_LEET))
+    some = np.unique(np.searchsorted(words.starts, np.flatnonzero(sign), "right") - 1)
+    some = some[words.ends[some] - words.starts[some] >= 3]
+    chosen = tokens.Words(data, words.starts[some], words.ends[some], words.first)
+    _, first, place = np.unique(tokens.hash_words(chosen, 0), return_index=True, return_inverse=True)
+    sent = [core_of(bytes(data[i:j]).decode()) is not None for i, j in zip(chosen.starts[first].tolist(), chosen.ends[first].tolist())]
+    at = chosen.starts[np.array(sent, bool)[place]]
     # three characters between single separators, by code points
     chars = np.flatnonzero(data & 0xC0 != 0x80)
-    w = np.zeros(len(chars) + 6, bool)
-    w[1:-5] = (letter | leet)[chars]
-    gap = np.zeros(len(chars) + 6, bool)
-    gap[1:-5] = IS_GAP[data[chars]]
-    apart = ~w[:-6] & w[1:-5] & gap[2:-4] & w[3:-3] & gap[4:-2] & w[5:-1]
-    sign[chars[apart]] = True
-    at = np.flatnonzero(sign)
+    w = np.zeros(len(chars) + 4, bool)
+    w[:-4] = (letter | leet)[chars]
+    gap = np.zeros(len(chars) + 4, bool)
+    gap[:-4] = IS_GAP[data[chars]]
+    apart = np.flatnonzero(w[:-4] & gap[1:-3] & w[2:-2] & gap[3:-1] & w[4:])
+    before = chars[apart] - 1
+    begins = offsets[np.searchsorted(offsets, before + 1)] == before + 1
+    apart = chars[apart[begins | ~IS_JOINED[data[before]]]]
     out = np.zeros(n, bool)
-    out[np.searchsorted(offsets, at, "right") - 1] = True
+    out[np.searchsorted(offsets, np.concatenate([at, apart]), "right") - 1] = True
     return out
 
 

@@ -135,6 +135,32 @@ def test_deobfuscation(spark):
         assert toxicity.restored(kept, decoder) == kept
 
 
+def test_texts_with_a_disguised_word_alone_are_searched(spark):
+    plain = "you are an idiot and worthless, some hate the calm and good words of others " * 20
+    decoder = toxicity.Decoder(toxicity.character_model(docs_frame(spark, [(1, plain)])))
+    ratio = np.zeros(toxicity.BUCKETS, np.float32)
+    ratio[toxicity.features(pa.array(["hate idiot worthless"]))[0]] = 3.0
+    model = toxicity.Model(decoder.model, ratio, np.array([1.0, 1.0, 1.0, -5.0]))
+    for hidden, meant in [("hat3", "hate"), ("idi07", "idiot"), ("worthle55", "worthless")]:
+        for text in ("the {} and", "{}", "and {}."):
+            assert model.scores(pa.array([text.format(hidden)]), decoder) == pytest.approx(model.scores(pa.array([text.format(meant)]), decoder)), hidden
+    calm = model.scores(pa.array(["good words", "good words!", "good (words)"]), decoder)
+    assert calm.max() == pytest.approx(calm.min()) and calm.max() < 0.01
+
+    class Spy:
+        def restore(self, span):
+            self.met = True
+            return span
+
+    draw = random.Random(5)
+    for _ in range(3000):
+        text = "".join(draw.choice("aabBé日“—  .-_*,!!$$(13+0)@") for _ in range(draw.randrange(1, 12)))
+        spy = Spy()
+        spy.met = False
+        toxicity.restored(text, spy)
+        assert not spy.met or toxicity.may_be_obfuscated(pa.array(["x", text, None]))[1], text
+
+
 def test_viterbi_finds_the_cheapest_path(spark):
     model = np.log(np.random.default_rng(4).dirichlet(np.ones(toxicity.CLASSES), (toxicity.CLASSES, toxicity.CLASSES)))
     decoder = toxicity.Decoder(model)
