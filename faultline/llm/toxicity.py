@@ -3,8 +3,10 @@
 Writers hide words by leetspeak (``1d10t``), spacing (``i d i o t``) and
 repetition (``idiooot``). Such spans are read as lattices of the characters
 that may have been meant, and a Viterbi search under a character trigram model
-of the whole corpus restores them; a span of plain letters has one path only
-and is left as it is. The restored text is scored by its words and word
+of the whole corpus restores them; the path costs also decide whether a symbol
+or a doubled letter (``worthle$$``, ``iiddiioott``) is meant as it stands. Words
+of plain letters of which at most one is doubled are left as they are, and so
+are numbers and one symbol repeated. The restored text is scored by its words and word
 beginnings: each has a log ratio between toxic and other training texts, and a
 logistic model weighs a text's three strongest.
 
@@ -48,13 +50,18 @@ BEGINNINGS = (4, 5, 6)
 TOP = 3
 
 LEET_SET = re.escape("".join(LEET))
-#: A word with a symbol between, before or after letters; or a letter three times; or single characters set apart.
+#: A word with a symbol between, before or after letters; or doubled letters; or single characters set apart.
 WORDLIKE = rf"[A-Za-z\x80-\U0010FFFF{LEET_SET}]"
-#: Only words with something other than ASCII letters or with a letter three times.
-MIXED = re.compile(rf"(?<![^\s.,;:'\"?*_#&%-])(?=[A-Za-z]*?(?:[\x80-\U0010FFFF{LEET_SET}]|([A-Za-z])\1\1)){WORDLIKE}{{3,}}(?![^\s.,;:'\"?*_#&%-])")
-TRIPLE = re.compile(r"([A-Za-z])\1\1")
+#: Only words with something other than ASCII letters or with a doubled letter.
+MIXED = re.compile(rf"(?<![^\s.,;:'\"?*_#&%-])(?=[A-Za-z]*?(?:[\x80-\U0010FFFF{LEET_SET}]|([A-Za-z])(?i:\1))){WORDLIKE}{{3,}}(?![^\s.,;:'\"?*_#&%-])")
+DOUBLED = re.compile(r"([^\W\d_])\1(?:\1|.*([^\W\d_])\2)", re.IGNORECASE)
+LETTERS = re.compile(r"[^\W\d_]+")
+#: Digits with signs, a currency or marks of exclamation beside them.
+NUMERIC = re.compile(r"[(+$|]*[0-9]+\$?[!+|]*")
+#: Marks that often stand at a word's ends.
+LEAD, TRAIL = re.compile(r"([!|(+$@])\1+"), re.compile(r"(?:([!|(+$@])\1+|!)$")
+RUNS = re.compile(r"(.)\1*", re.DOTALL)
 SPACED = re.compile(rf"(?<![\w@$]){WORDLIKE}(?:[ ._*-]{WORDLIKE}){{2,}}(?![\w@$])")
-EDGES = re.compile(r"^([!|(+$@])\1+|([!|(+$@])\2+$|!$")
 
 
 def trigram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,12 +98,35 @@ class Decoder:
     def __init__(self, model: np.ndarray, most: int = 200_000):
         self.model, self.most, self.known = model, most, {}
 
-    def restore(self, span: str) -> str:
-        if span not in self.known:
+    def _kept(self, key, value):
+        if key not in self.known:
             if len(self.known) >= self.most:
                 self.known.clear()
-            self.known[span] = self._search(span.lower())
-        return self.known[span]
+            self.known[key] = value()
+        return self.known[key]
+
+    def restore(self, span: str) -> str:
+        return self._kept(span, lambda: "".join(self._search(span.lower())[1]))
+
+    def word(self, span: str) -> str:
+        """A word as the search reads it. Marks at an end are read with the rest or stand beside it as a symbol, whichever costs less."""
+        return self._kept((span,), lambda: self._word(span))
+
+    def _word(self, span: str) -> str:
+        lead, trail = LEAD.match(span), TRAIL.search(span)
+        begins = [0, lead.end()] if lead else [0]
+        ends = [len(span), trail.start()] if trail else [len(span)]
+        ways = [(i, j, *self._search(span[i:j].lower())) for i in begins for j in ends if i < j]
+        i, j, _, parts = min(ways, key=lambda x: (x[2] + COST_SYMBOL * ((x[0] > 0) + (x[1] < len(span))), x[1] - x[0]))
+        core = span[i:j]
+        of = [m[0][0] for m in RUNS.finditer(core.lower())]
+        # all symbols and separators are taken as such: the letters between them are words of their own
+        stands = all(x == " " or (x == "" and k in (0, len(of) - 1)) for k, (c, x) in enumerate(zip(of, parts)) if c in LEET or not c.isalpha())
+        if stands and not core.isalpha():
+            meant = LETTERS.sub(lambda m: reading(m[0], self) if m[0].isalpha() else m[0], core)
+        else:
+            meant = "".join(parts) if searched(core) else core
+        return span[:i] + meant + span[j:]
 
     @staticmethod
     def lattice(span: str) -> list[list[tuple[str, float]]]:
@@ -118,7 +148,7 @@ class Decoder:
             i = j
         return units
 
-    def _search(self, span: str) -> str:
+    def _search(self, span: str) -> tuple[float, list[str]]:
         states = {(0, 0): (0.0, None)}
         for ways in self.lattice(span):
             after: dict = {}
@@ -137,33 +167,27 @@ class Decoder:
         while path is not None:
             path, text = path
             parts.append(text)
-        return "".join(reversed(parts))
+        return states[best][0] - self.model[best[0], best[1], 0], parts[::-1]
+
+
+def searched(word: str) -> bool:
+    """Whether the search reads a word: one of several kinds of characters, or of letters of which one stands three times or two are doubled.
+
+    One doubled letter is plain spelling; numbers and one symbol repeated are no words.
+    """
+    if word.isalpha():
+        return DOUBLED.search(word) is not None
+    return not NUMERIC.fullmatch(word) and word.count(word[0]) < len(word)
 
 
-def core_of(word: str) -> tuple[int, int] | None:
-    """Where in a word what the search reads begins and ends; None for a word that stays as it is."""
-    if word.isalpha() and not TRIPLE.search(word):
-        return None
-    lead = EDGES.match(word)
-    begin = lead.end() if lead and lead.end() < len(word) else 0
-    core = word[begin:]
-    while (t := EDGES.search(core)) and t.end() == len(core) and t.start() > 0:
-        core = core[:t.start()]
-    letters = sum(c.isalpha() for c in core)
-    if letters < 2 or (letters == len(core) and not TRIPLE.search(core)):
-        return None
-    return begin, begin + len(core)
+def reading(word: str, decoder: Decoder) -> str:
+    return decoder.word(word) if searched(word) else word
 
 
 def restored(text: str, decoder: Decoder) -> str:
     """The text with obfuscated spans as the search reads them."""
-    def single(m: re.Match) -> str:
-        word = m[0]
-        at = core_of(word)
-        return word[:at[0]] + decoder.restore(word[at[0]:at[1]]) + word[at[1]:] if at else word
-
     text = SPACED.sub(lambda m: decoder.restore(m[0]), text)
-    return MIXED.sub(single, text)
+    return MIXED.sub(lambda m: reading(m[0], decoder), text)
 
 
 IS_LETTER = CLASS_OF > 0
@@ -172,33 +196,32 @@ IS_LEET[[ord(c) for c in LEET]] = True
 #: ASCII characters after which no character is set apart.
 IS_JOINED = np.zeros(256, bool)
 IS_JOINED[[b for b in range(128) if chr(b).isalnum() or chr(b) in "_@$"]] = True
+IS_DIGIT = np.zeros(256, bool)
+IS_DIGIT[48:58] = True
+#: ASCII characters that a word may stand beside.
+IS_EDGE = np.zeros(256, bool)
+IS_EDGE[[b for b in range(128) if chr(b).isspace() or chr(b) in ".,;:'\"?*_#&%-"]] = True
 IS_GAP = np.zeros(256, bool)
 IS_GAP[np.frombuffer(b" ._*-", np.uint8)] = True
 
 
-def may_be_obfuscated(column: pa.Array) -> np.ndarray:
-    """Texts that hold a span which ``restored`` sends to the search: a word that is no plain one, or three characters set apart.
-
-    Words are told apart by the rule of ``restored`` itself, each distinct one once; what stands beside a word is not looked at.
-    """
+def _words_and_apart(column: pa.Array) -> tuple[tokens.Words, list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Words that may be no plain ones: their places, the distinct ones, which of these each is; texts' offsets; where characters are set apart."""
     data, offsets = tokens.text_bytes(column)
-    n = len(offsets) - 1
-    if len(data) < 3:
-        return np.zeros(n, bool)
     letter, leet = IS_LETTER[data], IS_LEET[data]
     low = tokens.LOWER[data]
-    # words without a symbol beside a letter, a letter three times or a character beyond ASCII are plain
+    # words without a symbol beside a letter or another symbol, a letter twice or a character beyond ASCII are plain
     sign = data >= 128
-    sign[:-1] |= leet[:-1] & letter[1:]
-    sign[1:] |= leet[1:] & letter[:-1]
-    sign[2:] |= (low[2:] == low[1:-1]) & (low[1:-1] == low[:-2]) & letter[2:]
+    other = (low[1:] != low[:-1]) & ~(IS_DIGIT[data[1:]] & IS_DIGIT[data[:-1]])
+    sign[1:] |= other & (leet[1:] & (letter | leet)[:-1] | leet[:-1] & letter[1:])
+    sign[1:] |= (low[1:] == low[:-1]) & letter[1:]
     words = tokens.split_words(column, False, ~(IS_LETTER | IS_LEET))
+    # a sign is the second of two: where they are of two texts, it may come before its text's word
     some = np.unique(np.searchsorted(words.starts, np.flatnonzero(sign), "right") - 1)
-    some = some[words.ends[some] - words.starts[some] >= 3]
+    some = some[(some >= 0) & (words.ends[some] - words.starts[some] >= 3)]
     chosen = tokens.Words(data, words.starts[some], words.ends[some], words.first)
     _, first, place = np.unique(tokens.hash_words(chosen, 0), return_index=True, return_inverse=True)
-    sent = [core_of(bytes(data[i:j]).decode()) is not None for i, j in zip(chosen.starts[first].tolist(), chosen.ends[first].tolist())]
-    at = chosen.starts[np.array(sent, bool)[place]]
+    distinct = [bytes(data[i:j]).decode() for i, j in zip(chosen.starts[first].tolist(), chosen.ends[first].tolist())]
     # three characters between single separators, by code points
     chars = np.flatnonzero(data & 0xC0 != 0x80)
     w = np.zeros(len(chars) + 4, bool)
@@ -208,19 +231,52 @@ def may_be_obfuscated(column: pa.Array) -> np.ndarray:
     apart = np.flatnonzero(w[:-4] & gap[1:-3] & w[2:-2] & gap[3:-1] & w[4:])
     before = chars[apart] - 1
     begins = offsets[np.searchsorted(offsets, before + 1)] == before + 1
-    apart = chars[apart[begins | ~IS_JOINED[data[before]]]]
-    out = np.zeros(n, bool)
-    out[np.searchsorted(offsets, np.concatenate([at, apart]), "right") - 1] = True
+    return chosen, distinct, place, offsets, chars[apart[begins | ~IS_JOINED[data[before]]]]
+
+
+def may_be_obfuscated(column: pa.Array) -> np.ndarray:
+    """Texts that hold a span which ``restored`` sends to the search: a word that is no plain one, or three characters set apart.
+
+    Words are told apart by the rule of ``restored`` itself, each distinct one once; what stands beside a word is not looked at.
+    """
+    words, distinct, place, offsets, apart = _words_and_apart(column)
+    sent = np.fromiter(map(searched, distinct), bool, len(distinct))[place]
+    out = np.zeros(len(column), bool)
+    out[np.searchsorted(offsets, np.concatenate([words.starts[sent], apart]), "right") - 1] = True
     return out
 
 
 def restored_column(column: pa.Array, decoder: Decoder) -> pa.Array:
-    marked = may_be_obfuscated(column)
-    if not marked.any():
+    """``restored`` of every text; words are read once each, and put where they stand if nothing else can be meant."""
+    words, distinct, place, offsets, apart = _words_and_apart(column)
+    data = words.data
+    read = [reading(x, decoder) for x in distinct]
+    # spaces beyond ASCII split a word that ends beside other signs
+    plain = np.fromiter((x.isascii() or x.isalpha() for x in distinct), bool, len(distinct))
+    changed = np.fromiter((x != y for x, y in zip(distinct, read)), bool, len(distinct)) | ~plain
+    own = np.flatnonzero(changed[place])
+    text_of = np.searchsorted(offsets, words.starts[own], "right") - 1
+    whole = np.zeros(len(column), bool)
+    whole[np.searchsorted(offsets, apart, "right") - 1] = True
+    whole[text_of[~plain[place[own]]]] = True
+    begin, end = words.starts[own], words.ends[own]
+    free = (begin == offsets[text_of]) | IS_EDGE[data[begin - 1]]
+    free &= (end == offsets[text_of + 1]) | IS_EDGE[data[np.minimum(end, len(data) - 1)]]
+    own, text_of = own[free & ~whole[text_of]], text_of[free & ~whole[text_of]]
+    if not (len(own) or whole.any()):
         return column
     texts = column.to_pylist()
-    for i in np.flatnonzero(marked):
+    for i in np.flatnonzero(whole):
         texts[i] = restored(texts[i], decoder)
+    cuts = np.flatnonzero(np.diff(text_of, prepend=-1, append=-1)).tolist() if len(own) else []
+    begin, end, which, raw = words.starts[own].tolist(), words.ends[own].tolist(), place[own].tolist(), data.tobytes()
+    for i, j in zip(cuts[:-1], cuts[1:]):
+        at, parts = int(offsets[text_of[i]]), []
+        for k in range(i, j):
+            parts += [raw[at:begin[k]], read[which[k]].encode()]
+            at = end[k]
+        parts.append(raw[at:int(offsets[text_of[i] + 1])])
+        texts[text_of[i]] = b"".join(parts).decode()
     return pa.array(texts, column.type)
 
 

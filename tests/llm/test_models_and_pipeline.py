@@ -152,6 +152,8 @@ def test_texts_with_a_disguised_word_alone_are_searched(spark):
             self.met = True
             return span
 
+        word = restore
+
     draw = random.Random(5)
     for _ in range(3000):
         text = "".join(draw.choice("aabBé日“—  .-_*,!!$$(13+0)@") for _ in range(draw.randrange(1, 12)))
@@ -161,6 +163,23 @@ def test_texts_with_a_disguised_word_alone_are_searched(spark):
         assert not spy.met or toxicity.may_be_obfuscated(pa.array(["x", text, None]))[1], text
 
 
+def test_words_of_few_or_doubled_letters_are_searched(spark):
+    plain = "you are an idiot and worthless, such trash is a loss. the good words of others and all well meant small letters " * 20
+    decoder = toxicity.Decoder(toxicity.character_model(docs_frame(spark, [(1, plain)])))
+    ratio = np.zeros(toxicity.BUCKETS, np.float32)
+    ratio[toxicity.features(pa.array(["idiot worthless trash"]))[0]] = 3.0
+    model = toxicity.Model(decoder.model, ratio, np.array([1.0, 1.0, 1.0, -5.0]))
+    for hidden, meant in [("1d107", "idiot"), ("iiddiioott", "idiot"), ("IiDdIiOoTt", "idiot"), ("worthle$$", "worthless"), ("7r45h", "trash")]:
+        assert model.scores(pa.array([f"the {hidden} and"]), decoder) == pytest.approx(model.scores(pa.array([f"the {meant} and"]), decoder)), hidden
+    for kept in ("all good, small letters", "well!! meant! good! tall!", "1007 $100 455 +49 2024!", "$$$ !!! +++"):
+        assert toxicity.restored(kept, decoder) == kept
+    # whole columns are read as their texts are
+    draw = random.Random(6)
+    some = ["idi07", "1d107", "good", "all!", "iiddiioott", "worthle$$", "é", "éééa", "“loss”", "a\u00a0b3c", ")", "(", " ", " ", " ", "_", ".", "i d i o t", "1007", "日本", "/"]
+    texts = [None, "", *("".join(draw.choice(some) for _ in range(draw.randrange(1, 9))) for _ in range(1500))]
+    assert toxicity.restored_column(pa.array(texts), decoder).to_pylist() == [t and toxicity.restored(t, decoder) for t in texts]
+
+
 def test_viterbi_finds_the_cheapest_path(spark):
     model = np.log(np.random.default_rng(4).dirichlet(np.ones(toxicity.CLASSES), (toxicity.CLASSES, toxicity.CLASSES)))
     decoder = toxicity.Decoder(model)
