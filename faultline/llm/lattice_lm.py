@@ -201,21 +201,35 @@ class Known:
         self.hashes, self.values = np.insert(self.hashes, at, hashes), np.insert(self.values, at, values, axis=0)
 
 
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (part, word, n): the distinct words of each piece of some 4 MB of text."""
+    for rows in tokens.gathered(batches, "text"):
+        words = tokens.hashed_words(rows.column("text"), lower=True)
+        part_of = rows.column("part").to_numpy()[words.text_of]
+        for part in np.unique(part_of).tolist():
+            own = np.flatnonzero(part_of == part)
+            _, first, n = np.unique(words.hashes[own], return_index=True, return_counts=True)
+            chosen = own[first]
+            # a few MB of words at a time, as a word may be as long as a text
+            cuts = np.flatnonzero(np.diff(np.cumsum((words.ends - words.starts)[chosen]) >> 20, prepend=0)).tolist()
+            for i, j in zip([0, *cuts], [*cuts, len(chosen)]):
+                if i < j:
+                    spelled = [words.data[x:y].tobytes() for x, y in zip(words.starts[chosen[i:j]].tolist(), words.ends[chosen[i:j]].tolist())]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(j - i, part)), pa.array(spelled, pa.binary()), pa.array(n[i:j])], names=["part", "word", "n"])
+
+
 def _expectation(sent):
-    """Rows (part, piece, n): expected uses of each piece in the distinct words of a task's training texts, in 1 / FIXED."""
+    """Rows (part, piece, n): expected uses of each piece in words with their counts, in 1 / FIXED."""
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(*sent.value)
-        total, known = np.zeros_like(lattice.logs), [Known() for _ in lattice.logs]
-        for rows in tokens.gathered(batches, "text"):
-            words = tokens.hashed_words(rows.column("text"), lower=True)
-            part_of = rows.column("part").to_numpy()[words.text_of]
-            # word arcs hold how often words are; the pieces learn from each distinct word once
+        total = np.zeros_like(lattice.logs)
+        for rows in batches:
+            data, offsets = tokens.text_bytes(rows.column("word"))
+            words = tokens.Words(data, offsets[:-1], offsets[1:], np.arange(len(offsets)))
+            part_of, n = rows.column("part").to_numpy(), rows.column("n").to_numpy().astype(np.float64)
             for part in np.unique(part_of).tolist():
                 own = np.flatnonzero(part_of == part)
-                hashes, first = np.unique(words.hashes[own], return_index=True)
-                new = ~known[part].places(hashes)[1]
-                lattice.count(words, own[first[new]], np.ones(int(new.sum())), total[part], part)
-                known[part].add(hashes[new], np.empty((int(new.sum()), 0), np.float32))
+                lattice.count(words, own, n[own], total[part], part)
         used = np.rint(total * FIXED).astype(np.int64)
         part, piece = np.nonzero(used)
         yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(piece), pa.array(used[part, piece])], names=["part", "piece", "n"])
@@ -226,12 +240,16 @@ def fitted(docs: DataFrame, pieces: list[bytes], logs: np.ndarray, parts: int, r
     """Log weights, a row for each part, after ``rounds`` expectation steps over ``docs`` (text, part).
 
     A part's prior are the weights of all parts together, theirs the vocabulary's.
+    A step reads each distinct word of a part once, with its count over all of ``docs``.
     """
     prior = np.exp(logs)
     weights = np.tile(logs, (parts, 1))
+    counts = docs.select("text", "part").mapInArrow(_word_counts, "part long, word binary, n long").groupBy("part", "word").agg(F.sum("n").alias("n"))
+    if rounds > 1:
+        counts = written(counts, "lm-words")
     for _ in range(rounds):
         sent = docs.sparkSession.sparkContext.broadcast((pieces, weights))
-        rows = docs.select("text", "part").mapInArrow(_expectation(sent), "part long, piece long, n long").groupBy("part", "piece").agg(F.sum("n").alias("n")).toArrow()  # a row for each part and piece
+        rows = counts.mapInArrow(_expectation(sent), "part long, piece long, n long").groupBy("part", "piece").agg(F.sum("n").alias("n")).toArrow()  # a row for each part and piece
         uses = np.zeros((parts, len(pieces)))
         uses[rows["part"].to_numpy(), rows["piece"].to_numpy()] = rows["n"].to_numpy() / FIXED
         pooled = (uses.sum(0) + PRIOR * prior) / (uses.sum() + PRIOR)

@@ -254,6 +254,17 @@ def test_language_model_counts(spark):
     assert lattice_lm.scored(docs_frame(spark, [(d, t) for d, t in rows if held[d]]), rounds=1).where("n_known = 0").count() == sum(held[d] for d, _ in rows)
 
 
+def test_language_model_is_the_same_for_any_partitions(spark):
+    draw = random.Random(9)
+    rows = [(i, " ".join(draw.choice(["the", "wording", "wörd", f"n{draw.randrange(60)}"]) for _ in range(30))) for i in range(200)]
+    few, many = ({r.doc_id: r.score for r in lattice_lm.scored(docs_frame(spark, rows, n)).collect()} for n in (2, 50))
+    assert few == pytest.approx(many, rel=1e-5)
+    # pieces are used as often as the words that hold them
+    pieces, logs = lattice_lm.vocabulary()
+    one, two = (lattice_lm.fitted(docs_frame(spark, [(1, "wording " * n + "zebra")]).withColumn("part", F.lit(0)), pieces, logs, 1)[0] for n in (1, 500))
+    assert max(two - one) > 1.0
+
+
 def test_model_beats_the_base_on_known_text(spark):
     out = lattice_lm.scored(table(spark, "/root/testdata/sf0.01", "documents"))
     train = out.where("not held_out").agg(F.sum("score"), F.sum("base_score")).first()
