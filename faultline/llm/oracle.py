@@ -108,4 +108,39 @@ select d.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, c.component_id
 from d left join n using (doc_id) join (select doc_id, min(other) as component_id from reach group by 1) c using (doc_id)
 """
 
-ORACLE = {"op1_url_filter": OP1, "op3_decontamination": OP3, "op4_warc": OP4, "op8_substring_dedup": OP8, "op9_jaccard_join": OP9, "op10_mixing": OP10}
+# unsigned crc32 of a decimal doc_id; 3988292384 is the polynomial of crc32 (fixed value)
+CRC32 = ("xor(list_reduce(list_transform(string_split(cast(doc_id as varchar), ''), lambda c: cast(ascii(c) as bigint)), "
+         "lambda a, c: list_reduce(range(8), lambda b, i: xor(b >> 1, (b & 1) * 3988292384), xor(a, c)), 4294967295::bigint), 4294967295)")
+
+
+def _leaf(text: str) -> str:
+    values = ["cast(doc_id as varchar)", "source", "lang", "cast(n_chars as varchar)", text]
+    return "sha256(" + " || ".join(f"coalesce(cast(octet_length(encode({v})) as varchar) || ':' || {v}, '-')" for v in values) + ")"
+
+
+OP13 = f"""
+with recursive l as (select row_number() over () as r, doc_id, lang, {_leaf("text")} as leaf, {_leaf(f"translate(text, {AZ})")} as lowered, coalesce({CRC32} % 3 = 0, false) as hit from documents),
+ranked as (select *, dense_rank() over (order by lang nulls first) - 1 as tree, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as idx, count(*) over (partition by lang) as size from l),
+nodes(tree, level, idx, size, digest) as (
+  select tree, 0, idx, size, leaf from ranked
+  union all select tree, level + 1, idx // 8, max(size + 7) // 8, sha256(string_agg(digest, '' order by idx)) from nodes where size > 1 group by tree, level, idx // 8),
+sub as (select tree, digest as subroot, level as height from nodes where size = 1),
+tops(level, idx, size, digest) as (
+  select 0, tree, (select count(*) from sub), subroot from sub
+  union all select level + 1, idx // 8, max(size + 7) // 8, sha256(string_agg(digest, '' order by idx)) from tops where size > 1 group by level, idx // 8),
+every as (select tree, level, idx, size, digest from nodes union all select -1, level, idx, size, digest from tops),
+runs as (select tree, level, idx // 8 as run, list(digest order by idx) as own from every where size > 1 group by all),
+path(r, tree, level, idx, folded, others) as (
+  select r, tree, 0, idx, case when hit then lowered else leaf end, '' from ranked
+  union all
+  select r, case when own is null then -1 else p.tree end, case when own is null then 0 else p.level + 1 end, case when own is null then p.tree else p.idx // 8 end,
+         case when own is null then folded else sha256(array_to_string(list_concat(own[:p.idx % 8], [folded], own[p.idx % 8 + 2:]), '')) end,
+         case when own is null then others else others || array_to_string(list_concat(own[:p.idx % 8], own[p.idx % 8 + 2:]), '') end
+  from path p left join runs on runs.tree = p.tree and runs.level = p.level and runs.run = p.idx // 8
+  where p.tree >= 0 or own is not null),
+ends as (select r, folded, others from (select *, row_number() over (partition by r order by tree, level desc) as k from path) where k = 1)
+select doc_id, leaf, subroot, top.digest as root, sha256(others) as proof_sha256, folded as folded_root, folded = top.digest as verified
+from ranked join sub using (tree) join ends using (r) cross join (select digest from tops where size = 1) as top
+"""
+
+ORACLE = {"op1_url_filter": OP1, "op3_decontamination": OP3, "op4_warc": OP4, "op8_substring_dedup": OP8, "op9_jaccard_join": OP9, "op10_mixing": OP10, "op13_merkle_manifest": OP13}
