@@ -108,6 +108,14 @@ select d.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, c.component_id
 from d left join n using (doc_id) join (select doc_id, min(other) as component_id from reach group by 1) c using (doc_id)
 """
 
+OP11 = """
+with v as (select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(1024 * cast(x as double))) as x from embeddings
+           where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (select q.r, q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.x, c.x) as bigint) as score from v q join v c on q.r <> c.r where q.vec_id % 100 = 0),
+ranked as (select *, cast(row_number() over (partition by r order by score desc, vec_id nulls last) as integer) as rank from scored)
+select query_id, rank, vec_id, score from ranked where rank <= 10
+"""
+
 # unsigned crc32 of a decimal doc_id; 3988292384 is the polynomial of crc32 (fixed value)
 CRC32 = ("xor(list_reduce(list_transform(string_split(cast(doc_id as varchar), ''), lambda c: cast(ascii(c) as bigint)), "
          "lambda a, c: list_reduce(range(8), lambda b, i: xor(b >> 1, (b & 1) * 3988292384), xor(a, c)), 4294967295::bigint), 4294967295)")
@@ -143,4 +151,4 @@ select doc_id, leaf, subroot, top.digest as root, sha256(others) as proof_sha256
 from ranked join sub using (tree) join ends using (r) cross join (select digest from tops where size = 1) as top
 """
 
-ORACLE = {"op1_url_filter": OP1, "op3_decontamination": OP3, "op4_warc": OP4, "op8_substring_dedup": OP8, "op9_jaccard_join": OP9, "op10_mixing": OP10, "op13_merkle_manifest": OP13}
+ORACLE = {"op1_url_filter": OP1, "op3_decontamination": OP3, "op4_warc": OP4, "op8_substring_dedup": OP8, "op9_jaccard_join": OP9, "op10_mixing": OP10, "op11_kd_search": OP11, "op13_merkle_manifest": OP13}
