@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import decontaminate, fingerprints, jaccard_join, kd_search, lattice_lm, merkle, mixing, quality, substring_dedup, toxicity, url_filter, warc
+from faultline.llm import alignment, decontaminate, fingerprints, jaccard_join, kd_search, lattice_lm, merkle, mixing, quality, substring_dedup, toxicity, url_filter, warc
 from faultline.llm.storage import table
+from faultline.llm.tokenizers_dir import tokenizer_file
 
 # Fixed rules of the contract: (host, path, verdict).
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -75,6 +76,10 @@ def op11_kd_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_search.top_products(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding", every=100, k=10)
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(table(spark, sf_dir, "documents"), tokenizer_file(spark, "byte_bpe_50k.json"), tokenizer_file(spark, "piece_bpe_32k.model"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["doc_id", "source", "lang", "n_chars", "text"]
     docs = table(spark, sf_dir, "documents").select(*columns)
@@ -85,4 +90,4 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", F.col("proof").alias("proof_sha256"), F.col("folded").alias("folded_root"), "verified")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_fingerprints, op3_decontamination, op4_warc, op5_quality, op6_toxicity, op7_lattice_lm, op8_substring_dedup, op9_jaccard_join, op10_mixing, op11_kd_search, op13_merkle_manifest)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_fingerprints, op3_decontamination, op4_warc, op5_quality, op6_toxicity, op7_lattice_lm, op8_substring_dedup, op9_jaccard_join, op10_mixing, op11_kd_search, op12_alignment, op13_merkle_manifest)}
