@@ -51,6 +51,7 @@ BUCKETS = 32
 PIECES_A_SLICE = 256
 PIECE_BYTES = 4 << 20
 MOST_SEGMENTS = 400_000
+CALL_BYTES = 1 << 15
 ID_BITS = 20
 SPACE = 0x20
 
@@ -84,10 +85,10 @@ class Encoders:
         if max(len(self.a_bytes), len(self.b_bytes)) > 1 << ID_BITS:
             raise ValueError(f"ids beyond {ID_BITS} bits")
 
-    def encode(self, segments: list[bytes]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of A and B for segments that begin with a space (B adds its own)."""
-        texts = [s.decode() for s in segments]
-        return [e.ids for e in self.a.encode_batch(texts, add_special_tokens=False)], self.b.encode([t[1:] for t in texts], num_threads=1)
+    def encode(self, texts: list[bytes]) -> tuple[list[list[int]], list[list[int]]]:
+        """Ids of A and B for texts that begin with a space (B adds its own)."""
+        spelled = [t.decode() for t in texts]
+        return [e.ids for e in self.a.encode_batch_fast(spelled, add_special_tokens=False)], self.b.encode([t[1:] for t in spelled], num_threads=1)
 
 
 @lru_cache(maxsize=2)
@@ -95,22 +96,20 @@ def encoders(a_path: str, b_path: str) -> Encoders:
     return Encoders(a_path, b_path)
 
 
-def cuts(data: np.ndarray) -> np.ndarray:
-    """Where a segment begins inside a text: at a space after a character that is surely no white space."""
-    at = np.flatnonzero(data[1:] == SPACE) + 1
+def surely_no_space(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the character that ends before each place is surely no white space."""
     b1 = data[at - 1]
     b2, b3, b4 = (np.where(at >= k, data[np.maximum(at - k, 0)], 0) for k in (2, 3, 4))
-    plain = (b1 > SPACE) & (b1 < 0x7F)
-    tail = b1 >= 0x80
-    two = tail & (b2 >= 0xC3) & (b2 <= 0xDF)
-    three = tail & (b2 >= 0x80) & (b2 < 0xC0) & (b3 >= 0xE4) & (b3 <= 0xEF)  # white space of three bytes begins E1 to E3
-    four = tail & (b2 >= 0x80) & (b2 < 0xC0) & (b3 >= 0x80) & (b3 < 0xC0) & (b4 >= 0xF0)
-    return at[plain | two | three | four]
+    inner2, inner3 = (b2 >= 0x80) & (b2 < 0xC0), (b3 >= 0x80) & (b3 < 0xC0)
+    # white space of two bytes begins C2, of three E1 to E3
+    wide = ((b2 >= 0xC3) & (b2 <= 0xDF)) | (inner2 & (b3 >= 0xE4) & (b3 <= 0xEF)) | (inner2 & inner3 & (b4 >= 0xF0))
+    return ((b1 > SPACE) & (b1 < 0x7F)) | ((b1 >= 0x80) & wide)
 
 
-def data_follows(at: np.ndarray, borders: np.ndarray) -> np.ndarray:
-    """Whether the byte after each place belongs to the same text."""
-    return borders[np.minimum(np.searchsorted(borders, at + 1), len(borders) - 1)] != at + 1
+def cuts(data: np.ndarray) -> np.ndarray:
+    """Where a segment begins inside a text: at a space after a character that is surely no white space."""
+    at = np.flatnonzero(data[1:] == SPACE) + 1
+    return at[surely_no_space(data, at)]
 
 
 def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -120,18 +119,25 @@ def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(int(sizes.sum()))
 
 
-def flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    return np.fromiter((i for x in lists for i in x), np.int64, int(sizes.sum())), sizes
+class Side:
+    """The tokens of one tokenizer: their bytes, and their ids as text before each mark that can follow."""
+
+    def __init__(self, spelled: list[bytes], last: str):
+        self.sizes = np.fromiter(map(len, spelled), np.int64, len(spelled))
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.bytes = np.frombuffer(b"".join(spelled), np.uint8)
+        self.inner = np.array([f"{i}," for i in range(len(spelled))], object)
+        self.last = np.array([f"{i}{last}" for i in range(len(spelled))], object)
+
+    def joined(self, ids: np.ndarray) -> np.ndarray:
+        return self.bytes[ranges(self.first[ids], self.sizes[ids])]
 
 
 class Segments:
     """Segments met in a task: counts, groups as text, and links as distinct pairs with their multiplicity."""
 
     def __init__(self, coders: Encoders):
-        self.coders = coders
-        self.a_size = np.fromiter(map(len, coders.a_bytes), np.int64, len(coders.a_bytes))
-        self.b_size = np.fromiter(map(len, coders.b_bytes), np.int64, len(coders.b_bytes))
+        self.coders, self.a, self.b = coders, Side(coders.a_bytes, "|"), Side(coders.b_bytes, ";")
         self.forget()
 
     def forget(self) -> None:
@@ -139,6 +145,7 @@ class Segments:
         self.groups: list[str] = []
         self.counts = np.empty((0, 4), np.int64)  # tokens of A, of B, groups, links; -1 without valid tokens
         self.first, self.pairs, self.times = np.zeros(1, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.waiting: tuple[list, list, list, list] = ([], [], [], [])
 
     def known(self, hashes: np.ndarray, spelled) -> np.ndarray:
         """The places of segments by hash; ``spelled`` gives the bytes of the i-th."""
@@ -147,44 +154,86 @@ class Segments:
         keys = hashes.tolist()
         new = [i for i, h in enumerate(keys) if h not in self.place]
         if new:
-            self.add([spelled(i) for i in new])
-            self.place.update((keys[i], len(self.groups) - len(new) + k) for k, i in enumerate(new))
+            base = len(self.groups)
+            self.place.update((keys[new[i]], base + k) for k, i in enumerate(self.add([spelled(i) for i in new])))
         return np.fromiter((self.place[h] for h in keys), np.int64, len(keys))
 
-    def add(self, segments: list[bytes]) -> None:
-        a_ids, b_ids = self.coders.encode(segments)
-        ab, bb = self.coders.a_bytes, self.coders.b_bytes
-        good = np.array([b"".join([ab[i] for i in x]) == s == b"".join([bb[i] for i in y]) for s, x, y in zip(segments, a_ids, b_ids)])
-        own = np.flatnonzero(good).tolist()
-        a, na = flat([a_ids[i] for i in own])
-        b, nb = flat([b_ids[i] for i in own])
-        ea, eb = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])  # both run over the same bytes
-        low = np.searchsorted(eb, ea - self.a_size[a], "right")
-        n = np.searchsorted(eb, ea, "left") - low + 1
-        segment = np.repeat(np.arange(len(own)), na)
-        links = (np.repeat(a, n) << ID_BITS) | b[ranges(low, n)]
-        of = np.repeat(segment, n)
+    def add(self, segments: list[bytes]) -> list[int]:
+        """Encode and store; returns the segments' order in the store.
+
+        Segments side by side are cut like one text, so many are encoded by one
+        call; one that ends in white space is a text of its own, and so are those
+        of a text whose tokens are not its bytes.
+        """
+        data = np.frombuffer(b"".join(segments), np.uint8)
+        ends = np.cumsum(np.fromiter(map(len, segments), np.int64, len(segments)))
+        sure = surely_no_space(data, ends)
+        order, alone = [], np.flatnonzero(~sure).tolist()
+        chosen = np.flatnonzero(sure)
+        sizes = np.diff(ends, prepend=0)[chosen]
+        borders = np.flatnonzero(np.diff(np.cumsum(sizes) // CALL_BYTES, prepend=-1)).tolist() + [len(chosen)]
+        chunks = [chosen[i:j].tolist() for i, j in zip(borders[:-1], borders[1:])]
+        texts = [b"".join([segments[i] for i in own]) for own in chunks]
+        for own, text, a, b in zip(chunks, texts, *self.coders.encode(texts)):
+            a, b = np.array(a, np.int64), np.array(b, np.int64)
+            if self.store(np.frombuffer(text, np.uint8), np.cumsum([len(segments[i]) for i in own]), a, b):
+                order += own
+            else:
+                alone += own
+        for i, a, b in zip(alone, *self.coders.encode([segments[i] for i in alone])):
+            if not self.store(np.frombuffer(segments[i], np.uint8), np.array([len(segments[i])]), np.array(a, np.int64), np.array(b, np.int64)):
+                self.groups.append("")
+                self.keep([np.full((1, 4), -1)], [np.zeros(1, np.int64)], [], [])
+            order.append(i)
+        self.flush()
+        return order
+
+    def keep(self, counts, sizes, pairs, times) -> None:
+        for kept, more in zip(self.waiting, (counts, sizes, pairs, times)):
+            kept += more
+
+    def flush(self) -> None:
+        counts, sizes, pairs, times = self.waiting
+        self.counts = np.concatenate([self.counts, *counts])
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.concatenate([np.empty(0, np.int64), *sizes]))])
+        self.pairs, self.times = np.concatenate([self.pairs, *pairs]), np.concatenate([self.times, *times])
+        self.waiting = ([], [], [], [])
+
+    def store(self, data: np.ndarray, ends: np.ndarray, a: np.ndarray, b: np.ndarray) -> bool:
+        """Align the segments that end at ``ends`` of ``data``; False if some token spans an end or the tokens aren't the bytes."""
+        if not (np.array_equal(self.a.joined(a), data) and np.array_equal(self.b.joined(b), data)):
+            return False
+        ea, eb = np.cumsum(self.a.sizes[a]), np.cumsum(self.b.sizes[b])
+        n = len(ends)
+        to_a, to_b = np.searchsorted(ea, ends, "right"), np.searchsorted(eb, ends, "right")
+        if not ((ea[to_a - 1] == ends) & (eb[to_b - 1] == ends)).all():
+            return False
+        low = np.searchsorted(eb, ea - self.a.sizes[a], "right")
+        wide = np.searchsorted(eb, ea, "left") - low + 1
+        na, nb = np.diff(to_a, prepend=0), np.diff(to_b, prepend=0)
+        segment = np.repeat(np.arange(n), na)
+        links = (np.repeat(a, wide) << ID_BITS) | b[ranges(low, wide)]
+        of = np.repeat(segment, wide)
         order = np.lexsort((links, of))
         links, of = links[order], of[order]
         first = np.flatnonzero((np.diff(links, prepend=-1) != 0) | (np.diff(of, prepend=-1) != 0))
-        times = np.diff(first, append=len(links))
-        common = np.intersect1d(ea, eb)
-        counts = np.full((len(segments), 4), -1)
-        ends = np.cumsum(np.bincount(segment, self.a_size[a], len(own)).astype(np.int64))
-        last = np.searchsorted(common, ends, "right")
-        counts[own] = np.column_stack([na, nb, np.diff(last, prepend=0), np.bincount(segment, n, len(own)).astype(np.int64)])
-        to_a, to_b = np.searchsorted(ea, common, "right").tolist(), np.searchsorted(eb, common, "right").tolist()
-        a_text, b_text = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        spelled = [",".join(a_text[i:j]) + "|" + ",".join(b_text[k:m]) for i, j, k, m in zip([0, *to_a], to_a, [0, *to_b], to_b)]
-        groups, at = [""] * len(segments), 0
-        for i, stop in zip(own, last.tolist()):
-            groups[i], at = ";".join(spelled[at:stop]), stop
-        self.groups += groups
-        self.counts = np.concatenate([self.counts, counts])
-        sizes = np.zeros(len(segments), np.int64)
-        sizes[own] = np.bincount(of[first], minlength=len(own)) if len(own) else 0
-        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
-        self.pairs, self.times = np.concatenate([self.pairs, links[first]]), np.concatenate([self.times, times])
+        # groups end where both have an end; tokens as text, those of A before those of B in each group
+        at = np.searchsorted(eb, ea, "left")
+        a_last = eb[at] == ea
+        common = ea[a_last]
+        b_last = np.zeros(len(b), bool)
+        b_last[at[a_last]] = True
+        group_a, group_b = np.searchsorted(common, ea, "left"), np.searchsorted(common, eb, "left")
+        before_b = np.concatenate([[0], np.searchsorted(eb, common, "right")])
+        after_a = np.searchsorted(ea, common, "right")
+        spelled = np.empty(len(a) + len(b), object)
+        spelled[np.arange(len(a)) + before_b[group_a]] = np.where(a_last, self.a.last[a], self.a.inner[a])
+        spelled[np.arange(len(b)) + after_a[group_b]] = np.where(b_last, self.b.last[b], self.b.inner[b])
+        spelled, stops = spelled.tolist(), (to_a + to_b).tolist()
+        self.groups += ["".join(spelled[i:j])[:-1] for i, j in zip([0, *stops], stops)]
+        counts = np.column_stack([na, nb, np.diff(np.searchsorted(common, ends, "right"), prepend=0), np.bincount(segment, wide, n).astype(np.int64)])
+        self.keep([counts], [np.bincount(of[first], minlength=n)], [links[first]], [np.diff(first, append=len(links))])
+        return True
 
 
 def bucket_of(pairs: np.ndarray) -> np.ndarray:
@@ -205,9 +254,12 @@ def _piece(rows: pa.RecordBatch, segments: Segments) -> pa.RecordBatch:
     begins = np.concatenate([[0], np.cumsum(sizes[full] + 1)])
     data = np.full(int(begins[-1]), SPACE, np.uint8)
     data[ranges(begins[:-1] + 1, sizes[full])] = raw[ranges(offsets[full], sizes[full])]
+    border = np.zeros(len(data) + 2, bool)
+    border[begins] = True
     inner = cuts(data) if len(data) else begins[:0]
-    # a space that ends a text is no segment of its own: B has no token for an empty text
-    starts = np.unique(np.concatenate([begins[:-1], inner[data_follows(inner, begins)]]))
+    begun = border.copy()
+    begun[inner[~border[inner + 1]]] = True  # a space that ends a text is no segment of its own: B has no token for an empty text
+    starts = np.flatnonzero(begun[:len(data)])
     words = tokens.Words(data, starts, np.append(starts[1:], len(data)) if len(starts) else starts, np.searchsorted(starts, begins))
     hashes, chosen, inverse = np.unique(tokens.hash_words(words), return_index=True, return_inverse=True)
     place = segments.known(hashes, lambda i: data[starts[chosen[i]]:words.ends[chosen[i]]].tobytes())[inverse]
