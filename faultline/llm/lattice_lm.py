@@ -37,17 +37,18 @@ from pyspark.sql import functions as F
 from faultline.llm import tokens
 from faultline.llm.labelled import held_out
 from faultline.llm.packing import pack, unpack
-from faultline.llm.storage import written
+from faultline.llm.storage import buckets_for, trimmed, written
 
-VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁".encode()
 PRIOR = 1_000.0
 FIXED = 1 << 10
 MOST_WORDS = 30_000
 SLOT_BITS = 20
+STEP_BYTES = 1 << 20
+BUCKET_BYTES = 16 << 20
 
 
-def vocabulary(path: str = VOCABULARY) -> tuple[list[bytes], np.ndarray]:
+def vocabulary(path: str) -> tuple[list[bytes], np.ndarray]:
     """Pieces as bytes and their log weights.
 
     A unigram vocabulary's scores are log probabilities. One that was built by
@@ -78,16 +79,17 @@ class Lattice:
         """``logs``: a row of the pieces' log weights for each part."""
         self.logs, self.longest = logs, max(map(len, pieces))
         self.values, self.odd = tokens._base(0)
-        values = [int(v) for v in self.values]
-        hashes = np.zeros(len(pieces), np.uint64)
-        for i, piece in enumerate(pieces):
-            hashes[i] = sum(values[b] * pow(self.odd, k, 1 << 64) for k, b in enumerate(piece)) % (1 << 64)
-        self.hashes = hashes
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        place = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        worth = self.values[np.frombuffer(b"".join(pieces), np.uint8)] * tokens._powers(self.odd, tokens.SPAN, False)[place]
+        self.hashes = np.add.reduceat(worth, np.cumsum(sizes) - sizes)
         # a slot by the hash's high bits, and from each piece the next one of its slot
-        slot = self._slot(hashes)
+        slot = self._slot(self.hashes)
+        order = np.argsort(slot, kind="stable")
         self.table, self.after = np.full(1 << SLOT_BITS, -1, np.int32), np.full(len(pieces) + 1, -1, np.int32)
-        for i, k in enumerate(slot.tolist()):
-            self.after[i], self.table[k] = self.table[k], i
+        same = slot[order][1:] == slot[order][:-1]
+        self.after[order[1:][same]] = order[:-1][same]
+        self.table[slot[order]] = order  # the last of a slot stays
 
     @staticmethod
     def _slot(h: np.ndarray) -> np.ndarray:
@@ -223,7 +225,7 @@ def _expectation(sent):
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(*sent.value)
         total = np.zeros_like(lattice.logs)
-        for rows in batches:
+        for rows in tokens.gathered(batches, "word", STEP_BYTES):  # many words at once: a call's cost is by their lengths
             data, offsets = tokens.text_bytes(rows.column("word"))
             words = tokens.Words(data, offsets[:-1], offsets[1:], np.arange(len(offsets)))
             part_of, n = rows.column("part").to_numpy(), rows.column("n").to_numpy().astype(np.float64)
@@ -233,7 +235,7 @@ def _expectation(sent):
         used = np.rint(total * FIXED).astype(np.int64)
         part, piece = np.nonzero(used)
         yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(piece), pa.array(used[part, piece])], names=["part", "piece", "n"])
-    return step
+    return trimmed(step)
 
 
 def fitted(docs: DataFrame, pieces: list[bytes], logs: np.ndarray, parts: int, rounds: int = 1) -> np.ndarray:
@@ -289,7 +291,7 @@ def _blocks(sent, buckets: int, parts: int):
                 i, j = edges[b], edges[b + 1]
                 out.append([chunk, b, pack(np.diff(hashes[i:j], prepend=np.uint64(0))), pack(counts[i:j].T.ravel()), None, None, None, None, None, None])
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), BLOCK_ARROW)], schema=BLOCK_ARROW)
-    return block
+    return trimmed(block)
 
 
 TOTAL = "chunk string, bucket int, counts binary, distinct array<long>, once array<long>, tokens array<long>"
@@ -352,9 +354,9 @@ def _scored(words: np.ndarray, once: np.ndarray, ends: np.ndarray, distinct: int
     return merge
 
 
-def scored(docs: DataFrame, path: str = VOCABULARY, folds: int = 10, rounds: int = 1, column: str = "lang", parts: int = 8) -> DataFrame:
+def scored(docs: DataFrame, path: str, folds: int = 10, rounds: int = 1, column: str = "lang", parts: int = 8) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs``."""
-    buckets = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    buckets = buckets_for(docs, "text", BUCKET_BYTES)
     value = F.col(column).cast("string") if column in docs.columns else F.lit(None).cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out(F.col("doc_id"), folds).alias("held"), value.alias("value"))
     common = rows.where("not held and value is not null").groupBy("value").count().orderBy(F.col("count").desc(), "value").limit(parts).collect()

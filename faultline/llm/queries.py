@@ -54,7 +54,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lattice_lm.scored(table(spark, sf_dir, "documents"))
+    return lattice_lm.scored(table(spark, sf_dir, "documents"), tokenizer_file(spark, "piece_bpe_32k.model"))
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
