@@ -32,12 +32,15 @@ from pyspark.sql import types as T
 
 from faultline.llm import tokens
 from faultline.llm.bitmaps import bitmap_of, may_hold
-from faultline.llm.storage import written
+from faultline.llm.storage import buckets_for, release_memory, trimmed, written
 
 WINDOW = 20
 MINIMISER = 3
 PIECE = 3 << 20
 LEVEL = 6
+BUCKET_BYTES = 4 << 20
+#: A bucket is counted in so many parts, one after the other, to hold a part's arrays only.
+PARTS = 8
 NO_ID = np.iinfo(np.int64).min
 
 PACKED = "bucket int, texts binary, heads binary, doc long, row long, start int, stop int"
@@ -161,11 +164,11 @@ def _packer(buckets: int):
             again = repeats(hashes, doc, row, start, _bytes_equal(text, begin, end))
             out = [[] for _ in PACKED_ARROW]
 
-            # repeats found here: spans of words, they need no bucket of their own
+            # repeats found here: spans of words, which only pass through; they are spread by their rows
             new_text = np.zeros(len(at), bool)
             new_text[1:] = text_of[1:] != text_of[:-1]
             for i, j in zip(*_runs_within(again, new_text)):
-                for column, value in zip(out, (int(hashes[i] % np.uint64(buckets)), None, None, doc[i], row[i], start[i], start[j - 1] + WINDOW)):
+                for column, value in zip(out, (int(row[i] % buckets), None, None, doc[i], row[i], start[i], start[j - 1] + WINDOW)):
                     column.append(value)
 
             # the others: super-k-mers, by the word number of their minimiser
@@ -177,20 +180,22 @@ def _packer(buckets: int):
                 cut[1:] = (left[1:] != left[:-1] + 1) | new_text[left[1:]] | (least[left[1:]] != least[left[:-1]])
                 heads = left[cut]
                 tails = left[np.append(np.flatnonzero(cut)[1:], len(left)) - 1]
-                bucket = (tokens.mix64(least[heads]) % np.uint64(buckets)).astype(np.int64)
-                by = np.argsort(bucket, kind="stable")
-                edges = np.searchsorted(bucket[by], np.arange(buckets + 1))
+                place = (tokens.mix64(least[heads]) % np.uint64(buckets * PARTS)).astype(np.int64)
+                by = np.argsort(place, kind="stable")
+                place = place[by]
+                edges = np.searchsorted(place, np.arange(buckets + 1) * PARTS)
                 b0, e0 = begin[heads[by]].tolist(), end[tails[by]].tolist()
                 for b in np.flatnonzero(np.diff(edges)).tolist():
                     i, j = edges[b], edges[b + 1]
                     packed = b"\n".join([text[x:y] for x, y in zip(b0[i:j], e0[i:j])])
                     h = heads[by[i:j]]
-                    about = np.concatenate([doc[h], row[h], start[h].astype(np.int64)]).tobytes()
+                    parts = np.searchsorted(place[i:j], b * PARTS + np.arange(PARTS + 1))
+                    about = np.concatenate([parts, doc[h], row[h], start[h].astype(np.int64)]).tobytes()
                     for column, value in zip(out, (b, len(packed).to_bytes(8, "little") + zstd.compress(packed, asbytes=True),
                                                    zstd.compress(about, asbytes=True), None, None, j - i, None)):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, PACKED_ARROW)], schema=PACKED_ARROW)
-    return pack
+    return trimmed(pack)
 
 
 def _runs_within(flags: np.ndarray, new_text: np.ndarray) -> tuple[list, list]:
@@ -201,37 +206,50 @@ def _runs_within(flags: np.ndarray, new_text: np.ndarray) -> tuple[list, list]:
     return np.sort(np.concatenate([i, inner])).tolist(), np.sort(np.concatenate([j, inner])).tolist()
 
 
+def _part_spans(texts: list[bytes], doc: np.ndarray, row: np.ndarray, start: np.ndarray) -> list[np.ndarray]:
+    """Spans (row, start, stop) of the repeated windows of some super-k-mers, given with their documents, rows and first words."""
+    whole = b"\n".join(texts)
+    data = np.frombuffer(whole, np.uint8)
+    breaks = np.concatenate([[-1], np.flatnonzero(data == 0x0A), [len(data)]])
+    offsets = pa.py_buffer(np.append(breaks[:-1] + 1, len(data)).astype(np.int64))  # a string holds its closing line feed, which is no word
+    words = tokens.hashed_words(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(breaks) - 1, [None, offsets, pa.py_buffer(whole)]))
+    at = window_starts(words.first)
+    string = np.searchsorted(words.first, at, "right") - 1
+    doc, row, start = doc[string], row[string], start[string] + at - words.first[string]
+    begin, end, hashes = words.starts[at], words.ends[at + WINDOW - 1], tokens.window_hashes(words.hashes, WINDOW)[at]
+    del words
+    again = repeats(hashes, doc, row, start, _bytes_equal(whole, begin, end))
+    new = np.zeros(len(at), bool)
+    new[1:] = string[1:] != string[:-1]
+    i, j = (np.array(x, np.int64) for x in _runs_within(again, new))
+    return [row[i], start[i], start[j - 1] + WINDOW]
+
+
 def _count(table: pa.Table) -> pa.Table:
-    """One bucket's super-k-mers -> spans of the repeated windows in it, and the spans that came along."""
-    spans = [[], [], []]
+    """One bucket's super-k-mers -> spans of the repeated windows in it, and the spans that came along.
+
+    Windows of one minimiser are in one part, and the parts are counted one after the other.
+    """
     known = table.filter(pc.is_null(table.column("texts")))
-    texts, docs, rows, starts = [], [], [], []
+    blocks = []
     packed = table.filter(pc.is_valid(table.column("texts")))
     for blob, about, n in zip(packed.column("texts").to_pylist(), packed.column("heads").to_pylist(), packed.column("start").to_pylist()):
-        texts.append(pa.decompress(blob[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True))
-        d, r, s = np.frombuffer(pa.decompress(about, decompressed_size=24 * n, codec="zstd", asbytes=True), np.int64).reshape(3, n)
-        docs.append(d)
-        rows.append(r)
-        starts.append(s)
-    if texts:
-        whole = b"\n".join(texts)
-        del texts
-        data = np.frombuffer(whole, np.uint8)
-        breaks = np.concatenate([[-1], np.flatnonzero(data == 0x0A), [len(data)]])
-        offsets = pa.py_buffer(np.append(breaks[:-1] + 1, len(data)).astype(np.int64))  # a string holds its closing line feed, which is no word
-        words = tokens.hashed_words(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(breaks) - 1, [None, offsets, pa.py_buffer(whole)]))
-        at = window_starts(words.first)
-        string = np.searchsorted(words.first, at, "right") - 1
-        doc, row = np.concatenate(docs)[string], np.concatenate(rows)[string]
-        start = np.concatenate(starts)[string] + at - words.first[string]
-        begin, end = words.starts[at], words.ends[at + WINDOW - 1]
-        again = repeats(tokens.window_hashes(words.hashes, WINDOW)[at], doc, row, start, _bytes_equal(whole, begin, end))
-        new = np.zeros(len(at), bool)
-        new[1:] = string[1:] != string[:-1]
-        i, j = (np.array(x, np.int64) for x in _runs_within(again, new))
-        spans = [row[i], start[i], start[j - 1] + WINDOW]
-    found = pa.table([pa.array(np.asarray(c, np.int64)).cast(f.type) for c, f in zip(spans, SPANS_ARROW)], schema=SPANS_ARROW)
-    return pa.concat_tables([found, known.select(["row", "start", "stop"])])
+        numbers = np.frombuffer(pa.decompress(about, decompressed_size=8 * (PARTS + 1 + 3 * n), codec="zstd", asbytes=True), np.int64)
+        lines = pa.decompress(blob[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+        ends = np.append(np.flatnonzero(np.frombuffer(lines, np.uint8) == 0x0A), len(lines))
+        blocks.append((lines, np.concatenate([[0], ends + 1]), numbers[:PARTS + 1], *numbers[PARTS + 1:].reshape(3, n)))
+    found = []
+    for k in range(PARTS):
+        own = [(lines[at[p[k]]:at[p[k + 1]] - 1], doc[p[k]:p[k + 1]], row[p[k]:p[k + 1]], start[p[k]:p[k + 1]]) for lines, at, p, doc, row, start in blocks if p[k] < p[k + 1]]
+        if own:
+            texts, *places = zip(*own)
+            found.append(_part_spans(texts, *map(np.concatenate, places)))
+    spans = [np.concatenate(c) for c in zip(*found)] if found else [[], [], []]
+    out = pa.table([pa.array(np.asarray(c, np.int64)).cast(f.type) for c, f in zip(spans, SPANS_ARROW)], schema=SPANS_ARROW)
+    out = pa.concat_tables([out, known.select(["row", "start", "stop"])])
+    del blocks, found, own
+    release_memory()
+    return out
 
 
 def _removed(part: pa.RecordBatch, columns: list[str]) -> pa.RecordBatch:
@@ -265,7 +283,7 @@ def _remover(columns: list[str]):
         for batch in batches:
             for part in tokens.slices(batch, "text", 2 << 20):
                 yield _removed(part, columns)
-    return remove
+    return trimmed(remove)
 
 
 def _of_bitmap(columns: list[str], sent, hit: bool):
@@ -276,12 +294,12 @@ def _of_bitmap(columns: list[str], sent, hit: bool):
                 part = part.filter(pa.array(may_hold(sent.value, part.column("_row").to_numpy()) == hit))
                 if part.num_rows:
                     yield part if hit else _removed(part, columns)
-    return choose
+    return trimmed(choose)
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(row, start, stop): spans of words covered by repeated windows; ``docs`` has doc_id, text and _row."""
-    buckets = 4 * max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    buckets = max(buckets_for(docs, "text", BUCKET_BYTES), 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "_row").mapInArrow(_packer(buckets), PACKED)
     return packed.groupBy("bucket").applyInArrow(_count, SPANS)
 
