@@ -5,8 +5,10 @@ of each window of ``w`` runs the least is chosen, the rightmost of equal ones;
 positions are kept, so any passage of at least ``w + k - 1`` words that two
 texts share is met by a chosen run of both. Window minima are found by
 doubling: the choice of a window of 2m is the better of two windows of m.
-Texts of at most ``SHORT`` characters have a second fingerprint of the same
-kind over their characters, as words are too coarse for them.
+A word of more than ``LONG_WORD`` characters counts as its characters, so a text in
+a script without spaces, or of encoded data, has runs like any other. Texts of at
+most ``SHORT`` characters have a second fingerprint of the same kind over their
+characters, as words are too coarse for them.
 
 Two fingerprints' likeness is the Jaccard index of their chosen hashes (over
 characters if both texts are short, else over words); 1 for two texts without
@@ -21,7 +23,8 @@ once. The ranges come from approximate quantiles of the ids, at most
 Defined cases: null text is empty; a text of fewer than k words has one run of
 all its words, an empty one none; a null doc_id comes last, by its text's
 hash; rows of equal doc_id are ordered by their text's hash; a single row is
-its own next document; an empty table gives no rows.
+its own next document; an empty table gives no rows; texts of any length are read
+whole; other columns of the input are not looked at.
 """
 
 from __future__ import annotations
@@ -32,6 +35,7 @@ from pyspark.sql import functions as F
 WORDS_K, WORDS_W = 5, 4
 CHARS_K, CHARS_W = 6, 4
 SHORT = 600
+LONG_WORD = 24
 MOST_BUCKETS = 4096
 LEAST_ID = -(1 << 63)
 
@@ -68,11 +72,17 @@ def with_winnowed(df: DataFrame, tokens: Column, name: str, k: int, w: int) -> D
     return df.select(*others, F.transform(chosen, lambda p: F.struct(p.alias("place"), F.get(g, p).alias("hash"))).alias(name))
 
 
+def units(text: Column) -> Column:
+    """A text's words; one of more than ``LONG_WORD`` characters, as in a script without spaces, counts as its characters."""
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda x: x != "")
+    spelled = F.flatten(F.transform(words, lambda x: F.when(F.length(x) > LONG_WORD, F.filter(F.split(x, ""), lambda c: c != "")).otherwise(F.array(x))))
+    return F.when(F.exists(words, lambda x: F.length(x) > LONG_WORD), spelled).otherwise(words)
+
+
 def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
     """Adds ``name``: struct of words and chars (null for long texts), each an array of (place, hash)."""
     others = df.columns
-    words = F.filter(F.split(F.col(text), r"[\x20\x09-\x0D]+"), lambda x: x != "")
-    df = with_winnowed(df, words, "_words", WORDS_K, WORDS_W)
+    df = with_winnowed(df, units(F.col(text)), "_words", WORDS_K, WORDS_W)
     characters = F.when(F.length(text) <= SHORT, F.filter(F.split(F.col(text), ""), lambda x: x != "")).otherwise(F.array().cast("array<string>"))
     df = with_winnowed(df, characters, "_chars", CHARS_K, CHARS_W)
     return df.select(*others, F.struct(F.col("_words").alias("words"), F.when(F.length(text) <= SHORT, F.col("_chars")).alias("chars")).alias(name))
