@@ -29,8 +29,13 @@ def sample_of(labels: DataFrame, label: str, folds: int, max_train: int) -> Data
 
 
 def sampled_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
-    """(doc_id, label, text) of the sample; the sample is bounded, so texts are not shuffled."""
-    return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    """(doc_id, label, text) of the sample, one row for each id that occurs: of an id with several texts, that of least hash.
+
+    The sample is bounded, so only its texts are shuffled, and repeated rows are
+    reduced before: the result has as many rows as the sample at most.
+    """
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+    return rows.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least")).select("doc_id", "label", "least.text")
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from faultline.llm import tokens
 from faultline.llm.labelled import fit_logistic, held_out, logistic, sample_of, sampled_texts
+from faultline.llm.storage import trimmed, written
 
 PAIRS, RUNS = 1 << 16, 1 << 18
 LAGS, LEVELS = 4, 16
@@ -142,13 +143,25 @@ def fit(rows: list[np.ndarray], label: np.ndarray, smooth: float = 1.0) -> Model
     return Model(ratio, w[:-1], float(w[-1]), float(scale), float(shift))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5, max_train: int = 8_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5, max_train: int = 8_000, max_bytes: int = 256 << 20) -> Model:
+    """A model of at most ``max_train`` labelled texts whose features take at most ``max_bytes`` together (the first is always taken).
+
+    Both bounds take the texts in the order of a hash of their ids.
+    """
     sample = sample_of(labels, label, folds, max_train)
     texts = sampled_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), sample)
-    rows = texts.mapInArrow(_features, "doc_id long, label int, features binary").toArrow()  # at most max_train rows
+    rows = written(texts.mapInArrow(trimmed(_features), "doc_id long, label int, features binary"), "quality-sample")
+
+    def place(doc_id: int) -> int:  # by a hash of the id, so that any fifth is a fair one
+        return (doc_id * 0x9E3779B97F4A7C15) % (1 << 64)
+
+    sizes = sorted(((r[0], r[1]) for r in rows.select("doc_id", F.length("features")).collect()), key=lambda r: place(r[0]))  # at most max_train rows
+    taken = 1 + int(np.searchsorted(np.cumsum([n for _, n in sizes])[1:], max_bytes, "right"))
+    if taken < len(sizes):
+        rows = rows.where(F.col("doc_id").isin([i for i, _ in sizes[:taken]]))
+    rows = rows.toArrow()
     table = sorted(zip(rows["doc_id"].to_pylist(), rows["label"].to_pylist(), rows["features"].to_pylist()))
-    # the order is by a hash of the id, so that any fifth is a fair one
-    table.sort(key=lambda r: (r[0] * 0x9E3779B97F4A7C15) % (1 << 64))
+    table.sort(key=lambda r: place(r[0]))
     return fit([np.frombuffer(f, np.int32) for _, _, f in table], np.array([y for _, y, _ in table], np.int64))
 
 
@@ -157,7 +170,7 @@ def _scorer(sent):
         for batch in batches:
             for part in tokens.slices(batch, "text", 2 << 20):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sent.value.scores(part.column("text")), pa.float64())], names=["doc_id", "score"])
-    return score
+    return trimmed(score)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

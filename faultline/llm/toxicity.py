@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from faultline.llm import tokens
 from faultline.llm.labelled import fit_logistic, held_out, logistic, sample_of, sampled_texts
+from faultline.llm.storage import trimmed, written
 
 #: The letters that a symbol may stand for.
 LEET = {"@": "a", "4": "a", "8": "b", "(": "c", "3": "e", "6": "g", "9": "g", "1": "il", "!": "il", "|": "il", "0": "o", "5": "s", "$": "s", "7": "t", "+": "t", "2": "z"}
@@ -82,7 +83,7 @@ def trigram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def character_model(docs: DataFrame) -> np.ndarray:
     """Log probabilities of a class after two others, from all documents; interpolated with shorter contexts."""
-    rows = docs.select("text").mapInArrow(trigram_counts, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()  # at most CLASSES ** 3 rows
+    rows = docs.select("text").mapInArrow(trimmed(trigram_counts), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()  # at most CLASSES ** 3 rows
     n = np.zeros(CLASSES ** 3)
     n[rows["gram"].to_numpy()] = rows["n"].to_numpy()
     n = n.reshape(CLASSES, CLASSES, CLASSES)
@@ -309,7 +310,7 @@ def _counter(sent):
                 values, n = np.unique(feature[label[owner] == y], return_counts=True)
                 zero = np.zeros(len(values), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(zero if y else n.astype(np.int64)), pa.array(n.astype(np.int64) if y else zero)], names=["feature", "n0", "n1"])
-    return count
+    return trimmed(count)
 
 
 def log_ratio(n0, n1, all0: int, all1: int):
@@ -355,14 +356,14 @@ def _evidence(sent):
             value = np.where(own1 > 0, log_ratio(np.maximum(n0[feature] - (y == 0), 0), np.maximum(own1, 0), all0, all1), 0.0)
             top = strongest(feature, owner, value, part.num_rows)
             yield pa.RecordBatch.from_arrays([part.column("label"), *(pa.array(top[:, k]) for k in range(TOP))], names=["label", *(f"top{k}" for k in range(TOP))])
-    return weigh
+    return trimmed(weigh)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, max_train: int = 20_000) -> Model:
     context = docs.sparkSession.sparkContext
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     characters = character_model(docs)
-    texts = sampled_texts(docs, sample_of(labels, label, folds, max_train))
+    texts = written(sampled_texts(docs, sample_of(labels, label, folds, max_train)), "toxicity-sample")  # at most max_train rows, read three times
     sizes = {r[0]: r[1] for r in texts.groupBy("label").count().collect()}
     all0, all1 = sizes.get(0, 0), sizes.get(1, 0)
     counts = texts.mapInArrow(_counter(context.broadcast(characters)), "feature long, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
@@ -389,7 +390,7 @@ def _scorer(sent, columns: list[str], name: str):
         for batch in batches:
             for part in tokens.slices(batch, "text", 2 << 20):
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(model.scores(part.column("text"), decoder), pa.float64())], names=[*columns, name])
-    return score
+    return trimmed(score)
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], name: str = "score") -> DataFrame:
