@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from faultline.llm import tokens
 from faultline.llm.bitmaps import bitmap_of, may_hold
-from faultline.llm.storage import written
+from faultline.llm.storage import trimmed, written
 
 WINDOW = 10
 SHINGLE = 5
@@ -92,7 +92,7 @@ def _counter(sent):
             for _, _, _, _, token in _passing(part, sent.value):
                 values, n = np.unique(token, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(n.astype(np.int64))], schema=COUNT_ARROW)
-    return count
+    return trimmed(count)
 
 
 def _finder(sent):
@@ -109,7 +109,7 @@ def _finder(sent):
                     context = [" ".join(words.data[words.starts[k]: words.ends[k]].tobytes().decode() for k in range(a, b)) for a, b in zip(low[j].tolist(), high[j].tolist())]
                     yield pa.RecordBatch.from_arrays([pa.array(rows[text[j]]), pa.array(token[j]), pa.array((at[j] - words.first[text[j]]).astype(np.int32)),
                                                       pa.array(context, pa.string()), pa.array((at[j] - low[j]).astype(np.int32))], schema=HIT_ARROW)
-    return find
+    return trimmed(find)
 
 
 def _bitmaps(keys: DataFrame) -> dict[int, np.ndarray]:
@@ -150,7 +150,7 @@ def _counter_of_words(columns: list[str]):
             for part in tokens.slices(batch, "text", 4 << 20):
                 words = tokens.split_words(part.column("text"), True, tokens.NOT_ALNUM)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(np.diff(words.first).astype(np.int64))], names=[*columns, "n_words"])
-    return count
+    return trimmed(count)
 
 
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ from faultline.llm import tokens
 from faultline.llm.bitmaps import bitmap_of, may_hold
 from faultline.llm.components import components
 from faultline.llm.packing import pack, unpack
-from faultline.llm.storage import written
+from faultline.llm.storage import buckets_for, trimmed, written
 
 SHINGLE = 5
 NUM, DEN = 80, 100
@@ -49,6 +49,8 @@ CUTS = 4
 RARE = 200_000
 SKETCH_BITS = 1024
 POSTINGS = 1_000_000
+#: Text bytes whose signatures share a bucket.
+BUCKET_BYTES = 16 << 20
 BLOCK_NODES = 2048
 
 KEYS = "kind int, doc_id long, n long, key long"
@@ -222,7 +224,7 @@ def _signer(frequent, buckets: int):
                 sigs, nodes, held = [], [], 0
         if held:
             yield from flush(np.concatenate(sigs), np.concatenate(nodes))
-    return sign
+    return trimmed(sign)
 
 
 def _meet(table: pa.Table) -> pa.Table:
@@ -277,7 +279,7 @@ def _set_writer(wanted, with_items: bool):
                 [None, [parity_sketch(x) for x in own], [wide_sketch(x) for x in own]]
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.diff(first).astype(np.int64)),
                                               *(pa.nulls(len(own), pa.binary()) if c is None else pa.array(c, pa.binary()) for c in columns)], schema=SET_ARROW)
-    return write
+    return trimmed(write)
 
 
 def sets_of_nodes(texts: DataFrame, keys: DataFrame, nodes: DataFrame, with_items: bool, name: str) -> DataFrame:
@@ -340,7 +342,7 @@ def not_ruled_out(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose sets link."""
     with_a = pairs.join(sets.select(F.col("key").alias("a"), F.col("items").alias("items_a")), "a")
-    return with_a.join(sets.select(F.col("key").alias("b"), F.col("items").alias("items_b")), "b").mapInArrow(_verify, "a long, b long")
+    return with_a.join(sets.select(F.col("key").alias("b"), F.col("items").alias("items_b")), "b").mapInArrow(trimmed(_verify), "a long, b long")
 
 
 def _open_pairs(table: pa.Table) -> pa.Table:
@@ -395,10 +397,10 @@ def open_pairs(marked: DataFrame, sketches: DataFrame, buckets: int, block: int
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, key (the set's hash), component_id of every document."""
     spark = docs.sparkSession
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = buckets_for(docs, "text", BUCKET_BYTES)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
-    rows = written(texts.mapInArrow(_keys_and_frequent, KEYS), "set-keys")
+    rows = written(texts.mapInArrow(trimmed(_keys_and_frequent), KEYS), "set-keys")
     keys = rows.where("kind = 0").select("doc_id", "n", "key")
     frequent = spark.sparkContext.broadcast(frequent_shingles(rows))  # at most RARE hashes
 
