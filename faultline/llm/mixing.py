@@ -67,9 +67,10 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share
     return ranked.withColumn("target", F.least(cap * F.col("source_size"), F.lit(level) * F.col("weight")))
 
 
-def draw(doc_id: Column, seed: str) -> Column:
-    """A number in [0, 1) fixed by the id and the seed (52 bits of an MD5)."""
-    digest = F.md5(F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("null"))).cast("binary"))
+def draw(doc_id: Column, text: Column, seed: str) -> Column:
+    """A number in [0, 1) fixed by the id, the text and the seed (52 bits of an MD5), so rows without ids have draws of their own."""
+    own = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    digest = F.md5(F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), own).cast("binary"))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
@@ -84,7 +85,7 @@ def with_copies(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: fl
     joined = sized.drop("source_size", "target", "rate", "copies").join(t, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor("rate")
-    extra = (draw(F.col("doc_id"), seed) < F.col("rate") - whole).cast("long")
+    extra = (draw(F.col("doc_id"), F.col("text"), seed) < F.col("rate") - whole).cast("long")
     return joined.withColumn("rate", rate).withColumn("copies", (whole + extra).cast("long"))
 
 

@@ -44,7 +44,7 @@ from p left join g using (payload_digest)
 """
 
 OP10 = rf"""
-with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '{WORDS}')), 0) as size from documents),
+with d as (select doc_id, source, md5(coalesce(text, '')) as own, coalesce(len(regexp_extract_all(text, '{WORDS}')), 0) as size from documents),
 s as (select source, cast(sum(size) as bigint) as source_size from d group by source),
 w as (select source, source_size, [5, 2, 1][((row_number() over (order by source nulls last)) - 1) % 3 + 1] as weight from s),
 -- sources in the order in which they reach their cap; the level that holds is the first that caps no further one
@@ -55,9 +55,9 @@ o as (select *, 2.0 * source_size / weight as caps_at,
       from w),
 l as (select min_by((1.5 * total - 2.0 * before_size) / free_weight, caps_at) as level from o where caps_at > (1.5 * total - 2.0 * before_size) / free_weight),
 t as (select source, source_size, least(2.0::double * source_size, (select level from l)::double * weight) as target from w),
-r as (select doc_id, size, source_size, target, case when source_size > 0 then target / source_size else 0 end as rate
+r as (select doc_id, own, size, source_size, target, case when source_size > 0 then target / source_size else 0 end as rate
       from d join t on d.source is not distinct from t.source),
-c as (select *, ('0x' || substr(md5('mix-1:' || coalesce(cast(doc_id as varchar), 'null')), 1, 13))::bigint / 4503599627370496.0::double as draw from r)
+c as (select *, ('0x' || substr(md5('mix-1:' || coalesce(cast(doc_id as varchar), 'null') || ':' || own), 1, 13))::bigint / 4503599627370496.0::double as draw from r)
 select doc_id, cast(size as bigint) as size, source_size, target,
        cast((floor(rate) + case when draw < rate - floor(rate) then 1 else 0 end) * size as bigint) as taken
 from c
