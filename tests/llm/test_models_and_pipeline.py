@@ -7,6 +7,7 @@ import random
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
 import xxhash
@@ -18,6 +19,7 @@ from faultline.llm import decontaminate, fingerprints, lattice_lm, quality, toke
 from faultline.llm.storage import table
 
 SF = "/root/testdata/sf0.001"
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 # --- fingerprints ----------------------------------------------------------------
@@ -236,7 +238,7 @@ def test_language_model_counts(spark):
     draw = random.Random(8)
     rows = [(i, " ".join(draw.choice(["The", "a", "wörd", "x9", f"n{draw.randrange(400)}"]) for _ in range(draw.randrange(1, 40)))) for i in range(300)]
     rows += [(400, None), (401, ""), (3, rows[3][1]), (402, "z" * 70_000), (403, "unseen\ntoken")]
-    got = lattice_lm.scored(docs_frame(spark, rows), rounds=1).collect()
+    got = lattice_lm.scored(docs_frame(spark, rows), PIECES, rounds=1).collect()
     lists = {d: words_of(lower_az(t)) for d, t in rows}
     held = {d: zlib.crc32(str(d).encode()) % 10 == 0 for d, _ in rows}
     c = collections.Counter()
@@ -250,23 +252,23 @@ def test_language_model_counts(spark):
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(own), sum(c[w] > 0 for w in own), n)
         assert r.base_score == pytest.approx(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in own))
         assert math.isfinite(r.score) and r.score < 0
-    assert lattice_lm.scored(docs_frame(spark, rows).limit(0)).count() == 0
-    assert lattice_lm.scored(docs_frame(spark, [(d, t) for d, t in rows if held[d]]), rounds=1).where("n_known = 0").count() == sum(held[d] for d, _ in rows)
+    assert lattice_lm.scored(docs_frame(spark, rows).limit(0), PIECES).count() == 0
+    assert lattice_lm.scored(docs_frame(spark, [(d, t) for d, t in rows if held[d]]), PIECES, rounds=1).where("n_known = 0").count() == sum(held[d] for d, _ in rows)
 
 
 def test_language_model_is_the_same_for_any_partitions(spark):
     draw = random.Random(9)
     rows = [(i, " ".join(draw.choice(["the", "wording", "wörd", f"n{draw.randrange(60)}"]) for _ in range(30))) for i in range(200)]
-    few, many = ({r.doc_id: r.score for r in lattice_lm.scored(docs_frame(spark, rows, n)).collect()} for n in (2, 50))
+    few, many = ({r.doc_id: r.score for r in lattice_lm.scored(docs_frame(spark, rows, n), PIECES).collect()} for n in (2, 50))
     assert few == pytest.approx(many, rel=1e-5)
     # pieces are used as often as the words that hold them
-    pieces, logs = lattice_lm.vocabulary()
+    pieces, logs = lattice_lm.vocabulary(PIECES)
     one, two = (lattice_lm.fitted(docs_frame(spark, [(1, "wording " * n + "zebra")]).withColumn("part", F.lit(0)), pieces, logs, 1)[0] for n in (1, 500))
     assert max(two - one) > 1.0
 
 
 def test_model_beats_the_base_on_known_text(spark):
-    out = lattice_lm.scored(table(spark, "/root/testdata/sf0.01", "documents"))
+    out = lattice_lm.scored(table(spark, "/root/testdata/sf0.01", "documents"), PIECES)
     train = out.where("not held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert train[0] > train[1]
 
