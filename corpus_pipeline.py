@@ -18,6 +18,10 @@ from faultline.llm.storage import table, written
 from faultline.session import apply_session_conf
 
 
+#: Columns added beside a document's own while a stage works.
+ROW, SCORE = "__row", "__toxicity"
+
+
 def _stage(function):
     """The stage under the library's session defaults."""
     @wraps(function)
@@ -31,15 +35,27 @@ def _stage(function):
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose deobfuscated text scores below 0.5."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, docs.columns, "_toxicity").where("_toxicity < 0.5").drop("_toxicity")
+    return toxicity.score(docs, model, docs.columns, SCORE).where(F.col(SCORE) < 0.5).drop(SCORE)
 
 
 @_stage
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group of near copies; documents without words are all kept, and so are rows without an id."""
-    groups = jaccard_join.near_duplicates(docs.select("doc_id", "text"))
-    later = groups.where("n_shingles > 0 and doc_id > component_id").select("doc_id").distinct()
-    return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near copies: that of least id (a null id is last), of several texts with that id the one of least hash, of equal rows any one.
+
+    Rows are told apart by a hash of id and text, so a row stays though another
+    with its id goes. Documents without words are all kept.
+    """
+    named = docs.withColumn(ROW, F.xxhash64("doc_id", "text"))
+    groups = jaccard_join.near_duplicates(named.select(F.col(ROW).alias("doc_id"), "text")).where("n_shingles > 0")
+    groups = groups.groupBy(F.col("doc_id").alias(ROW)).agg(F.first("component_id").alias("group"), F.count(F.lit(1)).alias("equal"))
+    members = written(named.select(ROW, "doc_id").distinct().join(groups, ROW), "near-members")
+    least = members.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(ROW).alias("row"))).alias("least"))
+    # only rows with something to decide: others of their group, and those that occur more than once
+    decided = written(members.join(least, "group").select(F.col(ROW).alias("_decided"), (F.col(ROW) == F.col("least.row")).alias("_stays"), "equal")
+                      .where("not _stays or equal > 1").select("_decided", "_stays"), "near-decided")
+    judged = named.join(decided, F.col(ROW) == F.col("_decided"), "left")
+    alone, repeated = judged.where("_decided is null"), judged.where("_stays").dropDuplicates([ROW])
+    return alone.select(*docs.columns).union(repeated.select(*docs.columns))
 
 
 @_stage
