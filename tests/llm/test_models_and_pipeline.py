@@ -50,7 +50,8 @@ def winnowed_plainly(units, k, w):
 
 
 def fingerprint_plainly(text):
-    return (winnowed_plainly(words_of(text), fingerprints.WORDS_K, fingerprints.WORDS_W),
+    units = [u for w in words_of(text) for u in ([w] if len(w) <= fingerprints.LONG_WORD else w)]
+    return (winnowed_plainly(units, fingerprints.WORDS_K, fingerprints.WORDS_W),
             winnowed_plainly(list(text), fingerprints.CHARS_K, fingerprints.CHARS_W) if len(text) <= fingerprints.SHORT else None)
 
 
