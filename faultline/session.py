@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on: ANSI casts (failing casts must fail, as in the
 # reference's typed layer), UTC session time, AQE for runtime re-planning and
@@ -62,3 +63,31 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def run_folder(spark: SparkSession) -> str:
+    """The application's own folder in the shared checkpoint folder.
+
+    It holds tables written between the steps of a query. They must outlive the
+    query's DataFrame; ``remove_run`` deletes them when the application is done,
+    and a cluster may delete folders of applications that have ended.
+    """
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/faultline-{spark.sparkContext.applicationId}"
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path in the run folder that no other step or attempt uses."""
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once into the run folder and return the table read back: lineage ends there."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove_run(spark: SparkSession) -> None:
+    """Delete the application's run folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
