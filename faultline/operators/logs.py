@@ -160,6 +160,59 @@ def extract_signals(df: DataFrame, text: str) -> DataFrame:
     return referenced_objects(resolve_error(match_signatures(df, text)), text)
 
 
+# --- L4 / L5 / L6 over line tables -------------------------------------------------------
+
+# what every signature holds: lines without it are not searched
+_ANY_SIGNATURE = _FLAGS + "(?:null value in column|invalid input syntax for type|does not exist|permission denied for|duplicate key value violates|Error in model)"
+_ANY_REFERENCE = _FLAGS + "(?:relation|table|from|join|into|column|model)"
+
+
+def line_matches(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """L4 over lines: the first match of every signature in each log, a row each.
+
+    The first is a grouped minimum of the line number, so matches merge before the
+    shuffle and a log is never one text. A match lies in one line: what ``[^"]+``
+    or ``\\s+`` would span beyond a line break in a whole text is not found.
+    """
+    found = match_signatures(lines.where(F.col("line").rlike(_ANY_SIGNATURE)), "line", "_m")
+    found = found.select(*keys, "line_no", F.explode("_m").alias("_m")).select(*keys, "line_no", "_m", F.col("_m.ordinal").alias("ordinal"))
+    first = found.groupBy(*keys, "ordinal").agg(F.min_by("_m", "line_no").alias("_m"))
+    return first.select(*keys, "_m.*")
+
+
+def line_references(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """L6 over lines: (keys, kind, value, line_no, pos), each distinct object of a log where it is first seen."""
+    t = F.col("line")
+    schemas, names = (F.regexp_extract_all(t, F.lit(_FLAGS + TABLE_REFERENCE), g) for g in (1, 2))
+    kinds = {"tables": F.zip_with(schemas, names, lambda a, b: F.concat(a, F.lit("."), b)), "columns": F.regexp_extract_all(t, F.lit(_FLAGS + COLUMN_REFERENCE), 1),
+             "models": F.regexp_extract_all(t, F.lit(_FLAGS + MODEL_REFERENCE), 1)}
+
+    def named(kind: str, values: Column) -> Column:
+        return F.transform(values, lambda x, i: F.struct(F.lit(kind).alias("kind"), x.alias("value"), i.alias("pos")))
+
+    held = F.concat(*[named(k, v) for k, v in kinds.items()])
+    seen = lines.where(t.rlike(_ANY_REFERENCE)).select(*keys, "line_no", F.inline(held))
+    return seen.groupBy(*keys, "kind", "value").agg(F.min(F.struct("line_no", "pos")).alias("at")).select(*keys, "kind", "value", "at.line_no", "at.pos")
+
+
+def signals_of_lines(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """L4-L6 for every log of a line table (keys, line_no, line): as ``extract_signals`` gives them for a text.
+
+    What is gathered for a log are its first matches, one for each signature, and
+    its distinct objects.
+    """
+    matches = line_matches(lines, keys)
+    item = F.struct(*[F.col(c) for c in ("ordinal", "pattern", "error_type", "sql_state", "match", "groups")])
+    matches = matches.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).cast(f"array<{_MATCH}>").alias("regex_matches"))
+    seen = line_references(lines, keys)
+    own = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("line_no", "pos", "value")))), lambda x: x["value"])
+    objects = seen.groupBy(*keys).agg(*[own(k).alias(k) for k in ("tables", "columns", "models")])
+    out = lines.select(*keys).distinct().join(matches, keys, "left").join(objects, keys, "left")
+    none = F.array().cast("array<string>")
+    out = out.withColumns({"regex_matches": F.coalesce("regex_matches", F.array().cast(f"array<{_MATCH}>"))} | {k: F.coalesce(k, none) for k in ("tables", "columns", "models")})
+    return resolve_error(out)
+
+
 def merge_signals(df: DataFrame) -> DataFrame:
     """Merge model-extracted signals (``llm_*`` columns) with regex ones.
 
