@@ -1,7 +1,7 @@
 """Versioned tables in shared storage: new folders and an append-only pointer table.
 
 A version's data go to a folder that no other attempt uses; then one row per
-part (here: per key bucket) is appended to ``_versions`` in one file, whose
+part is appended to ``_versions`` in one file, whose
 commit is the switch. Nothing that a reader may hold is ever overwritten, so a
 failed or repeated writer leaves the newest complete version as it was.
 """
@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 POINTERS = "part int, seq long, written long, path string"
-BUCKETS = 64
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -53,32 +52,3 @@ def next_seq(spark: SparkSession, base: str) -> int:
 
 def fresh_folder(base: str, seq: int) -> str:
     return f"{base}/data/v={seq:012d}-{uuid.uuid4().hex[:12]}"
-
-
-def read(spark: SparkSession, base: str, schema, before: int | None = None, parts: list[int] | None = None) -> DataFrame:
-    """The current rows of a bucketed store; an empty frame when there are none."""
-    paths = [p for part, p in current(spark, base, before).items() if parts is None or part in parts]
-    return spark.read.schema(schema).parquet(*sorted(paths)) if paths else spark.createDataFrame([], schema)
-
-
-def bucket_of(key: str):
-    return F.pmod(F.xxhash64(F.col(key)), F.lit(BUCKETS)).cast("int")
-
-
-def merge(base: str, batch: DataFrame, key: str, schema, seq: int, combine) -> None:
-    """Merge a batch into the store: only the key buckets it touches are read and rewritten.
-
-    ``combine(store_rows, batch_rows)`` gives the new rows of the touched
-    buckets. Version ``seq`` starts from the versions below it, so a repeated
-    call writes the same rows again and replaces its own earlier result.
-    """
-    spark = batch.sparkSession
-    batch = batch.withColumn("_bucket", bucket_of(key))
-    touched = sorted(r[0] for r in batch.select("_bucket").distinct().collect())  # at most BUCKETS
-    if not touched:
-        return
-    before = read(spark, base, schema, before=seq, parts=touched)
-    rows = combine(before, batch.drop("_bucket")).withColumn("_bucket", bucket_of(key))
-    folder = fresh_folder(base, seq)
-    rows.write.partitionBy("_bucket").parquet(folder)
-    commit(spark, base, {b: f"{folder}/_bucket={b}" for b in touched}, seq)
