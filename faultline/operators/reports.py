@@ -108,35 +108,22 @@ def pack_context(pieces: DataFrame, keys: list[str], budget: int = rules.DEFAULT
     pieces: keys + ordinal, label, text, tokens (token counts are an input).
     In order: an empty text stays empty; a piece that fits is kept whole; else
     if more than 50 tokens remain it is cut to remaining-10 tokens and the
-    remainder drops to 10; else it is emptied. One pass over the token counts
-    of each context (a prompt-sized list); texts are joined back and cut in
-    the JVM.
+    remainder drops to 10; else it is emptied. A fold over each context's token
+    counts (a prompt-sized list) keeps the remainder and how much of each piece
+    stays; texts are not gathered but cut where they are.
     """
-    schema = T.StructType([*[pieces.schema[k] for k in keys], T.StructField("ordinal", T.IntegerType()), T.StructField("_keep", T.LongType())])
-    counts = pieces.select(*keys, F.col("ordinal").cast("int").alias("ordinal"), F.col("tokens").cast("long").alias("tokens"),
-                           (F.coalesce("text", F.lit("")) == "").alias("empty"))
-
-    def fold(batches):
-        context, left = None, budget
-        for batch in batches:
-            keep = []
-            for *key, n, empty in zip(*(batch.column(c).to_pylist() for c in [*keys, "tokens", "empty"])):
-                if key != context:
-                    context, left = key, budget
-                if empty:
-                    keep.append(0)
-                elif n <= left:
-                    keep.append(n)
-                    left -= n
-                elif left > rules.PACK_MIN_REMAINING:
-                    keep.append(left - rules.PACK_HEADROOM)
-                    left = rules.PACK_HEADROOM
-                else:
-                    keep.append(0)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), batch.column("ordinal"), pa.array(keep, pa.int64())], names=[*keys, "ordinal", "_keep"])
-
-    # a context's pieces come one after another in their order, in one task; the fold keeps a number
-    kept = counts.repartition(*keys).sortWithinPartitions(*keys, "ordinal").mapInArrow(fold, schema)
+    piece = F.struct(F.col("ordinal").cast("int").alias("ordinal"), F.when(F.coalesce("text", F.lit("")) == "", F.lit(0)).otherwise(F.col("tokens")).cast("long").alias("tokens"))
+    lists = pieces.groupBy(*keys).agg(F.array_sort(F.collect_list(piece)).alias("_pieces"))
+
+    def step(state: Column, x: Column) -> Column:
+        left, n = state["left"], x["tokens"]
+        fits, cut = n <= left, left > rules.PACK_MIN_REMAINING
+        keep = F.when(fits, n).when(cut, left - rules.PACK_HEADROOM).otherwise(F.lit(0).cast("long"))
+        rest = F.when(fits, left - n).when(cut, F.lit(rules.PACK_HEADROOM).cast("long")).otherwise(left)
+        return F.struct(rest.alias("left"), F.concat(state["kept"], F.array(F.struct(x["ordinal"].alias("ordinal"), keep.alias("keep")))).alias("kept"))
+
+    start = F.struct(F.lit(budget).cast("long").alias("left"), F.array().cast("array<struct<ordinal:int,keep:bigint>>").alias("kept"))
+    kept = lists.select(*keys, F.inline(F.aggregate("_pieces", start, step)["kept"])).withColumnRenamed("keep", "_keep")
     j = pieces.withColumn("ordinal", F.col("ordinal").cast("int")).join(kept, [*keys, "ordinal"])
     text = F.when(F.col("_keep") <= 0, F.lit("")).when(F.col("_keep") >= F.col("tokens"), F.col("text")) \
         .otherwise(first_words(F.col("text"), F.col("_keep")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SNAPSHOT_SCHEMA = ("dataset string, column_name string, ordinal int, data_type string, nullable boolean, "
@@ -23,8 +23,8 @@ def snapshot(spark: SparkSession, datasets: dict[str, DataFrame], captured_at=No
 
 
 def append_snapshot(snap: DataFrame, path: str) -> None:
-    """Q1: append a capture to the history, partitioned by dataset."""
-    snap.write.mode("append").partitionBy("dataset").parquet(path)
+    """Q1: add captures to the history, partitioned by capture time: a repeated capture replaces itself."""
+    snap.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("captured_at").parquet(path)
 
 
 def latest(history: DataFrame) -> DataFrame:
@@ -54,3 +54,50 @@ def column_presence(snap: DataFrame, dataset: str, expected: list[str] | None =
         "column_name", F.lit(None).cast("string").alias("data_type"), F.lit(False).alias("present"))
     return cur.unionByName(missing)
 
+
+
+# --- a whole history ------------------------------------------------------------------
+
+
+def validity(history: DataFrame) -> DataFrame:
+    """One row for each time a column was there with one type, instead of one for each capture.
+
+    history: dataset, column_name, data_type, captured_at. Returns dataset,
+    column_name, data_type, valid_from (first capture that has it so), valid_to (the
+    dataset's first capture that hasn't, null while it stands) and captures. Rows of
+    a column are compared with its own last capture; windows hold one column's, or
+    one dataset's, captures.
+    """
+    times = history.select("dataset", "captured_at").distinct()
+    by_time = Window.partitionBy("dataset").orderBy("captured_at")
+    times = times.select("dataset", "captured_at", F.row_number().over(by_time).alias("k"), F.lead("captured_at").over(by_time).alias("next_at"))
+    rows = history.select("dataset", "column_name", "data_type", "captured_at").distinct().join(times, ["dataset", "captured_at"])
+    own = Window.partitionBy("dataset", "column_name").orderBy("k")
+    new = F.coalesce((F.lag("k").over(own) != F.col("k") - 1) | ~F.lag("data_type").over(own).eqNullSafe(F.col("data_type")), F.lit(True))
+    rows = rows.withColumn("new", new.cast("int")).withColumn("run", F.sum("new").over(own))
+    return rows.groupBy("dataset", "column_name", "run").agg(F.first("data_type").alias("data_type"), F.min("captured_at").alias("valid_from"), F.max(F.struct("k", "next_at")).alias("last"),
+                                                             F.count(F.lit(1)).alias("captures")) \
+        .select("dataset", "column_name", "data_type", "valid_from", F.col("last.next_at").alias("valid_to"), "captures")
+
+
+def as_of(intervals: DataFrame, moments: DataFrame) -> DataFrame:
+    """The columns of each dataset at each moment (dataset, at), from its intervals."""
+    m = moments.select(F.col("dataset").alias("_dataset"), "at").distinct()
+    inside = (F.col("valid_from") <= F.col("at")) & (F.col("valid_to").isNull() | (F.col("at") < F.col("valid_to")))
+    return intervals.join(m, (F.col("dataset") == F.col("_dataset")) & inside).select("dataset", "at", "column_name", "data_type")
+
+
+def changes(history: DataFrame) -> DataFrame:
+    """Every change of the history: (dataset, column_name, at, change, old_type, new_type).
+
+    A column is added where an interval begins without another that ends there,
+    removed where one ends without another that begins there, else retyped; the
+    columns of a dataset's first capture are no change.
+    """
+    v = validity(history)
+    first = history.groupBy("dataset").agg(F.min("captured_at").alias("first_at"))
+    ends = v.where("valid_to is not null").select("dataset", "column_name", F.col("valid_to").alias("at"), F.col("data_type").alias("old_type"))
+    begins = v.select("dataset", "column_name", F.col("valid_from").alias("at"), F.col("data_type").alias("new_type"))
+    both = ends.join(begins, ["dataset", "column_name", "at"], "full").join(first, "dataset").where("at > first_at")
+    kind = F.when(F.col("old_type").isNull(), "added").when(F.col("new_type").isNull(), "removed").otherwise("retyped")
+    return both.select("dataset", "column_name", "at", kind.alias("change"), "old_type", "new_type")

@@ -145,6 +145,20 @@ def check_csv_header(spark: SparkSession, path: str, schema: T.StructType) -> di
             "ok": found == expected}
 
 
+def csv_headers(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """X7 over a folder: (file, found, missing, extra, ok) for every file, from its first line.
+
+    The first line is the one of least place in a file's first split; a task keeps
+    one line for each file it reads.
+    """
+    m = F.col("_metadata")
+    rows = spark.read.text(path).select(m["file_path"].alias("file"), m["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    first = rows.where("block = 0").groupBy("file").agg(F.min_by("value", "at").alias("line"))
+    found = F.transform(F.split("line", ","), lambda c: F.regexp_replace(F.trim(c), '^"|"$', ""))
+    expected = F.array(*[F.lit(c) for c in schema.fieldNames()])
+    return first.select("file", found.alias("found"), F.array_except(expected, found).alias("missing"), F.array_except(found, expected).alias("extra"), (found == expected).alias("ok"))
+
+
 def write_versioned(df: DataFrame, base: str, observation: Observation | None = None,
                     partition_by: list[str] | None = None) -> str:
     """Full refresh as a new version folder plus a pointer row.
@@ -329,9 +343,17 @@ def read_triggers(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TRIGGER).json(path)
 
 
-def write_reports(reports: DataFrame, path: str) -> None:
-    """One JSON object per incident."""
-    reports.write.mode("overwrite").json(path)
+def write_run(rows: DataFrame, path: str, run_id: str, kind: str = "parquet") -> None:
+    """Rows of one run into the run's own folder of a table: a repeat replaces the run's rows and leaves all others.
+
+    Spark commits the folder at the end of the job; a failed job leaves what was there.
+    """
+    rows.withColumn("run_id", F.lit(run_id)).write.format(kind).mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").save(path)
+
+
+def write_reports(reports: DataFrame, path: str, run_id: str) -> None:
+    """One JSON object per incident, replay-safe by run."""
+    write_run(reports, path, run_id, "json")
 
 
 # --- S16: dataset discovery ------------------------------------------------------
