@@ -12,11 +12,13 @@ that partition checks ask for never do.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from faultline.plans import rules
+from faultline.session import written
+from faultline.sources import files
 
 EVIDENCE_SCHEMA = T.StructType([
     T.StructField("context", T.StringType()),
@@ -61,6 +63,40 @@ def key_counts(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count(F.lit(1)).alias("cnt"))
 
 
+def grain_counts(df: DataFrame, grains: list[list[str]]) -> DataFrame:
+    """Counts of the keys of several grains from one scan: (grain, key, cnt).
+
+    One Expand and one aggregation (GROUPING SETS); ``key`` is a struct of all
+    columns of the grains, with nulls in those that aren't the grain's. NULL is a
+    group, as in SQL GROUP BY.
+    """
+    columns = list(dict.fromkeys(c for g in grains for c in g))
+    sets = [[F.col(c) for c in g] for g in grains]
+    # bit i of grouping_id, from the right, is 1 where the i-th column from the end isn't in the grain
+    number = {sum(1 << (len(columns) - 1 - i) for i, c in enumerate(columns) if c not in g): ",".join(g) for g in grains}
+    name = F.create_map(*[F.lit(x) for kv in number.items() for x in kv])
+    counted = df.groupingSets(sets, *[F.col(c) for c in columns]).agg(F.grouping_id().cast("int").alias("_grain"), F.count(F.lit(1)).alias("cnt"))
+    # the name depends on the count, so that a filter on it stays above the aggregation and all readers share one
+    return counted.select(F.when(F.col("cnt") > 0, name[F.col("_grain")]).alias("grain"), F.struct(*columns).alias("key"), "cnt")
+
+
+def duplicate_grains(df: DataFrame, grains: list[list[str]], k: int = rules.DUPLICATE_TOP) -> DataFrame:
+    """X6/A3/A4 for several grains: (grain, violations, rows_in_violation, top), the k most frequent keys as JSON with their counts.
+
+    One scan and one aggregation, read twice; top keys are ranked behind a
+    per-task limit. A grain without duplicates has zeros and no keys.
+    """
+    again = grain_counts(df, grains).where("cnt > 1")
+    sums = again.groupBy("grain").agg(F.count(F.lit(1)).alias("violations"), F.sum("cnt").alias("rows_in_violation"))
+    rank = F.row_number().over(Window.partitionBy("grain").orderBy(F.desc("cnt"), "key"))
+    top = again.withColumn("rank", rank).where(F.col("rank") <= k)
+    top = top.groupBy("grain").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "key", "cnt"))), lambda x: F.to_json(F.struct(x["key"].alias("key"), x["cnt"].alias("cnt")))).alias("top"))
+    names = df.sparkSession.createDataFrame([(",".join(g),) for g in grains], "grain string")
+    out = F.broadcast(names).join(sums, "grain", "left").join(top, "grain", "left")
+    zero = F.lit(0).cast("bigint")
+    return out.select("grain", F.coalesce("violations", zero).alias("violations"), F.coalesce("rows_in_violation", zero).alias("rows_in_violation"), F.coalesce("top", F.array().cast("array<string>")).alias("top"))
+
+
 def duplicate_check(df: DataFrame, column: str, k: int = rules.DUPLICATE_TOP,
                     counts: DataFrame | None = None) -> DataFrame:
     """Top-k duplicated keys by count (ties broken by key; the reference leaves
@@ -107,8 +143,21 @@ def _spec_key(s: dict) -> str:
     return "|".join(str(x or "") for x in (t, spec_column(s), extra))
 
 
-def _scalar_expr(spec: dict) -> Column:
+def _wanted_date(spec: dict, df: DataFrame) -> Column:
+    return F.lit(spec["date_value"]).try_cast(df.schema[spec["date_column"]].dataType)
+
+
+def _bad_date(spec: dict, df: DataFrame) -> Column:
+    """The error of a partition check whose date is no value of the column's type."""
+    if spec["template"] != "partition_check":
+        return F.lit(None).cast("string")
+    return F.when(_wanted_date(spec, df).isNull(), F.lit(f'invalid value "{spec["date_value"]}" for column "{spec["date_column"]}"'))
+
+
+def _scalar_expr(spec: dict, df: DataFrame) -> Column:
     t = spec["template"]
+    if t == "partition_check":
+        return F.count_if(F.col(spec["date_column"]) == _wanted_date(spec, df)).cast("string")
     if t == "null_check":
         return F.count_if(F.col(spec["column"]).isNull()).cast("string")
     if t == "row_count":
@@ -177,10 +226,10 @@ def table_evidence(df: DataFrame, specs: list[dict], schema: str, table: str,
                    dates: dict[str, DataFrame] | None = None) -> DataFrame:
     """Evidence rows for all ``specs`` on one table.
 
-    One aggregation pass for every scalar check; one grouped count per key
-    column shared by duplicate_check and duplicate_total, and one per date
-    column for its partition checks; bounded row sets (top-k, first 20, 5
-    samples) for the others. A column the table does not have gives an error
+    One aggregation pass for every scalar check, fixed dates included; one for
+    the counts of all key columns (GROUPING SETS), shared by duplicate_check and
+    duplicate_total; a grouped count for each date column whose wanted dates are a
+    DataFrame; bounded row sets (first 20, 5 samples) for the others. A column the table does not have gives an error
     row instead of a failed job. ``dates`` maps a date column to the wanted
     dates (column date_value), beside those given in ``specs``.
     """
@@ -201,32 +250,38 @@ def table_evidence(df: DataFrame, specs: list[dict], schema: str, table: str,
         if s["template"] in SCALAR and s["template"] != "duplicate_total":
             scalar.append(s)
     asked: dict[str, list] = {}
+    wanted = dict(dates or {})
     for s in specs:
-        if s["template"] == "partition_check" and not _missing_columns(df, s):
+        if s["template"] != "partition_check" or _missing_columns(df, s):
+            continue
+        if s["date_column"] in wanted:
             asked.setdefault(s["date_column"], []).append((s["date_value"],))
-    wanted = dict(dates or {})
+        else:  # a fixed date is counted in the scalar pass
+            scalar.append(s)
     for c, values in asked.items():
         own = spark.createDataFrame(values, "date_value string")
-        wanted[c] = own if c not in wanted else wanted[c].select("date_value").union(own)
+        wanted[c] = wanted[c].select("date_value").union(own)
     if scalar:
-        agg = df.agg(*[_scalar_expr(s).alias(f"c{i}") for i, s in enumerate(scalar)])
+        agg = df.agg(*[_scalar_expr(s, df).alias(f"c{i}") for i, s in enumerate(scalar)])
         arr = F.array(*[F.struct(F.lit(s["template"]).alias("template"),
                                  F.lit(spec_column(s)).cast("string").alias("column_name"),
                                  F.col(f"c{i}").alias("value"),
                                  F.lit(_SCALAR_FIELD[s["template"]]).alias("field"),
+                                 _bad_date(s, df).alias("error"),
                                  F.lit(_spec_key(s)).alias("spec_key"))
                         for i, s in enumerate(scalar)])
         parts.append(agg.select(F.inline(arr)).select(
-            "template", "column_name", "value", F.lit(1).cast("bigint").alias("row_count"),
-            F.array(F.to_json(F.create_map(F.col("field"), F.col("value")))).alias("rows"), "spec_key"))
-    counts_cache: dict[str, DataFrame] = {}
+            "template", "column_name", F.when(F.col("error").isNull(), F.col("value")).alias("value"), F.when(F.col("error").isNull(), 1).otherwise(0).cast("bigint").alias("row_count"),
+            F.when(F.col("error").isNull(), F.array(F.to_json(F.create_map(F.col("field"), F.col("value"))))).otherwise(F.array().cast("array<string>")).alias("rows"), "error", "spec_key"))
+    keyed = sorted({s["column"] for s in specs if s["template"] in ("duplicate_check", "duplicate_total") and not _missing_columns(df, s)})
+    grouped = grain_counts(df, [[c] for c in keyed]) if keyed else None
     for s in specs:
         t = s["template"]
         if t in ("row_count", "null_check", "partition_check", "freshness") or _missing_columns(df, s):
             continue
         col = s.get("column")
         if t in ("duplicate_check", "duplicate_total"):
-            counts = counts_cache.setdefault(col, key_counts(df, col))
+            counts = grouped.where(F.col("grain") == col).select(F.col("key")[col].alias(col), "cnt")
             if t == "duplicate_total":
                 d = duplicate_total(df, col, counts)
                 parts.append(d.select(F.lit(t).alias("template"), F.lit(col).alias("column_name"),
@@ -250,7 +305,7 @@ def table_evidence(df: DataFrame, specs: list[dict], schema: str, table: str,
         parts.append(packed.select(F.lit(t).alias("template"), F.lit(spec_column(s)).cast("string").alias("column_name"),
                                    F.lit(None).cast("string").alias("value"), "row_count", "rows",
                                    F.lit(_spec_key(s)).alias("spec_key")))
-    parts = [p.withColumn("error", F.lit(None).cast("string")) for p in parts]
+    parts = [p if "error" in p.columns else p.withColumn("error", F.lit(None).cast("string")) for p in parts]
     parts += [partition_evidence(df, c, w) for c, w in wanted.items()]
     out = None
     for p in parts:
@@ -340,7 +395,9 @@ def run_plan(plan: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
         .when(F.col("template") == "sample_rows", F.col("condition"))
     plan = plan.withColumn("_about", spec_column_expr()).withColumn("spec_key", F.concat_ws(
         "|", "template", F.coalesce("_about", F.lit("")), F.coalesce(extra, F.lit(""))))
-    specs = plan.select(*keys, "_about", "spec_key").distinct()
+    # the plan is read several times below: its lineage (logs, signals, targets) runs once
+    plan = written(plan.select("incident_id", *keys, "_about", "spec_key").distinct(), "check-plan")
+    specs = written(plan.select(*keys, "_about", "spec_key").distinct(), "check-specs")
     registered = spark.createDataFrame([(n.partition(".")[0], n.partition(".")[2], list(df.columns)) for n, df in tables.items()],
                                        "schema string, table string, _columns array<string>")
     resolved = specs.join(F.broadcast(registered), ["schema", "table"], "left")
@@ -364,7 +421,7 @@ def run_plan(plan: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
                                 & (F.col("date_column") == c)).select("date_value") for c in sorted(days)}
         e = table_evidence(tables[f"{schema}.{table}"], [s for s in ss if s["template"] != "partition_check"], schema, table, dates=wanted)
         ev = ev.unionByName(e)
-    want = plan.select("incident_id", "schema", "table", F.col("spec_key")).distinct()
+    want = plan.select("incident_id", "schema", "table", "spec_key").distinct()
     e = ev.select(*[F.col(c).alias(f"_{c}") if c in ("schema", "table", "spec_key") else F.col(c) for c in ev.columns])
     same = F.col("schema").eqNullSafe(F.col("_schema")) & F.col("table").eqNullSafe(F.col("_table")) & (F.col("spec_key") == F.col("_spec_key"))
     return want.join(e, same, "inner").select("incident_id", "schema", "table", *[c for c in ev.columns if c not in ("schema", "table", "spec_key")])
@@ -451,10 +508,11 @@ def all_evidence(direct: DataFrame, upstream: DataFrame) -> DataFrame:
     return direct.unionByName(upstream, allowMissingColumns=True)
 
 
-def append_evidence(evidence: DataFrame, path: str) -> None:
-    """Add evidence rows to the evidence table (one row per check), with
-    the time of writing. An append commits as a whole or not at all."""
-    evidence.withColumn("recorded_at", F.localtimestamp()).write.mode("append").parquet(path)
+def append_evidence(evidence: DataFrame, path: str, run_id: str) -> None:
+    """Add a run's evidence rows to the evidence table (one row per check),
+    with the time of writing. The table is partitioned by run and a run replaces
+    its own rows, so a repeated or half-failed write never doubles any."""
+    files.write_run(evidence.withColumn("recorded_at", F.localtimestamp()), path, run_id)
 
 
 def evidence_digest(evidence: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from faultline.operators.checks import grain_counts
+
 # Contract type names -> Spark type predicates.
 _TYPE_OK = {
     "integer": lambda t: isinstance(t, T.IntegerType),
@@ -28,9 +30,9 @@ class ContractViolation(Exception):
 def run_tests(df: DataFrame, model: str, spec: list[tuple[str, str]]) -> DataFrame:
     """``not_null`` / ``unique`` tests, one result row per (column, test).
 
-    All not_null tests share one aggregation pass; each unique test is a
-    grouped count with partial (map-side) aggregation, so a hot key never
-    lands whole in one task. failures = null rows / duplicated key values.
+    All not_null tests share one aggregation pass, all unique tests another one
+    over their grouped counts (GROUPING SETS, pre-counted map-side, so a hot key
+    never lands whole in one task). failures = null rows / duplicated key values.
     """
     spark = df.sparkSession
     parts = []
@@ -40,10 +42,12 @@ def run_tests(df: DataFrame, model: str, spec: list[tuple[str, str]]) -> DataFra
         stack = ", ".join(f"'{c}', `{c}`" for c in nn)
         parts.append(agg.selectExpr(f"stack({len(nn)}, {stack}) as (column_name, failures)")
                      .withColumn("test", F.lit("not_null")))
-    for c in [c for c, t in spec if t == "unique"]:
-        dups = df.where(F.col(c).isNotNull()).groupBy(c).count().where("count > 1")
-        parts.append(dups.agg(F.count(F.lit(1)).alias("failures"))
-                     .select(F.lit(c).alias("column_name"), "failures", F.lit("unique").alias("test")))
+    unique = list(dict.fromkeys(c for c, t in spec if t == "unique"))
+    if unique:
+        again = grain_counts(df, [[c] for c in unique]).where("cnt > 1")
+        agg = again.agg(*[F.count_if((F.col("grain") == c) & F.col("key")[c].isNotNull()).alias(c) for c in unique])
+        stack = ", ".join(f"'{c}', `{c}`" for c in unique)
+        parts.append(agg.selectExpr(f"stack({len(unique)}, {stack}) as (column_name, failures)").withColumn("test", F.lit("unique")))
     if not parts:
         return spark.createDataFrame([], "model string, column_name string, test string, failures bigint, status string")
     out = parts[0]
