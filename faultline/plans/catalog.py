@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from faultline.operators import contracts, medallion
 from faultline.plans.tables import read
+from faultline.session import written
 
 # --- stand-in inputs -------------------------------------------------------------
 
@@ -156,6 +157,7 @@ def q_sample_rows(spark: SparkSession, sf: str) -> DataFrame:
 from pyspark.sql import Window  # noqa: E402
 
 from faultline.operators import logs  # noqa: E402
+from faultline.operators.numbering import number_rows  # noqa: E402
 
 # Message templates for the stand-in task logs (input construction only).
 ERROR_MESSAGES = [
@@ -194,54 +196,39 @@ def task_log_lines_input(spark: SparkSession, sf: str) -> DataFrame:
     # few lines are loud: most failures are first reported by an INFO line
     level = F.when((F.col("event_type") == "error") & (F.col("value") > 100), "ERROR") \
         .when((F.col("event_type") == "click") & (F.col("value") > 150), "WARNING").otherwise("INFO")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return ev.select(F.concat(F.lit("run_"), F.col("user_id").cast("string")).alias("log_id"),
-                     (F.row_number().over(w) - 1).alias("line_no"),
-                     F.format_string("[%s] %s - %s", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"),
-                                     level, message).alias("line"))
-
-
-def task_log_texts_input(spark: SparkSession, sf: str) -> DataFrame:
-    lines = task_log_lines_input(spark, sf)
-    return lines.groupBy("log_id").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]),
-                     "\n").alias("log_text"))
+    lines = ev.select(F.concat(F.lit("run_"), F.col("user_id").cast("string")).alias("log_id"), "ts", "event_id",
+                      F.format_string("[%s] %s - %s", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), level, message).alias("line"))
+    return number_rows(lines, ["log_id"], ["ts", "event_id"], "line_no", "n_lines").select("log_id", "line_no", "n_lines", "line")
 
 
 def q_split_lines(spark: SparkSession, sf: str) -> DataFrame:
     return logs.split_log_lines(read(spark, sf, "documents"), ["doc_id"], "text")
 
 
-def _log_lines(spark, sf):
-    return logs.split_log_lines(task_log_texts_input(spark, sf), ["log_id"], "log_text", with_total=True)
-
-
 def q_error_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return logs.error_lines(_log_lines(spark, sf)).drop("n_lines")
+    return logs.error_lines(task_log_lines_input(spark, sf)).drop("n_lines")
 
 
 def q_relevant_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return logs.relevant_lines(_log_lines(spark, sf), ["log_id"])
+    return logs.relevant_lines(task_log_lines_input(spark, sf), ["log_id"])
 
 
 def q_truncate_log(spark: SparkSession, sf: str) -> DataFrame:
-    return logs.truncate_log(logs.relevant_lines(_log_lines(spark, sf), ["log_id"]), ["log_id"])
+    return logs.truncate_log(logs.relevant_lines(task_log_lines_input(spark, sf), ["log_id"]), ["log_id"])
 
 
 def q_signatures(spark: SparkSession, sf: str) -> DataFrame:
-    m = logs.match_signatures(task_log_texts_input(spark, sf), "log_text")
-    return m.select("log_id", F.inline("regex_matches")).select(
+    return logs.line_matches(task_log_lines_input(spark, sf), ["log_id"]).select(
         "log_id", "pattern", "match", F.try_element_at("groups", F.lit(1)).alias("group1"),
         F.try_element_at("groups", F.lit(2)).alias("group2"))
 
 
 def q_resolve_error(spark: SparkSession, sf: str) -> DataFrame:
-    r = logs.resolve_error(logs.match_signatures(task_log_texts_input(spark, sf), "log_text"))
-    return r.select("log_id", "error_type", "sql_state_code", "error_message")
+    return log_signals(spark, sf).select("log_id", "error_type", "sql_state_code", "error_message")
 
 
 def q_referenced_objects(spark: SparkSession, sf: str) -> DataFrame:
-    r = logs.referenced_objects(task_log_texts_input(spark, sf), "log_text")
+    r = log_signals(spark, sf)
     return r.select("log_id", F.array_join("tables", ",").alias("tables"),
                     F.array_join("columns", ",").alias("columns"), F.array_join("models", ",").alias("models"))
 
@@ -278,7 +265,7 @@ def q_intake(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def log_signals(spark: SparkSession, sf: str) -> DataFrame:
-    return logs.extract_signals(task_log_texts_input(spark, sf), "log_text")
+    return logs.signals_of_lines(task_log_lines_input(spark, sf).drop("n_lines"), ["log_id"])
 
 
 def q_classify(spark: SparkSession, sf: str) -> DataFrame:
@@ -313,15 +300,15 @@ def pipeline_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
             "silver.silver_customers": sc, "gold.fct_sales": gold}
 
 
-def class_plan(spark: SparkSession, sf: str) -> DataFrame:
+def class_plan(targets: DataFrame) -> DataFrame:
     """C8 then J8: incidents whose strategy is ``class`` get their class's checks; those without a target get none."""
-    t = investigation_targets(spark, sf).withColumn("check_priorities", F.array().cast("array<string>")) \
+    t = targets.withColumn("check_priorities", F.array().cast("array<string>")) \
         .withColumn("layer_tables", F.array().cast("array<string>"))
     return checks.expand_checks(checks.plan_checks(t).where("strategy = 'class'"))
 
 
 def q_run_checks(spark: SparkSession, sf: str) -> DataFrame:
-    ev = checks.run_plan(class_plan(spark, sf), pipeline_tables(spark, sf))
+    ev = checks.run_plan(class_plan(investigation_targets(spark, sf)), pipeline_tables(spark, sf))
     return ev.select("incident_id", "schema", "table", "template", "column_name", "value", "row_count", "error")
 
 
@@ -519,8 +506,8 @@ def log_facts(spark: SparkSession, sf: str) -> DataFrame:
 def q_reports(spark: SparkSession, sf: str) -> DataFrame:
     """Investigation reports for the task logs: signals -> class -> target ->
     report fields (R1-R3) with capped confidence (C12, C13, C14)."""
-    t = investigation_targets(spark, sf)
-    ev = checks.run_plan(class_plan(spark, sf), pipeline_tables(spark, sf))
+    t = written(investigation_targets(spark, sf), "targets")
+    ev = checks.run_plan(class_plan(t), pipeline_tables(spark, sf))
     r = t.join(checks.evidence_available(t, ev), "incident_id").join(log_facts(spark, sf), "incident_id") \
         .withColumn("dbt_model", F.try_element_at("models", F.lit(1))).withColumn("question", F.lit(None).cast("string"))
     conf = incidents.cap_confidence(F.col("stated"), F.col("logs_available"), F.col("db_evidence_available"))
@@ -835,7 +822,7 @@ def q_question_targets(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_evidence_digest(spark: SparkSession, sf: str) -> DataFrame:
     """The digest lines of every incident's scalar checks, by table."""
-    p = class_plan(spark, sf).where(F.col("template").isin("row_count", "null_check", "duplicate_total"))
+    p = class_plan(investigation_targets(spark, sf)).where(F.col("template").isin("row_count", "null_check", "duplicate_total"))
     return checks.evidence_digest(checks.run_plan(p, pipeline_tables(spark, sf))).select("incident_id", "context", "digest")
 
 
