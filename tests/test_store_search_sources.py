@@ -75,8 +75,9 @@ def test_evidence_table_grows_by_appends(spark, tmpdir_path):
     plan = spark.createDataFrame([("i1", "s", "t", "row_count", None), ("i2", "s", "u", "row_count", None)], "incident_id string, schema string, table string, template string, column string")
     ev = checks.run_plan(plan, tables)
     both = checks.all_evidence(ev, ev.withColumn("context", F.concat(F.lit("upstream:"), "context")))
-    checks.append_evidence(both, path)
-    checks.append_evidence(ev, path)
+    checks.append_evidence(both, path, "r1")
+    for _ in range(2):  # a repeated run replaces its rows
+        checks.append_evidence(ev, path, "r2")
     assert spark.read.parquet(path).count() == 6
     flags = {r.incident_id: (r.database_evidence_count, r.db_evidence_available) for r in checks.evidence_available(plan.select("incident_id").union(spark.createDataFrame([("i3",)], "i string")), ev).collect()}
     assert flags == {"i1": (1, True), "i2": (0, False), "i3": (0, False)}
@@ -143,6 +144,6 @@ def test_seeds_scenarios_triggers_and_reports(spark, tmpdir_path):
     out = os.path.join(tmpdir_path, "reports")
     report = reports.build_report(spark.createDataFrame([("i1", "data_quality", 0.9)], "incident_id string, failure_class string, confidence double"))
     for _ in range(2):
-        files.write_reports(report.select("report.*"), out)
+        files.write_reports(report.select("report.*"), out, "r1")
     back = spark.read.json(out).collect()
     assert len(back) == 1 and back[0].incident_id == "i1" and back[0].what_failed == "Pipeline failure detected"

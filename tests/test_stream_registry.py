@@ -81,29 +81,6 @@ def test_registered_query_values(spark, name):
     assert sorted(rows, key=str) == sorted(expected, key=str)
 
 
-def test_replayed_batch_and_untouched_buckets(spark, tmpdir_path):
-    base = os.path.join(tmpdir_path, "store")
-    schema = "id string, n long"
-
-    def newest(old, new):
-        return new.unionByName(old.join(new, "id", "left_anti"))
-
-    assert store.read(spark, base, schema).count() == 0
-    first = spark.createDataFrame([(f"k{i}", 0) for i in range(200)], schema)
-    store.merge(base, first, "id", schema, 1, newest)
-    second = spark.createDataFrame([("k3", 1), ("new", 1)], schema)
-    for _ in range(2):  # the second run replays the batch
-        store.merge(base, second, "id", schema, 2, newest)
-        rows = {r.id: r.n for r in store.read(spark, base, schema).collect()}
-        assert len(rows) == 201 and rows["k3"] == 1 and rows["k4"] == 0
-    paths = store.current(spark, base)
-    assert len({p.rsplit("/", 1)[0] for p in paths.values()}) == 2  # most buckets are still the first version's
-    with open(os.path.join(base, "_versions", "part-broken.parquet"), "w") as f:
-        f.write("no parquet")
-    with pytest.raises(Exception):
-        store.read(spark, base, schema).count()
-
-
 def test_second_refresh_replaces_the_first(spark, tmpdir_path):
     for n in (10, 10, 7):
         files.write_versioned(spark.range(n), os.path.join(tmpdir_path, "bronze", "t"))
