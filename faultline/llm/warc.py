@@ -6,7 +6,9 @@ page id is a response and the others are revisits of it (a grouped minimum,
 no group is gathered). Captures are then sorted by reversed-host URL key
 (``com,example)/path`` plus the page id) and written as compressed index
 blocks; a file ends with its sparse block directory (first key, offset and
-length of each block).
+length of each block). Records are WARC/1.1: a response holds an HTTP response,
+a revisit its header and the response it refers to; ``X-`` fields keep the page
+ids, and a URL that is no URI as it was.
 
 Reading: keys are sent to the index file whose key range holds them, found in
 the directory by binary search, and a block and then the record are read by
@@ -15,7 +17,8 @@ those that the committed manifest lists are read.
 
 Defined cases: null html is an empty payload; a null URL gives the key ``)``;
 a null page id sorts after every other; rows that repeat the smallest page id
-of a group are all responses; an empty table gives empty archives.
+of a group are all responses; an empty table gives empty archives; payloads of
+any length are one record; other columns of the input are not looked at.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ import uuid
 import zlib
 from collections import OrderedDict
 from collections.abc import Iterator
+from datetime import datetime, timezone
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -39,6 +44,8 @@ from faultline.llm.storage import fresh_path, written
 from faultline.llm.url_filter import after_scheme, lower_ascii
 
 BLOCK_LINES = 256
+# fixed value of the WARC/1.1 format
+REVISIT_PROFILE = b"http://netpreserve.org/warc/1.1/revisits/identical-payload-digest"
 CAPTURE = "key string, page_id long, file string, start long, length long"
 RECORD = "key string, page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
@@ -55,29 +62,44 @@ def with_record_type(pages: DataFrame, min_payload: int = 100, salts: int = 16)
     """page_id, url, html, payload_bytes, payload_digest, refers_to (null: a response)."""
     base = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("html"))
     base = base.withColumn("payload_bytes", F.octet_length("html").cast("long")).withColumn("payload_digest", F.sha2("html", 256))
+    own = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))
     groups = (base.where(F.col("payload_bytes") >= min_payload).groupBy(F.col("payload_digest").alias("_digest"))
-              .agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1 and _first is not null"))
+              .agg(F.min(own).alias("_own"), F.count(F.lit(1)).alias("_n")).where("_n > 1 and _own is not null")
+              .select("_digest", F.col("_own.page_id").alias("_first"), F.col("_own.url").alias("_first_url"), "_n"))
     # a hot payload is spread over the salts; the groups' side is one small row for each
     groups = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).drop("_n")
     salted = base.withColumn("_s", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int"))
     joined = salted.join(groups, (F.col("payload_digest") == F.col("_digest")) & (F.col("_s") == F.col("_salt")), "left")
     revisit = F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
-    return joined.select("page_id", "url", "html", "payload_bytes", "payload_digest", F.when(revisit, F.col("_first")).alias("refers_to"))
+    return joined.select("page_id", "url", "html", "payload_bytes", "payload_digest", F.when(revisit, F.col("_first")).alias("refers_to"),
+                         F.when(revisit, F.col("_first_url")).alias("refers_to_url"))
 
 
-def _record(page_id, url, html, n, digest, refers_to) -> bytes:
-    head = [b"WARC/1.1", b"WARC-Type: " + (b"response" if refers_to is None else b"revisit"),
-            b"WARC-Record-ID: <urn:uuid:" + str(uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id} {url}")).encode() + b">",
-            b"WARC-Payload-Digest: sha256:" + digest.encode(), b"X-Payload-Length: %d" % n]
-    if url is not None:
-        head.append(b"WARC-Target-URI: " + json.dumps(url).encode())
+def _record_id(page_id, url) -> bytes:
+    return b"<urn:uuid:" + str(uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id} {url}")).encode() + b">"
+
+
+def target_uri(page_id, url) -> bytes:
+    """The URL with what no URI holds percent-encoded; a page without one has a name of its own."""
+    return quote(url, safe=":/?#[]@!$&'()*+,;=-._~%").encode() if url else _record_id(page_id, url)[1:-1]
+
+
+def _record(page_id, url, html, n, digest, refers_to, refers_to_url, date: bytes) -> bytes:
+    """One gzip member with a WARC/1.1 record: an HTTP response, or a revisit that has its header only."""
+    revisit = refers_to is not None
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % n
+    block = http if revisit else http + html
+    uri = target_uri(page_id, url)
+    head = [b"WARC/1.1", b"WARC-Type: " + (b"revisit" if revisit else b"response"), b"WARC-Record-ID: " + _record_id(page_id, url), b"WARC-Date: " + date, b"WARC-Target-URI: " + uri,
+            b"WARC-Payload-Digest: sha256:" + digest.encode(), b"Content-Type: application/http; msgtype=response", b"Content-Length: %d" % len(block), b"X-Payload-Length: %d" % n]
+    if revisit:
+        head += [b"WARC-Profile: " + REVISIT_PROFILE, b"WARC-Refers-To: " + _record_id(refers_to, refers_to_url), b"WARC-Refers-To-Target-URI: " + target_uri(refers_to, refers_to_url),
+                 b"WARC-Refers-To-Date: " + date, b"X-Refers-To-Page-Id: %d" % refers_to]
+    if url is None or uri != url.encode():
+        head.append(b"X-Url: " + json.dumps(url).encode())  # the URL as it was
     if page_id is not None:
         head.append(b"X-Page-Id: %d" % page_id)
-    if refers_to is not None:
-        head.append(b"X-Refers-To-Page-Id: %d" % refers_to)
-        html = b""
-    head += [b"Content-Type: text/html; charset=utf-8", b"Content-Length: %d" % len(html), b"", b""]
-    return gzip.compress(b"\r\n".join(head) + html + b"\r\n\r\n", 6, mtime=0)
+    return gzip.compress(b"\r\n".join([*head, b"", b""]) + block + b"\r\n\r\n", 6, mtime=0)
 
 
 def _parse(member: bytes) -> dict:
@@ -85,12 +107,13 @@ def _parse(member: bytes) -> dict:
     end = raw.index(b"\r\n\r\n")
     fields = dict(line.split(b": ", 1) for line in raw[:end].split(b"\r\n")[1:])
     number = lambda name: int(fields[name]) if name in fields else None
-    payload = raw[end + 4: end + 4 + int(fields[b"Content-Length"])]
+    block = raw[end + 4: end + 4 + int(fields[b"Content-Length"])]
+    payload = block[block.index(b"\r\n\r\n") + 4:]
     kind, digest = fields[b"WARC-Type"].decode(), fields[b"WARC-Payload-Digest"].decode().removeprefix("sha256:")
     if kind == "response" and (hashlib.sha256(payload).hexdigest() != digest or len(payload) != number(b"X-Payload-Length")):
         raise ValueError("a payload differs from its digest")
-    return {"page_id": number(b"X-Page-Id"), "url": json.loads(fields[b"WARC-Target-URI"]) if b"WARC-Target-URI" in fields else None,
-            "payload": payload if kind == "response" else None, "payload_bytes": number(b"X-Payload-Length"), "payload_digest": digest,
+    url = json.loads(fields[b"X-Url"]) if b"X-Url" in fields else fields[b"WARC-Target-URI"].decode()
+    return {"page_id": number(b"X-Page-Id"), "url": url, "payload": payload if kind == "response" else None, "payload_bytes": number(b"X-Payload-Length"), "payload_digest": digest,
             "record_type": kind, "refers_to": number(b"X-Refers-To-Page-Id")}
 
 
@@ -119,7 +142,7 @@ def _open(folder: str) -> tuple[fs.FileSystem, str]:
     return store, path
 
 
-def _writer(folder: str):
+def _writer(folder: str, date: bytes):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             out, name, at = None, f"{uuid.uuid4().hex}.warc.gz", 0
@@ -128,7 +151,7 @@ def _writer(folder: str):
                     if out is None:
                         store, path = _open(folder)
                         out = store.open_output_stream(f"{path}/{name}", compression=None)
-                    member = _record(row["page_id"], row["url"], row["html"], row["payload_bytes"], row["payload_digest"], row["refers_to"])
+                    member = _record(row["page_id"], row["url"], row["html"], row["payload_bytes"], row["payload_digest"], row["refers_to"], row["refers_to_url"], date)
                     out.write(member)
                     yield {"key": row["key"], "page_id": row["page_id"], "file": name, "start": at, "length": len(member)}
                     at += len(member)
@@ -170,10 +193,11 @@ def _index_writer(folder: str):
     return write
 
 
-def write_archive(pages: DataFrame, folder: str, min_payload: int = 100) -> tuple[DataFrame, DataFrame]:
-    """Write archives and index under ``folder``; returns (captures, index files)."""
+def write_archive(pages: DataFrame, folder: str, min_payload: int = 100, date: datetime | None = None) -> tuple[DataFrame, DataFrame]:
+    """Write archives and index under ``folder``; returns (captures, index files). ``date`` is the records' date, else the time of the call."""
+    stamp = (date or datetime.now(timezone.utc)).strftime("%Y-%m-%dT%H:%M:%SZ").encode()
     records = with_record_type(pages, min_payload).withColumn("key", reversed_host_key(F.col("url"), F.col("page_id")))
-    captures = written(records.mapInArrow(_writer(f"{folder}/archive"), CAPTURE), "captures")
+    captures = written(records.mapInArrow(_writer(f"{folder}/archive", stamp), CAPTURE), "captures")
     n = max(1, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     shards = (captures.repartitionByRange(n, "key").sortWithinPartitions("key")
               .mapInArrow(_index_writer(f"{folder}/index"), "file string, first_key string, last_key string, blocks long, captures long"))
