@@ -1,11 +1,11 @@
 """URL filter: a blocked Bloom filter of listed canonical URLs in front of an exact join.
 
-The filter has a fixed number of blocks of 512 bits (eight longs). A key's
-hash picks one block and ``PROBES`` bits in it, so a probe reads one block.
-Building is a grouped ``bit_or`` and probing a join with the block table,
-whose size is bounded by ``n_blocks`` whatever the list holds (so it may be
-broadcast); a longer list only raises the rate of false positives, and those
-are removed by the exact join that follows. Only possible hits are shuffled.
+The filter has blocks of 512 bits (eight longs), as many as the list asks for
+and at most ``MOST_BLOCKS``. A key's hash picks one block and ``PROBES`` bits in
+it, so a probe reads one block. Building is a grouped ``bit_or`` and probing a
+join with the block table, whose size is bounded by ``MOST_BLOCKS`` whatever the
+list holds (so it may be broadcast); false positives are removed by the exact
+join that follows. Only possible hits are shuffled.
 
 Rules (host, path prefix, verdict) come first: the longest rule that fits wins.
 
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PROBES = 6
 BLOCK_LONGS = 8
+LEAST_BLOCKS, MOST_BLOCKS = 1 << 10, 1 << 19
 
 
 def lower_ascii(c: Column) -> Column:
@@ -97,13 +98,25 @@ def fitting_rule(rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
     return name, verdict
 
 
-def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]], n_blocks: int = 1 << 15) -> DataFrame:
+def blocks_for(n_keys: int) -> int:
+    """Blocks that give a list some 16 bits a key: a power of two, at most ``MOST_BLOCKS`` (a filter of 32 MB)."""
+    blocks = LEAST_BLOCKS
+    while blocks < MOST_BLOCKS and blocks * 512 < 16 * n_keys:
+        blocks *= 2
+    return blocks
+
+
+def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]], n_blocks: int | None = None) -> DataFrame:
     """Adds host, path, canonical, rule, listed and verdict to every row with a ``url``.
 
     ``listed`` has a ``url`` column. Only possible hits of the Bloom filter go
-    to the exact join on the canonical URL; the other rows are not shuffled.
+    to the exact join on the canonical URL; the other rows are not shuffled. The
+    filter's size follows the list's (``blocks_for``), so that a few in a
+    thousand of the other URLs pass while the list has up to some 17 million keys;
+    a longer one lets more pass, and the join still decides.
     """
     block_list = with_parts(listed.select("url")).select("canonical").where(F.col("canonical").isNotNull())
+    n_blocks = n_blocks or blocks_for(block_list.distinct().count())
     rule, verdict = fitting_rule(rules)
     judged = with_parts(pages.drop("rule", "listed", "verdict", "possible"))
     judged = with_possible(judged, "canonical", build_filter(block_list, "canonical", n_blocks), n_blocks)
