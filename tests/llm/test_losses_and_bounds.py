@@ -78,3 +78,56 @@ def test_lattice_finds_every_piece():
     lattice = lattice_lm.Lattice(pieces, np.zeros((1, len(pieces))))
     rows, found = lattice.pieces_of(lattice.hashes.copy())
     assert sorted(zip(rows.tolist(), found.tolist())) == [(i, i) for i in range(len(pieces))]
+
+
+def test_records_are_valid_warc(spark, tmp_path):
+    import glob
+    import gzip
+    import re
+    from datetime import datetime, timezone
+
+    from faultline.llm import warc
+
+    html = "<html>" + "é" * 100 + "</html>"
+    rows = [(1, "http://a.example/x?y=1", html), (2, "http://b.example/ü z", html), (3, None, None), (None, "http://c.example/", "n" * 200), (4, "http://c.example/", html)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    captures, shards = warc.write_archive(pages, f"file://{tmp_path}", date=datetime(2024, 1, 2, 3, 4, 5, tzinfo=timezone.utc))
+    assert captures.count() == len(rows)
+    found = {}
+    for name in glob.glob(f"{tmp_path}/archive/*.warc.gz"):
+        with gzip.open(name) as f:  # members one after the other
+            raw = f.read()
+        while raw:
+            head, _, rest = raw.partition(b"\r\n\r\n")
+            lines = head.split(b"\r\n")
+            assert lines[0] == b"WARC/1.1"
+            fields = dict(x.split(b": ", 1) for x in lines[1:])
+            block, raw = rest[:int(fields[b"Content-Length"])], rest[int(fields[b"Content-Length"]) + 4:]
+            assert rest[len(block):len(block) + 4] == b"\r\n\r\n"
+            assert fields[b"WARC-Date"] == b"2024-01-02T03:04:05Z" and re.fullmatch(rb"<urn:uuid:[0-9a-f-]{36}>", fields[b"WARC-Record-ID"])
+            assert re.fullmatch(rb"[a-z]+:[!-~]+", fields[b"WARC-Target-URI"]) and fields[b"Content-Type"] == b"application/http; msgtype=response"
+            http, _, body = block.partition(b"\r\n\r\n")
+            assert http.startswith(b"HTTP/1.1 200 OK\r\n")
+            found[int(fields.get(b"X-Page-Id", b"-1"))] = (fields, body)
+    assert {k: f[b"WARC-Type"] for k, (f, _) in found.items()} == {1: b"response", 2: b"revisit", 3: b"response", -1: b"response", 4: b"revisit"}
+    for k in (2, 4):
+        fields, body = found[k]
+        assert body == b"" and fields[b"WARC-Refers-To"] == found[1][0][b"WARC-Record-ID"] and fields[b"WARC-Refers-To-Target-URI"] == b"http://a.example/x?y=1"
+        assert fields[b"WARC-Profile"].endswith(b"/identical-payload-digest")
+    assert found[1][1] == html.encode() and found[3][1] == b""
+    back = {r.page_id: (r.url, r.payload_bytes, r.refers_to) for r in warc.look_up(captures.select("key").distinct(), shards, f"file://{tmp_path}").collect()}
+    n = len(html.encode())
+    assert back == {1: (rows[0][1], n, None), 2: (rows[1][1], n, 1), 3: (None, 0, None), None: (rows[3][1], 200, None), 4: (rows[4][1], n, 1)}
+
+
+def test_filter_follows_the_list(spark):
+    from faultline.llm import url_filter
+    assert [url_filter.blocks_for(n) for n in (0, 1000, 100_000, 10**6, 10**9)] == [1 << 10, 1 << 10, 1 << 12, 1 << 15, 1 << 19]
+    listed = spark.range(200_000).selectExpr("concat('http://h', id, '.example/p') as url")
+    others = spark.range(50_000).selectExpr("id as page_id", "concat('http://o', id, '.example/p') as url")
+    keys = url_filter.with_parts(listed)
+    n = url_filter.blocks_for(200_000)
+    passed = url_filter.with_possible(url_filter.with_parts(others), "canonical", url_filter.build_filter(keys, "canonical", n), n).where("possible").count()
+    assert passed < 500  # under one in a hundred
+    some = others.union(listed.limit(3).selectExpr("-1L as page_id", "url"))
+    assert url_filter.judge(some, listed, []).where("listed").count() == 3
