@@ -12,6 +12,8 @@ that partition checks ask for never do.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -374,7 +376,46 @@ def plan_checks(targets: DataFrame) -> DataFrame:
         .withColumn("run_upstream", ~has_layers)
 
 
-def run_plan(plan: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+@dataclass(frozen=True)
+class Family:
+    """Relations that are parts of one table: ``schema.prefix<key>`` holds the rows whose ``key`` column has that value.
+
+    ``members`` (column ``key``) lists the relations that exist; one without rows has zeros.
+    """
+
+    schema: str
+    prefix: str
+    rows: DataFrame
+    key: str
+    members: DataFrame
+
+
+def family_evidence(family: Family, specs: DataFrame) -> DataFrame:
+    """Row counts and null counts of any number of a family's relations, from one grouped aggregate of its table.
+
+    specs: schema, table, template, _about, spec_key of relations with the family's name. One that isn't a member, a
+    column that isn't there and any other template give error rows.
+    """
+    columns = family.rows.columns
+    key = F.col(family.key).cast("string")
+    counts = family.rows.groupBy(key.alias("_key")).agg(F.count(F.lit(1)).alias("_n"), F.map_from_arrays(F.array(*[F.lit(c) for c in columns]), F.array(*[F.count_if(F.col(c).isNull()) for c in columns])).alias("_nulls"))
+    members = family.members.select(F.col("key").cast("string").alias("_member")).distinct()
+    own = specs.withColumn("_name", F.expr(f"substring(table, {len(family.prefix) + 1})"))
+    j = own.join(members, F.col("_name") == F.col("_member"), "left").join(counts, F.col("_name") == F.col("_key"), "left")
+    zero = F.lit(0).cast("bigint")
+    field = F.when(F.col("template") == "row_count", _SCALAR_FIELD["row_count"]).otherwise(_SCALAR_FIELD["null_check"])
+    value = F.when(F.col("template") == "row_count", F.coalesce("_n", zero)).otherwise(F.coalesce(F.try_element_at("_nulls", F.col("_about")), zero)).cast("string")
+    error = F.when(F.col("_member").isNull(), F.concat(F.lit('relation "'), "schema", F.lit("."), "table", F.lit('" does not exist'))) \
+        .when(~F.col("template").isin("row_count", "null_check"), F.concat(F.lit("Unknown template: "), "template")) \
+        .when(F.col("_about").isNotNull() & ~F.col("_about").isin(*columns), F.concat(F.lit('column "'), "_about", F.lit('" does not exist')))
+    j = j.withColumn("error", error)
+    good = F.col("error").isNull()
+    return j.select(F.concat_ws(".", "schema", "table").alias("context"), F.lit(None).cast("string").alias("layer"), "schema", "table", "template", F.col("_about").alias("column_name"),
+                    F.when(good, value).alias("value"), F.when(good, 1).otherwise(0).cast("bigint").alias("row_count"),
+                    F.when(good, F.array(F.to_json(F.create_map(field, value)))).otherwise(F.array().cast("array<string>")).alias("rows"), "error", "spec_key")
+
+
+def run_plan(plan: DataFrame, tables: dict[str, DataFrame], families: list[Family] | None = None) -> DataFrame:
     """Execute a check plan against named tables and join the evidence back
     to every incident that asked for it.
 
@@ -400,6 +441,11 @@ def run_plan(plan: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     specs = written(plan.select(*keys, "_about", "spec_key").distinct(), "check-specs")
     registered = spark.createDataFrame([(n.partition(".")[0], n.partition(".")[2], list(df.columns)) for n, df in tables.items()],
                                        "schema string, table string, _columns array<string>")
+    parts = []
+    for f in families or []:
+        named = F.coalesce((F.col("schema") == f.schema) & F.col("table").startswith(f.prefix), F.lit(False))
+        parts.append(family_evidence(f, specs.where(named).select("schema", "table", "template", "_about", "spec_key").distinct()))
+        specs = specs.where(~named)
     resolved = specs.join(F.broadcast(registered), ["schema", "table"], "left")
     relation = F.concat(F.lit('relation "'), F.coalesce("schema", F.lit("")), F.lit("."), F.coalesce("table", F.lit("")), F.lit('" does not exist'))
     error = F.when(F.col("_columns").isNull(), relation) \
@@ -410,6 +456,8 @@ def run_plan(plan: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
         F.concat_ws(".", "schema", "table").alias("context"), F.lit(None).cast("string").alias("layer"), "schema", "table", "template",
         F.col("_about").alias("column_name"), F.lit(None).cast("string").alias("value"), F.lit(0).cast("bigint").alias("row_count"),
         F.array().cast("array<string>").alias("rows"), "error", "spec_key").dropDuplicates(["schema", "table", "spec_key"])
+    for p in parts:
+        ev = ev.unionByName(p)
     good = resolved.where("error is null")
     asked = good.select(*[k for k in keys if k != "date_value"]).distinct().collect()  # registered columns only
     by_table: dict[tuple, list[dict]] = {}
@@ -497,9 +545,9 @@ def upstream_plan(incidents: DataFrame, lineage: DataFrame) -> DataFrame:
     return t.select("incident_id", F.col("t.schema").alias("schema"), F.col("t.table").alias("table"), "column", F.explode(templates).alias("template")).distinct()
 
 
-def upstream_checks(incidents: DataFrame, lineage: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+def upstream_checks(incidents: DataFrame, lineage: DataFrame, tables: dict[str, DataFrame], families: list[Family] | None = None) -> DataFrame:
     """Evidence of ``upstream_plan``, context ``upstream:schema.table``."""
-    return run_plan(upstream_plan(incidents, lineage), tables) \
+    return run_plan(upstream_plan(incidents, lineage), tables, families) \
         .withColumn("context", F.concat(F.lit("upstream:"), "schema", F.lit("."), "table"))
 
 

@@ -41,6 +41,20 @@ def upstream_sources(e: DataFrame, sources: DataFrame) -> DataFrame:
     return s.groupBy("child").agg(_in_order(F.struct("source_name", "table_name", "schema")).alias("upstream_sources"))
 
 
+def upstream(e: DataFrame, sources: DataFrame) -> DataFrame:
+    """J3 and J4 in one pass over the edges: a child's model parents and its source entries, in declaration order."""
+    entry = F.struct("source_name", "table_name", F.col("s_schema").alias("schema"))
+    s = sources.select(F.col("unique_id").alias("parent"), "source_name", "table_name", F.col("schema").alias("s_schema"), F.lit(True).alias("listed"))
+    j = e.join(s, "parent", "left")
+
+    def values(when, value):
+        own = F.sort_array(F.collect_list(F.when(when, F.struct("position", value.alias("value")))))
+        return F.transform(own, lambda x: x["value"])
+
+    return j.groupBy("child").agg(values(F.col("parent").startswith("model."), _short(F.col("parent"))).alias("upstream_models"),
+                                  values(F.col("parent").startswith("source.") & F.col("listed"), entry).alias("upstream_sources"))
+
+
 def downstream_models(e: DataFrame) -> DataFrame:
     """Model children of each node (the reversed edges)."""
     d = e.select(F.col("parent").alias("unique_id"), F.col("child"))
@@ -52,8 +66,7 @@ def lineage(nodes: DataFrame, sources: DataFrame) -> DataFrame:
     """G1: one lineage record per model."""
     e = edges(nodes)
     base = nodes.select("unique_id", F.col("name").alias("model"), "schema", "description")
-    out = base.join(upstream_models(e).withColumnRenamed("child", "unique_id"), "unique_id", "left") \
-        .join(upstream_sources(e, sources).withColumnRenamed("child", "unique_id"), "unique_id", "left") \
+    out = base.join(upstream(e, sources).withColumnRenamed("child", "unique_id"), "unique_id", "left") \
         .join(downstream_models(e), "unique_id", "left")
     empty_s = F.array().cast("array<string>")
     return out.select("unique_id", "model", "schema", "description",

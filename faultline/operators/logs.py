@@ -156,8 +156,9 @@ def referenced_objects(df: DataFrame, text: str) -> DataFrame:
 
 
 def extract_signals(df: DataFrame, text: str) -> DataFrame:
-    """L4-L6 in one projection: matches, resolved error and references."""
-    return referenced_objects(resolve_error(match_signatures(df, text)), text)
+    """L4-L6 in one projection: matches, resolved error and references, all of
+    the text as it comes in, also where it is the column ``error_message``."""
+    return resolve_error(match_signatures(referenced_objects(df, text), text))
 
 
 # --- L4 / L5 / L6 over line tables -------------------------------------------------------

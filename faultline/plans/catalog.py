@@ -236,6 +236,7 @@ def q_referenced_objects(spark: SparkSession, sf: str) -> DataFrame:
 # --- incidents, investigation, memory ------------------------------------------------------
 
 from faultline.operators import incidents, memory  # noqa: E402
+from faultline.operators.investigate import class_plan  # noqa: E402
 
 TASK_IDS = ["run_dbt_silver_sales", "run_dbt_silver_customers", "run_dbt_fct_sales", "run_dbt_tests",
             "ingest_raw_sales", "run_dbt_gold_orders"]
@@ -300,13 +301,6 @@ def pipeline_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
             "silver.silver_customers": sc, "gold.fct_sales": gold}
 
 
-def class_plan(targets: DataFrame) -> DataFrame:
-    """C8 then J8: incidents whose strategy is ``class`` get their class's checks; those without a target get none."""
-    t = targets.withColumn("check_priorities", F.array().cast("array<string>")) \
-        .withColumn("layer_tables", F.array().cast("array<string>"))
-    return checks.expand_checks(checks.plan_checks(t).where("strategy = 'class'"))
-
-
 def q_run_checks(spark: SparkSession, sf: str) -> DataFrame:
     ev = checks.run_plan(class_plan(investigation_targets(spark, sf)), pipeline_tables(spark, sf))
     return ev.select("incident_id", "schema", "table", "template", "column_name", "value", "row_count", "error")
@@ -432,14 +426,14 @@ def part_nodes_input(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame
                        F.when(F.col("p_partkey") % 7 != 0, F.lit("raw")).alias("schema")) \
         .unionByName(n.select(F.concat(F.lit("source.tpch.nation_"), F.col("n_nationkey").cast("string")).alias("unique_id"), F.lit("nation").alias("source_name"),
                               F.concat(F.lit("nation_"), F.col("n_nationkey").cast("string")).alias("table_name"), F.lit("bronze").alias("schema")))
-    return orders.unionByName(customers), sources
+    return written(orders.unionByName(customers), "nodes"), sources
 
 
-def part_tables_input(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    """A few of the upstream tables of the artifacts above: the lines of parts 1 and 2, the customers of nation 3."""
+def part_families_input(spark: SparkSession, sf: str) -> list:
+    """The upstream tables of the artifacts above: the lines of each part, the customers of each nation."""
     li, c = read(spark, sf, "lineitem"), read(spark, sf, "customer")
-    out = {f"raw.part_{k}": li.where(F.col("l_partkey") == k) for k in (1, 2)}
-    return out | {"bronze.nation_3": c.where("c_nationkey = 3")}
+    return [checks.Family("raw", "part_", li, "l_partkey", read(spark, sf, "part").select(F.col("p_partkey").alias("key"))),
+            checks.Family("bronze", "nation_", c, "c_nationkey", read(spark, sf, "nation").select(F.col("n_nationkey").alias("key")))]
 
 
 def q_upstream_checks(spark: SparkSession, sf: str) -> DataFrame:
@@ -448,7 +442,7 @@ def q_upstream_checks(spark: SparkSession, sf: str) -> DataFrame:
     lin = lineage.lineage(nodes, sources)
     bad = nodes.where("description in ('1-URGENT', 'BUILDING')").select(
         F.col("unique_id").alias("incident_id"), F.col("name").alias("model"), F.when(F.col("schema") == "gold", F.lit("l_quantity")).alias("column"))
-    ev = checks.upstream_checks(bad, lin, part_tables_input(spark, sf))
+    ev = checks.upstream_checks(bad, lin, {}, part_families_input(spark, sf))
     return ev.select("incident_id", "context", "template", "column_name", "value", "error")
 
 

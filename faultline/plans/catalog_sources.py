@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.operators import checks, memory, reports, schema_history
+from faultline.operators import checks, investigate, memory, reports, schema_history
 from faultline.plans import catalog
 from faultline.plans.tables import read
 from faultline.session import fresh_path
-from faultline.sources import files, lines
+from faultline.sources import buckets, files, lines
 from faultline.streaming import triggers
 
 # --- tables and files (S1-S7, X7) ----------------------------------------------------------
@@ -228,8 +228,45 @@ def q_point_lookup(spark: SparkSession, sf: str) -> DataFrame:
     """The incident of the newest event's user, from the stored incidents."""
     user = read(spark, sf, "events").agg(F.max_by("user_id", F.struct("ts", "event_id"))).first()[0]
     path = fresh_path(spark, "store")
-    catalog.upserted_store(spark, sf).write.parquet(path)
-    return memory.get_incident(spark.read.parquet(path), f"INC-{user}-view").select("incident_id", "created_at", "failure_class", "issue_summary", "confidence")
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    buckets.save_bucketed(catalog.upserted_store(spark, sf), name, path, 16)
+    return buckets.look_up(spark, name, f"INC-{user}-view").select("incident_id", "created_at", "failure_class", "issue_summary", "confidence")
+
+
+def q_bucketed_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """M1 on a stored table: the first half of the month's events is the bucketed store, the second the batch."""
+    path = fresh_path(spark, "store")
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    first, second = (catalog.incident_batch_input(spark, sf, half) for half in (True, False))
+    stored = buckets.save_bucketed(memory.upsert(spark.createDataFrame([], memory.INCIDENT_SCHEMA), first, ["ts", "event_id"]), name, path, 16)
+    return buckets.upsert_bucketed(stored, second, ["ts", "event_id"]).drop("embedding")
+
+
+# --- investigations ---------------------------------------------------------------------------
+
+#: Class of a stand-in stored incident by its vector's label.
+LABEL_CLASSES = ["data_quality", "schema_drift", "code_failure", "access"]
+
+
+def q_investigations(spark: SparkSession, sf: str) -> DataFrame:
+    """From trigger to stored report: error events as triggers, embeddings as the incidents stored before; the rows that come new into the store."""
+    ev = read(spark, sf, "events").where("event_type = 'error'")
+    e = read(spark, sf, "embeddings")
+    k = F.get_json_object("props", "$.k").cast("int")
+    body = [F.format_string(m, F.col("user_id")) if "%d" in m else F.lit(m) for m in catalog.ERROR_MESSAGES]
+    none = F.lit(None).cast("string")
+    rows = ev.select(none.alias("pipeline_name"), F.lit("sales_pipeline").alias("dag_id"), F.concat(F.lit("run_dbt_"), F.when(k % 2 == 0, "fct_sales").otherwise("other")).alias("task_id"),
+                     F.concat(F.lit("run_"), F.col("event_id").cast("string")).alias("run_id"), none.alias("severity"), F.element_at(F.array(*body), k % 9 + 1).alias("error_message"), none.alias("question"),
+                     F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), F.concat(F.lit("INC-"), F.col("event_id").cast("string")).alias("incident_id"), F.lit(0.9).alias("confidence"),
+                     (F.col("event_id") % F.lit(max(1, e.count()))).alias("_vec"))
+    rows = rows.join(e.select(F.col("vec_id").alias("_vec"), "embedding"), "_vec", "left").drop("_vec")
+    names = F.array(*[F.lit(c) for c in LABEL_CLASSES])
+    store = memory.normalize_incidents(e.select(F.concat(F.lit("OLD-"), F.col("vec_id").cast("string")).alias("incident_id"), F.get(names, (F.col("label") % 4).cast("int")).alias("failure_class"), "embedding"))
+    found = investigate.investigate(rows, catalog.pipeline_tables(spark, sf), store)
+    out = investigate.store_investigations(store, found).where("source = 'agent'")
+    number = lambda name: F.get_json_object("evidence_json", f"$.{name}").cast("bigint").alias(name)
+    return out.select("incident_id", "pipeline_name", "run_id", "dbt_model", "target_table", "target_column", "failure_class", "issue_summary", "confidence",
+                      number("database_evidence_count"), number("similar_incidents_count"))
 
 
 # --- histories and grains (Q1, Q7, X1, A3, A4, X6) --------------------------------------------

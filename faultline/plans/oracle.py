@@ -670,9 +670,9 @@ WITH bad AS (SELECT * FROM ({LINEAGE}) WHERE description IN ('1-URGENT', 'BUILDI
 up AS (SELECT DISTINCT unique_id, schema, coalesce(t.schema, 'bronze') AS s, t."table" AS t FROM (
          SELECT unique_id, schema, unnest(upstream_sources || list_transform(upstream_models, lambda m: struct_pack(schema := 'silver', "table" := m))) AS t FROM bad)),
 known AS (
-  SELECT 'raw' AS s, 'part_' || k AS t, COUNT(l_partkey) AS n, COUNT(l_partkey) - COUNT(l_quantity) AS nulls, true AS has_column
-  FROM (SELECT unnest([1, 2]) AS k) LEFT JOIN lineitem ON l_partkey = k GROUP BY k
-  UNION ALL SELECT 'bronze', 'nation_3', COUNT(*), NULL, false FROM customer WHERE c_nationkey = 3),
+  SELECT 'raw' AS s, 'part_' || p_partkey AS t, COUNT(l_partkey) AS n, COUNT(l_partkey) - COUNT(l_quantity) AS nulls
+  FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY p_partkey
+  UNION ALL SELECT 'bronze', 'nation_' || n_nationkey, COUNT(c_custkey), NULL FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey),
 asked AS (SELECT *, 'row_count' AS template, NULL AS column_name FROM up
           UNION ALL SELECT *, 'null_check', 'l_quantity' FROM up WHERE schema = 'gold')
 SELECT unique_id AS incident_id, 'upstream:' || a.s || '.' || a.t AS context, template, column_name,

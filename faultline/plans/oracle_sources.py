@@ -120,6 +120,29 @@ ORACLE["point_lookup"] = f"""
 SELECT incident_id, created_at, failure_class, issue_summary, confidence FROM ({oracle.UPSERTED})
 WHERE incident_id = 'INC-' || (SELECT arg_max(user_id, struct_pack(ts, event_id)) FROM events) || '-view'
 """
+ORACLE["bucketed_upsert"] = oracle.ORACLE["upsert_incidents"]
+
+_FOUND = ["not_null_violation", "type_cast_failure", "relation_not_found", "relation_not_found", "permission_denied", "unique_violation", "dbt_compile_error", "dbt_database_error", "type_cast_failure"]
+_MATCHES = [oracle._ERR[0], oracle._ERR[1], oracle._ERR[2], "'relation \"silver_sales\" does not exist'", "'permission denied for table sales'", "'duplicate key value violates unique constraint'",
+            "'Compilation Error in model silver_customers'", "'Database Error in model fct_sales'", oracle._ERR[8]]
+
+
+def _by_message(values: list[str]) -> str:
+    return "CASE m " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END"
+
+
+# of the nine messages the first and the sixth name a registered table; with its column the class's five checks run, without it two
+ORACLE["investigations"] = f"""
+WITH t AS (SELECT *, {oracle._K} % 9 AS m, CASE WHEN {oracle._K} % 2 = 0 THEN 'fct_sales' ELSE 'other' END AS model FROM events WHERE event_type = 'error'),
+s AS (SELECT *, {_by_message([f"'{x}'" for x in _FOUND])} AS error_type, {_by_message(_MATCHES)} AS message, CASE m WHEN 0 THEN 5 WHEN 5 THEN 2 ELSE 0 END AS n FROM t),
+c AS (SELECT *, {oracle._CLASS} AS failure_class FROM s),
+old AS (SELECT ['data_quality', 'schema_drift', 'code_failure', 'access'][label % 4 + 1] AS failure_class, COUNT(*) AS stored FROM embeddings GROUP BY 1)
+SELECT 'INC-' || event_id AS incident_id, 'sales_pipeline' AS pipeline_name, 'run_' || event_id AS run_id, model AS dbt_model,
+       CASE WHEN m IN (0, 5) THEN 'fct_sales' WHEN m = 2 THEN 'silver_sales_' || user_id ELSE '' END AS target_table, CASE m WHEN 0 THEN 'customer_id' WHEN 3 THEN 'order_dt' ELSE '' END AS target_column,
+       failure_class, model || ' model failed with ' || error_type || ' — ' || substr(message, 1, 200) AS issue_summary, CASE WHEN n > 0 THEN 0.9::double ELSE 0.5::double END AS confidence,
+       CAST(n AS BIGINT) AS database_evidence_count, CAST(least(3, coalesce(stored, 0)) AS BIGINT) AS similar_incidents_count
+FROM c LEFT JOIN old USING (failure_class)
+"""
 
 _HISTORY = """
 SELECT 'supplier_' || l_suppkey AS dataset, CAST(date_trunc('month', CAST(l_shipdate AS DATE)) AS DATE) AS captured_at, l_returnflag AS column_name,

@@ -157,3 +157,65 @@ def test_history_intervals(spark):
     assert c == {("a", 3, "retyped"), ("b", 2, "removed"), ("b", 3, "added")}
     one, two = (h.where(F.month("captured_at") == m) for m in (1, 3))
     assert {(r.column_name, r.change) for r in schema_history.diff_snapshots(one, two).collect()} == {("a", "retyped")}
+
+
+def test_families_give_a_relation_for_each_key(spark):
+    rows = spark.createDataFrame([(1, 5, None), (1, 6, "x"), (2, None, None)], "k int, v int, w string")
+    family = checks.Family("raw", "part_", rows, "k", spark.createDataFrame([(1,), (2,), (3,)], "key int"))
+    plan = [("i", "raw", f"part_{k}", t, c) for k in (1, 2, 3, 9) for t, c in (("row_count", None), ("null_check", "w"), ("null_check", "nope"))] + [("j", "raw", "part_1", "row_count", None), ("i", "raw", "other", "row_count", None)]
+    ev = checks.run_plan(spark.createDataFrame(plan, "incident_id string, schema string, table string, template string, column string"), {}, [family])
+    got = {(r.incident_id, r.table, r.template, r.column_name): (r.value, r.error) for r in ev.collect()}
+    assert len(got) == len(plan)
+    assert got["i", "part_1", "row_count", None] == got["j", "part_1", "row_count", None] == ("2", None)
+    assert got["i", "part_1", "null_check", "w"] == ("1", None) and got["i", "part_2", "null_check", "w"] == ("1", None) and got["i", "part_3", "row_count", None] == ("0", None)
+    assert got["i", "part_3", "null_check", "w"] == ("0", None)
+    assert got["i", "part_2", "null_check", "nope"] == (None, 'column "nope" does not exist')
+    assert got["i", "part_9", "row_count", None] == (None, 'relation "raw.part_9" does not exist') and got["i", "other", "row_count", None] == (None, 'relation "raw.other" does not exist')
+
+
+def test_bucketed_store_is_not_shuffled(spark, tmpdir_path):
+    from faultline.operators import memory
+    from faultline.plans import catalog
+    from faultline.sources import buckets
+    sf = "/root/testdata/sf0.001"
+    first, second = (catalog.incident_batch_input(spark, sf, half) for half in (True, False))
+    one = memory.upsert(spark.createDataFrame([], memory.INCIDENT_SCHEMA), first, ["ts", "event_id"])
+    stored = buckets.save_bucketed(one, "bucketed_incidents", os.path.join(tmpdir_path, "t"), 8)
+    some = one.first().incident_id
+    assert buckets.look_up(spark, "bucketed_incidents", some).count() == 1
+    # files of other buckets are left out in any case; the plan says so where the scan itself is bucketed
+    spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")
+    try:
+        assert "SelectedBucketsCount: 1 out of 8" in buckets.look_up(spark, "bucketed_incidents", some)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
+    after = buckets.upsert_bucketed(stored, second, ["ts", "event_id"])
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(after) == rows(memory.upsert(one, second, ["ts", "event_id"]))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = buckets.upsert_bucketed(stored, second, ["ts", "event_id"])._jdf.queryExecution().executedPlan().toString()
+        before = plan[:plan.index("Bucketed: true")]
+        assert "SortMergeJoin" in before and "Exchange" not in before[before.index("SortMergeJoin"):]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_investigations_of_odd_triggers(spark):
+    from faultline.operators import investigate, memory
+    schema = "pipeline_name string, dag_id string, task_id string, run_id string, severity string, error_message string, question string, timestamp string, incident_id string"
+    message = 'column "b" of relation "r" does not exist in table s.t'
+    rows = [(None, "d", "run_dbt_m", "r1", None, message, None, None, "I1"), (None, None, None, None, None, None, "why?", None, "I2"), (None, "d", "t", "r3", "critical", "", None, "2024-01-01 00:00:00", "I3")]
+    t = spark.createDataFrame(rows, schema)
+    tables = {"s.t": spark.createDataFrame([(1, None), (2, 3)], "a int, b int")}
+    found = investigate.investigate(t, tables)
+    r = {x.incident_id: x for x in reports.to_incident(found).collect()}
+    assert (r["I1"].target_table, r["I1"].target_column, r["I1"].failure_class, r["I1"].dbt_model) == ("t", "b", "code_failure", "m")
+    assert json.loads(r["I1"].evidence_json)["database_evidence_count"] == 2  # null_check and row_count
+    assert r["I2"].issue_summary == "Investigation triggered by question: why?" and r["I3"].issue_summary and r["I3"].severity == "critical"
+    store = spark.createDataFrame([], memory.INCIDENT_SCHEMA)
+    twice = investigate.store_investigations(investigate.store_investigations(store, found), found)
+    assert twice.count() == 3
+    assert investigate.investigate(t.limit(0), tables).count() == 0
