@@ -238,7 +238,7 @@ def _expectation(sent):
     return trimmed(step)
 
 
-def fitted(docs: DataFrame, pieces: list[bytes], logs: np.ndarray, parts: int, rounds: int = 1) -> np.ndarray:
+def fitted(docs: DataFrame, pieces: list[bytes], logs: np.ndarray, parts: int, rounds: int = 2) -> np.ndarray:
     """Log weights, a row for each part, after ``rounds`` expectation steps over ``docs`` (text, part).
 
     A part's prior are the weights of all parts together, theirs the vocabulary's.
@@ -318,9 +318,9 @@ def _totals(parts: int):
     return total
 
 
-SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, lattice_score double"
 SCORED_ARROW = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()),
-                          ("base_score", pa.float64()), ("score", pa.float64())])
+                          ("base_score", pa.float64()), ("score", pa.float64()), ("lattice_score", pa.float64())])
 
 
 def _scored(words: np.ndarray, once: np.ndarray, ends: np.ndarray, distinct: int):
@@ -341,21 +341,26 @@ def _scored(words: np.ndarray, once: np.ndarray, ends: np.ndarray, distinct: int
         c = total.sum(0)[place]
         base = np.bincount(text, uses * np.log10(c + 0.1), len(n)) + np.log10(all_ends + 0.1)
         known = np.bincount(text, uses * (c > 0), len(n)).astype(np.int64) + (all_ends > 0)
-        whole = np.full(len(n), -np.inf)
+        whole, pure = np.full(len(n), -np.inf), np.full(len(n), -np.inf)
         for k in range(parts):
             if ends[k] or not all_ends:
                 with np.errstate(divide="ignore"):
                     own = np.logaddexp(np.log(total[k] / max(1, words[k])) + np.log1p(-escape[k]), logs[k] + np.log(escape[k])) + np.log1p(-end[k])
                 share = np.log((ends[k] + 1) / (all_ends + parts))
                 whole = np.logaddexp(whole, np.bincount(text, uses * own[place], len(n)) + np.log(end[k]) + share)
+                pure = np.logaddexp(pure, np.bincount(text, uses * (logs[k] + np.log1p(-end[k]))[place], len(n)) + np.log(end[k]) + share)
         ids = unpack(head["ids"], np.int64)
         return pa.table([pa.array(ids, mask=ids == NO_ID), pa.array(unpack(head["held"], np.uint8) > 0), pa.array(n + 1), pa.array(known),
-                         pa.array(np.full(len(n), n_train)), pa.array(base - (n + 1) * np.log10(n_train + 0.1 * (v + 1))), pa.array(whole / np.log(10))], schema=SCORED_ARROW)
+                         pa.array(np.full(len(n), n_train)), pa.array(base - (n + 1) * np.log10(n_train + 0.1 * (v + 1))), pa.array(whole / np.log(10)),
+                         pa.array(pure / np.log(10))], schema=SCORED_ARROW)
     return merge
 
 
-def scored(docs: DataFrame, path: str, folds: int = 10, rounds: int = 1, column: str = "lang", parts: int = 8) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs``."""
+def scored(docs: DataFrame, path: str, folds: int = 10, rounds: int = 2, column: str = "lang", parts: int = 8) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score of every row of ``docs``.
+
+    ``lattice_score`` is the log10 probability by the pieces alone, without the arcs of whole words.
+    """
     buckets = buckets_for(docs, "text", BUCKET_BYTES)
     value = F.col(column).cast("string") if column in docs.columns else F.lit(None).cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out(F.col("doc_id"), folds).alias("held"), value.alias("value"))
