@@ -131,3 +131,39 @@ def test_filter_follows_the_list(spark):
     assert passed < 500  # under one in a hundred
     some = others.union(listed.limit(3).selectExpr("-1L as page_id", "url"))
     assert url_filter.judge(some, listed, []).where("listed").count() == 3
+
+
+def test_language_model_score_equals_a_plain_computation(spark):
+    import math
+    import random
+    import zlib
+    from collections import Counter
+
+    import public_tokenizers
+    from helpers import lower_az, words_of
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    draw = random.Random(6)
+    rows = [(i, " ".join(draw.choice(["the", "ab", "Ab", "x9", "é"]) for _ in range(draw.randrange(0, 6)))) for i in range(40)] + [(50, "unseen the"), (51, None)]
+    docs = docs_frame(spark, rows)  # one value of lang: its part and an empty one for the rest
+    train = [words_of(lower_az(t)) for i, t in rows if zlib.crc32(str(i).encode()) % 10]
+    pieces, prior = lattice_lm.vocabulary(path)
+    texts = docs.where("pmod(crc32(cast(cast(doc_id as string) as binary)), 10) <> 0").selectExpr("text", "0 as part")
+    logs = lattice_lm.fitted(texts, pieces, prior, 2)
+    weight = [dict(zip(pieces, np.exp(part))) for part in logs]
+
+    def lattice(word, part):  # all segmentations of the word with its space mark
+        raw = lattice_lm.SPACE + word.encode()
+        ways = [1.0] + [0.0] * len(raw)
+        for end in range(1, len(raw) + 1):
+            ways[end] = sum(ways[i] * weight[part].get(raw[i:end], 0.0) for i in range(end) if not (0 < i < 3 and end > i + 1))
+        return ways[-1]
+
+    c = Counter(w for t in train for w in t)
+    n, once = sum(c.values()), sum(v == 1 for v in c.values())
+    escape, end, share = min(max((once + 1) / (n + 2), 1e-4), 1.0), (len(train) + 1) / (n + len(train) + 2), (len(train) + 1) / (len(train) + 2)
+    for r in lattice_lm.scored(docs, path).collect():
+        own = words_of(lower_az(dict(rows)[r.doc_id]))
+        score = math.log10(share * end) + sum(math.log10(((1 - escape) * c[w] / n + escape * lattice(w, 0)) * (1 - end)) for w in own)
+        pure = math.log10(share * end) + sum(math.log10(lattice(w, 0) * (1 - end)) for w in own)
+        assert abs(r.score - score) < 1e-4 and abs(r.lattice_score - pure) < 1e-4
