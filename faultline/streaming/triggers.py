@@ -24,11 +24,15 @@ CHANGES = T.StructType([*memory.INCIDENT_SCHEMA.fields, T.StructField("batch", T
 
 
 def trigger_stream(spark: SparkSession, path: str, max_files: int = 100) -> DataFrame:
-    return spark.readStream.schema(TRIGGER).option("maxFilesPerTrigger", max_files).json(path)
+    """The triggers of new files, with the time at which their file came (``_arrived``)."""
+    rows = spark.readStream.schema(TRIGGER).option("maxFilesPerTrigger", max_files).json(path)
+    return rows.select("*", F.col("_metadata.file_modification_time").alias("_arrived"))
 
 
 def triggers_to_incidents(triggers: DataFrame) -> DataFrame:
     """Intake + regex signals on the error message + rule classification."""
+    if "_arrived" not in triggers.columns:
+        triggers = triggers.withColumn("_arrived", F.lit(None).cast("timestamp"))
     t = incidents.intake(triggers).withColumn("_message", F.coalesce("error_message", F.lit("")))  # the signals' message is the matched part
     s = logs.extract_signals(t, "error_message")
     c = incidents.classify(s)
@@ -43,8 +47,8 @@ def triggers_to_incidents(triggers: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("fix_summary"), F.lit(None).cast("string").alias("prevention_summary"),
         F.to_json(F.struct("error_type", "sql_state_code")).alias("evidence_json"),
         F.lit(False).alias("validated"), F.lit(None).cast("array<float>").alias("embedding"),
-        # triggers of an id apply by their time, then by a hash of the payload
-        F.struct(F.try_to_timestamp("timestamp").alias("at"), F.xxhash64("run_id", "task_id", "_message", "question").alias("hash")).alias("_order"))
+        # triggers of an id apply by their time, then as their files came, then by a hash of the payload
+        F.struct(F.try_to_timestamp("timestamp").alias("at"), F.col("_arrived"), F.xxhash64("run_id", "task_id", "_message", "question").alias("hash")).alias("_order"))
 
 
 def upserted(rows: DataFrame) -> DataFrame:
