@@ -4,16 +4,19 @@ A document's set holds its distinct five-word shingles; two documents link
 when ``100 * |A & B| >= 80 * |A | B|``. Documents are banded by set size
 (bands of ratio 1.25, so that linked sets lie in one band or in neighbouring
 ones), and every set is signed in its own band and in the one above. For a
-band whose pairs differ in at most k elements the feature domain is cut into
-p = k + 1 + slack parts by hash; each part's content gives one signature, so
-two linked sets agree on at least slack + 1 of their signatures.
-
-Signatures of weak parts (empty, or of very frequent shingles only) would join
-unrelated texts, so a set with at most ``slack`` weak parts leaves them out: it
-still agrees with any linked set on a part that isn't weak. Sets with more are
+band whose pairs differ in at most k elements the feature domain is cut twice
+by hash: into k // 2 + 1 + slack partitions, and each of these into three parts.
+The subsets of two parts of a partition are enumerated, and the content of each
+gives one signature. A partition without a common subset holds two differences
+or more, so two linked sets share a signature in at least slack + 1 partitions.
+
+Signatures of weak subsets (both parts empty, or of very frequent shingles only)
+would join unrelated texts. A partition is weak if one of its subsets is; a set
+with at most ``slack`` weak partitions leaves weak subsets out: it still shares a
+signature with any linked set in a partition that isn't weak. Sets with more are
 signed again under other cuts of the domain, and under the last one with their
-weak parts too: two linked sets that agree on weak parts only both have more
-than ``slack`` of them, so no link is lost.
+weak subsets too: two linked sets that share weak signatures only both have more
+than ``slack`` weak partitions, so no link is lost.
 
 Sets that share a signature are first compared with the least of them (a star,
 not all pairs; the least is found per task before the shuffle). Only groups
@@ -44,7 +47,9 @@ from faultline.llm.storage import buckets_for, trimmed, written
 
 SHINGLE = 5
 NUM, DEN = 80, 100
-CUTS = 4
+CUTS = 6
+#: Parts of a partition; the subsets without one of them are enumerated.
+PARTS = 3
 #: A shingle is frequent if more than 1 / RARE of all shingles are copies of it: at most RARE shingles.
 RARE = 200_000
 SKETCH_BITS = 1024
@@ -68,11 +73,11 @@ def band_tops() -> list[int]:
 TOPS = np.array(band_tops(), np.int64)
 
 
-def band_parts(band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(parts, slack) of a band's scheme: pairs lie in the band or one of them in the band below."""
+def band_partitions(band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(partitions, slack) of a band's scheme: pairs lie in the band or one of them in the band below."""
     k = 2 * (DEN - NUM) * TOPS[band] // (DEN + NUM)  # |A ^ B| <= (1-g)/(1+g) * (|A| + |B|)
-    slack = 2 + k // 16
-    return k + 1 + slack, slack
+    slack = np.where(k < 8, 0, 1 + k // 18)
+    return k // 2 + 1 + slack, slack
 
 
 def set_keys(flat: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -128,33 +133,38 @@ def signatures(flat: np.ndarray, first: np.ndarray, frequent: np.ndarray) -> tup
     own_band = np.searchsorted(TOPS, n)
     for up in (0, 1):
         band = own_band + up
-        parts, slack = band_parts(band)
+        partitions, slack = band_partitions(band)
         todo = np.flatnonzero(n >= 4)  # smaller sets link only with equal ones
         for cut in range(CUTS):
             if not len(todo):
                 break
             base = np.zeros(len(n) + 1, np.int64)
             here = np.zeros(len(n), np.int64)
-            here[todo] = parts[todo]
+            here[todo] = partitions[todo]
             np.cumsum(here, out=base[1:])
             mask = here[text] > 0
             h, t = flat[mask], text[mask]
             mixed = tokens.mix64(h + np.uint64(0x9E3779B97F4A7C15 * (cut + 1) % (1 << 64)))
-            slot = base[t] + ((mixed >> np.uint64(33)).astype(np.int64) % here[t])
-            size = int(base[-1])
+            slot = PARTS * base[t] + ((mixed >> np.uint64(33)).astype(np.int64) % (PARTS * here[t]))
+            total = int(base[-1])
             value = tokens.mix64(mixed ^ h)
-            low = np.bincount(slot, (value & np.uint64(0xFFFFFFFF)).astype(np.float64), size)
-            high = np.bincount(slot, (value >> np.uint64(32)).astype(np.float64), size)
-            strong = np.bincount(slot, rare[mask], size) > 0
+            low = np.bincount(slot, (value & np.uint64(0xFFFFFFFF)).astype(np.float64), PARTS * total)
+            high = np.bincount(slot, (value >> np.uint64(32)).astype(np.float64), PARTS * total)
             content = tokens.mix64(low.astype(np.uint64) + tokens.mix64(high.astype(np.uint64)))
+            del low, high, value, mixed
             owner = np.repeat(np.arange(len(n)), here)
-            place = np.arange(size) - base[owner]
-            sig = tokens.mix64(content ^ tokens.mix64(((band[owner] * CUTS + cut) << 40) .astype(np.uint64) + place.astype(np.uint64)))
-            weak = np.bincount(owner, ~strong, len(n))
+            place = tokens.mix64(((band[owner] * CUTS + cut) << 40).astype(np.uint64) + (np.arange(total) - base[owner]).astype(np.uint64))
+            # each part's content under its place, so that a sum tells which parts it is of
+            content = tokens.mix64(content.reshape(total, PARTS) + np.arange(1, PARTS + 1, dtype=np.uint64)) ^ place[:, None]
+            content = tokens.mix64(content)
+            strong = (np.bincount(slot, rare[mask], PARTS * total) > 0).reshape(total, PARTS)
+            sig = tokens.mix64(content.sum(axis=1, dtype=np.uint64)[:, None] - content)  # without one part
+            of_subset = strong.sum(axis=1)[:, None] > strong  # whether one of the others is strong
+            weak = np.bincount(owner, ~of_subset.all(axis=1), len(n))
             again = here.astype(bool) & (weak > slack)
-            keep = strong | (again[owner] if cut == CUTS - 1 else False)
+            keep = of_subset | (again[owner] if cut == CUTS - 1 else np.zeros(total, bool))[:, None]
             sigs.append(sig[keep])
-            owners.append(owner[keep])
+            owners.append(np.broadcast_to(owner[:, None], keep.shape)[keep])
             todo = np.flatnonzero(again)
     return (np.concatenate(sigs), np.concatenate(owners)) if sigs else (np.empty(0, np.uint64), np.empty(0, np.int64))
 
@@ -186,10 +196,8 @@ def _signer(frequent, buckets: int):
         bucket = ((sig >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
         edges = np.searchsorted(bucket, np.arange(buckets + 1))
         rows = [[], [], [], [], []]
-        for b in range(buckets):
+        for b in np.flatnonzero(np.diff(edges)).tolist():
             i, j = edges[b], edges[b + 1]
-            if i == j:
-                continue
             lead = ahead[i:j]
             s = sig[i:j][lead]
             local, place = np.unique(places[i:j][lead], return_inverse=True)
