@@ -178,6 +178,44 @@ def _sizes(df: DataFrame, name: str) -> DataFrame:
     return df.groupBy("_part").agg(F.count(F.lit(1)).alias(name))
 
 
+def winners_schema(queries: DataFrame, store: DataFrame) -> T.StructType:
+    return T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType),
+                         T.StructField("incident_id", store.schema["incident_id"].dataType), T.StructField("similarity", T.DoubleType())])
+
+
+def block_scorer(k: int, exclude_self: bool):
+    """A function over a block of queries and one of stored vectors: each query's k best there, ties to the smallest id."""
+    def score(qdf: pd.DataFrame, sdf: pd.DataFrame) -> pd.DataFrame:
+        if qdf.empty or sdf.empty:
+            return pd.DataFrame({"query_id": [], "incident_id": [], "similarity": np.empty(0)})
+        sdf = sdf.sort_values("_id", kind="stable")  # of equal similarities the smallest id comes first
+        sim = np.round(np.vstack(qdf["unit"].to_numpy()) @ np.vstack(sdf["unit"].to_numpy()).T, 12)
+        qids, sids = qdf["_id"].to_numpy(), sdf["_id"].to_numpy()
+        if exclude_self:
+            sim[qids[:, None] == sids[None, :]] = -np.inf
+        kk = min(k, sim.shape[1])
+        # every column that reaches the k-th value, ties included, then the first k of them in order
+        least = -np.partition(-sim, kk - 1, axis=1)[:, kk - 1]
+        rows, cols = np.nonzero((sim >= least[:, None]) & np.isfinite(sim))
+        vals = sim[rows, cols]
+        order = np.lexsort((cols, -vals, rows))
+        rows, cols, vals = rows[order], cols[order], vals[order]
+        keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < kk
+        return pd.DataFrame({"query_id": qids[rows[keep]], "incident_id": sids[cols[keep]], "similarity": vals[keep]})
+    return score
+
+
+def best_with_details(cand: DataFrame, store: DataFrame, k: int) -> DataFrame:
+    """Each query's k best of the blocks' winners, with what the store says about them."""
+    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.asc("incident_id"))
+    top = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    named = {"issue_summary": "summary", "root_cause": "root_cause", "fix_summary": "fix_applied", "confidence": "confidence"}
+    more = [F.col(c).alias(n) for c, n in named.items() if c in store.columns]
+    about = store.where(F.col("embedding").isNotNull()).select("incident_id", "failure_class", *more)
+    return top.join(about, "incident_id").select("query_id", "rank", "incident_id", "failure_class", F.round("similarity", 4).alias("similarity_score"),
+                                                 *[n for c, n in named.items() if c in store.columns])
+
+
 def search_similar(queries: DataFrame, store: DataFrame, k: int = rules.SIMILAR_TOP_K,
                    by_class: bool = True, exclude_self: bool = True, block_rows: int = 4096) -> DataFrame:
     """M2: exact cosine top-k per query among stored vectors, optionally only
@@ -215,33 +253,7 @@ def search_similar(queries: DataFrame, store: DataFrame, k: int = rules.SIMILAR_
 
     qx = q.join(blocks, "_part").select("_part", block("_bq").alias("_qb"), others("_bs").alias("_sb"), "_id", "unit")
     sx = s.join(blocks, "_part").select("_part", block("_bs").alias("_sb"), others("_bq").alias("_qb"), "_id", "unit")
-    out_schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType),
-                               T.StructField("incident_id", store.schema["incident_id"].dataType), T.StructField("similarity", T.DoubleType())])
-
-    def score(qdf: pd.DataFrame, sdf: pd.DataFrame) -> pd.DataFrame:
-        if qdf.empty or sdf.empty:
-            return pd.DataFrame({"query_id": [], "incident_id": [], "similarity": np.empty(0)})
-        sdf = sdf.sort_values("_id", kind="stable")  # of equal similarities the smallest id comes first
-        sim = np.round(np.vstack(qdf["unit"].to_numpy()) @ np.vstack(sdf["unit"].to_numpy()).T, 12)
-        qids, sids = qdf["_id"].to_numpy(), sdf["_id"].to_numpy()
-        if exclude_self:
-            sim[qids[:, None] == sids[None, :]] = -np.inf
-        kk = min(k, sim.shape[1])
-        # every column that reaches the k-th value, ties included, then the first k of them in order
-        least = -np.partition(-sim, kk - 1, axis=1)[:, kk - 1]
-        rows, cols = np.nonzero((sim >= least[:, None]) & np.isfinite(sim))
-        vals = sim[rows, cols]
-        order = np.lexsort((cols, -vals, rows))
-        rows, cols, vals = rows[order], cols[order], vals[order]
-        keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < kk
-        return pd.DataFrame({"query_id": qids[rows[keep]], "incident_id": sids[cols[keep]], "similarity": vals[keep]})
-
+    score, out_schema = block_scorer(k, exclude_self), winners_schema(queries, store)
     cand = qx.groupBy("_part", "_qb", "_sb").cogroup(sx.groupBy("_part", "_qb", "_sb")) \
         .applyInPandas(score, out_schema)
-    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.asc("incident_id"))
-    top = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    named = {"issue_summary": "summary", "root_cause": "root_cause", "fix_summary": "fix_applied", "confidence": "confidence"}
-    more = [F.col(c).alias(n) for c, n in named.items() if c in store.columns]
-    about = store.where(F.col("embedding").isNotNull()).select("incident_id", "failure_class", *more)
-    return top.join(about, "incident_id").select("query_id", "rank", "incident_id", "failure_class", F.round("similarity", 4).alias("similarity_score"),
-                                                 *[n for c, n in named.items() if c in store.columns])
+    return best_with_details(cand, store, k)

@@ -235,7 +235,7 @@ def q_referenced_objects(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- incidents, investigation, memory ------------------------------------------------------
 
-from faultline.operators import incidents, memory  # noqa: E402
+from faultline.operators import incidents, memory, pivots  # noqa: E402
 from faultline.operators.investigate import class_plan  # noqa: E402
 
 TASK_IDS = ["run_dbt_silver_sales", "run_dbt_silver_customers", "run_dbt_fct_sales", "run_dbt_tests",
@@ -316,6 +316,10 @@ def q_similar_incidents(spark: SparkSession, sf: str) -> DataFrame:
     return memory.search_similar(embeddings_input(spark, sf, "query_id"), embeddings_input(spark, sf, "incident_id"))
 
 
+def q_similar_by_pivots(spark: SparkSession, sf: str) -> DataFrame:
+    return pivots.search_by_pivots(embeddings_input(spark, sf, "query_id"), embeddings_input(spark, sf, "incident_id"))
+
+
 def incident_batch_input(spark: SparkSession, sf: str, first_half: bool) -> DataFrame:
     """events as incident records keyed by user and event type; the first half
     of the month is the stored history, the second half a new batch."""
@@ -847,6 +851,7 @@ REGISTRY = {
     "plan_checks": q_plan_checks,
     "run_checks": q_run_checks,
     "similar_incidents": q_similar_incidents,
+    "similar_by_pivots": q_similar_by_pivots,
     "upsert_incidents": q_upsert_incidents,
     "recent_incidents": q_recent_incidents,
     "layer_checks": q_layer_checks,

@@ -331,6 +331,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, inci
 SELECT query_id, CAST(rank AS INTEGER) AS rank, incident_id, failure_class, round(sim, 4) AS similarity_score
 FROM r WHERE rank <= 3
 """
+ORACLE["similar_by_pivots"] = ORACLE["similar_incidents"]
 
 INCIDENT_ROWS = """
 SELECT 'INC-' || CAST(user_id AS VARCHAR) || '-' || event_type AS incident_id, ts AS created_at,
