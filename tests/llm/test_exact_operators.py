@@ -271,6 +271,18 @@ def test_linked_sets_share_a_signature(frequent_share):
             assert set(sig[owner == 0]) & set(sig[owner == 1]), (n, len(a), len(b))
 
 
+def test_subsets_of_parts_are_signed():
+    """A set that lost one element keeps all signatures but the two of the subsets that held its part."""
+    draw = np.random.default_rng(3)
+    a = np.unique(draw.integers(0, 1 << 63, 60, dtype=np.uint64))
+    while len(jaccard_join.signatures(a, np.array([0, len(a)]), np.empty(0, np.uint64))[0]) % jaccard_join.PARTS:
+        a = np.unique(draw.integers(0, 1 << 63, 60, dtype=np.uint64))  # one without weak subsets, signed under one cut of each band
+    b = a[1:]
+    both = [set(jaccard_join.signatures(x, np.array([0, len(x)]), np.empty(0, np.uint64))[0].tolist()) for x in (a, b)]
+    bands = 2
+    assert len(both[0] - both[1]) == bands * (jaccard_join.PARTS - 1)
+
+
 # --- mixing ----------------------------------------------------------------------
 
 
