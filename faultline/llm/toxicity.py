@@ -4,13 +4,16 @@ Writers hide words by leetspeak (``1d10t``), spacing (``i d i o t``) and
 repetition (``idiooot``). Such spans are read as lattices of the characters
 that may have been meant, and a Viterbi search under a character trigram model
 of the whole corpus restores them; the path costs also decide whether a symbol
-or a doubled letter (``worthle$$``, ``iiddiioott``) is meant as it stands. Words
-of plain letters of which at most one is doubled are left as they are, and so
-are numbers and one symbol repeated. The restored text is scored by its words and word
+or a doubled letter (``worthle$$``, ``iiddiioott``) is meant as it stands. A
+word of plain letters of which one is doubled (``iidiot``) is searched if the
+corpus spells it far less often than without the second letter; its reading is
+then put beside it, as it may be a rare word (``ass`` beside ``as``). Numbers and
+one symbol repeated stay as they are. The restored text is scored by its words and word
 beginnings: each has a log ratio between toxic and other training texts, and a
 logistic model weighs a text's three strongest.
 
-The trigram counts cover all documents. The ratios and the logistic model are
+The counts of trigrams and of words (in 2^22 bins of their hash, so rare words
+that share a bin count together) cover all documents. The ratios and the logistic model are
 fitted on at most ``max_train`` labelled rows (a setting, the rows of least id
 hash). Scoring reads every text once and shuffles nothing; labels, lang,
 source and doc_id are no inputs of a score.
@@ -40,13 +43,20 @@ LEET = {"@": "a", "4": "a", "8": "b", "(": "c", "3": "e", "6": "g", "9": "g", "1
 COST_LEET, COST_REPEAT, COST_SPACED = 0.7, 0.3, 0.2
 #: Costs of a letter doubled by mistake, of a symbol that is meant as one, and of a separator that is.
 COST_DOUBLED, COST_SYMBOL, COST_APART = 2.0, 1.5, 0.5
+#: What a letter doubled by mistake must cost for a word of the corpus to be taken for another one.
+COST_SLIP = 4.0
 CLASSES = 64
 #: Byte classes of the character model: 0 for what is no letter, a-z, and the bytes beyond ASCII by their low bits.
 CLASS_OF = np.zeros(256, np.int64)
 CLASS_OF[97:123] = np.arange(1, 27)
 CLASS_OF[65:91] = np.arange(1, 27)
 CLASS_OF[128:] = 27 + (np.arange(128, 256) & 31)
+IS_LETTER = CLASS_OF > 0
+IS_LEET = np.zeros(256, bool)
+IS_LEET[[ord(c) for c in LEET]] = True
 BUCKETS = 1 << 22
+#: Steps in which the log of a count is kept: a byte holds counts up to e^36.
+SPELLED_STEPS = 7
 BEGINNINGS = (4, 5, 6)
 TOP = 3
 
@@ -55,7 +65,9 @@ LEET_SET = re.escape("".join(LEET))
 WORDLIKE = rf"[A-Za-z\x80-\U0010FFFF{LEET_SET}]"
 #: Only words with something other than ASCII letters or with a doubled letter.
 MIXED = re.compile(rf"(?<![^\s.,;:'\"?*_#&%-])(?=[A-Za-z]*?(?:[\x80-\U0010FFFF{LEET_SET}]|([A-Za-z])(?i:\1))){WORDLIKE}{{3,}}(?![^\s.,;:'\"?*_#&%-])")
-DOUBLED = re.compile(r"([^\W\d_])\1(?:\1|.*([^\W\d_])\2)", re.IGNORECASE)
+DOUBLED = re.compile(r"([^\W\d_])\1", re.IGNORECASE)
+#: A letter three times or two letters doubled: no plain spelling.
+OFTEN = re.compile(r"([^\W\d_])\1(?:\1|.*([^\W\d_])\2)", re.IGNORECASE)
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Digits with signs, a currency or marks of exclamation beside them.
 NUMERIC = re.compile(r"[(+$|]*[0-9]+\$?[!+|]*")
@@ -65,8 +77,9 @@ RUNS = re.compile(r"(.)\1*", re.DOTALL)
 SPACED = re.compile(rf"(?<![\w@$]){WORDLIKE}(?:[ ._*-]{WORDLIKE}){{2,}}(?![\w@$])")
 
 
-def trigram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(CLASSES ** 3, np.int64)
+def trigram_and_word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of trigrams, and after these of the bins of lower-cased words."""
+    total, spelled = np.zeros(CLASSES ** 3, np.int64), np.zeros(BUCKETS, np.int32)
     for batch in batches:
         for part in tokens.slices(batch, "text", 1 << 20):
             data, offsets = tokens.text_bytes(part.column("text"))
@@ -77,16 +90,32 @@ def trigram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             c = np.zeros(len(data) + 2 * len(offsets) + 2, np.int64)
             c[at] = CLASS_OF[data]
             total += np.bincount((c[:-2] * CLASSES + c[1:-1]) * CLASSES + c[2:], minlength=CLASSES ** 3)
-    held = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], names=["gram", "n"])
+            words = tokens.split_words(part.column("text"), True, ~(IS_LETTER | IS_LEET))
+            bins, n = np.unique(bins_of(words), return_counts=True)
+            spelled[bins] += n.astype(np.int32)
+    for counts, first in ((total, 0), (spelled, CLASSES ** 3)):
+        held = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(held + first), pa.array(counts[held].astype(np.int64))], names=["gram", "n"])
 
 
-def character_model(docs: DataFrame) -> np.ndarray:
-    """Log probabilities of a class after two others, from all documents; interpolated with shorter contexts."""
-    rows = docs.select("text").mapInArrow(trimmed(trigram_counts), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()  # at most CLASSES ** 3 rows
-    n = np.zeros(CLASSES ** 3)
+def bins_of(words: tokens.Words) -> np.ndarray:
+    return (tokens.hash_words(words, 0) & np.uint64(BUCKETS - 1)).astype(np.int64)
+
+
+def corpus_models(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """From one scan of all documents: log probabilities of a class after two others, interpolated with shorter contexts, and of each bin of words ``SPELLED_STEPS`` times the log of its count, rounded."""
+    rows = docs.select("text").mapInArrow(trimmed(trigram_and_word_counts), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()  # at most CLASSES ** 3 + BUCKETS rows
+    n = np.zeros(CLASSES ** 3 + BUCKETS)
     n[rows["gram"].to_numpy()] = rows["n"].to_numpy()
-    n = n.reshape(CLASSES, CLASSES, CLASSES)
+    spelled = np.rint(SPELLED_STEPS * np.log1p(n[CLASSES ** 3:])).astype(np.uint8)
+    return _log_trigrams(n[:CLASSES ** 3].reshape(CLASSES, CLASSES, CLASSES)), spelled
+
+
+def character_model(docs: DataFrame) -> np.ndarray:
+    return corpus_models(docs)[0]
+
+
+def _log_trigrams(n: np.ndarray) -> np.ndarray:
     n[0, 0, 0] = 0  # runs of non-letters say nothing about words
     one = (n.sum((0, 1)) + 1) / (n.sum() + CLASSES)
     two = (n.sum(0) + 5 * one) / (n.sum((0, 2))[:, None] + 5)
@@ -96,8 +125,9 @@ def character_model(docs: DataFrame) -> np.ndarray:
 class Decoder:
     """Viterbi search over the character lattices of one span, with a bounded memory of spans."""
 
-    def __init__(self, model: np.ndarray, most: int = 200_000):
-        self.model, self.most, self.known = model, most, {}
+    def __init__(self, model: np.ndarray, spelled: np.ndarray | None = None, most: int = 200_000):
+        """``spelled`` are the counts of words as ``corpus_models`` gives them; without them a word with one doubled letter stands."""
+        self.model, self.spelled, self.most, self.known = model, spelled, most, {}
 
     def _kept(self, key, value):
         if key not in self.known:
@@ -113,7 +143,25 @@ class Decoder:
         """A word as the search reads it. Marks at an end are read with the rest or stand beside it as a symbol, whichever costs less."""
         return self._kept((span,), lambda: self._word(span))
 
+    def _log_count(self, word: str) -> float:
+        data = np.frombuffer(word.encode(), np.uint8)
+        return int(self.spelled[bins_of(tokens.Words(data, np.zeros(1, np.int64), np.array([len(data)]), np.array([0, 1])))[0]]) / SPELLED_STEPS
+
+    def _may_be_slip(self, word: str) -> bool:
+        """Whether the corpus spells a word with one doubled letter far less often than without its second."""
+        low = word.lower()
+        return self.spelled is not None and self._log_count(low) + COST_SLIP < self._log_count(DOUBLED.sub(r"\1", low))
+
+    def _plain(self, word: str, parts: list[str]) -> str:
+        """The reading of a word of letters; beside the word where only one letter is doubled."""
+        meant = "".join(parts)
+        if OFTEN.search(word):
+            return meant
+        return f"{word} {meant}" if meant != word.lower() and self._may_be_slip(word) else word
+
     def _word(self, span: str) -> str:
+        if span.isalpha() and not OFTEN.search(span) and not self._may_be_slip(span):
+            return span
         lead, trail = LEAD.match(span), TRAIL.search(span)
         begins = [0, lead.end()] if lead else [0]
         ends = [len(span), trail.start()] if trail else [len(span)]
@@ -126,7 +174,7 @@ class Decoder:
         if stands and not core.isalpha():
             meant = LETTERS.sub(lambda m: reading(m[0], self) if m[0].isalpha() else m[0], core)
         else:
-            meant = "".join(parts) if searched(core) else core
+            meant = core if not searched(core) else self._plain(core, parts) if core.isalpha() else "".join(parts)
         return span[:i] + meant + span[j:]
 
     @staticmethod
@@ -172,9 +220,9 @@ class Decoder:
 
 
 def searched(word: str) -> bool:
-    """Whether the search reads a word: one of several kinds of characters, or of letters of which one stands three times or two are doubled.
+    """Whether the decoder looks at a word: one of several kinds of characters, or of letters of which one is doubled.
 
-    One doubled letter is plain spelling; numbers and one symbol repeated are no words.
+    Numbers and one symbol repeated are no words.
     """
     if word.isalpha():
         return DOUBLED.search(word) is not None
@@ -191,9 +239,6 @@ def restored(text: str, decoder: Decoder) -> str:
     return MIXED.sub(lambda m: reading(m[0], decoder), text)
 
 
-IS_LETTER = CLASS_OF > 0
-IS_LEET = np.zeros(256, bool)
-IS_LEET[[ord(c) for c in LEET]] = True
 #: ASCII characters after which no character is set apart.
 IS_JOINED = np.zeros(256, bool)
 IS_JOINED[[b for b in range(128) if chr(b).isalnum() or chr(b) in "_@$"]] = True
@@ -302,7 +347,7 @@ def _distinct(feature: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def _counter(sent):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(sent.value)
+        decoder = Decoder(*sent.value)
         for part in tokens.gathered(batches, "text"):
             label = part.column("label").to_numpy()
             feature, owner = _distinct(*features(restored_column(part.column("text"), decoder)))
@@ -334,8 +379,8 @@ def strongest(feature: np.ndarray, owner: np.ndarray, value: np.ndarray, texts:
 
 
 class Model:
-    def __init__(self, characters: np.ndarray, ratio: np.ndarray, weight: np.ndarray):
-        self.characters, self.ratio, self.weight = characters, ratio, weight
+    def __init__(self, characters: np.ndarray, ratio: np.ndarray, weight: np.ndarray, spelled: np.ndarray | None = None):
+        self.characters, self.ratio, self.weight, self.spelled = characters, ratio, weight, spelled
 
     def scores(self, column: pa.Array, decoder: Decoder) -> np.ndarray:
         feature, owner = features(restored_column(column, decoder))
@@ -346,8 +391,8 @@ class Model:
 def _evidence(sent):
     """A training text's strongest features, with its own counts taken off first."""
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        characters, n0, n1, all0, all1 = sent.value
-        decoder = Decoder(characters)
+        characters, spelled, n0, n1, all0, all1 = sent.value
+        decoder = Decoder(characters, spelled)
         for part in tokens.gathered(batches, "text"):
             label = part.column("label").to_numpy()
             feature, owner = features(restored_column(part.column("text"), decoder))
@@ -362,11 +407,11 @@ def _evidence(sent):
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, max_train: int = 20_000) -> Model:
     context = docs.sparkSession.sparkContext
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    characters = character_model(docs)
+    characters, spelled = corpus_models(docs)
     texts = written(sampled_texts(docs, sample_of(labels, label, folds, max_train)), "toxicity-sample")  # at most max_train rows, read three times
     sizes = {r[0]: r[1] for r in texts.groupBy("label").count().collect()}
     all0, all1 = sizes.get(0, 0), sizes.get(1, 0)
-    counts = texts.mapInArrow(_counter(context.broadcast(characters)), "feature long, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    counts = texts.mapInArrow(_counter(context.broadcast((characters, spelled))), "feature long, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     rows = counts.where("n1 > 0").toArrow()  # at most BUCKETS rows
     n0, n1 = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int32)
     n0[rows["feature"].to_numpy()], n1[rows["feature"].to_numpy()] = rows["n0"].to_numpy(), rows["n1"].to_numpy()
@@ -375,18 +420,18 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
         share = (all1 + 0.5) / (all0 + all1 + 1)
         weight[-1] = np.log(share / (1 - share))
     else:
-        sent = context.broadcast((characters, n0, n1, all0, all1))
+        sent = context.broadcast((characters, spelled, n0, n1, all0, all1))
         names = [f"top{k}" for k in range(TOP)]
         top = texts.mapInArrow(_evidence(sent), "label int, " + ", ".join(f"{c} double" for c in names)).toArrow()  # at most max_train rows
         weight = fit_logistic(np.column_stack([top[c].to_numpy() for c in names]), top["label"].to_numpy().astype(float), ridge=0.1)
     ratio = np.where(n1 > 0, log_ratio(n0, n1, all0, all1), 0.0).astype(np.float32)
-    return Model(characters.astype(np.float32), ratio, weight)
+    return Model(characters.astype(np.float32), ratio, weight, spelled)
 
 
 def _scorer(sent, columns: list[str], name: str):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        decoder = Decoder(model.characters)
+        decoder = Decoder(model.characters, model.spelled)
         for batch in batches:
             for part in tokens.slices(batch, "text", 2 << 20):
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(model.scores(part.column("text"), decoder), pa.float64())], names=[*columns, name])

@@ -183,6 +183,32 @@ def test_words_of_few_or_doubled_letters_are_searched(spark):
     assert toxicity.restored_column(pa.array(texts), decoder).to_pylist() == [t and toxicity.restored(t, decoder) for t in texts]
 
 
+def test_one_doubled_letter_is_read_by_the_corpus_spellings(spark):
+    plain = "you are an idiot and a loser as all good small letters of the committee tell " * 400 + "an ass and an iidiot or a losser. " + "a hall and a ball, " * 50
+    characters, spelled = toxicity.corpus_models(docs_frame(spark, [(1, plain), (2, None), (3, "")]))
+    decoder = toxicity.Decoder(characters, spelled)
+    words = collections.Counter(w for w in plain.replace(".", " ").replace(",", " ").split())
+    for word, n in words.items():
+        assert abs(decoder._log_count(word) - math.log1p(n)) < 0.08, word
+    for hidden, meant in [("iidiot", "idiot"), ("losser", "loser"), ("idiott", "idiot"), ("looser", "loser")]:
+        assert toxicity.restored(f"the {hidden}, and", decoder) == f"the {hidden} {meant}, and"
+        assert toxicity.may_be_obfuscated(pa.array([f"the {hidden} and"]))[0]
+    # a rare word stays where its reading is put beside it; frequent ones and unknown ones stand
+    assert "ass" in toxicity.restored("an ass", decoder).split()
+    for kept in ("all good", "Small letters tell", "a hall or ball", "committee", "xyyz", "GOOD!"):
+        assert toxicity.restored(kept, decoder) == kept, kept
+    draw = random.Random(8)
+    some = ["iidiot", "Idiott", "all", "good!", "losser", "é", " ", " ", " ", ".", "ééa", "1d107"]
+    texts = [None, "", *("".join(draw.choice(some) for _ in range(draw.randrange(1, 9))) for _ in range(500))]
+    assert toxicity.restored_column(pa.array(texts), decoder).to_pylist() == [t and toxicity.restored(t, decoder) for t in texts]
+    ratio = np.zeros(toxicity.BUCKETS, np.float32)
+    ratio[toxicity.features(pa.array(["idiot"]))[0]] = 3.0
+    model = toxicity.Model(characters, ratio, np.array([1.0, 1.0, 1.0, -5.0]), spelled)
+    hidden, meant, calm = model.scores(pa.array(["the iidiot and", "the idiot and", "all good"]), decoder)
+    assert hidden == pytest.approx(meant) and calm < 0.01
+    assert toxicity.corpus_models(docs_frame(spark, [(1, None)]))[1].max() == 0
+
+
 def test_viterbi_finds_the_cheapest_path(spark):
     model = np.log(np.random.default_rng(4).dirichlet(np.ones(toxicity.CLASSES), (toxicity.CLASSES, toxicity.CLASSES)))
     decoder = toxicity.Decoder(model)
