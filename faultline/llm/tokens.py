@@ -30,6 +30,9 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+MASK = (1 << 64) - 1
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit values."""
     x = x ^ (x >> np.uint64(33))
@@ -45,6 +48,12 @@ def _base(seed: int) -> tuple[np.ndarray, int]:
     return draws.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1), int(draws.integers(1, 1 << 60)) * 8 + 5
 
 
+@lru_cache(maxsize=4)
+def _base_ints(seed: int) -> tuple[list[int], int]:
+    values, odd = _base(seed)
+    return values.tolist(), odd
+
+
 @lru_cache(maxsize=16)
 def _powers(odd: int, n: int, inverse: bool) -> np.ndarray:
     step = pow(odd, -1, 1 << 64) if inverse else odd
@@ -139,6 +148,22 @@ def hash_words(words: Words, seed: int = 0) -> np.ndarray:
     return mix64(out + lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+def hash_word(word: bytes, seed: int = 0) -> int:
+    """``hash_words`` of one word."""
+    if len(word) > LONG_WORD:
+        return int(hash_words(Words(np.frombuffer(word, np.uint8), np.zeros(1, np.int64), np.array([len(word)]), np.array([0, 1])), seed)[0])
+    values, odd = _base_ints(seed)
+    x = len(word) * 0x9E3779B97F4A7C15
+    power = 1
+    for b in word:
+        x += values[b] * power
+        power = power * odd & MASK
+    x &= MASK
+    x = (x ^ x >> 33) * 0xFF51AFD7ED558CCD & MASK
+    x = (x ^ x >> 33) * 0xC4CEB9FE1A85EC53 & MASK
+    return x ^ x >> 33
+
+
 def hashed_words(column: pa.Array, lower: bool = False, breaks: np.ndarray = SPACES, seed: int = 0) -> Words:
     words = split_words(column, lower, breaks)
     words.hashes = hash_words(words, seed)

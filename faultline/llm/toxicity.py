@@ -143,14 +143,13 @@ class Decoder:
         """A word as the search reads it. Marks at an end are read with the rest or stand beside it as a symbol, whichever costs less."""
         return self._kept((span,), lambda: self._word(span))
 
-    def _log_count(self, word: str) -> float:
-        data = np.frombuffer(word.encode(), np.uint8)
-        return int(self.spelled[bins_of(tokens.Words(data, np.zeros(1, np.int64), np.array([len(data)]), np.array([0, 1])))[0]]) / SPELLED_STEPS
+    def _log_count(self, word: str) -> int:
+        return int(self.spelled[tokens.hash_word(word.encode()) & BUCKETS - 1])
 
     def _may_be_slip(self, word: str) -> bool:
         """Whether the corpus spells a word with one doubled letter far less often than without its second."""
         low = word.lower()
-        return self.spelled is not None and self._log_count(low) + COST_SLIP < self._log_count(DOUBLED.sub(r"\1", low))
+        return self.spelled is not None and self._log_count(low) + COST_SLIP * SPELLED_STEPS < self._log_count(DOUBLED.sub(r"\1", low))
 
     def _plain(self, word: str, parts: list[str]) -> str:
         """The reading of a word of letters; beside the word where only one letter is doubled."""

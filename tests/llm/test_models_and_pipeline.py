@@ -187,9 +187,11 @@ def test_one_doubled_letter_is_read_by_the_corpus_spellings(spark):
     plain = "you are an idiot and a loser as all good small letters of the committee tell " * 400 + "an ass and an iidiot or a losser. " + "a hall and a ball, " * 50
     characters, spelled = toxicity.corpus_models(docs_frame(spark, [(1, plain), (2, None), (3, "")]))
     decoder = toxicity.Decoder(characters, spelled)
+    for word in ("", "a", "iidiot", "é日", "x" * 63, "y" * 70_000):
+        assert tokens.hash_word(word.encode(), 3) == tokens.hash_words(tokens.Words(np.frombuffer(word.encode(), np.uint8), np.zeros(1, np.int64), np.array([len(word.encode())]), np.array([0, 1])), 3)[0]
     words = collections.Counter(w for w in plain.replace(".", " ").replace(",", " ").split())
     for word, n in words.items():
-        assert abs(decoder._log_count(word) - math.log1p(n)) < 0.08, word
+        assert abs(decoder._log_count(word) / toxicity.SPELLED_STEPS - math.log1p(n)) < 0.08, word
     for hidden, meant in [("iidiot", "idiot"), ("losser", "loser"), ("idiott", "idiot"), ("looser", "loser")]:
         assert toxicity.restored(f"the {hidden}, and", decoder) == f"the {hidden} {meant}, and"
         assert toxicity.may_be_obfuscated(pa.array([f"the {hidden} and"]))[0]
