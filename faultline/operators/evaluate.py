@@ -41,11 +41,13 @@ CRITERIA = ["classification", "table_identified", "column_identified", "root_cau
 
 
 def expected_df(spark) -> DataFrame:
+    """The fixed answers, a row for each scenario, marked for a broadcast: a shuffle would bring the
+    texts of all reports together by their few scenarios."""
     rows = [(name, e["failure_class"], e["expected_tables"], e["expected_column"], e["root_cause_keywords"],
              e["fix_should_mention"], e["prevention_should_mention"]) for name, e in SCENARIOS.items()]
-    return spark.createDataFrame(rows, "scenario string, expected_class string, expected_tables array<string>, "
-                                       "expected_column string, root_cause_keywords array<string>, "
-                                       "fix_should_mention array<string>, prevention_should_mention array<string>")
+    return F.broadcast(spark.createDataFrame(rows, "scenario string, expected_class string, expected_tables array<string>, "
+                                                   "expected_column string, root_cause_keywords array<string>, "
+                                                   "fix_should_mention array<string>, prevention_should_mention array<string>"))
 
 
 def _hits_score(hits: Column, n: Column) -> Column:

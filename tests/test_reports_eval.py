@@ -57,6 +57,18 @@ def test_scoring_rubric(spark):
     assert p.classification == 0.5
 
 
+def test_reports_are_not_shuffled_by_scenario(spark, capsys):
+    rep = spark.range(3).selectExpr("id", "if(id = 0, 'schema_drift', 'null_join_key') scenario", "'x' failure_class", "'t' root_cause", "array('e') evidence_chain",
+                                    "named_struct('immediate', 'i', 'preventive', 'p', 'monitoring', 'm') fix", "array('p') prevention")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where the reports are many
+    try:
+        evaluate.score_reports(rep, evaluate.expected_df(spark)).explain()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    plan = capsys.readouterr().out
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
 def test_report_texts(spark):
     df = spark.createDataFrame([(None, "fct_sales", "not_null_violation", "x" * 300),
                                 ("Why is 03-04 missing?", None, None, None),
