@@ -5,10 +5,10 @@ Scale notes
   map-side partial aggregation merges a hot id before the shuffle, and there
   is no join to skew.
 - Search (M2) is exact. Queries and stored vectors are cut into blocks of
-  ``block_rows`` on average per class; each (query block, store block) pair is one
-  ``cogroup`` task that scores a dense block with numpy and keeps k rows per
-  query. No pair rows are materialised, and no task holds more than two
-  blocks, however large a class is. A final top-k per query (planned with a
+  ``BLOCK_VALUES`` numbers on average per class; each (query block, store block)
+  pair is one ``cogroup`` group that scores slices of the queries with numpy and
+  keeps k rows per query. No pair rows are materialised, and no task holds more
+  than two blocks and one slice's similarities, however large a class is. A final top-k per query (planned with a
   partial window group limit) merges the per-block winners.
 """
 
@@ -16,13 +16,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from faultline.functions.text import empty_to_null
-from faultline.functions.vectors import normalize
+from faultline.functions.vectors import norm, normalize
 from faultline.plans import rules
+from faultline.session import written
 
 # The ten columns an upsert overwrites; all others keep their first value.
 UPSERT_COLUMNS = ["dbt_model", "target_table", "target_column", "failure_class", "issue_summary",
@@ -174,8 +175,8 @@ def normalize_vectors(df: DataFrame, col: str = "embedding", out: str = "unit")
     return df.withColumn(out, normalize(F.col(col))).where(F.col(out).isNotNull())
 
 
-def _sizes(df: DataFrame, name: str) -> DataFrame:
-    return df.groupBy("_part").agg(F.count(F.lit(1)).alias(name))
+def _sizes(df: DataFrame, name: str, *more: Column) -> DataFrame:
+    return df.groupBy("_part").agg(F.count(F.lit(1)).alias(name), *more)
 
 
 def winners_schema(queries: DataFrame, store: DataFrame) -> T.StructType:
@@ -183,28 +184,97 @@ def winners_schema(queries: DataFrame, store: DataFrame) -> T.StructType:
                          T.StructField("incident_id", store.schema["incident_id"].dataType), T.StructField("similarity", T.DoubleType())])
 
 
+#: Numbers a block of vectors may hold, and similarities computed at a time.
+BLOCK_VALUES = 1 << 21
+
+
+def block_rows_of(dims: Column) -> Column:
+    """Rows of a block of vectors of that many dimensions."""
+    return F.greatest(F.lit(1), F.floor(F.lit(BLOCK_VALUES) / F.greatest(F.lit(1), dims)))
+
+
+def unit_rows(df: pd.DataFrame) -> np.ndarray:
+    """The unit vectors of a block: its column ``unit``, or ``vector`` divided by ``norm``."""
+    if "unit" in df.columns:
+        return np.vstack(df["unit"].to_numpy()).astype("float64")
+    return np.vstack(df["vector"].to_numpy()).astype("float64") / df["norm"].to_numpy(dtype="float64")[:, None]
+
+
+def best_of(sim: np.ndarray, q: np.ndarray, s: np.ndarray, rank: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, columns, similarities) of each row's k best, ties to the least ``rank`` of the column.
+
+    ``sim`` holds the products in single precision, -inf where a pair takes no part. All pairs
+    that its error leaves within reach of the k-th value are computed again in double.
+    """
+    n, dims = sim.shape[1], q.shape[1]
+    kk = min(k, n)
+    least, width = sim, 32
+    if n >= 2 * width * kk:
+        # columns are grouped: the k-th largest of the groups' maxima is no more than the k-th value
+        m = n // width
+        least = sim[:, :m * width].reshape(len(sim), width, m).max(axis=1)
+    least = np.partition(least, least.shape[1] - kk, axis=1)[:, least.shape[1] - kk]
+    near = least - np.float32(2 * (dims + 4) * 2.0 ** -23 + 1e-7)
+    rows, cols = np.nonzero((sim >= near[:, None]) & (sim > -np.inf))
+    vals = np.empty(len(rows))
+    step = max(1, BLOCK_VALUES // max(1, dims))
+    for i in range(0, len(rows), step):
+        at = slice(i, i + step)
+        vals[at] = np.einsum("ij,ij->i", q[rows[at]], s[cols[at]])
+    vals = np.round(vals, 12)
+    order = np.lexsort((rank[cols], -vals, rows))
+    rows, cols, vals = rows[order], cols[order], vals[order]
+    keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < kk
+    return rows[keep], cols[keep], vals[keep]
+
+
+def id_places(ids: list) -> dict:
+    """The places of each id."""
+    places: dict = {}
+    for i, x in enumerate(ids):
+        places.setdefault(x, []).append(i)
+    return places
+
+
+def winners(qids: np.ndarray, sids: np.ndarray, found: list) -> pd.DataFrame:
+    rows, cols, vals = (np.concatenate(x) for x in zip(*found))
+    return pd.DataFrame({"query_id": qids[rows], "incident_id": sids[cols], "similarity": vals})
+
+
 def block_scorer(k: int, exclude_self: bool):
-    """A function over a block of queries and one of stored vectors: each query's k best there, ties to the smallest id."""
+    """A function over a block of queries and one of stored vectors: each query's k best there, ties to the smallest id.
+
+    Similarities are computed for a slice of the queries at a time, ``BLOCK_VALUES`` of them at most.
+    """
     def score(qdf: pd.DataFrame, sdf: pd.DataFrame) -> pd.DataFrame:
         if qdf.empty or sdf.empty:
             return pd.DataFrame({"query_id": [], "incident_id": [], "similarity": np.empty(0)})
         sdf = sdf.sort_values("_id", kind="stable")  # of equal similarities the smallest id comes first
-        sim = np.round(np.vstack(qdf["unit"].to_numpy()) @ np.vstack(sdf["unit"].to_numpy()).T, 12)
+        q, s = unit_rows(qdf), unit_rows(sdf)
         qids, sids = qdf["_id"].to_numpy(), sdf["_id"].to_numpy()
-        if exclude_self:
-            sim[qids[:, None] == sids[None, :]] = -np.inf
-        kk = min(k, sim.shape[1])
-        # every column that reaches the k-th value, ties included, then the first k of them in order
-        least = -np.partition(-sim, kk - 1, axis=1)[:, kk - 1]
-        rows, cols = np.nonzero((sim >= least[:, None]) & np.isfinite(sim))
-        vals = sim[rows, cols]
-        order = np.lexsort((cols, -vals, rows))
-        rows, cols, vals = rows[order], cols[order], vals[order]
-        keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < kk
-        return pd.DataFrame({"query_id": qids[rows[keep]], "incident_id": sids[cols[keep]], "similarity": vals[keep]})
+        places = id_places(sids.tolist()) if exclude_self else {}
+        q32, s32, rank = q.astype("float32"), s.astype("float32"), np.arange(len(s))
+        whole = bool(np.isfinite(q).all() and np.isfinite(s).all())
+        found, step = [], max(1, BLOCK_VALUES // len(s))
+        for i in range(0, len(q), step):
+            sim = q32[i:i + step] @ s32.T
+            if not whole:
+                sim[~np.isfinite(sim)] = -np.inf
+            for row, x in enumerate(qids[i:i + step].tolist()):
+                if x in places:
+                    sim[row, places[x]] = -np.inf
+            rows, cols, vals = best_of(sim, q[i:i + step], s, rank, k)
+            found.append((rows + i, cols, vals))
+        return winners(qids, sids, found)
     return score
 
 
+def dealt(df: DataFrame, keys: list[str], groups: int) -> DataFrame:
+    """Deals the rows of many groups to as many tasks (4,096 at most); few groups go as the session's shuffles do."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(min(groups, 4096), *keys) if groups > least else df
+
+
 def best_with_details(cand: DataFrame, store: DataFrame, k: int) -> DataFrame:
     """Each query's k best of the blocks' winners, with what the store says about them."""
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.asc("incident_id"))
@@ -217,7 +287,7 @@ def best_with_details(cand: DataFrame, store: DataFrame, k: int) -> DataFrame:
 
 
 def search_similar(queries: DataFrame, store: DataFrame, k: int = rules.SIMILAR_TOP_K,
-                   by_class: bool = True, exclude_self: bool = True, block_rows: int = 4096) -> DataFrame:
+                   by_class: bool = True, exclude_self: bool = True, block_rows: int | None = None) -> DataFrame:
     """M2: exact cosine top-k per query among stored vectors, optionally only
     within the query's class (``unknown`` is a real class; a null or empty
     class disables the filter for that query). Ties go to the smallest id.
@@ -231,19 +301,24 @@ def search_similar(queries: DataFrame, store: DataFrame, k: int = rules.SIMILAR_
              fix_applied, confidence), joined to the winners only
 
     Ids may be of any type. Rows are spread over blocks of ``block_rows`` on
-    average by a hash of their id; exact search costs queries x stored vectors
-    of a class, and both sides are copied to the other's blocks.
+    average (without it ``BLOCK_VALUES`` numbers) by a hash of their id; exact
+    search costs queries x stored vectors of a class, and both sides are copied
+    to the other's blocks, as they came and with their norm.
     """
-    q = normalize_vectors(queries).select(F.col("query_id").alias("_id"), empty_to_null(F.col("failure_class")).alias("failure_class"), "unit")
-    s = normalize_vectors(store).select(F.col("incident_id").alias("_id"), "failure_class", "unit")
+    own_norm = norm(F.col("embedding"))
+    some = F.col("norm").isNull() | (F.col("norm") != 0)  # null and zero vectors take no part
+    q = queries.where(F.col("embedding").isNotNull()).select(F.col("query_id").alias("_id"), empty_to_null(F.col("failure_class")).alias("failure_class"), F.col("embedding").alias("vector"), own_norm.alias("norm")).where(some)
+    s = store.where(F.col("embedding").isNotNull()).select(F.col("incident_id").alias("_id"), "failure_class", F.col("embedding").alias("vector"), own_norm.alias("norm")).where(some)
     every = F.lit("\u0000all")
     own = F.coalesce(F.col("failure_class"), every) if by_class else every
     q = q.withColumn("_part", own)
     # stored rows are in the partition of their class and in that of all; the
     # join with the queries' partitions keeps those that are asked for
     s = s.withColumn("_part", F.explode(F.array_distinct(F.array(own, every))))
-    sizes = _sizes(q, "_nq").join(_sizes(s, "_ns"), "_part")
-    blocks = sizes.select("_part", *[F.greatest(F.lit(1), F.ceil(F.col(n) / F.lit(block_rows))).cast("int").alias(b) for n, b in (("_nq", "_bq"), ("_ns", "_bs"))])
+    sizes = _sizes(q, "_nq").join(_sizes(s, "_ns", F.max(F.size("vector")).alias("_dims")), "_part")
+    size = F.lit(block_rows) if block_rows else block_rows_of(F.col("_dims"))
+    blocks = written(sizes.select("_part", *[F.greatest(F.lit(1), F.ceil(F.col(n) / size)).cast("int").alias(b) for n, b in (("_nq", "_bq"), ("_ns", "_bs"))]), "search-blocks")
+    pairs = blocks.agg(F.sum(F.col("_bq").cast("bigint") * F.col("_bs"))).first()[0] or 0
 
     def block(n):
         return F.pmod(F.xxhash64(F.col("_id")), F.col(n)).cast("int")
@@ -251,9 +326,10 @@ def search_similar(queries: DataFrame, store: DataFrame, k: int = rules.SIMILAR_
     def others(n):
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
-    qx = q.join(blocks, "_part").select("_part", block("_bq").alias("_qb"), others("_bs").alias("_sb"), "_id", "unit")
-    sx = s.join(blocks, "_part").select("_part", block("_bs").alias("_sb"), others("_bq").alias("_qb"), "_id", "unit")
+    key = ["_part", "_qb", "_sb"]
+    qx = q.join(blocks, "_part").select("_part", block("_bq").alias("_qb"), others("_bs").alias("_sb"), "_id", "vector", "norm")
+    sx = s.join(blocks, "_part").select("_part", block("_bs").alias("_sb"), others("_bq").alias("_qb"), "_id", "vector", "norm")
     score, out_schema = block_scorer(k, exclude_self), winners_schema(queries, store)
-    cand = qx.groupBy("_part", "_qb", "_sb").cogroup(sx.groupBy("_part", "_qb", "_sb")) \
+    cand = dealt(qx, key, pairs).groupBy(*key).cogroup(dealt(sx, key, pairs).groupBy(*key)) \
         .applyInPandas(score, out_schema)
     return best_with_details(cand, store, k)

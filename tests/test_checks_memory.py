@@ -110,3 +110,36 @@ def test_rules(spark):
     assert capped == pytest.approx([0.9, 0.7, 0.5])
     bands = [r[0] for r in c.select(incidents.confidence_band(F.lit(0.79))).limit(1).collect()]
     assert bands == ["medium"]
+
+
+def test_scoring_a_block_is_bounded_in_memory():
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    draw = np.random.default_rng(3)
+    units = draw.normal(size=(6000, 16))
+    units[10:40] = units[5]  # ties
+    units /= np.linalg.norm(units, axis=1)[:, None]
+    block = pd.DataFrame({"_id": [f"i{i:05d}" for i in range(len(units))], "unit": list(units)})
+    tracemalloc.start()
+    got = memory.block_scorer(3, True)(block.copy(), block.copy())
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 150e6  # all similarities at once are 288 MB
+    for i in (5, 12, 39, 4321):
+        sim = np.round(units @ units[i], 12)
+        want = sorted((-v, f"i{j:05d}") for j, v in enumerate(sim) if j != i)[:3]
+        mine = got[got["query_id"] == f"i{i:05d}"]
+        assert list(mine["incident_id"]) == [x for _, x in want]
+        assert np.allclose(mine["similarity"], [-v for v, _ in want], atol=2e-12)
+
+
+def test_blocks_of_vectors_follow_their_size(spark, monkeypatch):
+    """9,000 vectors of few dimensions are one block: no vector is copied to further ones."""
+    seen = []
+    monkeypatch.setattr(memory, "dealt", lambda df, keys, groups: seen.append(groups) or df)
+    v = spark.range(9000).selectExpr("id", "'a' failure_class", "array(cast(id % 97 as float), cast(id % 89 as float), 1f) embedding")
+    memory.search_similar(v.withColumnRenamed("id", "query_id"), v.withColumnRenamed("id", "incident_id"), k=1)
+    assert seen == [1, 1]

@@ -44,3 +44,13 @@ def test_far_cells_are_left_out(spark, vectors):
     apart = np.arccos(np.clip(matrix @ matrix.T, -1, 1))
     assert wanted == {(i, j) for i in range(12) for j in range(12) if i != j and apart[i, j] - 0.1 <= np.arccos(0.99) + pivots.SLACK}
     assert len(wanted) < 12 * 11 / 2
+
+
+def test_a_query_goes_once_to_a_bin_of_small_cells(spark, vectors):
+    """Cells that share a bin cost a query one copy, not one for each cell."""
+    spread = spark.sparkContext.broadcast(np.eye(8))
+    cells = [{"cell": c, "radius": 3.0, "first": c // 4, "last": c // 4} for c in range(8)]
+    asked = spark.createDataFrame([("a", i, np.eye(8)[i].tolist(), i, -1.0, cells) for i in range(8)],
+                                  "_part string, _id int, unit array<double>, cell int, least double, cells array<struct<cell: int, radius: double, first: int, last: int>>")
+    rows = [(r._id, r.bin) for r in pivots._wanted(asked, spread, bins=True).collect()]
+    assert sorted(rows) == [(i, b) for i in range(8) for b in range(2)]
