@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from faultline.operators import contracts, medallion
 from faultline.plans.tables import read
-from faultline.session import written
+from faultline.session import small_tasks, written
 
 # --- stand-in inputs -------------------------------------------------------------
 
@@ -296,7 +296,8 @@ def pipeline_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     # The gold layer is materialised (written to the shared checkpoint folder)
     # as a medallion build would; every check then scans the table instead of
     # re-running the join and aggregation.
-    gold = medallion.fct_sales(ss, sc).checkpoint(eager=True)
+    with small_tasks(spark):
+        gold = medallion.fct_sales(ss, sc).checkpoint(eager=True)
     return {"bronze.sales": bs, "bronze.customers": bc, "silver.silver_sales": ss,
             "silver.silver_customers": sc, "gold.fct_sales": gold}
 

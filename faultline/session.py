@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -65,6 +67,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+# Jobs that hash or sort wide state: a task reads 32 MB of files or 16 MB of a shuffle, however large the input and however few the cores.
+SMALL_TASKS = {
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "512",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
+    "spark.sql.files.maxPartitionBytes": "32m",
+}
+
+
+@contextmanager
+def small_tasks(spark: SparkSession) -> Iterator[None]:
+    """Jobs started inside have many small tasks (``SMALL_TASKS``); the session's settings come back after."""
+    before = {k: spark.conf.get(k, None) for k in SMALL_TASKS}
+    for k, v in SMALL_TASKS.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def run_folder(spark: SparkSession) -> str:
     """The application's own folder in the shared checkpoint folder.
 

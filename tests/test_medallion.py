@@ -94,3 +94,27 @@ def test_missing_partition_is_silent(spark):
                             medallion.silver_customers(_customers(spark, [("1", "a", "a@x", "n")])))
     assert g.where(F.col("order_date") == "2026-03-04").count() == 0
     assert g.count() == 4
+
+
+def test_fct_sales_sums_once_and_counts_repeated_customers(spark, capsys):
+    """A customer that the dimension holds twice under one name counts twice, under two names once each; the join is followed by no further sums."""
+    sales = spark.createDataFrame([(1, "2026-03-01", "2.50"), (1, "2026-03-01", "1.00"), (2, "2026-03-01", None), (3, "2026-03-01", "4.00"), (None, "2026-03-01", "1.00")],
+                                  "customer_id int, order_date string, total_amount string").withColumn("total_amount", F.col("total_amount").cast("decimal(21,2)"))
+    dim = spark.createDataFrame([(1, "a", "n"), (1, "a", "n"), (2, "b", "n"), (2, "c", "n"), (None, "z", "n")], "customer_id int, customer_name string, region string")
+    g = medallion.fct_sales(sales, dim)
+    assert dict(g.dtypes)["daily_revenue"] == "decimal(38,2)" and dict(g.dtypes)["order_count"] == "bigint"
+    rows = {(r.customer_id, r.customer_name): (r.order_count, None if r.daily_revenue is None else float(r.daily_revenue)) for r in g.collect()}
+    assert rows == {(1, "a"): (4, 7.0), (2, "b"): (1, None), (2, "c"): (1, None), (3, None): (1, 4.0), (None, None): (1, 1.0)}
+    g.explain()
+    plan = capsys.readouterr().out
+    assert "Join" in plan and "HashAggregate" in plan and plan.index("Join") < plan.index("HashAggregate")
+
+
+def test_small_tasks_bound_a_task_whatever_the_cores(spark):
+    from faultline.session import SMALL_TASKS, small_tasks
+    before = {k: spark.conf.get(k, None) for k in SMALL_TASKS}
+    with pytest.raises(ValueError):
+        with small_tasks(spark):
+            assert {k: spark.conf.get(k) for k in SMALL_TASKS} == SMALL_TASKS
+            raise ValueError
+    assert {k: spark.conf.get(k, None) for k in SMALL_TASKS} == before
