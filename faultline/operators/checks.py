@@ -436,8 +436,8 @@ def run_plan(plan: DataFrame, tables: dict[str, DataFrame], families: list[Famil
         .when(F.col("template") == "sample_rows", F.col("condition"))
     plan = plan.withColumn("_about", spec_column_expr()).withColumn("spec_key", F.concat_ws(
         "|", "template", F.coalesce("_about", F.lit("")), F.coalesce(extra, F.lit(""))))
-    # the plan is read several times below: its lineage (logs, signals, targets) runs once
-    plan = written(plan.select("incident_id", *keys, "_about", "spec_key").distinct(), "check-plan")
+    # the plan is read several times below: its lineage (logs, signals, targets) runs once; what reads it takes distinct rows
+    plan = written(plan.select("incident_id", *keys, "_about", "spec_key"), "check-plan")
     specs = written(plan.select(*keys, "_about", "spec_key").distinct(), "check-specs")
     registered = spark.createDataFrame([(n.partition(".")[0], n.partition(".")[2], list(df.columns)) for n, df in tables.items()],
                                        "schema string, table string, _columns array<string>")
@@ -527,6 +527,17 @@ def origin_layer(evidence: DataFrame) -> DataFrame:
 # --- upstream checks (A11), evidence table (E12, U1) and roll-up (A16, C14) ------------
 
 
+def _upstream_rows(incidents: DataFrame, lineage: DataFrame) -> DataFrame:
+    up = incidents.select("incident_id", "model", "column").join(lineage.select("model", "upstream_sources", "upstream_models"), "model")
+    schema = lambda m: F.when(m.startswith("silver_"), F.lit("silver")).otherwise(F.lit(rules.DEFAULT_SCHEMA))
+    tables = F.concat(
+        F.transform("upstream_sources", lambda s: F.struct(F.coalesce(s["schema"], F.lit(rules.DEFAULT_SOURCE_SCHEMA)).alias("schema"), s["table_name"].alias("table"))),
+        F.transform("upstream_models", lambda m: F.struct(schema(m).alias("schema"), m.alias("table"))))
+    t = up.select("incident_id", "column", F.explode(tables).alias("t")).where("t.table is not null and t.table <> ''")
+    templates = F.when(F.coalesce("column", F.lit("")) != "", F.array(F.lit("row_count"), F.lit("null_check"))).otherwise(F.array(F.lit("row_count")))
+    return t.select("incident_id", F.col("t.schema").alias("schema"), F.col("t.table").alias("table"), "column", F.explode(templates).alias("template"))
+
+
 def upstream_plan(incidents: DataFrame, lineage: DataFrame) -> DataFrame:
     """The checks of every incident's upstream tables, from lineage.
 
@@ -535,19 +546,12 @@ def upstream_plan(incidents: DataFrame, lineage: DataFrame) -> DataFrame:
     bronze), ``silver_`` models are in schema silver and others in public.
     row_count on each, null_check too when a column is known.
     """
-    up = incidents.select("incident_id", "model", "column").join(lineage.select("model", "upstream_sources", "upstream_models"), "model")
-    schema = lambda m: F.when(m.startswith("silver_"), F.lit("silver")).otherwise(F.lit(rules.DEFAULT_SCHEMA))
-    tables = F.concat(
-        F.transform("upstream_sources", lambda s: F.struct(F.coalesce(s["schema"], F.lit(rules.DEFAULT_SOURCE_SCHEMA)).alias("schema"), s["table_name"].alias("table"))),
-        F.transform("upstream_models", lambda m: F.struct(schema(m).alias("schema"), m.alias("table"))))
-    t = up.select("incident_id", "column", F.explode(tables).alias("t")).where("t.table is not null and t.table <> ''")
-    templates = F.when(F.coalesce("column", F.lit("")) != "", F.array(F.lit("row_count"), F.lit("null_check"))).otherwise(F.array(F.lit("row_count")))
-    return t.select("incident_id", F.col("t.schema").alias("schema"), F.col("t.table").alias("table"), "column", F.explode(templates).alias("template")).distinct()
+    return _upstream_rows(incidents, lineage).distinct()
 
 
 def upstream_checks(incidents: DataFrame, lineage: DataFrame, tables: dict[str, DataFrame], families: list[Family] | None = None) -> DataFrame:
     """Evidence of ``upstream_plan``, context ``upstream:schema.table``."""
-    return run_plan(upstream_plan(incidents, lineage), tables, families) \
+    return run_plan(_upstream_rows(incidents, lineage), tables, families) \
         .withColumn("context", F.concat(F.lit("upstream:"), "schema", F.lit("."), "table"))
 
 

@@ -143,3 +143,15 @@ def test_blocks_of_vectors_follow_their_size(spark, monkeypatch):
     v = spark.range(9000).selectExpr("id", "'a' failure_class", "array(cast(id % 97 as float), cast(id % 89 as float), 1f) embedding")
     memory.search_similar(v.withColumnRenamed("id", "query_id"), v.withColumnRenamed("id", "incident_id"), k=1)
     assert seen == [1, 1]
+
+
+def test_upstream_checks_shuffle_the_plan_once(spark, capsys):
+    """The rows of the plan are made distinct by what reads them, not on their way into the plan; the result has no repeats."""
+    inc = spark.createDataFrame([("i1", "m", "c"), ("i1", "m", "c")], "incident_id string, model string, column string")
+    lin = spark.createDataFrame([("m", [("raw", "t"), ("raw", "t")], [])], "model string, upstream_sources array<struct<schema:string,table_name:string>>, upstream_models array<string>")
+    tables = {"raw.t": spark.createDataFrame([(1,), (None,)], "c int")}
+    got = sorted((r.incident_id, r.context, r.template, r.value) for r in checks.upstream_checks(inc, lin, tables).collect())
+    assert got == [("i1", "upstream:raw.t", "null_check", "1"), ("i1", "upstream:raw.t", "row_count", "2")]
+    assert checks.upstream_plan(inc, lin).count() == 2
+    checks._upstream_rows(inc, lin).explain()
+    assert "Aggregate" not in capsys.readouterr().out
